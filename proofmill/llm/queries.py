@@ -9,12 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofmill.llm.mixing import mix_sources
+from proofmill.llm.quality import score_quality
+from proofmill.llm.secrets import find_secrets
 from proofmill.llm.tokens import count_tokens
 from proofmill.tables import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op3_quality_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document. The cache is new at each call, so a timing is of the whole work."""
     import public_tokenizers
@@ -22,13 +29,23 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), Path(public_tokenizers.path(TOKENIZER)).read_bytes(), "json")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return find_secrets(read_table(spark, sf_dir, "documents"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of every document in the mix."""
     return mix_sources(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_token_counts": op4_token_counts, "op7_source_mix": op7_source_mix}
+    return {
+        "op3_quality_vote": op3_quality_vote,
+        "op4_token_counts": op4_token_counts,
+        "op5_secret_scan": op5_secret_scan,
+        "op7_source_mix": op7_source_mix,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
