@@ -8,6 +8,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proofmill.llm import oracles
+from proofmill.llm.licenses import scan_licenses
 from proofmill.llm.mixing import mix_sources
 from proofmill.llm.quality import score_quality
 from proofmill.llm.secrets import find_secrets
@@ -34,6 +36,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(read_table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in every document."""
+    return scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of every document in the mix."""
     return mix_sources(read_table(spark, sf_dir, "documents"))
@@ -44,9 +51,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_vote": op3_quality_vote,
         "op4_token_counts": op4_token_counts,
         "op5_secret_scan": op5_secret_scan,
+        "op6_license_scan": op6_license_scan,
         "op7_source_mix": op7_source_mix,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
