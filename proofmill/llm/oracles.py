@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from proofmill.llm.licenses import CONTAINED, PHRASES, TEMPLATES
 from proofmill.llm.licenses import WORD as LICENSE_WORD
+from proofmill.llm.vectors import LEAST_COSINE
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -31,5 +32,18 @@ FROM w LEFT JOIN pp USING (rid) LEFT JOIN l USING (rid) LEFT JOIN s USING (rid)
 """
 
 
+def embedding_near_dedup() -> str:
+    return f"""
+WITH RECURSIVE v AS (SELECT DISTINCT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(a.e, b.e) >= {LEAST_COSINE}),
+c(id, r) AS (SELECT vec_id, vec_id FROM (SELECT DISTINCT vec_id FROM embeddings) UNION SELECT c.id, p.y FROM c JOIN p ON c.r = p.x),
+n AS (SELECT x, count(*) AS n FROM p GROUP BY x), m AS (SELECT id, min(r) AS component_id FROM c GROUP BY id)
+SELECT id AS vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, id = component_id AS kept FROM m LEFT JOIN n ON id = x
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_license_scan": license_scan()}
+    return {"op6_license_scan": license_scan(), "op8_embedding_near_dedup": embedding_near_dedup()}

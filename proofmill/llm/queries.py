@@ -14,6 +14,7 @@ from proofmill.llm.mixing import mix_sources
 from proofmill.llm.quality import score_quality
 from proofmill.llm.secrets import find_secrets
 from proofmill.llm.tokens import count_tokens
+from proofmill.llm.vectors import near_vectors
 from proofmill.tables import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -46,6 +47,11 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of every vector."""
+    return near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_quality_vote": op3_quality_vote,
@@ -53,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_secret_scan": op5_secret_scan,
         "op6_license_scan": op6_license_scan,
         "op7_source_mix": op7_source_mix,
+        "op8_embedding_near_dedup": op8_embedding_near_dedup,
     }
 
 
