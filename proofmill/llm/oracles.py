@@ -45,5 +45,22 @@ SELECT id AS vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, id = compo
 """
 
 
+def ngram_jaccard() -> str:
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) END AS s FROM d),
+c AS (SELECT min(doc_id) AS rep, k AS s, len(k) AS n FROM (SELECT doc_id, list_sort(s.s) AS k FROM s WHERE len(s.s) > 0) GROUP BY k),
+e AS (SELECT rep, n, unnest(s) AS h FROM c),
+o AS (SELECT a.rep AS x, b.rep AS y, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS k FROM e a JOIN e b ON a.h = b.h AND a.rep < b.rep GROUP BY a.rep, b.rep),
+p AS (SELECT x, y FROM o WHERE 100 * k >= 85 * (n + m - k)),
+q AS (SELECT x, y FROM p UNION SELECT y, x FROM p),
+r(id, r) AS (SELECT rep, rep FROM c UNION SELECT r.id, q.y FROM r JOIN q ON r.r = q.x),
+m AS (SELECT id, min(r) AS component_id FROM r GROUP BY id)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(m.component_id, s.doc_id) AS component_id
+FROM s LEFT JOIN c ON list_sort(s.s) = c.s LEFT JOIN m ON m.id = c.rep
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_license_scan": license_scan(), "op8_embedding_near_dedup": embedding_near_dedup()}
+    return {"op6_license_scan": license_scan(), "op8_embedding_near_dedup": embedding_near_dedup(), "op10_ngram_jaccard": ngram_jaccard()}

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofmill.llm import oracles
+from proofmill.llm.jaccard import jaccard_components
 from proofmill.llm.licenses import scan_licenses
 from proofmill.llm.mixing import mix_sources
 from proofmill.llm.quality import score_quality
@@ -52,6 +53,11 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles and component of every document."""
+    return jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_quality_vote": op3_quality_vote,
@@ -60,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_license_scan": op6_license_scan,
         "op7_source_mix": op7_source_mix,
         "op8_embedding_near_dedup": op8_embedding_near_dedup,
+        "op10_ngram_jaccard": op10_ngram_jaccard,
     }
 
 
