@@ -15,15 +15,16 @@ many comparisons as it has members, and no link between components is lost.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proofmill.llm import scratch
 from proofmill.llm.components import components
+from proofmill.llm.sharing import by_slices, ended, shared_rows, within
 from proofmill.llm.words import codes_of, grams, mix
 
 WORDS, NUMERATOR, DENOMINATOR = 4, 85, 100
@@ -32,10 +33,6 @@ GROUPS, DENSEST = 64, 16
 LEAF, FAN = 64, 8
 #: Rows of one part of a block. Larger blocks are compared part by part.
 PART_ROWS = 8192
-#: Ids that are broadcast at most; beyond that the same join is a shuffle.
-BROADCAST_ROWS = 1 << 20
-#: Texts turned into words at a time.
-SLICE_ROWS = 256
 
 
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
@@ -74,18 +71,6 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return len(a) > 0 and DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both)
 
 
-def _within(column: Column, ids: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """Keep the rows whose ``column`` is in ``ids`` (id), distinct ones."""
-    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return lambda frame: frame.join(F.broadcast(ids) if few else ids, column == F.col("id"), "left_semi")
-
-
-def _by_slices(batches: Iterator[pa.RecordBatch], make: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, SLICE_ROWS):
-            yield make(batch.slice(at, SLICE_ROWS))
-
-
 def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, digest, counts) of each row; digest and counts are null for empty sets."""
 
@@ -101,7 +86,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             ["doc_id", "n_shingles", "digest", "counts"],
         )
 
-    return docs.select("doc_id", "text").mapInArrow(lambda batches: _by_slices(batches, make), "doc_id bigint, n_shingles bigint, digest binary, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: by_slices(batches, make), "doc_id bigint, n_shingles bigint, digest binary, counts binary")
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
@@ -120,42 +105,7 @@ def prefixes(docs: DataFrame) -> DataFrame:
             ["h", "n", "rep"],
         )
 
-    return docs.select("doc_id", "text").mapInArrow(lambda batches: _by_slices(batches, make), "h bigint, n bigint, rep bigint")
-
-
-def shared_prefixes(rows: DataFrame) -> DataFrame:
-    """(h, n, rep, place): the rows whose shingle another row has too; place counts the rows of a shingle by n.
-
-    A task reads its rows in order and holds one batch, however many rows a shingle has.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, before, place = None, None, 0
-        for batch in _ended(batches):
-            now = [] if batch is None else [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            if held is not None:
-                now = held if batch is None else [np.concatenate(p) for p in zip(held, now)]
-            if not now or not len(now[0]):
-                continue
-            h, end = now[0], len(now[0]) if batch is None else len(now[0]) - 1
-            held = [c[-1:] for c in now]
-            if not end:
-                continue
-            as_before = np.concatenate(([before is not None and h[0] == before], h[1:] == h[:-1]))
-            as_next = np.concatenate((h[1:] == h[:-1], [False]))
-            begin = np.maximum.accumulate(np.where(as_before, -1, np.arange(len(h))))
-            places = np.where(begin < 0, place + 1 + np.arange(len(h)), np.arange(len(h)) - begin)
-            keep = (as_before | as_next)[:end]
-            before, place = h[end - 1], int(places[end - 1])
-            yield pa.RecordBatch.from_arrays([pa.array(c[:end][keep]) for c in (*now, places.astype(np.int64))], ["h", "n", "rep", "place"])
-
-    rows = rows.repartition("h").sortWithinPartitions("h", "n", "rep")
-    return rows.mapInArrow(run, "h bigint, n bigint, rep bigint, place bigint")
-
-
-def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: by_slices(batches, make), "h bigint, n bigint, rep bigint")
 
 
 def neighbours(n: np.ndarray, points: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -235,7 +185,7 @@ def block_pairs(rows: DataFrame, every: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list | None = None
-        for batch in _ended(batches):
+        for batch in ended(batches):
             if batch is not None:
                 now = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
                 held = now if held is None else [np.concatenate(p) for p in zip(held, now)]
@@ -283,7 +233,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     left = pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(bounded, "a bigint, b bigint")
     left = scratch.materialize(left, "bounded")
     ids = left.select(F.col("a").alias("id")).unionAll(left.select(F.col("b").alias("id"))).distinct()
-    texts = _within(F.col("doc_id"), ids)(docs).select("doc_id", "text").dropDuplicates(["doc_id"])
+    texts = within(F.col("doc_id"), ids)(docs).select("doc_id", "text").dropDuplicates(["doc_id"])
     texts = scratch.materialize(texts, "texts")
     with_a = left.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     with_b = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -303,8 +253,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = scratch.materialize(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     points = known.select(F.col("doc_id").alias("rep"), "digest", F.col("n_shingles").alias("n"), "counts").join(classes, ["rep", "digest"], "left_semi")
     reps = scratch.materialize(points.dropDuplicates(["rep"]).select("rep", "n", "counts"), "reps")
-    only = _within(F.col("doc_id"), reps.select(F.col("rep").alias("id")))
-    shared = scratch.materialize(shared_prefixes(prefixes(only(docs))), "shared")
+    only = within(F.col("doc_id"), reps.select(F.col("rep").alias("id")))
+    shared = scratch.materialize(shared_rows(prefixes(only(docs))), "shared")
 
     @F.arrow_udf("binary")
     def point(counts: pa.Array) -> pa.Array:

@@ -62,5 +62,17 @@ FROM s LEFT JOIN c ON list_sort(s.s) = c.s LEFT JOIN m ON m.id = c.rep
 """
 
 
+def substring_dedup() -> str:
+    return """
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+v AS (SELECT doc_id, i, md5(array_to_string(w[i + 1 : i + 20], ' ')) AS h FROM d, range(len(w) - 19) AS r(i)),
+u AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS nth FROM v) WHERE nth > 1),
+c AS (SELECT DISTINCT doc_id, i + k AS p FROM u, range(20) AS t(k)),
+x AS (SELECT doc_id, p, w[p + 1] AS word FROM d, range(len(w)) AS r(p)),
+k AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FROM x ANTI JOIN c USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_license_scan": license_scan(), "op8_embedding_near_dedup": embedding_near_dedup(), "op10_ngram_jaccard": ngram_jaccard()}
+    return {"op6_license_scan": license_scan(), "op8_embedding_near_dedup": embedding_near_dedup(), "op9_substring_dedup": substring_dedup(), "op10_ngram_jaccard": ngram_jaccard()}

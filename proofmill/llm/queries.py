@@ -14,6 +14,7 @@ from proofmill.llm.licenses import scan_licenses
 from proofmill.llm.mixing import mix_sources
 from proofmill.llm.quality import score_quality
 from proofmill.llm.secrets import find_secrets
+from proofmill.llm.substrings import remove_repeats
 from proofmill.llm.tokens import count_tokens
 from proofmill.llm.vectors import near_vectors
 from proofmill.tables import read_table
@@ -53,6 +54,11 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated words removed from every document."""
+    return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingles and component of every document."""
     return jaccard_components(read_table(spark, sf_dir, "documents"))
@@ -66,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_license_scan": op6_license_scan,
         "op7_source_mix": op7_source_mix,
         "op8_embedding_near_dedup": op8_embedding_near_dedup,
+        "op9_substring_dedup": op9_substring_dedup,
         "op10_ngram_jaccard": op10_ngram_jaccard,
     }
 
