@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from proofmill.llm.chat import OPEN, TRAINED
 from proofmill.llm.licenses import CONTAINED, PHRASES, TEMPLATES
 from proofmill.llm.licenses import WORD as LICENSE_WORD
 from proofmill.llm.vectors import LEAST_COSINE
@@ -74,5 +75,40 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n
 """
 
 
+def preference_format() -> str:
+    turn = f"concat('{OPEN}', x.role, '|>', chr(10), replace(x.text, '{OPEN}', '< |'), '<|end|>', chr(10))"
+    mask = f"""array_to_string(list_transform(list_filter(range(1, len({{c}}) + 1), lambda i: {{c}}[i].role = '{TRAINED}'), lambda i:
+        concat(coalesce(list_sum(list_transform({{c}}[1 : i - 1], lambda x: length({turn}))), 0)::BIGINT + length({{c}}[i].role) + 5, ':',
+               list_sum(list_transform({{c}}[1 : i], lambda x: length({turn})))::BIGINT)), ',')"""
+    text = f"array_to_string(list_transform({{c}}, lambda x: {turn}), '')"
+    return f"""
+WITH l AS (SELECT conv_id, max(struct_pack(turn := turn, text := text)) AS last FROM conversations WHERE role = '{TRAINED}' AND conv_id IS NOT NULL GROUP BY conv_id),
+s AS (SELECT a.conv_id, a.last.turn AS turn, b.last.text AS text FROM l a JOIN l b ON b.conv_id = xor(a.conv_id, 1)),
+t AS (SELECT c.conv_id, c.turn, coalesce(c.role, '') AS role, coalesce(c.text, '') AS own,
+             coalesce(CASE WHEN c.role = '{TRAINED}' AND s.turn = c.turn THEN s.text ELSE c.text END, '') AS other
+      FROM conversations c LEFT JOIN s USING (conv_id) WHERE c.conv_id IS NOT NULL),
+p AS (SELECT conv_id, list_sort(list_distinct(list(struct_pack(turn := turn, role := role, text := own)))) AS a,
+             list_sort(list_distinct(list(struct_pack(turn := turn, role := role, text := other)))) AS b FROM t GROUP BY conv_id),
+n AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i].role <> b[i].role OR a[i].text <> b[i].text)) - 1, least(len(a), len(b))) AS k FROM p),
+r AS (SELECT conv_id, k, a[1 : k] AS pre, a[k + 1 :] AS a, b[k + 1 :] AS b FROM n)
+SELECT conv_id, k::BIGINT AS n_common, {text.format(c="pre")} AS prompt, {text.format(c="a")} AS chosen, {text.format(c="b")} AS rejected,
+       {mask.format(c="a")} AS chosen_mask, {mask.format(c="b")} AS rejected_mask FROM r
+"""
+
+
+def benchmark_leaks() -> str:
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '{LICENSE_WORD}') AS w FROM documents),
+b AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '{LICENSE_WORD}') AS w FROM benchmark),
+x AS (SELECT DISTINCT doc_id, p, w[p + 1] AS word FROM d, range(len(w)) AS r(p)),
+y AS (SELECT item_id, p, len(w) AS n, w[p + 1] AS word FROM b, range(len(w)) AS r(p) WHERE len(w) >= 7),
+e AS (SELECT doc_id, item_id, x.p - y.p AS start, y.p AS p, any_value(n) AS n FROM x JOIN y USING (word) GROUP BY ALL),
+f AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, start ORDER BY p RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS k FROM e),
+g AS (SELECT doc_id, item_id, start, any_value(n) AS n, count(*) AS n_equal FROM f GROUP BY ALL HAVING max(k) >= ceil(0.8 * least(13, any_value(n))))
+SELECT doc_id, item_id, start::BIGINT AS start, n::BIGINT AS n_words, n_equal::BIGINT AS n_equal, n_equal / n AS similarity
+FROM g QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_equal DESC, start) = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_license_scan": license_scan(), "op8_embedding_near_dedup": embedding_near_dedup(), "op9_substring_dedup": substring_dedup(), "op10_ngram_jaccard": ngram_jaccard()}
+    return {"op1_preference_format": preference_format(), "op2_benchmark_leaks": benchmark_leaks(), "op6_license_scan": license_scan(), "op8_embedding_near_dedup": embedding_near_dedup(), "op9_substring_dedup": substring_dedup(), "op10_ngram_jaccard": ngram_jaccard()}

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofmill.llm import oracles
+from proofmill.llm.chat import preference_pairs, swapped_answers
+from proofmill.llm.decontaminate import find_leaks
 from proofmill.llm.jaccard import jaccard_components
 from proofmill.llm.licenses import scan_licenses
 from proofmill.llm.mixing import mix_sources
@@ -22,6 +24,17 @@ from proofmill.tables import read_table
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation against itself with another's last answer, as prompt and two masked completions."""
+    turns = read_table(spark, sf_dir, "conversations")
+    return preference_pairs(turns, swapped_answers(turns), "conv_id")
+
+
+def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that leak a benchmark item."""
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op3_quality_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
@@ -66,6 +79,8 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_preference_format": op1_preference_format,
+        "op2_benchmark_leaks": op2_benchmark_leaks,
         "op3_quality_vote": op3_quality_vote,
         "op4_token_counts": op4_token_counts,
         "op5_secret_scan": op5_secret_scan,
