@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +19,9 @@ CACHE_SCHEMA = "content binary, tokenizer string, n_tokens bigint"
 #: A tokenizer file over this size is not broadcast but refused.
 MAX_TOKENIZER_BYTES = 64 << 20
 #: Characters that one call of the library gets at most, unless a single text is longer.
-CHUNK_CHARS = 400_000
+CHUNK_CHARS = 100_000
+#: Rows of a batch that are Python strings at a time.
+SLICE_ROWS = 128
 _LOADED: dict[str, object] = {}
 
 
@@ -76,15 +78,17 @@ def encode_counts(texts: DataFrame, data: bytes, kind: str) -> DataFrame:
         raise ValueError(f"the tokenizer has {len(data)} bytes, over {MAX_TOKENIZER_BYTES}")
     shared, version = texts.sparkSession.sparkContext.broadcast(data), tokenizer_version(data, kind)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = _load(version, shared.value, kind)
         for batch in batches:
-            yield pd.DataFrame({"content": batch["content"], "n_tokens": _counts(tokenizer, kind, batch["text"].tolist())})
+            column = batch.column("text")
+            counts = [n for at in range(0, len(column), SLICE_ROWS) for n in _counts(tokenizer, kind, column.slice(at, SLICE_ROWS).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array(counts, pa.int64())], ["content", "n_tokens"])
 
-    return texts.select("content", "text").mapInPandas(run, "content binary, n_tokens bigint")
+    return texts.select("content", "text").mapInArrow(run, "content binary, n_tokens bigint")
 
 
 def count_tokens(
@@ -103,11 +107,11 @@ def count_tokens(
     text = normalised(F.col(text_col))
     keyed = docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(text, 256)).alias("content"), F.octet_length(text).cast("long").alias("n_bytes"))
     # One row of each content carries its text on; digests alone are aggregated, so copies move no text twice.
-    missing = keyed.groupBy("content").agg(F.min(F.struct("id")).alias("first"))
+    missing = keyed.groupBy("content").agg(F.min("id").alias("first_id"))
     if scratch.exists(spark, path):
         missing = missing.join(spark.read.schema(CACHE_SCHEMA).parquet(path).where(F.col("tokenizer") == version), "content", "left_anti")
     texts = docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(text, 256)).alias("content"), text.alias("text"))
-    wanted = missing.select(F.col("first.id").alias("first_id"), F.col("content").alias("wanted"))
+    wanted = missing.select("first_id", F.col("content").alias("wanted"))
     texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("content") == F.col("wanted")), "left_semi")
     encode_counts(texts, data, kind).select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(path)
     stored = spark.read.schema(CACHE_SCHEMA).parquet(path).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
