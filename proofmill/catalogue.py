@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from proofmill.operators import integrity
 from proofmill.plans import operations
 
-QUERIES = {**operations.QUERIES}
+QUERIES = {**operations.QUERIES, **integrity.QUERIES}

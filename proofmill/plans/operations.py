@@ -43,7 +43,7 @@ def list_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a window by kind and day, nulls left out."""
     recent = run_events(spark, sf_dir).where((F.col("happened") >= _moment(AS_OF_EVENTS) - _days(7)) & F.col("kind").isNotNull())
-    return recent.groupBy("kind", F.to_date("happened").alias("day")).agg(F.count("*").alias("n_events"))
+    return recent.groupBy("kind", F.date_format("happened", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n_events"))
 
 
 def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,7 +237,7 @@ QUERIES = {
     "runs_by_status": (runs_by_status, f"{_R} SELECT status, count(*) AS n_runs FROM runs WHERE started_at >= TIMESTAMP '{AS_OF_RUNS}' - INTERVAL 365 DAY GROUP BY 1"),
     "stuck_runs": (stuck_runs, f"{_R} SELECT run_id, status, started_at FROM runs WHERE finished_at IS NULL AND status NOT IN {IDLE} AND started_at < TIMESTAMP '{AS_OF_RUNS}' - INTERVAL 365 DAY"),
     "list_by_status": (list_by_status, f"{_R} SELECT run_id, status, started_at FROM runs WHERE status IN ('structured', 'assessed') ORDER BY started_at DESC, run_id LIMIT 50"),
-    "error_codes": (error_codes, f"{_E} SELECT kind, happened::DATE AS day, count(*) AS n_events FROM run_events WHERE happened >= TIMESTAMP '{AS_OF_EVENTS}' - INTERVAL 7 DAY AND kind IS NOT NULL GROUP BY ALL"),
+    "error_codes": (error_codes, f"{_E} SELECT kind, strftime(happened, '%Y-%m-%d') AS day, count(*) AS n_events FROM run_events WHERE happened >= TIMESTAMP '{AS_OF_EVENTS}' - INTERVAL 7 DAY AND kind IS NOT NULL GROUP BY ALL"),
     "token_totals": (token_totals, f"""WITH {RUNS}, {CALLS} SELECT run_id, coalesce(sum(input_tokens + output_tokens), 0)::BIGINT AS tokens, count(call_no) AS n_calls,
         coalesce(sum(escalated::INT), 0)::BIGINT AS n_escalated FROM runs LEFT JOIN calls USING (run_id) GROUP BY run_id"""),
     "cost_of_calls": (cost_of_calls, f"WITH {CALLS}, {PRICES_SQL} SELECT run_id, call_no, tier, ({_UNITS})::DOUBLE / 1000000 AS cost FROM calls LEFT JOIN prices USING (tier)"),
