@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from proofmill.operators import integrity
+from proofmill.operators import documents, integrity
 from proofmill.plans import operations
 
-QUERIES = {**operations.QUERIES, **integrity.QUERIES}
+QUERIES = {**operations.QUERIES, **documents.QUERIES, **integrity.QUERIES}

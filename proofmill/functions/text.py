@@ -17,6 +17,10 @@ CONFUSED, FOLDED = "oli|sbzg", "01115826"
 PAIRS = (("rn", "m"), ("c1", "d"), ("vv", "w"))
 
 
+#: White space of any script, in RE2's terms.
+_WHITE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
 def _hex_class(letters: str) -> str:
     return "[" + "".join(f"\\x{{{ord(c):X}}}" for c in letters) + "]"
 
@@ -55,7 +59,7 @@ def normalised_sql(text: str) -> str:
     text = f"translate({text}, '{DASHES}{SINGLE_QUOTES}{DOUBLE_QUOTES}', '{'-' * len(DASHES)}{quotes}')"
     text = f"regexp_replace({text}, '{_hex_class(INVISIBLE)}', '', 'g')"
     text = f"regexp_replace({text}, '-[ \\t]*\\n[ \\t]*(\\p{{Ll}}[\\s\\S])', '\\1', 'g')"
-    return f"trim(regexp_replace({text}, '[\\s\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g'))"
+    return f"trim(regexp_replace({text}, '{_WHITE}+', ' ', 'g'))"
 
 
 def folded(text: Column) -> Column:
@@ -70,7 +74,7 @@ def folded_sql(text: str) -> str:
     text = f"translate(lower({text}), '{CONFUSED}', '{FOLDED}')"
     for pair, one in PAIRS:
         text = f"replace({text}, '{pair}', '{one}')"
-    return f"regexp_replace({text}, '\\s', '', 'g')"
+    return f"regexp_replace({text}, '{_WHITE}', '', 'g')"
 
 
 # -- redaction and protected terms
