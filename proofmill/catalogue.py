@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from proofmill.operators import documents, integrity
-from proofmill.plans import operations
+from proofmill.operators import documents, evidence, integrity
+from proofmill.plans import evaluation, operations, rules
 
-QUERIES = {**operations.QUERIES, **documents.QUERIES, **integrity.QUERIES}
+QUERIES = {**operations.QUERIES, **documents.QUERIES, **evidence.QUERIES, **integrity.QUERIES, **rules.QUERIES, **evaluation.QUERIES}
