@@ -49,13 +49,11 @@ def _texts(names: list[str]) -> Column:
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """(key, rel): for each line the words that any template has, each once; lines with fewer than asked for are left out."""
+    """(key, rel): for each line long enough for the shortest overlap the words that any template has, each once."""
     vocabulary = sorted({w for _, _, words, _ in _sets() for w in words})
-    least = min(t for *_, t in _sets())
-    lines = docs.select("key", F.explode(F.split("text", "\n")).alias("line"))
-    # A line without as many separators as the shortest overlap has words less one cannot qualify.
-    words = F.regexp_extract_all(_lowered(F.col("line")), F.lit(WORD), F.lit(0))
-    return lines.where(F.length("line") >= 2 * least - 1).select("key", F.array_intersect(words, _texts(vocabulary)).alias("rel")).where(F.size("rel") >= 1)
+    lines = docs.select("key", F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") >= 2 * min(t for *_, t in _sets()) - 1)
+    words = F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0))
+    return lines.select("key", F.array_intersect(words, _texts(vocabulary)).alias("rel"))
 
 
 def word_order(blocks: DataFrame) -> list[str]:
@@ -65,9 +63,9 @@ def word_order(blocks: DataFrame) -> list[str]:
 
 
 def contained_templates(docs: DataFrame) -> DataFrame:
-    """(key, label, share): each template found in a block of the document ``key``, with the best share."""
-    spark, blocks = docs.sparkSession, _blocks(docs)
-    order = word_order(blocks)
+    """(key, label, share) of rows (key, text): each template found in a block of the document ``key``, with the best share."""
+    spark = docs.sparkSession
+    order = word_order(_blocks(docs))
     rank = {w: i for i, w in enumerate(order)}
     least = min(t for *_, t in _sets())
     prefixes = [
@@ -77,6 +75,9 @@ def contained_templates(docs: DataFrame) -> DataFrame:
     ]
     # One row for each prefix word of each template, so of fixed size.
     index = spark.createDataFrame(prefixes, "template int, label string, token int, place int, length int, needed int, tokens array<int>")
+    # The prefix filter on whole texts: a text without any prefix word needs no blocks.
+    any_prefix = "(?i)" + "|".join(sorted({order[p[2]] for p in prefixes}))
+    blocks = _blocks(docs.where(F.regexp_like("text", F.lit(any_prefix))))
     ranks = F.create_map(*(F.lit(v) for pair in rank.items() for v in pair))
     ranked = blocks.where(F.size("rel") >= least).select("key", F.array_sort(F.transform("rel", lambda w: F.element_at(ranks, w))).alias("rel"))
     ranked = ranked.where(F.size("rel") >= least)

@@ -20,7 +20,7 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS tex
 w AS (SELECT rid, doc_id, list_transform(regexp_extract_all(text, '{LICENSE_WORD}'), lambda x: translate(x, '{_UPPER}', '{_LOWER}')) AS ws FROM d),
 p AS ({places}),
 t(label, words) AS (VALUES {templates}),
-b AS (SELECT rid, list_distinct(regexp_extract_all(translate(line, '{_UPPER}', '{_LOWER}'), '{LICENSE_WORD}')) AS rel
+b AS (SELECT rid, list_distinct(regexp_extract_all(lower(line), '{LICENSE_WORD}')) AS rel
       FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d)),
 m AS (SELECT rid, label, max(len(list_intersect(rel, words)) / len(words)) AS share FROM b, t
       WHERE len(list_intersect(rel, words)) >= ceil({CONTAINED} * len(words)) GROUP BY rid, label),

@@ -113,6 +113,8 @@ def count_tokens(
     texts = docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(text, 256)).alias("content"), text.alias("text"))
     wanted = missing.select("first_id", F.col("content").alias("wanted"))
     texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("content") == F.col("wanted")), "left_semi")
-    encode_counts(texts, data, kind).select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(path)
+    # A row repeated with its id is encoded again but stored once.
+    counts = encode_counts(texts, data, kind).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    counts.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(path)
     stored = spark.read.schema(CACHE_SCHEMA).parquet(path).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
     return keyed.join(stored, "content").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
