@@ -124,7 +124,10 @@ def dealt(rows: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
 
 
 def repeated_leaves(rows: DataFrame) -> DataFrame:
-    """(doc, at) of each window that occurs earlier: every leaf but the leftmost of a node at full depth."""
+    """(doc, at) of each window that occurs earlier: every leaf but the leftmost of a node at full depth.
+
+    Equal leaves (doc, at), of a row that is there twice, are one leaf.
+    """
     schema = "p1 bigint, p2 bigint, p3 bigint, doc bigint, at bigint, first boolean"
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,10 +135,14 @@ def repeated_leaves(rows: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            p1, p2, p3, split = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("p1", "p2", "p3", "split"))
-            same = np.concatenate(([before == (p1[0], p2[0], p3[0])], (p1[1:] == p1[:-1]) & (p2[1:] == p2[:-1]) & (p3[1:] == p3[:-1])))
-            before = (p1[-1], p2[-1], p3[-1])
-            keep = same | split
+            split = batch.column("split").to_numpy(zero_copy_only=False)
+            leaf = np.stack([batch.column(c).to_numpy() for c in ("p1", "p2", "p3", "doc", "at")])
+            equal = leaf == np.concatenate((leaf[:, :1] if before is None else before, leaf[:, :-1]), axis=1)
+            same, twice = equal[:3].all(axis=0), equal.all(axis=0)
+            if before is None:
+                same[0] = twice[0] = False
+            before = leaf[:, -1:]
+            keep = (same | split) & ~twice
             columns = [batch.column(c) for c in ("p1", "p2", "p3", "doc", "at")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(~same)], ["p1", "p2", "p3", "doc", "at", "first"]).filter(pa.array(keep))
 
@@ -180,19 +187,22 @@ def remove_repeats(docs: DataFrame, group_rows: int = GROUP_ROWS, id_col: str =
     """(id, n_words, n_removed, kept_sha256) for each row of ``docs``.
 
     Of documents with equal words all but the one with the smallest id lose every word if they have a window at
-    all, so only that one enters the trees. Null text has no words. Rows that share an id are one document; a row
-    with a null id keeps its words and takes none from others. An empty table gives no rows; other columns are
-    not read.
+    all, so only that one enters the trees. Null text has no words. Rows equal in id and words are one document. A
+    row with a null id, or with an id that has rows of other words too, keeps its words and takes none from others.
+    An empty table gives no rows; other columns are not read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     digests = scratch.materialize(word_digests(docs), "words")
-    known = digests.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= WINDOW))
+    words = F.xxhash64("digest")
+    unclear = digests.groupBy("doc_id").agg(F.min(words).alias("low"), F.max(words).alias("high")).where(F.col("low") != F.col("high"))
+    unclear = scratch.materialize(unclear.select(F.col("doc_id").alias("unclear")), "unclear")
+    known = digests.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= WINDOW)).join(unclear, F.col("doc_id") == F.col("unclear"), "left_anti")
     firsts = scratch.materialize(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "firsts")
     starts = scratch.materialize(repeated_windows(docs, firsts.select(F.col("rep").alias("doc_id")), group_rows), "starts")
-    some = within(F.col("doc_id"), starts.select(F.col("doc_id").alias("id")))(docs).join(starts, "doc_id").dropDuplicates(["doc_id"])
-    cut = without_repeats(some).select(F.col("doc_id").alias("cut_id"), "n_removed", "kept")
-    placed = digests.join(firsts, "digest", "left").join(cut, F.col("doc_id") == F.col("cut_id"), "left")
-    copy = F.col("rep").isNotNull() & F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("rep"))
+    some = within(F.col("doc_id"), starts.select(F.col("doc_id").alias("id")))(docs).join(starts, "doc_id")
+    cut = without_repeats(some).select(F.col("doc_id").alias("cut_id"), "n_removed", "kept").dropDuplicates(["cut_id"])
+    placed = digests.join(firsts, "digest", "left").join(cut, F.col("doc_id") == F.col("cut_id"), "left").join(unclear, F.col("doc_id") == F.col("unclear"), "left")
+    copy = F.col("rep").isNotNull() & F.col("doc_id").isNotNull() & F.col("unclear").isNull() & (F.col("doc_id") != F.col("rep"))
     nothing = F.unhex(F.sha2(F.lit(""), 256))
     return placed.select(
         F.col("doc_id").alias(id_col),

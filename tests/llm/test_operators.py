@@ -343,6 +343,9 @@ def test_repeats_against_windows(docs, no_docs):
     for limit in (substrings.GROUP_ROWS, 3):
         assert rows(substrings.remove_repeats(docs, group_rows=limit), "doc_id", "n_words", "n_removed", "kept_sha256") == want
     assert substrings.remove_repeats(no_docs).count() == 0
+    other = docs.sparkSession.createDataFrame([(4, "another text"), (None, " ".join(BASE))], "doc_id bigint, text string")
+    got = rows(substrings.remove_repeats(docs.select("doc_id", "text").unionAll(other)), "doc_id", "n_words", "n_removed")
+    assert {(4, 200, 0), (4, 2, 0), (None, 200, 0)} <= set(got) and len(got) == len(TEXTS) + 2
 
 
 # -- 10
