@@ -7,8 +7,8 @@ threshold must share one of the first n - ceil(0.85 n) + 1). In each such block
 R-tree, and pairs of nodes, then of points, that cannot reach the threshold by the bound fall away. What is left
 is compared by finer counts and then exactly, on the whole texts.
 
-Only components are asked for, so pairs are checked in two rounds: neighbours in each block first, then all
-pairs whose documents are not in one component yet. A group of thousands of near copies thus costs about as
+Only components are asked for, so pairs are checked in two rounds: neighbours in each block first, in an order that
+differs between blocks, then all pairs whose documents are not in one component yet. A group of thousands of near copies thus costs about as
 many comparisons as it has members, and no link between components is lost.
 """
 
@@ -31,6 +31,8 @@ WORDS, NUMERATOR, DENOMINATOR = 4, 85, 100
 #: Groups of the points in the R-tree, and shingles to a group on average at most in the finer counts.
 GROUPS, DENSEST = 64, 16
 LEAF, FAN = 64, 8
+#: Orders in which blocks take neighbours; which one a block takes follows from its shingle.
+ORDERS = 8
 #: Rows of one part of a block. Larger blocks are compared part by part.
 PART_ROWS = 8192
 
@@ -108,9 +110,9 @@ def prefixes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(lambda batches: by_slices(batches, make), "h bigint, n bigint, rep bigint")
 
 
-def neighbours(n: np.ndarray, points: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs next to each other by size, then by counts, that the bound lets pass."""
-    order = np.lexsort((*points.T[::-1], n))
+def neighbours(n: np.ndarray, points: np.ndarray, comp: np.ndarray, turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs next to each other that the bound lets pass: by size, then counts, or by counts from another group on."""
+    order = np.lexsort((*np.roll(points, turn * GROUPS // ORDERS, axis=1).T[::-1], n)[: None if turn == 0 else GROUPS])
     a, b = order[:-1], order[1:]
     overlap = np.minimum(points[a], points[b]).sum(axis=1, dtype=np.int64)
     good = may_link(np.minimum(overlap, np.minimum(n[a], n[b])), n[a], n[b]) & (comp[a] != comp[b])
@@ -174,7 +176,7 @@ def block_pairs(rows: DataFrame, every: bool) -> DataFrame:
             if every:
                 x, y = tree_pairs(n[lo:hi], points[lo:hi], comp[lo:hi], side[lo:hi] if i[lo] != j[lo] else None)
             else:
-                x, y = neighbours(n[lo:hi], points[lo:hi], comp[lo:hi])
+                x, y = neighbours(n[lo:hi], points[lo:hi], comp[lo:hi], int(h[lo]) % ORDERS)
             if len(x):
                 ids = rep[lo:hi]
                 out.append(np.stack((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]))))
