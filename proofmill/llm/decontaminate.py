@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proofmill.llm import scratch
+from proofmill.llm.sharing import within
+
 #: Runs of letters, digits and characters beyond ASCII, of lower-cased text.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Fixed masks: places of a span of 7 words. A lone substitution every 4 words or more leaves one of them whole.
@@ -56,16 +59,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") >= SPAN).distinct()
     index = seeds(items, ["item_id"]).distinct().select("item_id", F.col("at").alias("item_at"), "seed")
     few = index.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
-    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), words_of(F.col(text_col)).alias("words"))
-    hits = seeds(keyed, ["id", "hash"]).join(F.broadcast(index) if few else index, "seed")
-    hits = hits.select(F.col("id").alias("hit_id"), F.col("hash").alias("hit_hash"), "item_id", (F.col("at") - F.col("item_at")).alias("start")).distinct()
-    there = F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("hash") == F.col("hit_hash"))
-    placed = hits.join(items.select("item_id", F.col("words").alias("item_words")), "item_id").join(keyed, there)
+    texts = docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
+    keyed = lambda rows: rows.select("own", "hash", words_of(F.col("text")).alias("words"))
+    hits = seeds(keyed(texts), ["own", "hash"]).join(F.broadcast(index) if few else index, "seed")
+    hits = hits.select(F.col("own").alias("hit_own"), F.col("hash").alias("hit_hash"), "item_id", (F.col("at") - F.col("item_at")).alias("start")).distinct()
+    hits = scratch.materialize(hits, "hits")
+    # Only texts with a hit are cut into words again and shuffled.
+    some = within(F.col("hash"), hits.select(F.col("hit_hash").alias("id")).distinct())(texts)
+    there = F.col("own").eqNullSafe(F.col("hit_own")) & (F.col("hash") == F.col("hit_hash"))
+    placed = hits.join(items.select("item_id", F.col("words").alias("item_words")), "item_id").join(keyed(some), there)
     leaks = aligned(placed).where(F.col("best") >= F.col("needed"))
-    best = leaks.groupBy("id", "item_id").agg(F.max_by(F.struct("start", "n_words", "n_equal"), F.struct("n_equal", (-F.col("start")).alias("early"))).alias("b"))
+    best = leaks.groupBy("own", "item_id").agg(F.max_by(F.struct("start", "n_words", "n_equal"), F.struct("n_equal", (-F.col("start")).alias("early"))).alias("b"))
     similarity = F.col("b.n_equal") / F.col("b.n_words")
     counts = [F.col(f"b.{c}").cast("long").alias(c) for c in ("start", "n_words", "n_equal")]
-    return best.select(F.col("id").alias(id_col), "item_id", *counts, similarity.alias("similarity"))
+    return best.select(F.col("own").alias(id_col), "item_id", *counts, similarity.alias("similarity"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
