@@ -34,8 +34,20 @@ ALPHABETS = {
     "alnum_upper": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
 }
-#: How far ordinary strings are from even use of their alphabet: alphabet size times sum of squared shares, less 1.
-UNEVEN = 0.75
+#: Ordinary strings of each alphabet by class of length, as fitted to names, paths and numbers of program sources: how
+#: far they are from even use of it (alphabet size times sum of squared shares, less 1), and the spread of chi-squared
+#: in units of what that alone gives. Of ordinary tokens at most 5 % get p <= 0.05, and so down to 0.0005.
+ORDINARY = {
+    "digits": ((1.0, 1.3), (0.6, 1.0), (0.5, 0.8), (0.5, 0.8)),
+    "hex_lower": ((1.4, 0.8), (1.4, 0.8), (1.4, 0.8), (1.2, 0.8)),
+    "hex_upper": ((1.4, 0.8), (1.4, 0.8), (1.3, 0.8), (1.2, 0.8)),
+    "lower": ((1.4, 1.5), (0.6, 0.8), (0.6, 0.8), (0.6, 0.8)),
+    "upper": ((1.4, 1.5), (0.6, 0.8), (0.6, 0.8), (0.6, 0.8)),
+    "base32": ((0.9, 0.8), (0.9, 0.8), (0.9, 0.8), (1.0, 0.8)),
+    "alnum_lower": ((1.2, 0.9), (1.1, 0.8), (1.1, 0.8), (1.0, 0.8)),
+    "alnum_upper": ((1.1, 0.9), (1.1, 0.8), (1.1, 0.8), (1.1, 0.8)),
+    "base64": ((1.6, 0.9), (1.5, 0.9), (1.2, 0.8), (1.4, 0.8)),
+}
 #: A token that runs or serial correlation call patterned at this level is no candidate.
 REJECT, FALSE_SHARE, STEPS, MOST_STEPS = 0.01, 0.05, 20, 400
 LENGTHS = (28, 40, 64)
@@ -128,10 +140,20 @@ def tested(tokens: Column) -> Column:
 
     sums = _let(named, lambda x: {"squares": F.aggregate(counts(x), F.lit(0.0), lambda a, c: a + c.cast("double") * c), "w": walk(x)})
 
+    class_of = lambda n: sum((F.when(n >= at, 1).otherwise(0) for at in LENGTHS), F.lit(0))
+
+    def ordinary(x: Column, which: int) -> Column:
+        out = F.lit(None).cast("double")
+        for name, letters in ALPHABETS.items():
+            out = F.when(x["alphabet"] == letters, F.get(F.array(*(F.lit(fit[which]) for fit in ORDINARY[name])), class_of(x["n"]))).otherwise(out)
+        return out
+
+    sums = _let(sums, lambda x: {"uneven": ordinary(x, 0), "spread": ordinary(x, 1)})
+
     def pvalues(x: Column) -> dict[str, Column]:
         n, k, w = x["n"], x["k"], x["w"]
         chi = k / n * x["squares"] - n
-        even = _phi((chi - (k - 1) - n * UNEVEN) / F.sqrt(2 * (k - 1) + 4 * n * UNEVEN))
+        even = _phi((chi - (k - 1) - n * x["uneven"]) / (x["spread"] * F.sqrt(2 * (k - 1) + 4 * n * x["uneven"])))
         low = n - w["high"]
         mean = 1 + 2 * w["high"] * low / n
         variance = (mean - 1) * (mean - 2) / (n - 1)
@@ -142,7 +164,6 @@ def tested(tokens: Column) -> Column:
         return {"p": F.when((runs >= REJECT) & (related >= REJECT), F.greatest(even, F.lit(1e-20))).otherwise(1.0)}
 
     judged = _let(sums, pvalues)
-    class_of = lambda n: sum((F.when(n >= at, 1).otherwise(0) for at in LENGTHS), F.lit(0))
     step = lambda p: F.least(F.floor(-STEPS * F.log10(p)), F.lit(MOST_STEPS)).cast("int")
     return F.transform(judged, lambda x: F.struct(x["start"], x["stop"], class_of(x["n"]).alias("length_class"), step(x["p"]).alias("step")))
 

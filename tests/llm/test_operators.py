@@ -213,6 +213,20 @@ def test_secret_spans(spark, docs, no_docs):
     assert secrets.find_secrets(no_docs).count() == 0
 
 
+@pytest.mark.parametrize(("size", "recall"), [(20, 0.6), (24, 0.7), (32, 0.85), (40, 0.88)])
+def test_short_random_tokens_among_ordinary_ones(spark, size, recall):
+    r = random.Random(size)
+    letters = secrets.ALPHABETS["base64"][:64]
+    parts = "get set user name file path test value index config parse header buffer stream node list table result count error".split()
+    keys = ["".join(r.choice(letters) for _ in range(size)) for _ in range(400)]
+    names = ["_".join(r.choice(parts) for _ in range(12))[:size] for _ in range(400)]
+    out = secrets.find_secrets(spark.createDataFrame([(i, f"see {t} end") for i, t in enumerate(keys + names)], "doc_id bigint, text string")).collect()
+    found = [row["doc_id"] for row in out if f"random:4:{4 + size}" in row["spans"]]
+    right = sum(i < len(keys) for i in found)
+    assert right >= recall * len(keys)
+    assert len(found) - right <= 0.1 * len(found)
+
+
 def test_redaction(spark):
     frame = spark.createDataFrame(SECRETS, "doc_id bigint, text string")
     scanned = secrets.scan(frame, keep=("doc_id", "text"))
