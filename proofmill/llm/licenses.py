@@ -1,6 +1,7 @@
 """License scans: phrases by place, and an exact set-similarity join of text blocks with notice templates.
 
-A block is a line of a document. A template is found in a block if the block holds at least ``CONTAINED`` of the
+A block is a line of a document, or the words around a line break within a paragraph, as many on either side as
+the longest template has, so that a notice wrapped over any number of lines stands in one. A template is found in a block if the block holds at least ``CONTAINED`` of the
 template's distinct words. Words are ordered by how many blocks of the corpus have them, rare ones first; a
 block can only qualify if one of its first |B| - t + 1 words is one of the template's first |T| - t + 1, where t
 is the overlap asked for. Length, prefix and position filters drop the rest, and the overlap decides.
@@ -32,6 +33,11 @@ TEMPLATES = (
     ("mpl", "subject to the terms of the mozilla public license v 2 0"),
 )
 CONTAINED = 0.9
+#: A character of no word, and what lies between paragraphs: lines without a word.
+OTHER = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+PARAGRAPH = rf"\n{OTHER}*\n"
+#: Words taken on either side of a line break.
+REACH = max(len(text.split()) for _, text in TEMPLATES)
 
 
 def _sets() -> list[tuple[int, str, list[str], int]]:
@@ -56,6 +62,21 @@ def _blocks(docs: DataFrame) -> DataFrame:
     return lines.select("key", F.array_intersect(words, _texts(vocabulary)).alias("rel"))
 
 
+def _wrapped(docs: DataFrame) -> DataFrame:
+    """(key, rel): for each line break of a paragraph the words around it that any template has, each once."""
+    vocabulary = _texts(sorted({w for _, _, words, _ in _sets() for w in words}))
+    least = min(t for *_, t in _sets())
+    parts = docs.select("key", F.explode(F.split(F.lower("text"), PARAGRAPH)).alias("part")).where(F.contains("part", F.lit("\n")))
+    words = parts.select("key", "part", F.regexp_extract_all("part", F.lit(WORD), F.lit(0)).alias("words"))
+    words = words.where(F.size(F.array_intersect("words", vocabulary)) >= least)
+    counts = F.transform(F.split("part", "\n"), lambda line: F.regexp_count(line, F.lit(WORD)))
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    breaks = F.aggregate(counts, first, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"] + n)).alias("out")))["out"]
+    breaks = words.select("key", "words", F.explode(F.array_distinct(breaks)).alias("at")).where((F.col("at") > 0) & (F.col("at") < F.size("words")))
+    around = F.slice("words", F.greatest(F.col("at") - REACH, F.lit(0)) + 1, F.least(F.col("at"), F.lit(REACH)) + REACH)
+    return breaks.select("key", F.array_intersect(around, vocabulary).alias("rel"))
+
+
 def word_order(blocks: DataFrame) -> list[str]:
     """Template words by number of blocks, rare ones first; at most the vocabulary of the templates reaches the driver."""
     counts = {r["word"]: r["n"] for r in blocks.select(F.explode("rel").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
@@ -76,8 +97,9 @@ def contained_templates(docs: DataFrame) -> DataFrame:
     # One row for each prefix word of each template, so of fixed size.
     index = spark.createDataFrame(prefixes, "template int, label string, token int, place int, length int, needed int, tokens array<int>")
     # The prefix filter on whole texts: a text without any prefix word needs no blocks.
-    any_prefix = "(?i)" + "|".join(sorted({order[p[2]] for p in prefixes}))
-    blocks = _blocks(docs.where(F.regexp_like("text", F.lit(any_prefix))))
+    any_prefix = rf"(?i)(?:^|{OTHER})(?:{'|'.join(sorted({order[p[2]] for p in prefixes}))})(?:{OTHER}|$)"
+    some = docs.where(F.regexp_like("text", F.lit(any_prefix)))
+    blocks = _blocks(some).unionAll(_wrapped(some))
     ranks = F.create_map(*(F.lit(v) for pair in rank.items() for v in pair))
     ranked = blocks.where(F.size("rel") >= least).select("key", F.array_sort(F.transform("rel", lambda w: F.element_at(ranks, w))).alias("rel"))
     ranked = ranked.where(F.size("rel") >= least)

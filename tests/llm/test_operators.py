@@ -264,6 +264,24 @@ def test_license_places_and_templates(docs, no_docs):
     assert licenses.scan_licenses(no_docs).count() == 0
 
 
+def test_license_notices_wrapped_over_lines(spark):
+    import textwrap
+
+    texts, want = [], {}
+    for label, template in licenses.TEMPLATES:
+        for before in range(0, 76, 5):
+            for width, mark in ((72, ""), (72, " * "), (24, "# ")):
+                filled = textwrap.wrap(("zz " * 30)[:before] + " " + template, width)
+                want[len(texts)] = label
+                texts.append((len(texts), "above\n\n" + "\n".join(mark + line for line in filled) + "\n\nbelow"))
+    apart = len(texts)
+    texts += [(apart, "permission is hereby granted free of charge\n\nto any person obtaining a copy of this software")]
+    texts += [(apart + 1, "permission is hereby granted free of charge\n" + "zz\n" * 40 + "to any person obtaining a copy of this software")]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    assert [i for i, label in want.items() if label not in got[i]["labels"].split(",") or got[i]["score"] != 1.0] == []
+    assert got[apart]["labels"] == got[apart + 1]["labels"] == ""
+
+
 # -- 7
 
 
