@@ -30,6 +30,8 @@ from proofmill.llm.words import codes_of, grams, mix
 WORDS, NUMERATOR, DENOMINATOR = 4, 85, 100
 #: Groups of the points in the R-tree, and shingles to a group on average at most in the finer counts.
 GROUPS, DENSEST = 64, 16
+#: Counts are kept in 16 bits; one of ``MOST`` may stand for more.
+MOST, UNBOUNDED = 65535, 1 << 48
 LEAF, FAN = 64, 8
 #: Orders in which blocks take neighbours; which one a block takes follows from its shingle.
 ORDERS = 8
@@ -55,12 +57,19 @@ def group_counts(shingles: np.ndarray) -> np.ndarray:
     groups = GROUPS
     while groups * DENSEST < len(shingles):
         groups *= 4
-    return np.bincount((mix(shingles) & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.uint16)
+    return np.bincount((mix(shingles) & np.uint64(groups - 1)).astype(np.int64), minlength=groups).clip(max=MOST).astype(np.uint16)
 
 
 def folded(counts: np.ndarray, groups: int) -> np.ndarray:
-    """The same counts over fewer groups."""
-    return counts.reshape(-1, groups).sum(axis=0, dtype=np.uint16)
+    """The same counts over fewer groups, ``MOST`` at most."""
+    return counts.reshape(-1, groups).sum(axis=0, dtype=np.int64).clip(max=MOST).astype(np.uint16)
+
+
+def most_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Upper bound of the common shingles from counts by group; without limit where a group is at ``MOST`` in both."""
+    least = np.minimum(a, b)
+    overlap = least.sum(axis=-1, dtype=np.int64)
+    return np.where((least == MOST).any(axis=-1), UNBOUNDED, overlap) if least.size and least.max() == MOST else overlap
 
 
 def may_link(overlap, a, b):
@@ -114,7 +123,7 @@ def neighbours(n: np.ndarray, points: np.ndarray, comp: np.ndarray, turn: int =
     """Pairs next to each other that the bound lets pass: by size, then counts, or by counts from another group on."""
     order = np.lexsort((*np.roll(points, turn * GROUPS // ORDERS, axis=1).T[::-1], n)[: None if turn == 0 else GROUPS])
     a, b = order[:-1], order[1:]
-    overlap = np.minimum(points[a], points[b]).sum(axis=1, dtype=np.int64)
+    overlap = most_common(points[a], points[b])
     good = may_link(np.minimum(overlap, np.minimum(n[a], n[b])), n[a], n[b]) & (comp[a] != comp[b])
     return a[good], b[good]
 
@@ -138,7 +147,7 @@ def tree_pairs(n: np.ndarray, points: np.ndarray, comp: np.ndarray, side: np.nda
         low, high, top = levels[level]
         if DENOMINATOR * high[i] < NUMERATOR * low[j] or DENOMINATOR * high[j] < NUMERATOR * low[i]:
             continue
-        if not may_link(int(np.minimum(top[i], top[j]).sum(dtype=np.int64)), int(low[i]), int(low[j])):
+        if not may_link(int(most_common(top[i], top[j])), int(low[i]), int(low[j])):
             continue
         if level:
             below = len(levels[level - 1][0])
@@ -154,7 +163,7 @@ def tree_pairs(n: np.ndarray, points: np.ndarray, comp: np.ndarray, side: np.nda
         x, y = np.nonzero(differ & may_link(np.minimum(n[a][:, None], n[b][None, :]), n[a][:, None], n[b][None, :]))
         a, b = a[x], b[y]
         if len(a):
-            good = may_link(np.minimum(points[a], points[b]).sum(axis=1, dtype=np.int64), n[a], n[b])
+            good = may_link(most_common(points[a], points[b]), n[a], n[b])
             found.append((a[good], b[good]))
     if not found:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
@@ -216,7 +225,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
             for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "counts_a", "counts_b"))):
                 p, q = np.frombuffer(x, dtype=np.uint16), np.frombuffer(y, dtype=np.uint16)
                 groups = min(len(p), len(q))
-                keep.append(bool(may_link(int(np.minimum(folded(p, groups), folded(q, groups)).sum(dtype=np.int64)), n, m)))
+                keep.append(bool(may_link(int(most_common(folded(p, groups), folded(q, groups))), n, m)))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -418,3 +418,14 @@ def test_tree_join_finds_all_pairs():
             bound = jaccard.may_link(min(int(np.minimum(points[i], points[j]).sum()), n[i], n[j]), n[i], n[j])
             assert ((i, j) in got) == bool(bound and comp[i] != comp[j])
             assert not jaccard.linked(sets[i], sets[j]) or bound
+
+
+def test_very_long_sets_are_not_dropped():
+    import numpy as np
+
+    every = np.arange(5_200_000, dtype=np.uint64)
+    sets = [every[:5_000_000], every[100_000:5_100_000], every[:2_000_000], every[:90]]
+    n = np.array([len(s) for s in sets])
+    points = np.stack([jaccard.folded(jaccard.group_counts(s), jaccard.GROUPS) for s in sets])
+    for a, b in (jaccard.tree_pairs(n, points, np.arange(4)), jaccard.neighbours(n, points, np.arange(4))):
+        assert {frozenset(p) for p in zip(a.tolist(), b.tolist())} == {frozenset((0, 1))}
