@@ -16,12 +16,17 @@ TRAINED = "assistant"
 _TURNS = "array<struct<turn:bigint,role:string,text:string>>"
 
 
+def unmarked(text: Column) -> Column:
+    """``text`` without a mark of the template: neither a role nor a text can end its turn or open another."""
+    return F.replace(text, F.lit(OPEN), F.lit("< |"))
+
+
 def head_of(turn: Column) -> Column:
-    return F.concat(F.lit(OPEN), turn["role"], F.lit(HEAD))
+    return F.concat(F.lit(OPEN), F.replace(unmarked(turn["role"]), F.lit("|>"), F.lit("| >")), F.lit(HEAD))
 
 
 def rendered(turn: Column) -> Column:
-    return F.concat(head_of(turn), F.replace(turn["text"], F.lit(OPEN), F.lit("< |")), F.lit(CLOSE))
+    return F.concat(head_of(turn), unmarked(turn["text"]), F.lit(CLOSE))
 
 
 def conversations(turns: DataFrame, key: str) -> DataFrame:
@@ -71,8 +76,11 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame, key: str) -> DataFr
 def swapped_answers(turns: DataFrame) -> DataFrame:
     """Turns of rejected conversations: each with its last answer exchanged for that of its partner.
 
-    Partners are the ids 2k and 2k + 1. A conversation without an answer, or whose partner has none, stays as it is.
+    Partners are the ids 2k and 2k + 1. A conversation without an answer, or whose partner has none, stays as it is, as
+    do rows with a null id, turn or role. Of several last answers with one number the greatest text is the partner's, and
+    each repeated row is exchanged; an empty table gives no rows; other columns are not read, whatever their names.
     """
+    turns = turns.select("conv_id", "turn", "role", "text")
     answers = turns.where((F.col("role") == TRAINED) & F.col("conv_id").isNotNull())
     last = answers.groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last"))
     swaps = last.select(F.col("conv_id").alias("own"), F.col("last.turn").alias("last_turn")).join(

@@ -2,11 +2,14 @@
 
 A mask names the places of a span whose words are hashed; the others may differ. Every place of every document
 and of every benchmark item is hashed with each mask, equal hashes are joined, and around each hit the item is
-laid over the document without gaps: enough equal words in some stretch make a leak.
+laid over the document without gaps: enough equal words in some stretch make a leak. The masks are such that every
+leak has a hit, whichever words were exchanged.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,11 +18,14 @@ from proofmill.llm.sharing import within
 
 #: Runs of letters, digits and characters beyond ASCII, of lower-cased text.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Fixed masks: places of a span of 7 words. A lone substitution every 4 words or more leaves one of them whole.
+#: Fixed masks: places of a span of at most 7 words. Any two exchanged words of 13 leave one of them whole somewhere.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 6), (0, 2, 3, 5, 6))
-SPAN = 7
+#: Masks that items of ``WHOLE`` to ``STRETCH`` - 1 words need besides, for every pattern that their threshold allows.
+MORE_MASKS = ((0, 1, 2, 4, 6), (0, 1, 2, 5, 6))
 #: A leak is a stretch of so many words, or a whole shorter item, of which this share is equal.
 STRETCH, SIMILARITY = 13, 0.8
+#: Items of fewer words have to stand unchanged; their mask is the whole item.
+WHOLE = 7
 #: Benchmark hashes that are broadcast at most; beyond that documents and hashes are shuffled.
 BROADCAST_SEEDS = 1 << 21
 
@@ -28,15 +34,25 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def seeds(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys``, (at, seed): a hash for each place of ``words`` and each mask. Rows with fewer words than a span have none."""
-    last = F.size("words") - SPAN
+def masks_for(size: int) -> tuple[tuple[int, ...], ...]:
+    """The masks of an item of ``size`` words."""
+    if size < WHOLE:
+        return (tuple(range(size)),)
+    return MASKS if size >= STRETCH else MASKS + MORE_MASKS
+
+
+def seeds(rows: DataFrame, keys: list[str], masks: tuple[tuple[int, ...], ...]) -> DataFrame:
+    """``keys``, (at, seed): a hash for each place of ``words`` and each mask that fits there."""
+    rows = rows.select(*keys, F.transform("words", lambda w: F.xxhash64(w)).alias("codes"))
+    last = F.size("codes") - 1 - min(mask[-1] for mask in masks)
     places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
-    def hashed(i: Column) -> Column:
-        return F.array(*(F.struct(i.alias("at"), F.xxhash64(F.lit(m), *(F.get("words", i + k) for k in mask)).alias("seed")) for m, mask in enumerate(MASKS)))
+    def hashed(i: Column, mask: tuple[int, ...]) -> Column:
+        seed = F.xxhash64(F.lit(",".join(map(str, mask))), *(F.get("codes", i + k) for k in mask))
+        return F.struct(i.alias("at"), F.when(i + mask[-1] < F.size("codes"), seed).alias("seed"))
 
-    return rows.select(*keys, F.explode(F.flatten(F.transform(places, hashed))).alias("s")).select(*keys, "s.at", "s.seed")
+    every = F.flatten(F.transform(places, lambda i: F.array(*(hashed(i, mask) for mask in masks))))
+    return rows.select(*keys, F.explode(every).alias("s")).select(*keys, "s.at", "s.seed").where(F.col("seed").isNotNull())
 
 
 def aligned(hits: DataFrame) -> DataFrame:
@@ -46,22 +62,29 @@ def aligned(hits: DataFrame) -> DataFrame:
     stretch = F.least(F.lit(STRETCH), F.col("n_words"))
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.col("n_words") - stretch + 1), lambda s: total(F.slice("equal", s, stretch))))
-    return rows.withColumns({"n_equal": total(F.col("equal")), "best": best, "needed": F.ceil(stretch * F.lit(SIMILARITY))})
+    return rows.withColumns({"n_equal": total(F.col("equal")), "best": best, "needed": F.when(F.col("n_words") < WHOLE, F.col("n_words")).otherwise(F.ceil(stretch * F.lit(SIMILARITY)))})
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, item_id, start, n_words, n_equal, similarity): for each document and item that it leaks the best place.
 
     ``start`` is the document's word, from 0, on which the item's first word falls (negative if the item's start
-    is missing). Items and texts of fewer than 7 words, nulls among them, leak nothing; rows equal in id and text
-    give one row; a null id is kept. Ties go to the earliest place. No item or no document: no rows.
+    is missing). Items without a word, nulls among them, leak nothing; items of fewer than 7 words have to stand
+    unchanged; rows equal in id and text give one row; a null id is kept. Ties go to the earliest place. No item or no
+    document: no rows.
     """
-    items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") >= SPAN).distinct()
-    index = seeds(items, ["item_id"]).distinct().select("item_id", F.col("at").alias("item_at"), "seed")
+    items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0).distinct()
+    kind = F.when(F.size("words") >= STRETCH, STRETCH).when(F.size("words") >= WHOLE, WHOLE).otherwise(F.size("words"))
+    kinds = sorted(r["kind"] for r in items.select(kind.alias("kind")).distinct().collect())
+    if not kinds:
+        return docs.select(F.col(id_col), *(F.lit(None).cast(t).alias(c) for c, t in (("item_id", benchmark.schema["item_id"].dataType), ("start", "long"), ("n_words", "long"), ("n_equal", "long"), ("similarity", "double")))).where("false")
+    used = tuple(dict.fromkeys(mask for k in kinds for mask in masks_for(k)))
+    index = reduce(DataFrame.unionAll, (seeds(items.where(kind == k), ["item_id"], masks_for(k)) for k in kinds))
+    index = index.distinct().select("item_id", F.col("at").alias("item_at"), "seed")
     few = index.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
     texts = docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
     keyed = lambda rows: rows.select("own", "hash", words_of(F.col("text")).alias("words"))
-    hits = seeds(keyed(texts), ["own", "hash"]).join(F.broadcast(index) if few else index, "seed")
+    hits = seeds(keyed(texts), ["own", "hash"], used).join(F.broadcast(index) if few else index, "seed")
     hits = hits.select(F.col("own").alias("hit_own"), F.col("hash").alias("hit_hash"), "item_id", (F.col("at") - F.col("item_at")).alias("start")).distinct()
     hits = scratch.materialize(hits, "hits")
     # Only texts with a hit are cut into words again and shuffled.
@@ -76,6 +99,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id leaks no item."""
-    leaking = find_leaks(docs, benchmark).select(F.col("doc_id").alias("leaking")).distinct()
-    return docs.join(leaking, F.col("doc_id").eqNullSafe(F.col("leaking")), "left_anti")
+    """The rows of ``docs`` whose doc_id leaks no item; all of their columns, whatever the names, and repeated rows stay."""
+    leaking = scratch.materialize(find_leaks(docs, benchmark).select(F.col("doc_id").alias("leaking")).distinct(), "leaking")
+    return docs.join(leaking, docs["doc_id"].eqNullSafe(leaking["leaking"]), "left_anti")

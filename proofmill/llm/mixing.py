@@ -102,24 +102,46 @@ def _rounded(rows: DataFrame, step: int) -> DataFrame:
     return rows.withColumn("last", F.col("buckets") == 1).groupBy("source", "bucket").applyInPandas(run, f"{_ROWS}, buckets bigint")
 
 
-def mix_sources(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING) -> DataFrame:
+def numbered(rows: DataFrame) -> DataFrame:
+    """Add ``nth``, which tells rows equal in (drawn, source, size) apart, to written rows with ``pid``, the task that wrote each.
+
+    Rows are counted by key and task first, so a group of copies of any size is numbered by as many tasks as wrote it.
+    """
+    key = ["drawn", "source", "size"]
+    counts = rows.groupBy(*key, "pid").agg(F.count("*").alias("many"))
+    before = F.coalesce(F.sum("many").over(Window.partitionBy(*key).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    repeated = counts.groupBy(*key).agg(F.sum("many").alias("all")).where(F.col("all") > 1)
+    same = lambda a, b: reduce(lambda x, y: x & y, (a[c].eqNullSafe(b[c]) for c in key))
+    offsets = counts.withColumn("before", before)
+    again = offsets.join(repeated.select(*key), same(offsets, repeated), "left_semi").select(*(F.col(c).alias(f"{c}_of") for c in [*key, "pid"]), "before")
+    is_again = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in [*key, "pid"]))
+    joined = rows.join(again, is_again, "left")
+    nth = F.row_number().over(Window.partitionBy(*key, "pid").orderBy("id")) - 1
+    single = joined.where(F.col("before").isNull()).withColumn("nth", F.lit(0).cast("long"))
+    several = joined.where(F.col("before").isNotNull()).withColumn("nth", F.col("before") + nth)
+    return single.unionByName(several).select("id", "drawn", "source", "size", "nth")
+
+
+def mix_sources(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING, draw_col: str | None = None) -> DataFrame:
     """(id, source, size, source_size, target, taken, copies), one row for each row of ``docs``.
 
     ``docs`` has ``id_col``, ``text`` and ``source``; other columns are ignored. Null text has size 0; documents of
-    size 0 are never copied; null sources are one source, last in order. Repeated rows are rounded apart from
-    each other; rows equal in id and size are interchangeable. An empty table gives no rows, and an empty
-    corpus targets of 0. The draws hash ``seed`` and the id, so reruns agree however the rows are partitioned.
+    size 0 are never copied; null sources are one source, last in order. Repeated rows, and rows with a null id, are
+    rounded apart from each other; rows equal in id, source and size are interchangeable. An empty table gives no rows,
+    and an empty corpus targets of 0. The draws hash ``seed``, ``draw_col`` (the id), the size and a number among equal
+    rows, so reruns agree however the rows are partitioned. The sources themselves, a row for each, are ordered in one task.
     """
     spark = docs.sparkSession
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    sizes = scratch.materialize(docs.select(F.col(id_col).cast("long").alias("id"), "source", size.alias("size")), "sizes")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(draw_col or id_col).cast("long").alias("drawn"), "source", size.alias("size"), F.spark_partition_id().alias("pid"))
+    sizes = scratch.materialize(rows, "sizes")
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     targets = scratch.materialize(source_targets(totals, weights, ceiling), "targets")
     of = targets.select(F.col("source").alias("its"), "source_size", "n_docs", "target")
     copies = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    draw = F.xxhash64(F.lit(seed), F.col("id"), F.col("size"))
+    draw = F.xxhash64(F.lit(seed), F.col("drawn"), F.col("size"), F.col("nth"))
     buckets = F.ceil(F.col("n_docs") / GROUP_ROWS)
-    spread = sizes.join(of, F.col("source").eqNullSafe(F.col("its"))).withColumns({"copies": copies, "draw": draw, "buckets": buckets})
+    spread = numbered(sizes).join(of, F.col("source").eqNullSafe(F.col("its"))).withColumns({"copies": copies, "draw": draw, "buckets": buckets})
     spread = spread.select(
         "id", "source", "size", F.floor("copies").alias("whole"), (F.col("copies") - F.floor("copies")).alias("part"),
         "draw", F.pmod(F.xxhash64("draw"), F.col("buckets")).alias("bucket"), "buckets",

@@ -76,7 +76,7 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n
 
 
 def preference_format() -> str:
-    turn = f"concat('{OPEN}', x.role, '|>', chr(10), replace(x.text, '{OPEN}', '< |'), '<|end|>', chr(10))"
+    turn = f"concat('{OPEN}', replace(replace(x.role, '{OPEN}', '< |'), '|>', '| >'), '|>', chr(10), replace(x.text, '{OPEN}', '< |'), '<|end|>', chr(10))"
     mask = f"""array_to_string(list_transform(list_filter(range(1, len({{c}}) + 1), lambda i: {{c}}[i].role = '{TRAINED}'), lambda i:
         concat(coalesce(list_sum(list_transform({{c}}[1 : i - 1], lambda x: length({turn}))), 0)::BIGINT + length({{c}}[i].role) + 5, ':',
                list_sum(list_transform({{c}}[1 : i], lambda x: length({turn})))::BIGINT)), ',')"""
@@ -101,10 +101,10 @@ def benchmark_leaks() -> str:
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '{LICENSE_WORD}') AS w FROM documents),
 b AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '{LICENSE_WORD}') AS w FROM benchmark),
 x AS (SELECT DISTINCT doc_id, p, w[p + 1] AS word FROM d, range(len(w)) AS r(p)),
-y AS (SELECT item_id, p, len(w) AS n, w[p + 1] AS word FROM b, range(len(w)) AS r(p) WHERE len(w) >= 7),
+y AS (SELECT item_id, p, len(w) AS n, w[p + 1] AS word FROM b, range(len(w)) AS r(p)),
 e AS (SELECT doc_id, item_id, x.p - y.p AS start, y.p AS p, any_value(n) AS n FROM x JOIN y USING (word) GROUP BY ALL),
 f AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, start ORDER BY p RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS k FROM e),
-g AS (SELECT doc_id, item_id, start, any_value(n) AS n, count(*) AS n_equal FROM f GROUP BY ALL HAVING max(k) >= ceil(0.8 * least(13, any_value(n))))
+g AS (SELECT doc_id, item_id, start, any_value(n) AS n, count(*) AS n_equal FROM f GROUP BY ALL HAVING max(k) >= CASE WHEN any_value(n) < 7 THEN any_value(n) ELSE ceil(0.8 * least(13, any_value(n))) END)
 SELECT doc_id, item_id, start::BIGINT AS start, n::BIGINT AS n_words, n_equal::BIGINT AS n_equal, n_equal / n AS similarity
 FROM g QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_equal DESC, start) = 1
 """

@@ -1,8 +1,9 @@
 """Quality scores by nearest-neighbour voting in a latent-semantic space.
 
-A bounded sample of labelled rows fits the space: hashed byte trigrams weighted by rarity and projected on their
-leading singular directions, joined by a few measures of style. The labelled vectors are broadcast; every
-document is compared with all of them by exact cosine, block by block, and the nearest vote with their labels.
+A bounded sample of labelled rows fits the space. Terms are hashed byte trigrams, trigrams of kinds of characters, and
+words that do or don't repeat the one before; a text's counts are taken at one length for all texts, weighted by
+rarity and projected on their leading singular directions. The labelled vectors are broadcast; every document is
+compared with all of them by exact cosine, block by block, and the nearest vote with their labels.
 """
 
 from __future__ import annotations
@@ -19,9 +20,15 @@ from pyspark.sql import functions as F
 
 #: Bound of the labelled sample; with it the bound of what is collected and broadcast: rows x TERMS x 4 bytes.
 MAX_LABELLED = 4000
-TERMS, LATENT, NEIGHBOURS, SHARPNESS = 2048, 48, 15, 12
-STYLE_WEIGHT, BLOCK_ROWS, PIECE = 0.6, 512, 1 << 20
+TRIGRAMS, KINDS, LATENT, NEIGHBOURS, SHARPNESS = 1024, 8, 24, 9, 12
+TERMS = TRIGRAMS + KINDS**3 + 2
+#: Counts are taken as if each text had so many terms.
+LENGTH = 3000
+BLOCK_ROWS, PIECE = 512, 1 << 20
 HELD_OUT_OF, THRESHOLD = 5, 0.3
+#: Kind of each byte: lower, upper, digit, space, line and tab, comma and full stop, other ASCII, beyond ASCII.
+_KIND = np.full(256, 6, dtype=np.uint32)
+_KIND[97:123], _KIND[65:91], _KIND[48:58], _KIND[32], _KIND[9:14], _KIND[[44, 46]], _KIND[128:] = 0, 1, 2, 3, 4, 5, 7
 
 
 @dataclass
@@ -30,66 +37,49 @@ class Model:
 
     rarity: np.ndarray
     directions: np.ndarray
-    style_mean: np.ndarray
-    style_scale: np.ndarray
     vectors: np.ndarray
     labels: np.ndarray
 
 
-def counts_of(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of hashed byte trigrams and of bytes, over the whole text, in pieces of bounded size."""
+def counts_of(text: str) -> np.ndarray:
+    """Counts of the terms of the whole text, in pieces of bounded size."""
     data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    grams, single = np.zeros(TERMS, dtype=np.float32), np.zeros(256, dtype=np.float64)
-    for at in range(0, len(data), PIECE):
+    counts = np.zeros(TERMS, dtype=np.float32)
+    for at in range(0, len(data) - 2, PIECE):
         b = data[at : at + PIECE + 2].astype(np.uint32)
-        single += np.bincount(b[:PIECE], minlength=256)
-        if len(b) > 2:
-            mixed = (b[:-2] * np.uint32(0x9E3779B1)) ^ (b[1:-1] * np.uint32(0x85EBCA77)) ^ (b[2:] * np.uint32(0xC2B2AE3D))
-            grams += np.bincount((mixed * np.uint32(0x27D4EB2F)) >> np.uint32(21), minlength=TERMS)
-    return grams, single
-
-
-def style_of(grams: np.ndarray, single: np.ndarray) -> list[float]:
-    """Shares of kinds of characters, the mean length of words, and how evenly trigrams are used."""
-    n = max(single.sum(), 1.0)
-    space = single[32] + single[9:14].sum()
-    total = max(float(grams.sum()), 1.0)
-    used = grams[grams > 0] / total
-    evenness = float(-(used * np.log(used)).sum() / np.log(min(total, TERMS) + 1.0)) if len(used) else 0.0
-    symbols = single[33:48].sum() + single[58:65].sum() + single[91:97].sum() + single[123:127].sum() - single[44] - single[46]
-    return [single[65:91].sum() / n, symbols / n, single[48:58].sum() / n, single[10] / n, single[128:].sum() / n, np.log1p(n / (space + 1.0)), evenness, (single[44] + single[46]) / n]
-
-
-def stutter(text: str) -> float:
-    """Share of words equal to the one before."""
+        mixed = (b[:-2] * np.uint32(0x9E3779B1)) ^ (b[1:-1] * np.uint32(0x85EBCA77)) ^ (b[2:] * np.uint32(0xC2B2AE3D))
+        counts[:TRIGRAMS] += np.bincount((mixed * np.uint32(0x27D4EB2F)) >> np.uint32(22), minlength=TRIGRAMS)
+        k = _KIND[b]
+        counts[TRIGRAMS:-2] += np.bincount((k[:-2] * KINDS + k[1:-1]) * KINDS + k[2:], minlength=KINDS**3)
     words = (text or "").split()
-    return sum(map(eq, words, islice(words, 1, None))) / max(len(words), 1)
+    counts[-2] = sum(map(eq, words, islice(words, 1, None)))
+    counts[-1] = len(words) - counts[-2]
+    return counts
 
 
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    grams, style = np.zeros((len(texts), TERMS), dtype=np.float32), np.zeros((len(texts), 9))
-    for i, text in enumerate(texts):
-        grams[i], single = counts_of(text)
-        style[i] = [*style_of(grams[i], single), stutter(text)]
-    return grams, style
+def features(texts: list[str]) -> np.ndarray:
+    return np.stack([counts_of(t) for t in texts]) if texts else np.empty((0, TERMS), dtype=np.float32)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def embed(model: Model, grams: np.ndarray, style: np.ndarray) -> np.ndarray:
-    latent = _unit(_unit(np.log1p(grams) * model.rarity) @ model.directions)
-    spread = np.clip((style - model.style_mean) / model.style_scale, -6, 6) / np.sqrt(style.shape[1])
-    return _unit(np.hstack([latent, STYLE_WEIGHT * spread])).astype(np.float32)
+def _weighted(rarity: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return _unit(np.log1p(counts * (LENGTH / np.maximum(counts.sum(axis=1, keepdims=True), 1))) * rarity)
 
 
-def fit(grams: np.ndarray, style: np.ndarray, labels: np.ndarray) -> Model:
-    rarity = np.log((1.0 + len(grams)) / (1.0 + (grams > 0).sum(axis=0))).astype(np.float32) + 1.0
-    weighted = _unit(np.log1p(grams) * rarity)
+def embed(model: Model, counts: np.ndarray) -> np.ndarray:
+    """Unit vectors of the latent space."""
+    return _unit(_weighted(model.rarity, counts) @ model.directions).astype(np.float32)
+
+
+def fit(counts: np.ndarray, labels: np.ndarray) -> Model:
+    rarity = np.log((1.0 + len(counts)) / (1.0 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(1.0)
+    weighted = _weighted(rarity, counts)
     _, directions = np.linalg.eigh((weighted.T @ weighted).astype(np.float64))
-    model = Model(rarity, directions[:, ::-1][:, :LATENT].astype(np.float32), style.mean(axis=0), style.std(axis=0) + 1e-6, np.empty(0), labels)
-    model.vectors = embed(model, grams, style)
+    model = Model(rarity, directions[:, ::-1][:, :LATENT].astype(np.float32), np.empty(0), labels)
+    model.vectors = embed(model, counts)
     return model
 
 
@@ -114,7 +104,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLE
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = known.groupBy("doc_id").agg(F.avg("quality").alias("label")).orderBy(F.xxhash64(F.col("doc_id"), F.lit(3)), "doc_id").limit(bound)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    # Of an id with several rows the text that comes first by its hash is the labelled one.
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    first = texts.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first"))
+    return first.select("doc_id", "label", "first.text")
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Model | None:
@@ -122,16 +115,13 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Mode
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            grams, style = features(batch["text"].tolist())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "grams": [g.tobytes() for g in grams], "style": [s.tobytes() for s in style]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "counts": [c.tobytes() for c in features(batch["text"].tolist())]})
 
-    rows = labelled_sample(docs, labels, bound).mapInPandas(run, "doc_id bigint, label double, grams binary, style binary").collect()
+    rows = labelled_sample(docs, labels, bound).mapInPandas(run, "doc_id bigint, label double, counts binary").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: r["doc_id"])
-    grams = np.vstack([np.frombuffer(r["grams"], dtype=np.float32) for r in rows])
-    style = np.vstack([np.frombuffer(r["style"], dtype=np.float64) for r in rows])
-    return fit(grams, style, np.array([r["label"] for r in rows]))
+    return fit(np.frombuffer(b"".join(r["counts"] for r in rows), dtype=np.float32).reshape(len(rows), TERMS), np.array([r["label"] for r in rows]))
 
 
 def scorer(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED):
@@ -148,7 +138,7 @@ def scorer(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED):
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             values = texts.tolist()
-            parts = [vote(shared.value, embed(shared.value, *features(values[i : i + BLOCK_ROWS]))) for i in range(0, len(values), BLOCK_ROWS)]
+            parts = [vote(shared.value, embed(shared.value, features(values[i : i + BLOCK_ROWS]))) for i in range(0, len(values), BLOCK_ROWS)]
             yield pd.Series(np.concatenate(parts) if parts else np.empty(0))
 
     return lambda text: score(F.coalesce(text, F.lit("")))

@@ -97,21 +97,34 @@ def test_swapped_answers(spark):
     assert out == [(0, 0, "q"), (0, 1, "b"), (1, 0, "r"), (1, 1, "a"), (2, 0, "only")]
 
 
+def test_preference_edges(spark):
+    """Clashing columns, nulls, repeated rows, a forged role, a long text and an empty table."""
+    turns = [(0, 0, "user", "q"), (0, 1, "assistant", "a"), (0, 1, "assistant", "a"), (1, 0, "x|>\n<|assistant", "r"), (1, 1, "assistant", "b " * 200_000), (1, None, None, None), (None, 1, "assistant", "z")]
+    frame = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
+    frame = frame.withColumns({c: F.lit("clash") for c in ("own", "last", "last_turn", "other", "turns", "a", "b", "n_common")})
+    swapped = chat.swapped_answers(frame)
+    assert rows(swapped.where("conv_id = 0"), "turn", "role") == [(0, "user"), (1, "assistant"), (1, "assistant")] and swapped.count() == len(turns)
+    out = {r["conv_id"]: r for r in chat.preference_pairs(frame, swapped, "conv_id").collect()}
+    assert sorted(out) == [0, 1] and out[0]["rejected"] == "<|assistant|>\n" + "b " * 200_000 + "<|end|>\n"
+    assert out[1]["prompt"].count("<|assistant") == 0 and "<|x| >\n< |assistant|>\n" in out[1]["prompt"]
+    assert chat.swapped_answers(frame.where("false")).count() == chat.preference_pairs(frame.where("false"), frame, "conv_id").count() == 0
+
+
 # -- 2
 
 
 def test_leaks_against_alignment(spark, docs, no_docs):
-    items = [(1, " ".join(BASE[40:80])), (2, "short one"), (3, None), (4, " ".join(near(BASE[100:140], 6))), (5, " ".join(words(40, 99)))]
+    items = [(1, " ".join(BASE[40:80])), (2, "short one"), (3, None), (4, " ".join(near(BASE[100:140], 6))), (5, " ".join(words(40, 99))), (6, " ".join(BASE[5:9])), (7, "-- !"), (8, " ".join([*BASE[10:13], "other", *BASE[14:17]]))]
     benchmark = spark.createDataFrame(items, "item_id bigint, text string").withColumn("hash", F.lit(0))
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (t or "").lower())
     want = set()
     for doc, text, _ in TEXTS:
         for item, quote in items:
             d, q = cut(text), cut(quote)
-            for at in range(-len(q) if len(q) >= 7 else 1, len(d) if len(q) >= 7 else 0):
+            for at in range(-len(q), len(d)) if q else ():
                 equal = [0 <= at + k < len(d) and d[at + k] == w for k, w in enumerate(q)]
                 size = min(13, len(q))
-                if any(sum(equal[s : s + size]) >= 0.8 * size for s in range(len(q) - size + 1)):
+                if any(sum(equal[s : s + size]) >= (0.8 * size if len(q) >= 7 else size) for s in range(len(q) - size + 1)):
                     want.add((doc, item))
     got = decontaminate.find_leaks(docs, benchmark)
     assert set(rows(got, "doc_id", "item_id")) == want and got.count() == len(want)
@@ -120,6 +133,17 @@ def test_leaks_against_alignment(spark, docs, no_docs):
     assert {r["doc_id"] for r in decontaminate.without_leaks(docs, benchmark).collect()} == {d for d, *_ in TEXTS} - {d for d, _ in want}
 
 
+@pytest.mark.parametrize("size", range(1, 16))
+def test_masks_cover_every_allowed_exchange(size):
+    """For each set of exchanged words that still leaks, some mask has a place where no exchanged word is."""
+    from itertools import combinations
+
+    stretch = min(size, decontaminate.STRETCH)
+    most = 0 if size < decontaminate.WHOLE else stretch - -(-stretch * 4 // 5)
+    for missing in combinations(range(stretch), most):
+        assert any(not {at + k for k in mask} & set(missing) for mask in decontaminate.masks_for(size) for at in range(stretch - mask[-1])), missing
+
+
 # -- 3
 
 
@@ -144,6 +168,32 @@ def test_quality_votes(spark, docs, no_docs):
     assert {r["score"] for r in quality.score_quality(train, labels.where("quality > 5")).collect()} == {0.5}
 
 
+def test_quality_scores_are_plain_votes_of_cosines(spark):
+    """Scores recomputed one by one: plain counts, cosine with every labelled vector, the nearest weighted by similarity."""
+    import math
+
+    import numpy as np
+
+    texts = [(i, " ".join(words(60, i)) + (" zz zz zz !!" * 9 if i % 4 == 0 else ".")) for i in range(80)] + [(80, None), (81, ""), (82, "ab")]
+    frame = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(80)], "doc_id bigint, quality int")
+    model = quality.train(frame, labels)
+    scored = {r["doc_id"]: (r["score"], r["held_out"]) for r in quality.score_quality(frame, labels).collect()}
+    assert len(model.labels) == sum(not scored[i][1] for i in range(80))
+    for i, text in texts:
+        counts = quality.counts_of(text or "")
+        w = (text or "").split()
+        assert counts[-2] == sum(a == b for a, b in zip(w, w[1:])) and counts[:-2].sum() == 2 * max(len((text or "").encode()) - 2, 0)
+        vector = quality.embed(model, counts[None, :])[0]
+        near = sorted(((sum(float(a) * float(b) for a, b in zip(vector, v)), label) for v, label in zip(model.vectors, model.labels)), reverse=True)
+        assert all(abs(math.sqrt(float(v @ v)) - 1) < 1e-3 for v in model.vectors)
+        top = [(max(c, 1e-6) ** quality.SHARPNESS, label) for c, label in near[: quality.NEIGHBOURS]]
+        tied = near[quality.NEIGHBOURS - 1][0] - near[quality.NEIGHBOURS][0] < 1e-5
+        assert tied or abs(scored[i][0] - sum(c * label for c, label in top) / sum(c for c, _ in top)) < 1e-4
+    again = quality.train(frame.unionAll(frame).unionAll(spark.createDataFrame([(1, "other text")], frame.schema)), labels)
+    assert np.array_equal(again.labels, model.labels)
+
+
 # -- 4
 
 
@@ -213,7 +263,7 @@ def test_secret_spans(spark, docs, no_docs):
     assert secrets.find_secrets(no_docs).count() == 0
 
 
-@pytest.mark.parametrize(("size", "recall"), [(20, 0.6), (24, 0.7), (32, 0.85), (40, 0.88)])
+@pytest.mark.parametrize(("size", "recall"), [(20, 0.5), (24, 0.7), (32, 0.85), (40, 0.88)])
 def test_short_random_tokens_among_ordinary_ones(spark, size, recall):
     r = random.Random(size)
     letters = secrets.ALPHABETS["base64"][:64]
@@ -227,6 +277,52 @@ def test_short_random_tokens_among_ordinary_ones(spark, size, recall):
     assert len(found) - right <= 0.1 * len(found)
 
 
+def plain_step(token):
+    """Length class and step of a token by plain sums: three tests, one weighted sum of normal scores, an exact tail."""
+    import math
+    from statistics import NormalDist
+
+    letters = next((a for a in secrets.ALPHABETS.values() if not set(token) - set(a)), None)
+    name = next(k for k, a in secrets.ALPHABETS.items() if a == letters)
+    n, k, v = len(token), len(letters), [letters.index(c) for c in token]
+    cls = sum(n >= at for at in secrets.LENGTHS)
+    uneven, spread = secrets.ORDINARY[name][cls]
+    chi = sum((token.count(c) - n / k) ** 2 / (n / k) for c in letters)
+    even = (k - 1 + n * uneven - chi) / (spread * math.sqrt(2 * (k - 1) + 4 * n * uneven))
+    high = [2 * x >= k for x in v]
+    runs, up = 1 + sum(a != b for a, b in zip(high, high[1:])), sum(high)
+    mean = 1 + 2 * up * (n - up) / n
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    p_runs = math.erfc(abs(runs - mean) / math.sqrt(2 * var)) if var > 0 else 0.0
+    m = sum(v) / n
+    about = sum((x - m) ** 2 for x in v)
+    serial = sum((a - m) * (b - m) for a, b in zip(v, v[1:] + v[:1])) / about if about else 1.0
+    p_serial = math.erfc(abs(serial + 1 / (n - 1)) * math.sqrt(n / 2))
+    if min(p_runs, p_serial) < secrets.REJECT:
+        return cls, 0.0
+    score = lambda p: NormalDist().inv_cdf(min(max(p, 1e-6), 1 - 1e-6))
+    w = secrets.WEIGHTS
+    z = (w[0] * even + w[1] * score(p_runs) + w[2] * score(p_serial)) / math.sqrt(sum(x * x for x in w))
+    return cls, -secrets.STEPS * math.log10(max(0.5 * math.erfc(z / math.sqrt(2)), 1e-20))
+
+
+def test_battery_and_control_against_plain_sums(spark):
+    r = random.Random(17)
+    tokens_ = ["".join(r.choice(a) for _ in range(n)) for a in secrets.ALPHABETS.values() for n in (20, 23, 31, 48, 90, 200)]
+    tokens_ += [t[: len(t) // 2] + "a" * (len(t) - len(t) // 2) for t in tokens_[:20]] + ["0123456789" * 3, "abcdefgh" * 4, "user_name_of_the_file_path_index", "z" * 40]
+    frame = spark.createDataFrame([(i, f"see {t} end") for i, t in enumerate(tokens_)], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["t"]["length_class"], r["t"]["step"]) for r in frame.select("doc_id", secrets.tested(secrets.placed(F.col("text"), secrets.TOKEN))[0].alias("t")).collect()}
+    for i, token in enumerate(tokens_):
+        cls, step = plain_step(token)
+        assert got[i][0] == cls and abs(got[i][1] - max(0, min(int(step), secrets.MOST_STEPS))) <= max(1, 0.02 * step), (token, got[i], step)
+    # Benjamini-Hochberg by class: the most tokens whose largest p is within their share.
+    least = secrets.least_steps(secrets.scan(frame).sparkSession.createDataFrame([([dict(start=0, stop=1, length_class=c, step=s)],) for c, s in got.values()], "tokens array<struct<start:bigint,stop:bigint,length_class:int,step:int>>"))
+    for cls in {c for c, _ in got.values()}:
+        steps = sorted((s for c, s in got.values() if c == cls), reverse=True)
+        passing = [k for k in range(1, len(steps) + 1) if 10 ** (-steps[k - 1] / secrets.STEPS) <= secrets.FALSE_SHARE * k / len(steps)]
+        assert least.get(cls) == (steps[max(passing) - 1] if passing else None)
+
+
 def test_redaction(spark):
     frame = spark.createDataFrame(SECRETS, "doc_id bigint, text string")
     scanned = secrets.scan(frame, keep=("doc_id", "text"))
@@ -323,6 +419,19 @@ def test_mix_targets_and_rounding(spark, docs, no_docs, monkeypatch):
     assert mixing.mix_sources(no_docs).count() == 0
 
 
+def test_mix_rounds_copies_and_null_ids_apart(spark, monkeypatch):
+    """Many equal rows get close to their expected copies together, and land in more than one group."""
+    monkeypatch.setattr(mixing, "GROUP_ROWS", 50)
+    rows_ = [(7, "a b c", "p")] * 400 + [(None, "a b", "p")] * 400 + [(1000 + i, "x " * (i % 9), "q") for i in range(300)]
+    out = mixing.mix_sources(spark.createDataFrame(rows_, "doc_id bigint, text string, source string").repartition(6)).collect()
+    assert len(out) == len(rows_)
+    for key in (7, None):
+        mine = [r for r in out if r["doc_id"] == key]
+        each = mine[0]["target"] / mine[0]["source_size"]
+        assert len(mine) == 400 and {r["copies"] for r in mine} <= {int(each), int(each) + 1}
+        assert abs(sum(r["copies"] for r in mine) - 400 * each) < 0.15 * 400
+
+
 def test_pivotal_round_keeps_words_and_expectation():
     r = random.Random(1)
     sizes, parts = [r.randint(1, 9) for _ in range(40)], [r.choice([0.25, 0.5, 0.9]) for _ in range(40)]
