@@ -420,8 +420,10 @@ def placed(rows: DataFrame, comp: DataFrame | None, part_rows: int) -> DataFrame
     else:
         rows = rows.join(comp.select(F.col("id").alias("rep"), F.col("component").alias("found")), "rep", "left")
         rows = rows.withColumn("comp", F.coalesce("found", "rep")).drop("found")
-    # At most one block in ``part_rows`` rows is heavy; Spark broadcasts the tables of them if they are small.
-    heavy = rows.groupBy("h").agg(F.count("*").alias("many")).where(F.col("many") > part_rows)
+    # At most one block in ``part_rows`` rows is heavy.
+    heavy = scratch.materialize(rows.groupBy("h").agg(F.count("*").alias("many")).where(F.col("many") > part_rows), "heavy")
+    few = F.broadcast if heavy.count() <= BROADCAST_ROWS else lambda x: x
+    heavy = few(heavy)
     salt = lambda n: F.pmod(F.xxhash64("rep"), F.ceil(n / part_rows))
     if comp is None:
         cut = rows.join(heavy, "h", "left").withColumn("part", F.coalesce(salt(F.col("many")), F.lit(0)))
@@ -442,7 +444,7 @@ def placed(rows: DataFrame, comp: DataFrame | None, part_rows: int) -> DataFrame
         foreign = lambda p: F.col("mine.mixed") | (p < F.col("before")) | (p >= F.col("before") + F.col("mine.parts"))
         return x.withColumn("meet", F.filter(F.sequence(F.lit(0).cast("long"), F.col("last")), foreign))
 
-    cut = placing(rows.join(blocks, "h", "left"))
+    cut = placing(rows.join(few(blocks), "h", "left"))
     cut = cut.withColumns({"part": F.coalesce("part", F.lit(0)), "meet": F.when(F.col("ranges").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.col("meet"))})
     pair = F.transform("meet", lambda p: F.struct(F.least(p, F.col("part")).alias("i"), F.greatest(p, F.col("part")).alias("j")))
     return cut.select("h", "n", "rep", "left", "point", "comp", "part", F.explode(pair).alias("p")).select("*", "p.i", "p.j").drop("p")
