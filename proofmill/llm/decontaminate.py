@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from proofmill.llm import scratch
 from proofmill.llm.sharing import within
+from proofmill.llm.words import split_words
 
-#: Runs of letters, digits and characters beyond ASCII, of lower-cased text.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What lies between words: runs of letters, digits and characters beyond ASCII, of lower-cased text.
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Fixed masks: places of a span of at most 7 words. Any two exchanged words of 13 leave one of them whole somewhere.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 6), (0, 2, 3, 5, 6))
 #: Masks that items of ``WHOLE`` to ``STRETCH`` - 1 words need besides, for every pattern that their threshold allows.
@@ -31,7 +32,7 @@ BROADCAST_SEEDS = 1 << 21
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return split_words(F.lower(F.coalesce(text, F.lit(""))), GAP)
 
 
 def masks_for(size: int) -> tuple[tuple[int, ...], ...]:

@@ -1,10 +1,11 @@
 """License scans: phrases by place, and an exact set-similarity join of text blocks with notice templates.
 
-A block is a line of a document, or the words around a line break within a paragraph, as many on either side as
-the longest template has, so that a notice wrapped over any number of lines stands in one. A template is found in a block if the block holds at least ``CONTAINED`` of the
-template's distinct words. Words are ordered by how many blocks of the corpus have them, rare ones first; a
-block can only qualify if one of its first |B| - t + 1 words is one of the template's first |T| - t + 1, where t
-is the overlap asked for. Length, prefix and position filters drop the rest, and the overlap decides.
+A block is a window of a paragraph's words: twice as many as the longest template of its class has, beginning at
+every multiple of that number, so a notice stands whole in some block however its lines are wrapped. A template is
+found in a block if the block holds at least ``CONTAINED`` of the template's distinct words. Words are ordered by how
+many blocks of the corpus have them, rare ones first; a block can only qualify if one of its first |B| - t + 1 words is
+one of the template's first |T| - t + 1, where t is the overlap asked for. Length, prefix and position filters drop
+the rest, and the overlap decides.
 """
 
 from __future__ import annotations
@@ -14,8 +15,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words before lower-casing: runs of letters, digits and characters beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+from proofmill.llm.words import split_words
+
+#: What lies between words: runs of letters, digits and characters beyond ASCII.
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What lies between paragraphs: lines without a word.
+PARAGRAPH = r"\n[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\n"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Phrases and their labels.
 PHRASES = (("mit", ("mit", "license")), ("apache", ("apache", "license")), ("gpl", ("general", "public", "license")))
@@ -32,80 +37,73 @@ TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("mpl", "subject to the terms of the mozilla public license v 2 0"),
 )
+#: Widely used notices in full, by label.
+NOTICES = (
+    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
+)
 CONTAINED = 0.9
-#: A character of no word, and what lies between paragraphs: lines without a word.
-OTHER = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-PARAGRAPH = rf"\n{OTHER}*\n"
-#: Words taken on either side of a line break.
-REACH = max(len(text.split()) for _, text in TEMPLATES)
+#: Templates by class: opening words are looked for in small blocks, whole notices in large ones.
+CLASSES = (TEMPLATES, NOTICES)
+REACH = tuple(max(len(text.split()) for _, text in templates) for templates in CLASSES)
 
 
-def _sets() -> list[tuple[int, str, list[str], int]]:
-    """(number, label, distinct words, overlap asked for) of each template."""
-    words = [sorted(set(text.split())) for _, text in TEMPLATES]
-    return [(i, label, w, math.ceil(CONTAINED * len(w))) for i, ((label, _), w) in enumerate(zip(TEMPLATES, words, strict=True))]
+def _sets() -> list[tuple[int, int, str, list[str], int]]:
+    """(number, class, label, distinct words, overlap asked for) of each template."""
+    every = [(k, label, sorted(set(text.split()))) for k, templates in enumerate(CLASSES) for label, text in templates]
+    return [(i, k, label, w, math.ceil(CONTAINED * len(w))) for i, (k, label, w) in enumerate(every)]
 
 
 def _lowered(word: Column) -> Column:
     return F.translate(word, UPPER, LOWER)
 
 
-def _texts(names: list[str]) -> Column:
-    return F.array(*map(F.lit, names))
+def _blocks(docs: DataFrame) -> DataFrame:
+    """(key, cls, rel): for each block the words that a template of its class has, each once."""
+    parts = docs.select("key", F.explode(F.split(F.lower("text"), PARAGRAPH)).alias("part")).select("key", split_words(F.col("part"), GAP).alias("words"))
 
+    def windows(k: int) -> Column:
+        vocabulary = sorted({w for _, cls, _, words, _ in _sets() if cls == k for w in words})
+        starts = F.sequence(F.lit(0), F.greatest(F.size("words") - REACH[k] - 1, F.lit(0)), F.lit(REACH[k]))
+        rel = lambda s: F.array_distinct(F.filter(F.slice("words", s + 1, F.lit(2 * REACH[k])), lambda w: w.isin(vocabulary)))
+        return F.transform(starts, lambda s: F.struct(F.lit(k).alias("cls"), rel(s).alias("rel")))
 
-def _blocks(docs: DataFrame) -> DataFrame:
-    """(key, rel): for each line long enough for the shortest overlap the words that any template has, each once."""
-    vocabulary = sorted({w for _, _, words, _ in _sets() for w in words})
-    lines = docs.select("key", F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") >= 2 * min(t for *_, t in _sets()) - 1)
-    words = F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0))
-    return lines.select("key", F.array_intersect(words, _texts(vocabulary)).alias("rel"))
-
-
-def _wrapped(docs: DataFrame) -> DataFrame:
-    """(key, rel): for each line break of a paragraph the words around it that any template has, each once."""
-    vocabulary = _texts(sorted({w for _, _, words, _ in _sets() for w in words}))
-    least = min(t for *_, t in _sets())
-    parts = docs.select("key", F.explode(F.split(F.lower("text"), PARAGRAPH)).alias("part")).where(F.contains("part", F.lit("\n")))
-    words = parts.select("key", "part", F.regexp_extract_all("part", F.lit(WORD), F.lit(0)).alias("words"))
-    words = words.where(F.size(F.array_intersect("words", vocabulary)) >= least)
-    counts = F.transform(F.split("part", "\n"), lambda line: F.regexp_count(line, F.lit(WORD)))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    breaks = F.aggregate(counts, first, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"] + n)).alias("out")))["out"]
-    breaks = words.select("key", "words", F.explode(F.array_distinct(breaks)).alias("at")).where((F.col("at") > 0) & (F.col("at") < F.size("words")))
-    around = F.slice("words", F.greatest(F.col("at") - REACH, F.lit(0)) + 1, F.least(F.col("at"), F.lit(REACH)) + REACH)
-    return breaks.select("key", F.array_intersect(around, vocabulary).alias("rel"))
+    least = F.lit(min(t for *_, t in _sets()))
+    every = parts.where(F.size("words") >= least).select("key", F.explode(F.concat(*(windows(k) for k in range(len(CLASSES))))).alias("b"))
+    return every.select("key", "b.cls", "b.rel").where(F.size("rel") >= least)
 
 
 def word_order(blocks: DataFrame) -> list[str]:
     """Template words by number of blocks, rare ones first; at most the vocabulary of the templates reaches the driver."""
     counts = {r["word"]: r["n"] for r in blocks.select(F.explode("rel").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
-    return sorted({w for _, _, words, _ in _sets() for w in words}, key=lambda w: (counts.get(w, 0), w))
+    return sorted({w for *_, words, _ in _sets() for w in words}, key=lambda w: (counts.get(w, 0), w))
 
 
 def contained_templates(docs: DataFrame) -> DataFrame:
     """(key, label, share) of rows (key, text): each template found in a block of the document ``key``, with the best share."""
-    spark = docs.sparkSession
-    order = word_order(_blocks(docs))
+    spark, every = docs.sparkSession, _blocks(docs)
+    order = word_order(every)
     rank = {w: i for i, w in enumerate(order)}
-    least = min(t for *_, t in _sets())
     prefixes = [
-        (number, label, rank[word], place, len(words), t, sorted(rank[w] for w in words))
-        for number, label, words, t in _sets()
+        (number, cls, label, rank[word], place, len(words), t, sorted(rank[w] for w in words))
+        for number, cls, label, words, t in _sets()
         for place, word in enumerate(sorted(words, key=rank.get)[: len(words) - t + 1])
     ]
     # One row for each prefix word of each template, so of fixed size.
-    index = spark.createDataFrame(prefixes, "template int, label string, token int, place int, length int, needed int, tokens array<int>")
-    # The prefix filter on whole texts: a text without any prefix word needs no blocks.
-    any_prefix = rf"(?i)(?:^|{OTHER})(?:{'|'.join(sorted({order[p[2]] for p in prefixes}))})(?:{OTHER}|$)"
-    some = docs.where(F.regexp_like("text", F.lit(any_prefix)))
-    blocks = _blocks(some).unionAll(_wrapped(some))
-    ranks = F.create_map(*(F.lit(v) for pair in rank.items() for v in pair))
-    ranked = blocks.where(F.size("rel") >= least).select("key", F.array_sort(F.transform("rel", lambda w: F.element_at(ranks, w))).alias("rel"))
+    index = spark.createDataFrame(prefixes, "template int, of_class int, label string, token int, place int, length int, needed int, tokens array<int>")
+    # The prefix filter, first without ranks: a block has to hold a prefix word of some template.
+    some = every.where(F.exists("rel", lambda w: w.isin(sorted({order[p[3]] for p in prefixes}))))
+    ranked = some.select("key", "cls", F.array_sort(F.transform("rel", lambda w: F.array_position(F.array(*map(F.lit, order)), w).cast("int") - 1)).alias("rel"))
+    least = F.element_at(F.array(*(F.lit(min(t for _, cls, *_, t in _sets() if cls == k)) for k in range(len(CLASSES)))), F.col("cls") + 1)
     ranked = ranked.where(F.size("rel") >= least)
-    probes = ranked.select("key", "rel", F.posexplode(F.slice("rel", F.lit(1), F.size("rel") - least + 1)).alias("at", "token"))
+    probes = ranked.select("key", "cls", "rel", F.posexplode(F.slice("rel", F.lit(1), F.size("rel") - least + 1)).alias("at", "token"))
     joined = probes.join(F.broadcast(index), "token").where(
-        (F.size("rel") >= F.col("needed"))
+        (F.col("cls") == F.col("of_class"))
+        & (F.size("rel") >= F.col("needed"))
         & (F.col("at") <= F.size("rel") - F.col("needed"))
         & (F.least(F.col("length") - F.col("place"), F.size("rel") - F.col("at")) >= F.col("needed"))
     )
@@ -136,11 +134,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("key", F.struct("id", F.xxhash64("text").alias("hash")))
-    # Every phrase has this word, so other texts need no array of words. The array is a column of its own: inside the
-    # lambdas below it would be made anew at each place.
-    words = F.transform(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), _lowered)
-    words = F.when(F.regexp_like("text", F.lit("(?i)license")), words).otherwise(F.array().cast("array<string>"))
-    base = keyed.select("key", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), words.alias("words"))
+    base = keyed.select("key", split_words(F.col("text"), GAP).alias("cut"), F.regexp_like("text", F.lit("(?i)license")).alias("some"))
+    # Every phrase has this word, so other texts need no array of lower-cased words. The array is a column of its own:
+    # inside the lambdas below it would be made anew at each place.
+    words = F.when(F.col("some"), F.transform("cut", _lowered)).otherwise(F.array().cast("array<string>"))
+    base = base.select("key", F.size("cut").cast("long").alias("n_words"), words.alias("words"))
     base = base.select("key", "n_words", *(_places(F.col("words"), phrase).alias(label) for label, phrase in PHRASES))
     own = F.array_sort(F.array_compact(F.array(*(F.when(F.size(label) > 0, F.lit(label)) for label, _ in PHRASES))))
     base = base.select("key", "n_words", F.concat(*(label for label, _ in PHRASES)).alias("every"), own.alias("own"))

@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofmill.llm import scratch
+from proofmill.llm.words import split_words
 
 WEIGHTS = (5, 2, 1)
 CEILING = 3
-WORD = r"[^\x20\x09-\x0D]+"
+GAP = r"[\x20\x09-\x0D]+"
 #: Documents of one source that one group rounds, on average, and groups whose residuals meet in one.
 GROUP_ROWS, FAN_IN = 4096, 64
 _ROWS = "id bigint, source string, size bigint, whole bigint, part double, draw bigint, bucket bigint, done boolean"
@@ -132,7 +133,7 @@ def mix_sources(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", weights:
     rows, so reruns agree however the rows are partitioned. The sources themselves, a row for each, are ordered in one task.
     """
     spark = docs.sparkSession
-    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
+    size = F.size(split_words(F.coalesce(F.col("text"), F.lit("")), GAP)).cast("long")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(draw_col or id_col).cast("long").alias("drawn"), "source", size.alias("size"), F.spark_partition_id().alias("pid"))
     sizes = scratch.materialize(rows, "sizes")
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from proofmill.llm.chat import OPEN, TRAINED
-from proofmill.llm.licenses import CONTAINED, PHRASES, TEMPLATES
-from proofmill.llm.licenses import WORD as LICENSE_WORD
+from proofmill.llm.licenses import CLASSES, CONTAINED, PARAGRAPH, PHRASES, REACH
 from proofmill.llm.vectors import LEAST_COSINE
 
+#: Runs of letters, digits and characters beyond ASCII.
+LICENSE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -14,15 +15,16 @@ def license_scan() -> str:
     places = " UNION ALL ".join(
         f"SELECT rid, '{label}' AS label, i FROM w, range(len(ws)) AS r(i) WHERE " + " AND ".join(f"ws[i + {k + 1}] = '{word}'" for k, word in enumerate(phrase)) for label, phrase in PHRASES
     )
-    templates = ", ".join(f"('{label}', list_distinct(string_split('{text}', ' ')))" for label, text in TEMPLATES)
+    templates = ", ".join(f"({k}, '{label}', list_distinct(string_split('{text}', ' ')))" for k, texts in enumerate(CLASSES) for label, text in texts)
+    blocks = " UNION ALL ".join(f"SELECT rid, {k} AS cls, list_distinct(ws[s + 1 : s + {2 * r}]) AS rel FROM g, range(0, greatest(len(ws) - {r}, 1), {r}) AS r(s)" for k, r in enumerate(REACH))
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, doc_id, list_transform(regexp_extract_all(text, '{LICENSE_WORD}'), lambda x: translate(x, '{_UPPER}', '{_LOWER}')) AS ws FROM d),
 p AS ({places}),
-t(label, words) AS (VALUES {templates}),
-b AS (SELECT rid, list_distinct(regexp_extract_all(lower(line), '{LICENSE_WORD}')) AS rel
-      FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d)),
-m AS (SELECT rid, label, max(len(list_intersect(rel, words)) / len(words)) AS share FROM b, t
+t(cls, label, words) AS (VALUES {templates}),
+g AS (SELECT rid, regexp_extract_all(part, '{LICENSE_WORD}') AS ws FROM (SELECT rid, unnest(string_split_regex(lower(text), '{PARAGRAPH}')) AS part FROM d)),
+b AS ({blocks}),
+m AS (SELECT rid, label, max(len(list_intersect(rel, words)) / len(words)) AS share FROM b JOIN t USING (cls)
       WHERE len(list_intersect(rel, words)) >= ceil({CONTAINED} * len(words)) GROUP BY rid, label),
 pp AS (SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY rid),
 l AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM p UNION SELECT rid, label FROM m) GROUP BY rid),

@@ -10,6 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -96,3 +98,11 @@ def grams(codes: np.ndarray, length: int, salt: int = 0) -> np.ndarray:
         factor = factor * 0xD6E8FEB86659FD93 % (1 << 64)
         total += codes[k : k + n] * np.uint64(factor)
     return mix(total)
+
+
+def split_words(text: Column, between: str) -> Column:
+    """The words of ``text`` in order, as what lies between matches of ``between``, which must take whole gaps.
+
+    Splitting reads a text once. Extracting matches copies the whole text for each of them.
+    """
+    return F.array_remove(F.split(text, between, -1), "")

@@ -337,26 +337,38 @@ def test_redaction(spark):
 # -- 6
 
 
-def test_license_places_and_templates(docs, no_docs):
-    cut = lambda t: [w.translate(str.maketrans(licenses.UPPER, licenses.LOWER)) for w in re.findall(licenses.WORD, t)]
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def license_rows(texts):
+    cut = lambda t: [w.translate(str.maketrans(licenses.UPPER, licenses.LOWER)) for w in re.findall(WORD, t)]
     want = []
-    for doc, text, _ in TEXTS:
+    for doc, text in texts:
         w, places, labels, share = cut(text or ""), [], set(), 0.0
         for label, phrase in licenses.PHRASES:
             here = [i for i in range(len(w)) if tuple(w[i : i + len(phrase)]) == phrase]
             places += here
             labels |= {label} if here else set()
         base = ",".join(sorted(labels))
-        for line in (text or "").split("\n"):
-            for label, template in licenses.TEMPLATES:
-                t = set(template.split())
-                part = len(t & set(cut(line))) / len(t)
-                if part >= licenses.CONTAINED:
-                    labels, share = labels | {label}, max(share, part)
+        for part in re.split(licenses.PARAGRAPH, text or ""):
+            words_ = cut(part)
+            for reach, templates in zip(licenses.REACH, licenses.CLASSES):
+                for at in range(0, max(len(words_) - reach, 1), reach):
+                    for label, template in templates:
+                        t = set(template.split())
+                        found = len(t & set(words_[at : at + 2 * reach])) / len(t)
+                        if found >= licenses.CONTAINED:
+                            labels, share = labels | {label}, max(share, found)
         ends = (min(places), max(places)) if places else (None, None)
         want.append((doc, len(w), len(places), *ends, base, ",".join(sorted(labels)), 1.0 if places else share))
-    got = rows(licenses.scan_licenses(docs), "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
-    assert got == sorted(want, key=repr)
+    return sorted(want, key=repr)
+
+
+LICENSE_COLUMNS = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def test_license_places_and_templates(docs, no_docs):
+    assert rows(licenses.scan_licenses(docs), *LICENSE_COLUMNS) == license_rows([(d, t) for d, t, _ in TEXTS])
     assert licenses.scan_licenses(no_docs).count() == 0
 
 
@@ -364,8 +376,8 @@ def test_license_notices_wrapped_over_lines(spark):
     import textwrap
 
     texts, want = [], {}
-    for label, template in licenses.TEMPLATES:
-        for before in range(0, 76, 5):
+    for label, template in licenses.TEMPLATES + licenses.NOTICES:
+        for before in range(0, 76, 15):
             for width, mark in ((72, ""), (72, " * "), (24, "# ")):
                 filled = textwrap.wrap(("zz " * 30)[:before] + " " + template, width)
                 want[len(texts)] = label
@@ -373,9 +385,11 @@ def test_license_notices_wrapped_over_lines(spark):
     apart = len(texts)
     texts += [(apart, "permission is hereby granted free of charge\n\nto any person obtaining a copy of this software")]
     texts += [(apart + 1, "permission is hereby granted free of charge\n" + "zz\n" * 40 + "to any person obtaining a copy of this software")]
-    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    frame = licenses.scan_licenses(spark.createDataFrame(texts, "doc_id bigint, text string"))
+    got = {r["doc_id"]: r for r in frame.collect()}
     assert [i for i, label in want.items() if label not in got[i]["labels"].split(",") or got[i]["score"] != 1.0] == []
     assert got[apart]["labels"] == got[apart + 1]["labels"] == ""
+    assert rows(frame, *LICENSE_COLUMNS) == license_rows(texts)
 
 
 # -- 7
