@@ -1,11 +1,12 @@
 """Removal of repeated word windows by prefix-partitioned suffix trees.
 
-A suffix is the text from one word on; two windows of ``WINDOW`` words are equal where two suffixes share a path of
-that depth. Edges of a tree are labelled by codes of 6, 7 and 7 words. The suffixes are dealt to tasks by
-prefixes of variable length: by the first edge, and by one more edge at a time where a prefix has more suffixes
-than a task should hold. A task sorts its suffixes, which is walking its subtrees in order: each run of equal
-paths is an inner node at full depth, its leftmost leaf is the first occurrence and the other leaves repeat it.
-Windows that overlap in a document join to maximal repeats when the words are removed.
+A suffix is the text from one word on. The suffixes are dealt to tasks by prefixes of variable length: by the first
+``EDGES[0]`` words, and by the next ``EDGES[1]`` where a prefix has more suffixes than a task should hold. A task sorts
+its suffixes, which is walking its subtrees in order: neighbours that agree in both edges share an inner node of depth
+``WINDOW``, whose leftmost leaf is the first occurrence and whose other leaves repeat it. Deeper nodes are reached by
+suffix links: if the suffixes one word on share a node too, the common prefix is one word longer. Following the links
+as far as they go gives the maximal repeats, with their length and both places. Nodes are found by codes of words; the
+words of each repeat are digested on both sides and compared before they count.
 
 Only suffixes whose window can occur twice enter the trees. Of the 6-word codes in a window the least one is
 its anchor, and equal windows have equal anchors; an anchor seen once in the corpus rules its windows out.
@@ -27,7 +28,7 @@ from proofmill.llm.words import codes_of, grams
 
 WINDOW, ANCHOR = 20, 6
 #: Words of each edge.
-EDGES = (6, 7, 7)
+EDGES = (6, 14)
 #: Suffixes of one prefix that a task gets at most, about 3 MB.
 GROUP_ROWS = 1 << 16
 _NONE = np.empty(0, dtype=np.uint64)
@@ -85,7 +86,7 @@ def anchors(docs: DataFrame) -> DataFrame:
 
 
 def suffixes(docs: DataFrame) -> DataFrame:
-    """(p1, p2, p3, doc, at): paths of the suffixes of rows (doc_id, text, keys) whose window has an anchor in ``keys``."""
+    """(p1, p2, doc, at): paths of the suffixes of rows (doc_id, text, keys) whose window has an anchor in ``keys``."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         paths, docs, places = [[_NONE] for _ in EDGES], [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
@@ -100,16 +101,16 @@ def suffixes(docs: DataFrame) -> DataFrame:
             docs.append(np.full(len(at), doc, dtype=np.int64))
             places.append(at)
         columns = [*(np.concatenate(p).view(np.int64) for p in paths), np.concatenate(docs), np.concatenate(places)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["p1", "p2", "p3", "doc", "at"])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["p1", "p2", "doc", "at"])
 
-    return docs.select("doc_id", "text", "keys").mapInArrow(lambda batches: by_slices(batches, make), "p1 bigint, p2 bigint, p3 bigint, doc bigint, at bigint")
+    return docs.select("doc_id", "text", "keys").mapInArrow(lambda batches: by_slices(batches, make), "p1 bigint, p2 bigint, doc bigint, at bigint")
 
 
 def dealt(rows: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """The suffixes with ``key``, a prefix that few enough share, and ``split``: whether even equal windows were parted."""
     heavy, at = rows, []
     for level in range(len(EDGES)):
-        keys = ["p1", "p2", "p3"][: level + 1]
+        keys = ["p1", "p2"][: level + 1]
         counts = heavy.groupBy(*keys).agg(F.count("*").alias("many")).where(F.col("many") > group_rows)
         counts = scratch.materialize(counts.withColumnRenamed("many", f"many{level}"), f"heavy-{level}")
         at.append((keys, counts))
@@ -117,53 +118,107 @@ def dealt(rows: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     for keys, counts in at:
         # At most one prefix in ``group_rows`` suffixes is heavy; Spark broadcasts the table if it is small.
         rows = rows.join(counts, keys, "left")
-    parts = F.xxhash64("p1", "p2", "p3", F.pmod(F.xxhash64("doc"), F.ceil(F.col("many2") / group_rows)))
-    key = F.when(F.col("many0").isNull(), F.xxhash64("p1")).when(F.col("many1").isNull(), F.xxhash64("p1", "p2"))
-    key = key.when(F.col("many2").isNull(), F.xxhash64("p1", "p2", "p3")).otherwise(parts)
-    return rows.select("p1", "p2", "p3", "doc", "at", key.alias("key"), F.col("many2").isNotNull().alias("split"))
+    parts = F.xxhash64("p1", "p2", F.pmod(F.xxhash64("doc"), F.ceil(F.col("many1") / group_rows)))
+    key = F.when(F.col("many0").isNull(), F.xxhash64("p1")).when(F.col("many1").isNull(), F.xxhash64("p1", "p2")).otherwise(parts)
+    return rows.select("p1", "p2", "doc", "at", key.alias("key"), F.col("many1").isNotNull().alias("split"))
 
 
 def repeated_leaves(rows: DataFrame) -> DataFrame:
-    """(doc, at) of each window that occurs earlier: every leaf but the leftmost of a node at full depth.
+    """(doc, at, of_doc, of_at) of each window that occurs earlier, with an earlier place: the leftmost leaf of its node.
 
     Equal leaves (doc, at), of a row that is there twice, are one leaf.
     """
-    schema = "p1 bigint, p2 bigint, p3 bigint, doc bigint, at bigint, first boolean"
+    names = ["p1", "p2", "doc", "at", "of_doc", "of_at"]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None
+        last, first = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             split = batch.column("split").to_numpy(zero_copy_only=False)
-            leaf = np.stack([batch.column(c).to_numpy() for c in ("p1", "p2", "p3", "doc", "at")])
-            equal = leaf == np.concatenate((leaf[:, :1] if before is None else before, leaf[:, :-1]), axis=1)
-            same, twice = equal[:3].all(axis=0), equal.all(axis=0)
-            if before is None:
+            leaf = np.stack([batch.column(c).to_numpy() for c in names[:4]])
+            equal = leaf == np.concatenate((leaf[:, :1] if last is None else last, leaf[:, :-1]), axis=1)
+            same, twice = equal[:2].all(axis=0), equal.all(axis=0)
+            if last is None:
                 same[0] = twice[0] = False
-            before = leaf[:, -1:]
+            # The leftmost leaf of each node; that of the first one may be in an earlier batch.
+            begin = np.maximum.accumulate(np.where(same, -1, np.arange(len(same))))
+            of = np.where(begin < 0, leaf[2:, :1] if first is None else first, leaf[2:, np.maximum(begin, 0)])
+            last, first = leaf[:, -1:], of[:, -1:]
             keep = (same | split) & ~twice
-            columns = [batch.column(c) for c in ("p1", "p2", "p3", "doc", "at")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(~same)], ["p1", "p2", "p3", "doc", "at", "first"]).filter(pa.array(keep))
+            arrays = [pa.array(np.where(split, leaf[0], 0)), pa.array(np.where(split, leaf[1], 0)), *map(pa.array, (*leaf[2:], *of)), pa.array(~same)]
+            yield pa.RecordBatch.from_arrays(arrays, [*names, "first"]).filter(pa.array(keep))
 
-    sorted_rows = rows.repartition("key").sortWithinPartitions("p1", "p2", "p3", "doc", "at")
-    leaves = scratch.materialize(sorted_rows.select("p1", "p2", "p3", "doc", "at", "split").mapInArrow(walk, schema), "leaves")
+    sorted_rows = rows.repartition("key").sortWithinPartitions("p1", "p2", "doc", "at")
+    schema = ", ".join(f"{c} bigint" for c in names) + ", first boolean"
+    leaves = scratch.materialize(sorted_rows.select("p1", "p2", "doc", "at", "split").mapInArrow(walk, schema), "leaves")
     # A window over the limit was parted by document: of the first leaves of its parts, few, one is the first of all.
-    in_order = Window.partitionBy("p1", "p2", "p3").orderBy("doc", "at")
-    firsts = leaves.where("first").withColumn("nth", F.row_number().over(in_order)).where(F.col("nth") > 1)
-    return leaves.where(~F.col("first")).select("doc", "at").unionAll(firsts.select("doc", "at"))
+    every = Window.partitionBy("p1", "p2").orderBy("doc", "at")
+    firsts = leaves.where("first").withColumns({"of_doc": F.first("doc").over(every), "of_at": F.first("at").over(every), "nth": F.row_number().over(every)}).where("nth > 1")
+    return leaves.where("not first").select(*names[2:]).unionAll(firsts.select(*names[2:]))
+
+
+def maximal_repeats(leaves: DataFrame) -> DataFrame:
+    """(doc, start, of_doc, of_start, length): leaves joined by their suffix links, as many words as both places agree."""
+    names = ["doc", "start", "of_doc", "of_start", "length"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: np.ndarray | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            doc, at, of_doc, of_at = (batch.column(c).to_numpy() for c in ("doc", "at", "of_doc", "of_at"))
+            rows = np.stack((doc, at, of_doc, of_at, np.full(len(doc), WINDOW, dtype=np.int64)))
+            rows = rows if held is None else np.concatenate((held, rows), axis=1)
+            a, b = rows[:, :-1], rows[:, 1:]
+            # A held repeat ends ``length`` - WINDOW + 1 windows after its start.
+            on = (a[0] == b[0]) & (a[2] == b[2]) & (b[1] - a[1] == a[4] - WINDOW + 1) & (b[3] - a[3] == a[4] - WINDOW + 1)
+            starts = np.flatnonzero(np.concatenate(([True], ~on)))
+            joined = rows[:, starts]
+            joined[4] = np.add.reduceat(rows[4] - WINDOW + 1, starts) + WINDOW - 1
+            held = joined[:, -1:]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in joined[:, :-1]], names)
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names)
+
+    rows = leaves.repartition("doc").sortWithinPartitions("doc", "of_doc", F.col("at") - F.col("of_at"), "at")
+    return rows.mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
+
+
+def span_digests(docs: DataFrame) -> DataFrame:
+    """(doc, start, length, digest) of each of ``spans``, an array of (start, length), of rows (doc_id, text, spans)."""
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for doc, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans"))):
+            words = _bytes(text).split()
+            out += [(doc, s["start"], s["length"], hashlib.sha256(b" ".join(words[s["start"] : s["start"] + s["length"]])).digest()) for s in spans]
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["doc", "start", "length", "digest"])
+
+    return docs.select("doc_id", "text", "spans").mapInArrow(lambda batches: by_slices(batches, make), "doc bigint, start bigint, length bigint, digest binary")
+
+
+def verified(repeats: DataFrame, docs: DataFrame) -> DataFrame:
+    """The repeats whose words are the same at both places. Of a document distinct spans are digested once, however many repeat them."""
+    sides = repeats.select("doc", "start", "length").unionAll(repeats.select("of_doc", "of_start", "length")).distinct()
+    spans = scratch.materialize(sides.groupBy("doc").agg(F.collect_list(F.struct("start", "length")).alias("spans")), "spans")
+    some = within(F.col("doc_id"), spans.select(F.col("doc").alias("id")))(docs).join(spans, F.col("doc_id") == F.col("doc"))
+    digests = scratch.materialize(span_digests(some).distinct(), "span-digests")
+    there = digests.select(F.col("doc").alias("of_doc"), F.col("start").alias("of_start"), "length", F.col("digest").alias("of_digest"))
+    return repeats.join(digests, ["doc", "start", "length"]).join(there, ["of_doc", "of_start", "length"]).where(F.col("digest") == F.col("of_digest")).select(repeats.columns)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_removed, kept, kept_text) of rows (doc_id, text, starts): words in a window that starts at ``starts`` go."""
+    """(doc_id, n_removed, kept, kept_text) of rows (doc_id, text, spans): words of the spans (start, length) go."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         removed, kept, texts = [], [], []
-        for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist()):
+        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
             words = _bytes(text).split()
             change = np.zeros(len(words) + 1, dtype=np.int64)
-            np.add.at(change, np.array(starts), 1)
-            np.add.at(change, np.array(starts) + WINDOW, -1)
+            np.add.at(change, np.array([s["start"] for s in spans]), 1)
+            np.add.at(change, np.array([s["start"] + s["length"] for s in spans]), -1)
             gone = np.cumsum(change[:-1]) > 0
             rest = b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
             removed.append(int(gone.sum()))
@@ -171,16 +226,17 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             texts.append(rest.decode("utf-8", "surrogatepass"))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()), pa.array(texts, pa.string())], ["doc_id", "n_removed", "kept", "kept_text"])
 
-    return docs.select("doc_id", "text", "starts").mapInArrow(lambda batches: by_slices(batches, make), "doc_id bigint, n_removed bigint, kept binary, kept_text string")
+    return docs.select("doc_id", "text", "spans").mapInArrow(lambda batches: by_slices(batches, make), "doc_id bigint, n_removed bigint, kept binary, kept_text string")
 
 
-def repeated_windows(docs: DataFrame, digests: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(doc_id, starts) of the documents of ``digests`` (doc_id, ...) that repeat a window, all texts different."""
+def find_repeats(docs: DataFrame, digests: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(doc, start, of_doc, of_start, length): maximal repeats in the documents of ``digests`` (doc_id, ...), all texts different."""
     some = within(F.col("doc_id"), digests.select(F.col("doc_id").alias("id")).distinct())(docs)
     shared = scratch.materialize(shared_rows(anchors(some), alone=2).groupBy("rep").agg(F.collect_list("h").alias("keys")), "anchors")
     near = within(F.col("doc_id"), shared.select(F.col("rep").alias("id")))(docs).join(shared, F.col("doc_id") == F.col("rep"))
     paths = scratch.materialize(suffixes(near), "suffixes")
-    return repeated_leaves(dealt(paths, group_rows)).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("at").alias("starts"))
+    repeats = scratch.materialize(maximal_repeats(repeated_leaves(dealt(paths, group_rows))), "repeats")
+    return verified(repeats, docs)
 
 
 def remove_repeats(docs: DataFrame, group_rows: int = GROUP_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,8 +254,10 @@ def remove_repeats(docs: DataFrame, group_rows: int = GROUP_ROWS, id_col: str =
     unclear = scratch.materialize(unclear.select(F.col("doc_id").alias("unclear")), "unclear")
     known = digests.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= WINDOW)).join(unclear, F.col("doc_id") == F.col("unclear"), "left_anti")
     firsts = scratch.materialize(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "firsts")
-    starts = scratch.materialize(repeated_windows(docs, firsts.select(F.col("rep").alias("doc_id")), group_rows), "starts")
-    some = within(F.col("doc_id"), starts.select(F.col("doc_id").alias("id")))(docs).join(starts, "doc_id")
+    repeats = find_repeats(docs, firsts.select(F.col("rep").alias("doc_id")), group_rows)
+    spans = repeats.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set(F.struct("start", "length")).alias("spans"))
+    spans = scratch.materialize(spans, "removed")
+    some = within(F.col("doc_id"), spans.select(F.col("doc_id").alias("id")))(docs).join(spans, "doc_id")
     cut = without_repeats(some).select(F.col("doc_id").alias("cut_id"), "n_removed", "kept").dropDuplicates(["cut_id"])
     placed = digests.join(firsts, "digest", "left").join(cut, F.col("doc_id") == F.col("cut_id"), "left").join(unclear, F.col("doc_id") == F.col("unclear"), "left")
     copy = F.col("rep").isNotNull() & F.col("doc_id").isNotNull() & F.col("unclear").isNull() & (F.col("doc_id") != F.col("rep"))

@@ -503,6 +503,34 @@ def test_repeats_against_windows(docs, no_docs):
     assert {(4, 200, 0), (4, 2, 0), (None, 200, 0)} <= set(got) and len(got) == len(TEXTS) + 2
 
 
+def test_maximal_repeats_against_all_places(spark):
+    """Each repeat has the same words at both places and cannot be made longer there; all windows of repeats, and no others, are covered."""
+    r = random.Random(9)
+    passage = words(70, 30)
+    texts = {i: words(r.randint(10, 60), 200 + i) + passage[r.randint(0, 20) : r.randint(45, 70)] + words(r.randint(0, 30), 300 + i) for i in range(12)}
+    texts[20] = passage + words(15, 31) + passage
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id bigint, text string").repartition(3)
+    for limit in (substrings.GROUP_ROWS, 3):
+        found = substrings.find_repeats(frame, frame.select("doc_id"), limit).collect()
+        covered = set()
+        for x in found:
+            a, b, k = texts[x["doc"]], texts[x["of_doc"]], x["length"]
+            i, j = x["start"], x["of_start"]
+            assert k >= 20 and (x["of_doc"], j) < (x["doc"], i) and a[i : i + k] == b[j : j + k]
+            covered |= {(x["doc"], i + w) for w in range(k - 19)}
+            if limit > 3:
+                # The next word differs, or the longer window has its first occurrence elsewhere, where another repeat goes on.
+                longer = (x["doc"], i + k - 19)
+                assert i + k == len(a) or j + k == len(b) or a[i + k] != b[j + k] or any((y["doc"], y["start"]) == longer for y in found)
+        seen, want = set(), set()
+        for doc in sorted(texts):
+            for at in range(len(texts[doc]) - 19):
+                window = tuple(texts[doc][at : at + 20])
+                want |= {(doc, at)} if window in seen else set()
+                seen.add(window)
+        assert covered == want and want
+
+
 # -- 10
 
 
