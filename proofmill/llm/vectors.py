@@ -20,7 +20,7 @@ from proofmill.llm.components import components
 
 LEAST_COSINE = 0.93
 BLOCKS = 4
-#: Added to each block's share, above the rounding of single-precision coordinates.
+#: Added to each block's share, far above the rounding of coordinates.
 SLACK = 1e-5
 #: Rows of one side that a task compares at a time; larger cells are cut and their parts compared pair by pair.
 CHUNK_ROWS, PAIRS = 2048, 1 << 16
@@ -44,7 +44,7 @@ def rotation(dim: int) -> np.ndarray:
 
 
 def _rotated(rows: DataFrame, blocks: int, least: float) -> DataFrame:
-    """(rep, label, dim, copies, raw, turned, cells): bytes of the vector, of the rotated unit vector, and its cell in each block."""
+    """(rep, label, dim, copies, turned, cells): bytes of the rotated unit vector in double precision, and its cell in each block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         turns: dict[int, np.ndarray] = {}
@@ -52,22 +52,21 @@ def _rotated(rows: DataFrame, blocks: int, least: float) -> DataFrame:
             for dim, part in batch.groupby(batch["embedding"].map(len)):
                 dim = int(dim)
                 turn = turns.setdefault(dim, rotation(dim))
-                raw = np.array(part["embedding"].tolist(), dtype=np.float32)
-                unit = raw.astype(np.float64)
-                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                turned = (unit @ turn).astype(np.float32)
+                unit = np.array(part["embedding"].tolist(), dtype=np.float64)
+                unit /= np.abs(unit).max(axis=1, keepdims=True)
+                turned = unit / np.linalg.norm(unit, axis=1, keepdims=True) @ turn
                 reach = np.sqrt(shares(dim, blocks, least))
                 cells = np.floor(turned[:, block_edges(dim, blocks)[:-1]] / reach).astype(np.int32)
                 yield pd.DataFrame({
                     "rep": part["rep"], "label": part["label"], "dim": dim, "copies": part["copies"],
-                    "raw": [x.tobytes() for x in raw], "turned": [x.tobytes() for x in turned], "cells": list(cells),
+                    "turned": [x.tobytes() for x in turned], "cells": list(cells),
                 })
 
-    return rows.mapInPandas(run, "rep bigint, label bigint, dim int, copies bigint, raw binary, turned binary, cells array<int>")
+    return rows.mapInPandas(run, "rep bigint, label bigint, dim int, copies bigint, turned binary, cells array<int>")
 
 
 def _matrix(column: pd.Series, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=np.float32).reshape(len(column), dim)
+    return np.frombuffer(b"".join(column), dtype=np.float64).reshape(len(column), dim)
 
 
 def _forest(near: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
@@ -90,9 +89,9 @@ def compare_cell(rows: pd.DataFrame, least: float, blocks: int) -> pd.DataFrame:
     """Links of one part of a cell: (a, b) of a spanning forest with n null, and (a, n) how many vectors a links to."""
     dim, block, i, j = (int(rows[c].iloc[0]) for c in ("dim", "block", "i", "j"))
     rows = rows.drop_duplicates(["rep", "home"]).sort_values(["rep"])
-    raw, turned = _matrix(rows["raw"], dim).astype(np.float64), _matrix(rows["turned"], dim).astype(np.float64)
+    turned = _matrix(rows["turned"], dim)
     ids, copies, home, chunk = (rows[c].to_numpy() for c in ("rep", "copies", "home", "chunk"))
-    norms, edges, most = np.sqrt((raw * raw).sum(axis=1)), block_edges(dim, blocks), shares(dim, blocks, least)
+    edges, most = block_edges(dim, blocks), shares(dim, blocks, least)
     one, two = np.flatnonzero(home & (chunk == i)), np.flatnonzero(chunk == j)
     part = turned[:, edges[block] : edges[block + 1]]
     square = (part * part).sum(axis=1)
@@ -108,7 +107,7 @@ def compare_cell(rows: pd.DataFrame, least: float, blocks: int) -> pd.DataFrame:
         by_block = np.stack([gap[:, s:e].sum(axis=1) for s, e in zip(edges, edges[1:])], axis=1) <= np.array(most)
         first = by_block[:, block] & ~by_block[:, :block].any(axis=1)
         a, b = a[first], b[first]
-        close = np.einsum("ij,ij->i", raw[a], raw[b]) / (norms[a] * norms[b]) >= least
+        close = np.einsum("ij,ij->i", turned[a], turned[b]) >= least
         a, b = a[close], b[close]
         near[a, b] = near[b, a] = True
         np.add.at(links, a, copies[b])
@@ -130,7 +129,7 @@ def near_vectors(rows: DataFrame, least: float = LEAST_COSINE, blocks: int = BLO
     so a large group of copies costs one comparison; a repeated row counts once. A null vec_id keeps its row and
     links with nothing; an id with two vectors gets a row for each. Other columns are not read.
     """
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<float>").alias("embedding"))
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     valid = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("embedding", lambda x: x != 0)
     usable = rows.where(valid).withColumns({"h1": F.xxhash64(F.lit(1), "embedding"), "h2": F.xxhash64(F.lit(2), "embedding")})
@@ -150,7 +149,7 @@ def near_vectors(rows: DataFrame, least: float = LEAST_COSINE, blocks: int = BLO
     as_second = F.transform(every, lambda i: F.struct(i.alias("i"), F.col("chunk").alias("j")))
     # Parts of rows at home meet once, in the order of their numbers; visitors meet every part at home.
     pairs = F.filter(F.concat(as_first, as_second), lambda p: ~F.col("home") | (p["i"] <= p["j"]) | (p["i"] == F.col("chunk")))
-    spread = at.select(*cell, "rep", "copies", "raw", "turned", "home", "chunk", F.explode(pairs).alias("p")).select("*", "p.i", "p.j").drop("p")
+    spread = at.select(*cell, "rep", "copies", "turned", "home", "chunk", F.explode(pairs).alias("p")).select("*", "p.i", "p.j").drop("p")
     found = spread.groupBy(*cell, "i", "j").applyInPandas(lambda part: compare_cell(part, least, blocks), "a bigint, b bigint, n bigint")
     found = scratch.materialize(found, "links")
     degrees = found.where(F.col("n").isNotNull()).groupBy("a").agg(F.sum("n").alias("n"))

@@ -481,6 +481,13 @@ def test_vectors_against_all_pairs(spark):
     assert vectors.near_vectors(frame.where("vec_id < -1")).count() == 0
 
 
+def test_vectors_in_double_precision(spark):
+    """Parts beyond single precision, large and small, count as they are."""
+    large = [(0, [1e39, 2e39, 3e38]), (1, [1e39, 2.1e39, 2e38]), (2, [1e-60, 0.0, 0.0]), (3, [1.0, 1e-60, 0.0]), (4, [0.0, 1e-300, 0.0])]
+    frame = spark.createDataFrame([(i, v, 1) for i, v in large], "vec_id bigint, embedding array<double>, label int")
+    assert rows(vectors.near_vectors(frame), "vec_id", "n_links", "component_id") == [(0, 1, 0), (1, 1, 0), (2, 1, 2), (3, 1, 2), (4, 0, 4)]
+
+
 # -- 9
 
 
