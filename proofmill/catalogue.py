@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from proofmill.operators import documents, evidence, integrity
-from proofmill.plans import evaluation, operations, rules
+from proofmill.plans import evaluation, operations, review, rules
 
-QUERIES = {**operations.QUERIES, **documents.QUERIES, **evidence.QUERIES, **integrity.QUERIES, **rules.QUERIES, **evaluation.QUERIES}
+QUERIES = {**operations.QUERIES, **documents.QUERIES, **evidence.QUERIES, **integrity.QUERIES, **rules.QUERIES, **evaluation.QUERIES, **review.QUERIES}

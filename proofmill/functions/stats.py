@@ -11,8 +11,7 @@ Z95 = 1.959963984540054
 def nearest_rank(values: Column, fraction: float) -> Column:
     """The sorted value at index round-half-even(fraction x (n - 1)); null values are left out, none gives null.
 
-    Of an aggregate over the group: ``values`` is collected as (value, count) pairs would be for huge groups; groups
-    here are call sites and days. For groups without a bound use ``nearest_rank_of_counts``.
+    The values of a group are collected, so it is for groups of bounded size; others take counts of each value.
     """
     kept = F.array_sort(F.collect_list(values))
     index = F.bround(F.lit(fraction) * (F.size(kept) - 1), 0).cast("int")

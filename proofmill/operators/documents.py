@@ -24,7 +24,7 @@ def document_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def content_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For 200 sets of documents the hash of their sorted hashes and the configuration. Sets are by id modulo a fixed number of candidates."""
+    """For 200 sets of documents the hash of their sorted hashes and the configuration. Sets are by id modulo a fixed number of candidates."""
     hashed = read_table(spark, sf_dir, "documents").select((F.col("doc_id") % 200).alias("candidate"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
     parts = F.concat_ws("\x1f", F.array_join(F.array_sort(F.collect_list("sha")), "\x1f"), *map(F.lit, CONFIG))
     return hashed.groupBy("candidate").agg(F.sha2(parts, 256).alias("content_key"))
@@ -66,13 +66,14 @@ def normal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalise_with_map(texts: DataFrame) -> DataFrame:
-    """(id, text, runs) with the per-character compatibility form and, for each stretch of the result, where it came from.
+    """(id, text, runs) with the per-character compatibility form and, for each stretch of the result, where it came from.
 
     Spark has no Unicode normal forms, so this one runs in Arrow batches; each helper call is one text. ``runs`` are
     (norm_start, raw_start, length) and tile the result exactly. Later rules work on the mapped characters.
     """
 
     def one(text: str) -> tuple[str, list[dict]]:
+        import re
         import unicodedata
 
         mapped: list[tuple[str, int]] = []
@@ -82,8 +83,11 @@ def normalise_with_map(texts: DataFrame) -> DataFrame:
                 d = "-" if d in T.DASHES else "'" if d in T.SINGLE_QUOTES else '"' if d in T.DOUBLE_QUOTES else d
                 if d not in T.INVISIBLE:
                     mapped.append((d, i))
+        # A hyphen at the end of a line goes, with the break, if a lower-case letter and more follow.
+        joined = "".join(c for c, _ in mapped)
+        gone = {k for m in re.finditer(r"-[ \t]*\n[ \t]*", joined) if m.end() + 1 < len(joined) and unicodedata.category(joined[m.end()]) == "Ll" for k in range(*m.span())}
         kept: list[tuple[str, int]] = []
-        for c, i in mapped:
+        for c, i in (x for k, x in enumerate(mapped) if k not in gone):
             if not c.isspace():
                 kept.append((c, i))
             elif kept and kept[-1][0] != " ":
@@ -116,7 +120,7 @@ def mapped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """texts that redaction changes, with how many addresses and phone numbers went."""
+    """texts that redaction changes, with how many addresses and phone numbers went."""
     out = T.redacted(F.col("text"))
     count = lambda kind: F.regexp_count(out, F.lit(rf"\[redacted:{kind}\]")).cast("bigint").alias(f"n_{kind}")
     changed = sources(spark, sf_dir).select("id", F.sha2(out, 256).alias("sha256"), count("email"), count("phone"))
@@ -124,7 +128,7 @@ def redactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def protected_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """texts that name a protected attribute outside its technical senses."""
+    """texts that name a protected attribute outside its technical senses."""
     found = sources(spark, sf_dir).select("id", F.array_join(T.protected_terms(F.col("text"), ("shoe_size",)), ",").alias("terms"))
     return found.where(F.col("terms") != "")
 

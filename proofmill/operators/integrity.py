@@ -149,7 +149,7 @@ def integrity_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def worst_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The worst tier of each source; a classifier may raise a clean source of which any text is suspect, never lower."""
+    """The worst tier of each source."""
     rank = F.element_at(F.create_map(*(F.lit(x) for pair in (("clean", 0), ("suspect", 1), ("quarantine", 2)) for x in pair)), F.col("tier"))
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
     joined = integrity_tiers(spark, sf_dir).join(docs, "id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from proofmill.functions.stats import money, nearest_rank, share
+from proofmill.functions.stats import money, share
 from proofmill.plans.views import AS_OF_EVENTS, AS_OF_RUNS, CALLS, EVENTS, PRICES_SQL, RUNS, calls, prices, run_events, runs
 
 IDLE = ("delivered", "needs_review")
@@ -35,13 +35,13 @@ def stuck_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def list_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 50 newest runs of some statuses; ties by run."""
+    """The 50 newest runs of some statuses; ties by run."""
     wanted = runs(spark, sf_dir).where(F.col("status").isin("structured", "assessed"))
     return wanted.orderBy(F.desc("started_at"), "run_id").limit(50).select("run_id", "status", "started_at")
 
 
 def error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of a window by kind and day, nulls left out."""
+    """Events of a window by kind and day, nulls left out."""
     recent = run_events(spark, sf_dir).where((F.col("happened") >= _moment(AS_OF_EVENTS) - _days(7)) & F.col("kind").isNotNull())
     return recent.groupBy("kind", F.date_format("happened", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n_events"))
 
@@ -64,7 +64,7 @@ def cost_of_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cost_by_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs, tokens, calls and cost by policy. One unpriced call leaves its run's cost unknown; both means are given."""
+    """Runs, tokens, calls and cost by policy. One unpriced call leaves its run's cost unknown; the mean is of the runs with a price, null without any."""
     per_run = priced_calls(spark, sf_dir).groupBy("run_id").agg(
         F.count("*").alias("c"), F.sum("input_tokens").alias("t"), F.when(F.count("cost") == F.count("*"), F.sum("cost")).alias("cost")
     )
@@ -75,6 +75,7 @@ def cost_by_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.sum("t"), F.lit(0)).alias("input_tokens"),
         F.count("cost").alias("n_priced"),
         F.sum("cost").cast("double").alias("total_cost"),
+        F.round(share(F.sum("cost").cast("double"), F.count("cost")), 6).alias("mean_cost"),
     )
 
 
@@ -97,11 +98,13 @@ def override_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest-rank seconds of finished runs by policy and month."""
-    done = runs(spark, sf_dir).where(F.col("finished_at").isNotNull())
+    """Nearest-rank seconds and the mean of finished runs by policy and month, from counts of each duration, so no group is collected."""
     seconds = (F.unix_micros(F.col("finished_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / 1_000_000
-    grouped = done.withColumn("s", seconds).groupBy("policy", F.date_format("started_at", "yyyy-MM").alias("month"))
-    return grouped.agg(F.count("*").alias("n"), nearest_rank(F.col("s"), 0.5).alias("p50"), nearest_rank(F.col("s"), 0.95).alias("p95"))
+    done = runs(spark, sf_dir).where(F.col("finished_at").isNotNull()).select("policy", F.date_format("started_at", "yyyy-MM").alias("month"), seconds.alias("s"))
+    group = Window.partitionBy("policy", "month")
+    ranked = done.groupBy("policy", "month", "s").agg(F.count("*").alias("c")).withColumns({"upto": F.sum("c").over(group.orderBy("s")), "all": F.sum("c").over(group)})
+    at = lambda f: F.min(F.when(F.col("upto") > F.bround(F.lit(f) * (F.col("all") - 1), 0), F.col("s")))
+    return ranked.groupBy("policy", "month").agg(F.max("all").alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.round(F.sum(F.col("c") * F.col("s")) / F.max("all"), 6).alias("mean"))
 
 
 def call_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +161,7 @@ def guarded_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overrides_by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overridden runs joined to the candidate's segment."""
+    """Overridden runs joined to the candidate's segment."""
     from proofmill.tables import read_table
 
     people = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("candidate"), F.col("c_mktsegment").alias("segment"))
@@ -188,7 +191,7 @@ def purge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deliveries_outstanding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sinks that a delivered run has not reached yet; appending only these makes a sink idempotent."""
+    """Sinks that a delivered run has not reached yet; appending only these makes a sink idempotent."""
     sinks = spark.createDataFrame([("csv",), ("sheet",)], "sink string")
     due = runs(spark, sf_dir).where(F.col("status") == "delivered").select("run_id").crossJoin(F.broadcast(sinks))
     sent = calls(spark, sf_dir).where(F.col("call_no").isin(1, 2)).select("run_id", F.when(F.col("call_no") == 1, "csv").otherwise("sheet").alias("sink")).where(F.col("run_id") % 2 == 0)
@@ -198,19 +201,44 @@ def deliveries_outstanding(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- control
 
 
+#: Thresholds of the routed policy; no floor of money is set.
+MOST_ESCALATIONS, LEAST_HEADROOM, LEAST_CONFIDENCE, TOKEN_CEILING = 3, 0.15, 0.6, 30_000
+START_STRONG = ("high_stakes", "blocker")
+
+
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run_id, call_no, kind, attempt, escalations, headroom, invalid_spans, confidence, repair_failed) of each call, before it is made."""
+    before = Window.partitionBy("run_id").orderBy("call_no", "latency_ms", "input_tokens", "cached_tokens", "escalated").rowsBetween(Window.unboundedPreceding, -1)
+    spent = F.coalesce(F.sum(F.col("input_tokens") + F.col("output_tokens")).over(before), F.lit(0))
+    used = F.coalesce(F.sum(F.col("escalated").cast("bigint")).over(before), F.lit(0))
+    kind = F.element_at(F.array(*map(F.lit, ("standard", "high_stakes", "blocker", "standard", "standard", "standard", "standard"))), F.col("call_no").cast("int"))
+    return calls(spark, sf_dir).select(
+        "run_id", "call_no", kind.alias("kind"), (F.col("latency_ms") % 3).alias("attempt"), used.alias("escalations"), (1 - spent / TOKEN_CEILING).alias("headroom"),
+        F.when(F.col("latency_ms") % 11 == 0, 2).otherwise(0).alias("invalid_spans"), F.when(F.col("cached_tokens") > 0, F.col("latency_ms") % 100 / 100).alias("confidence"), F.col("retried").alias("repair_failed"),
+    )
+
+
 def routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tier that each policy picks for a call, and the first trigger that applies."""
+    """Under each policy how many calls go to which tier, by the first trigger that applies."""
     c = F.col
-    trigger = (
-        F.when(c("site") == "compose", "final_text")
-        .when(c("retried"), "repair_failed")
-        .when(c("input_tokens") > 4000, "long_input")
-        .when(c("cached_tokens") == 0, "nothing_cached")
-        .when(c("latency_ms") > 900, "slow")
+    again = c("attempt") > 0
+    routed = (
+        F.when(again & (c("headroom") < LEAST_HEADROOM), "budget_blocked")
+        .when(again & (c("escalations") >= MOST_ESCALATIONS), "capped")
+        .when(~again & c("kind").isin(*START_STRONG), "high_stakes")
+        .when(again & (c("invalid_spans") > 0), "invalid_span")
+        .when(again & (c("confidence") < LEAST_CONFIDENCE), "low_confidence")
+        .when(again & c("repair_failed"), "repair_failed")
+        .otherwise("initial")
+    )
+    strong = routed.isin("high_stakes", "invalid_span", "low_confidence", "repair_failed")
+    pick = lambda policy, tier, trigger: F.struct(F.lit(policy).alias("policy"), tier.alias("tier"), trigger.alias("trigger"))
+    picks = F.array(
+        pick("all_cheap", F.lit("cheap"), F.when(again, "capped").otherwise("initial")),
+        pick("all_strong", F.lit("strong"), F.lit("initial")),
+        pick("routed", F.when(strong, "strong").otherwise("cheap"), routed),
     )
-    picked = calls(spark, sf_dir).withColumn("trigger", trigger)
-    routed = F.when(c("trigger").isNull(), "cheap").otherwise("strong")
-    return picked.groupBy(F.coalesce("trigger", F.lit("none")).alias("trigger"), routed.alias("routed_tier")).agg(F.count("*").alias("n"))
+    return attempts(spark, sf_dir).select(F.explode(picks).alias("p")).groupBy("p.policy", "p.tier", "p.trigger").agg(F.count("*").alias("n"))
 
 
 def budget_breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,14 +271,14 @@ QUERIES = {
     "cost_of_calls": (cost_of_calls, f"WITH {CALLS}, {PRICES_SQL} SELECT run_id, call_no, tier, ({_UNITS})::DOUBLE / 1000000 AS cost FROM calls LEFT JOIN prices USING (tier)"),
     "cost_by_policy": (cost_by_policy, f"""WITH {RUNS}, {CALLS}, {PRICES_SQL}, p AS (SELECT *, {_UNITS} AS cost FROM calls LEFT JOIN prices USING (tier)),
         r AS (SELECT run_id, count(*) AS c, sum(input_tokens) AS t, CASE WHEN count(cost) = count(*) THEN sum(cost) END AS cost FROM p GROUP BY run_id)
-        SELECT policy, count(*) AS n_runs, coalesce(sum(c), 0)::BIGINT AS n_calls, coalesce(sum(t), 0)::BIGINT AS input_tokens, count(cost) AS n_priced, sum(cost)::DOUBLE / 1000000 AS total_cost
+        SELECT policy, count(*) AS n_runs, coalesce(sum(c), 0)::BIGINT AS n_calls, coalesce(sum(t), 0)::BIGINT AS input_tokens, count(cost) AS n_priced, sum(cost)::DOUBLE / 1000000 AS total_cost, round(sum(cost)::DOUBLE / 1000000 / nullif(count(cost), 0), 6) AS mean_cost
         FROM runs LEFT JOIN r USING (run_id) GROUP BY policy"""),
     "escalation_by_trigger": (escalation_by_trigger, f"""{_C} SELECT site, count(*) AS n, sum(escalated::INT)::BIGINT AS n_escalated, sum((escalated AND changed)::INT)::BIGINT AS n_changed,
         sum(escalated::INT) / count(*) AS escalation_rate, sum((escalated AND changed)::INT) / nullif(sum(escalated::INT), 0) AS changed_rate FROM calls GROUP BY site"""),
     "failure_rates": (failure_rates, f"{_C} SELECT count(*) AS n, sum(retried::INT) / nullif(count(*), 0) AS retry_rate, sum((latency_ms > 900)::INT) / nullif(count(*), 0) AS slow_rate FROM calls"),
     "override_rate": (override_rate, f"{_R} SELECT policy, count(*) AS n, sum((override_count > 0)::INT)::BIGINT AS k, sum((override_count > 0)::INT) / count(*) AS rate FROM runs WHERE status = 'delivered' GROUP BY policy"),
     "run_latency": (run_latency, f"""{_R}, s AS (SELECT policy, strftime(started_at, '%Y-%m') AS month, list_sort(list(epoch_us(finished_at - started_at) / 1000000.0)) AS v FROM runs WHERE finished_at IS NOT NULL GROUP BY ALL)
-        SELECT policy, month, len(v)::BIGINT AS n, v[round_even(0.5 * (len(v) - 1), 0)::INT + 1] AS p50, v[round_even(0.95 * (len(v) - 1), 0)::INT + 1] AS p95 FROM s"""),
+        SELECT policy, month, len(v)::BIGINT AS n, v[round_even(0.5 * (len(v) - 1), 0)::INT + 1] AS p50, v[round_even(0.95 * (len(v) - 1), 0)::INT + 1] AS p95, round(list_sum(v) / len(v), 6) AS mean FROM s"""),
     "call_latency": (call_latency, f"""{_C}, s AS (SELECT site, list_sort(list(latency_ms)) AS v FROM calls WHERE latency_ms IS NOT NULL GROUP BY site)
         SELECT site, len(v)::BIGINT AS n, v[round_even(0.5 * (len(v) - 1), 0)::INT + 1] AS p50, v[round_even(0.95 * (len(v) - 1), 0)::INT + 1] AS p95, list_sum(v)::BIGINT AS total_ms FROM s"""),
     "stale_runs": (stale_runs, f"""WITH {RUNS}, {EVENTS}, l AS (SELECT run_id, max(happened) AS last_at FROM run_events GROUP BY run_id)
@@ -271,8 +299,12 @@ QUERIES = {
     "deliveries_outstanding": (deliveries_outstanding, f"""WITH {RUNS}, {CALLS}, d AS (SELECT run_id, sink FROM runs, (VALUES ('csv'), ('sheet')) AS s(sink) WHERE status = 'delivered'),
         t AS (SELECT run_id, CASE call_no WHEN 1 THEN 'csv' ELSE 'sheet' END AS sink FROM calls WHERE call_no IN (1, 2) AND run_id % 2 = 0)
         SELECT sink, count(*) AS n_outstanding FROM d ANTI JOIN t USING (run_id, sink) GROUP BY sink"""),
-    "routing": (routing, f"""{_C}, t AS (SELECT CASE WHEN site = 'compose' THEN 'final_text' WHEN retried THEN 'repair_failed' WHEN input_tokens > 4000 THEN 'long_input' WHEN cached_tokens = 0 THEN 'nothing_cached' WHEN latency_ms > 900 THEN 'slow' END AS t FROM calls)
-        SELECT coalesce(t, 'none') AS trigger, CASE WHEN t IS NULL THEN 'cheap' ELSE 'strong' END AS routed_tier, count(*) AS n FROM t GROUP BY ALL"""),
+    "routing": (routing, f"""{_C}, a AS (SELECT call_no, latency_ms % 3 > 0 AS again, coalesce(sum(escalated::INT) OVER w, 0) AS used, 1 - coalesce(sum(input_tokens + output_tokens) OVER w, 0) / {TOKEN_CEILING} AS room,
+            latency_ms % 11 = 0 AS bad, CASE WHEN cached_tokens > 0 THEN (latency_ms % 100) / 100 END AS sure, retried FROM calls WINDOW w AS (PARTITION BY run_id ORDER BY call_no, latency_ms, input_tokens, cached_tokens, escalated ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        t AS (SELECT again, CASE WHEN again AND room < {LEAST_HEADROOM} THEN 'budget_blocked' WHEN again AND used >= {MOST_ESCALATIONS} THEN 'capped' WHEN NOT again AND call_no IN (2, 3) THEN 'high_stakes' WHEN again AND bad THEN 'invalid_span'
+            WHEN again AND sure < {LEAST_CONFIDENCE} THEN 'low_confidence' WHEN again AND retried THEN 'repair_failed' ELSE 'initial' END AS trigger FROM a)
+        SELECT 'routed' AS policy, CASE WHEN trigger IN ('high_stakes', 'invalid_span', 'low_confidence', 'repair_failed') THEN 'strong' ELSE 'cheap' END AS tier, trigger, count(*) AS n FROM t GROUP BY ALL
+        UNION ALL SELECT 'all_cheap', 'cheap', CASE WHEN again THEN 'capped' ELSE 'initial' END, count(*) FROM t GROUP BY ALL UNION ALL SELECT 'all_strong', 'strong', 'initial', count(*) FROM t"""),
     "budget_breaches": (budget_breaches, f"""{_C}, r AS (SELECT run_id, call_no, sum(input_tokens + output_tokens) OVER w AS tokens, sum(escalated::INT) OVER w AS escalations FROM calls WINDOW w AS (PARTITION BY run_id ORDER BY call_no, latency_ms, input_tokens, cached_tokens, escalated ROWS UNBOUNDED PRECEDING))
         SELECT run_id, call_no, tokens::BIGINT AS tokens, escalations::BIGINT AS escalations FROM r WHERE tokens >= 15000 OR escalations >= 3 QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY call_no, tokens, escalations) = 1"""),
     "batch_summary": (batch_summary, f"""{_R} SELECT count(*) AS n, count(*) FILTER (status = 'needs_review') AS reviewable, count(*) FILTER (status = 'delivered') AS delivered,

@@ -87,7 +87,7 @@ def overridden(states: DataFrame, overrides: DataFrame) -> DataFrame:
 
 
 def recomputed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How overrides of criterion 2 by every seventh run move bands."""
+    """How overrides of criterion 2 by every seventh run move bands."""
     states = resolved(evidence_counts(spark, sf_dir), criteria(spark))
     asked = states.where((F.col("run_id") % 7 == 0) & (F.col("ord") == 2)).select("run_id", "ord", F.when(F.col("state") == "met", "not_met").otherwise("met").alias("new_state"))
     before, after = recommended(states).select("run_id", F.col("band").alias("old_band")), recommended(overridden(states, asked)).select("run_id", "band")
@@ -118,7 +118,7 @@ def edges(spark: SparkSession) -> DataFrame:
 
 
 def illegal_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Moves of runs, event to event, that the table of statuses does not have."""
+    """Moves of runs, event to event, that the table of statuses does not have."""
     status = F.element_at(F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair)), F.col("kind"))
     in_run = Window.partitionBy("run_id").orderBy("happened", "event_id")
     moves = run_events(spark, sf_dir).select(status.alias("dst"), F.lag(status).over(in_run).alias("src")).where(F.col("src").isNotNull() & (F.col("src") != F.col("dst")))
@@ -126,13 +126,17 @@ def illegal_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statuses that each status can reach, and in how few steps; the graph is fixed and has 20 nodes."""
+    """Statuses that each status can reach, and in how few steps; the graph is fixed and small, and the search ends when a round finds nothing new."""
     step = edges(spark)
     found = front = step.select("src", "dst", F.lit(1).alias("steps"))
-    for n in range(2, 8):
-        front = front.alias("f").join(step.alias("e"), F.col("f.dst") == F.col("e.src")).select("f.src", F.col("e.dst").alias("dst"), F.lit(n).alias("steps")).distinct()
+    n = 1
+    while front.limit(1).count():
+        n += 1
+        onward = front.alias("f").join(F.broadcast(step).alias("e"), F.col("f.dst") == F.col("e.src")).select("f.src", F.col("e.dst").alias("dst")).distinct()
+        rows = onward.join(F.broadcast(found), ["src", "dst"], "left_anti").collect()
+        front = fixtures.frame(spark, "src string, dst string, steps int", [(r["src"], r["dst"], n) for r in rows])
         found = found.unionAll(front)
-    return found.groupBy("src", "dst").agg(F.min("steps").alias("steps"))
+    return found
 
 
 _COUNTS = f"""{CALLS}, n AS (SELECT run_id, call_no AS ord, sum((latency_ms % 4 <> 0)::INT) AS supported, sum((latency_ms % 7 = 0)::INT) AS contradicted, max(CASE WHEN input_tokens > 4900 THEN 'budget' END) AS unassessed
@@ -164,5 +168,6 @@ QUERIES = {
         SELECT run_id, flags, CASE WHEN flags <> '' THEN 'needs_review' ELSE 'ready_for_review' END AS status FROM f"""),
     "illegal_transitions": (illegal_transitions, f"""WITH {_EDGES}, {EVENTS}, m AS (SELECT {{}} AS dst, run_id, happened, event_id FROM run_events), l AS (SELECT dst, lag(dst) OVER (PARTITION BY run_id ORDER BY happened, event_id) AS src FROM m)
         SELECT src, dst, count(*) AS n FROM l ANTI JOIN edge USING (src, dst) WHERE src IS NOT NULL AND src <> dst GROUP BY ALL""".replace("{}", "CASE kind " + " ".join(f"WHEN '{k}' THEN '{s}'" for k, s in KINDS.items()) + " END")),
-    "reachable": (reachable, f"WITH RECURSIVE {_EDGES}, w(src, dst, steps) AS (SELECT src, dst, 1 FROM edge UNION SELECT w.src, e.dst, steps + 1 FROM w JOIN edge e ON w.dst = e.src WHERE steps < 7) SELECT src, dst, min(steps) AS steps FROM w GROUP BY ALL"),
+    "reachable": (reachable, f"""WITH RECURSIVE {_EDGES}, p(src, dst) AS (SELECT src, dst FROM edge UNION SELECT p.src, e.dst FROM p JOIN edge e ON p.dst = e.src),
+        w(src, dst, steps) AS (SELECT src, dst, 1 FROM edge UNION SELECT w.src, e.dst, steps + 1 FROM w JOIN edge e ON w.dst = e.src WHERE steps < (SELECT count(DISTINCT src) + 1 FROM edge)) SELECT src, dst, min(steps) AS steps FROM p JOIN w USING (src, dst) GROUP BY ALL"""),
 }

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 #: File endings that a folder of documents may hold.
 ALLOWED = ("pdf", "docx", "txt", "md")
-SINK_COLUMNS = ("run_id", "candidate", "role", "band", "score", "coverage", "reasons", "strengths", "gaps", "reviewer", "decided_at", "rubric_version", "policy", "integrity", "note")
+SINK_COLUMNS = (
+    "delivered_at", "run_id", "candidate_id", "role_id", "band", "score", "coverage", "reviewer_id", "reviewer_action", "decided_at",
+    "override_count", "integrity_tier", "derivation", "criterion_states", "information_requests",
+)
 
 
 def candidate_of(name: Column) -> Column:
@@ -44,7 +47,7 @@ def sink_rows(runs: DataFrame) -> DataFrame:
         elif kinds[name].startswith("array"):
             value = F.coalesce(F.array_join(name, " | "), F.lit(""))
         elif kinds[name] == "double":
-            value = F.coalesce(F.format_string("%.4f", F.col(name)), F.lit(""))
+            value = F.when(F.col(name).isNotNull(), F.format_string("%.4f", F.col(name))).otherwise("")
         else:
             value = text(name)
         out.append(value.alias(name))
@@ -88,7 +91,8 @@ def human_bands(spark: SparkSession, path: str) -> DataFrame:
 def violations(criteria: DataFrame) -> DataFrame:
     """H26, A12, section 1.4: (criterion, problem) for every rule of a rubric that a row breaks; no row means it is sound."""
     c = F.col
-    twice = F.count("*").over(Window.partitionBy("criterion")) > 1
+    criteria = criteria.withColumn("_many", F.count("*").over(Window.partitionBy("criterion")))
+    twice = c("_many") > 1
     problems = F.array_compact(F.array(
         F.when(twice, F.lit("duplicate id")),
         F.when(~c("weight").between(1, 10), F.lit("weight out of range")),
