@@ -8,10 +8,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+#: Paths given out, for ``cleared``.
+_WRITTEN: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,7 +32,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no other call gets."""
-    return f"{shared_folder(spark)}/proofmill/{uuid.uuid4().hex}/{name}"
+    _WRITTEN.append(f"{shared_folder(spark)}/proofmill/{uuid.uuid4().hex}/{name}")
+    return _WRITTEN[-1]
 
 
 def materialize(frame: DataFrame, name: str) -> DataFrame:
@@ -42,3 +47,19 @@ def exists(spark: SparkSession, path: str) -> bool:
     """Whether a file system that Spark can open has ``path``."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end of the block, every table that was written in it; results read from them have to be written or counted before.
+
+    Without such a block the tables stay until the shared folder is cleared.
+    """
+    outer, _WRITTEN[:] = list(_WRITTEN), []
+    try:
+        yield
+    finally:
+        for path in _WRITTEN:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _WRITTEN[:] = outer

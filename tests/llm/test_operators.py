@@ -62,6 +62,20 @@ def reachable(ids, links):
     return low
 
 
+# -- scratch tables
+
+
+def test_scratch_tables_are_deleted(spark):
+    import os
+
+    from proofmill.llm import scratch
+
+    with scratch.cleared(spark):
+        path = scratch.materialize(spark.range(5), "five").inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
+
+
 # -- components
 
 
