@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from proofmill import fixtures
 from proofmill.functions.stats import share, wilson, wilson_sql
+from proofmill.operators import evidence, integrity
+from proofmill.plans.views import EVENTS, RUNS, run_events, runs
 from proofmill.tables import read_table
 
 LADDER = ("decline", "hold", "advance")
@@ -94,22 +96,114 @@ def variant_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("base", "persona").agg(F.count_if(F.coalesce("n", F.lit(0)) != F.coalesce("m", F.lit(0))).alias("n_different"), F.count("*").alias("n_words"))
 
 
+def _flips(rows: DataFrame, bases: int) -> DataFrame:
+    """(lang, n, k, d, largest): pairs of runs of one language and base, those of different bands, the sum and the most of their distances."""
+    bands = rows.groupBy("lang", (F.col("case_id") % bases).alias("base")).agg(*(F.count_if(F.col("got") == b).alias(f"b{b}") for b in range(3)))
+    x, y, z = (F.col(f"b{b}") for b in range(3))
+    every = x + y + z
+    return bands.groupBy("lang").agg(
+        F.sum((every * (every - 1) / 2).cast("bigint")).alias("n"), F.sum(x * y + y * z + x * z).alias("k"), F.sum(x * y + y * z + 2 * x * z).alias("d"), F.max(F.when(x * z > 0, 2).when(x * y + y * z > 0, 1).otherwise(0)).alias("largest")
+    ).where("n > 0")
+
+
 def flip_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over pairs of repeated runs of a case how often the band differs, with its interval; runs of one language are repeats.
 
     Pairs are counted, not made: from the runs of each band, of which there are three, follow the pairs that agree and the
     distances of the others.
     """
-    bands = cases(spark, sf_dir).groupBy("lang", (F.col("case_id") % 50).alias("base")).agg(*(F.count_if(F.col("got") == b).alias(f"b{b}") for b in range(3)))
-    x, y, z = (F.col(f"b{b}") for b in range(3))
-    every = x + y + z
-    counted = bands.groupBy("lang").agg(
-        F.sum((every * (every - 1) / 2).cast("bigint")).alias("n"), F.sum(x * y + y * z + x * z).alias("k"), F.sum(x * y + y * z + 2 * x * z).alias("d"), F.max(F.when(x * z > 0, 2).when(x * y + y * z > 0, 1).otherwise(0)).alias("largest")
-    ).where("n > 0")
+    counted = _flips(cases(spark, sf_dir), 50)
     low, high = wilson(F.col("k"), F.col("n"))
     return counted.select("lang", "n", "k", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"), F.round(F.col("d") / F.col("n"), 6).alias("mean_difference"), F.col("largest").cast("int").alias("largest"))
 
 
+FLOOR_LANG_BASES = 7
+
+
+def flip_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's flip rate read against its floor, the rate at which repeats of one case differ; refused without a floor.
+
+    A rate whose interval overlaps the floor's says nothing; above it is worth a look; below it the corpus is too small.
+    """
+    counted = lambda bases: _flips(cases(spark, sf_dir), bases)
+    low, high = wilson(F.col("k"), F.col("n"))
+    rates = counted(50).select("lang", "n", "k", low.alias("low"), high.alias("high"), (F.col("k") / F.col("n")).alias("rate"))
+    floor = counted(FLOOR_LANG_BASES).where(F.col("lang") != "de").select("lang", low.alias("floor_low"), high.alias("floor_high"), (F.col("k") / F.col("n")).alias("floor"))
+    apart = (F.col("high") < F.col("floor_low")) | (F.col("floor_high") < F.col("low"))
+    reading = F.when(F.col("floor").isNull(), "refused").when(~apart, "overlaps").when(F.col("rate") > F.col("floor"), "above").otherwise("below")
+    return rates.join(floor, "lang", "left").select("lang", F.round("rate", 6).alias("rate"), F.round("floor", 6).alias("floor"), reading.alias("reading"))
+
+
+def arm_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each arm: cases, met bands, quotations refused of those offered, and flags that agree with the label."""
+    mine = cases(spark, sf_dir).select("case_id", "arm", "gold", "got", "toxic")
+    placed = evidence.span_places(spark, sf_dir).select(F.col("claim_id").alias("case_id"), F.col("verdict").isin("wrong_document", "offset_mismatch", "unplaced").alias("refused"))
+    flagged = integrity.integrity_tiers(spark, sf_dir).select(F.col("id").alias("case_id"), (F.col("tier") != "clean").alias("flagged"))
+    joined = mine.join(placed, "case_id", "left").join(flagged, "case_id", "left")
+    by_arm = joined.groupBy("arm").agg(
+        F.count("*").alias("cases"), F.count("gold").alias("n_bands"), F.count_if(F.col("gold") == F.col("got")).alias("k_bands"), F.count("refused").alias("n_offered"), F.count_if("refused").alias("n_refused"),
+        F.count("flagged").alias("n_flags"), F.count_if(F.col("flagged") == (F.col("toxic") == 1)).alias("k_flags"),
+    )
+    rate = lambda k, n, name: F.round(share(F.col(k), F.col(n)), 6).alias(name)
+    return by_arm.select("arm", "cases", rate("k_bands", "n_bands", "band_accuracy"), "n_offered", rate("n_refused", "n_offered", "hallucination_rate"), rate("k_flags", "n_flags", "flag_accuracy"))
+
+
+def naive_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of the single-call arm read from raw text: fences stripped, outermost braces, JSON, and a known band.
+
+    Events stand for answers: some are fenced, some have words around them, some are cut off or name no band.
+    """
+    c, band = F.col("event_id"), F.element_at(F.array(*map(F.lit, ("advance", " HOLD ", "decline", "maybe"))), (F.col("event_id") % 4 + 1).cast("int"))
+    body = F.concat(F.lit('{"band": "'), band, F.lit('", "justification": "'), F.col("kind"), F.lit('"}'))
+    fence = F.concat(F.lit("```json\n"), body, F.lit("\n```"))
+    raw = F.when(c % 5 == 0, fence).when(c % 5 == 1, F.concat(F.lit("Answer: "), body, F.lit(" as asked."))).when(c % 5 == 2, F.substring(body, 1, 20)).when(c % 5 == 3, F.concat(F.lit("  "), body)).otherwise("no answer")
+    text = F.trim(raw)
+    inner = F.when(F.startswith(text, F.lit("```")), F.regexp_replace(F.split_part(text, F.lit("```"), F.lit(2)), "^json", "")).otherwise(text)
+    braces = F.regexp_extract(inner, r"(?s)\{.*\}", 0)
+    said = F.lower(F.trim(F.get_json_object(braces, "$.band")))
+    known = F.when(said.isin(*LADDER), said)
+    outcome = F.when(braces == "", "no_json").when(said.isNull(), "bad_json").when(known.isNull(), "unknown_band").otherwise("read")
+    return run_events(spark, sf_dir).groupBy(outcome.alias("outcome"), known.alias("band")).agg(F.count("*").alias("n"))
+
+
+#: Statuses in which a run waits for a person.
+HUMAN = ("needs_review", "structured")
+
+
+def human_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many runs of each policy wait for a person, of how many."""
+    return runs(spark, sf_dir).groupBy("policy").agg(F.count_if(F.col("status").isin(*HUMAN)).alias("k"), F.count("*").alias("n"))
+
+
+SETTINGS = ("arm-settings-1", "rubric-1", "prompts-1", "seed-7")
+
+
+def evaluation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each case with the fingerprint of its configuration: the settings and the arm, in a fixed order."""
+    mark = F.substring(F.sha2(F.concat_ws("|", *map(F.lit, SETTINGS), "arm"), 256), 1, 16)
+    return cases(spark, sf_dir).select("case_id", mark.alias("configuration"), "gold", "got", (F.col("gold") == F.col("got")).alias("met"))
+
+
+STATUSES = ("disabled", "empty_corpus", "no_matches", "embedding_failed", "applied")
+
+
+def calibration_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each hundredth vector what came of asking for similar cases, by the first that applies of the ladder.
+
+    No card of its label; all of them stale; a vector that says nothing; none similar enough; else applied. Every seventh query is
+    switched off.
+    """
+    cards = read_table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    asked = cards.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "label", F.col("e").alias("q"))
+    dot = F.aggregate(F.zip_with("e", "q", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    fresh = F.col("vec_id") % 10 != 5
+    scored = cards.join(asked, "label").where(F.col("vec_id") != F.col("query_id")).groupBy("query_id").agg(F.count("*").alias("considered"), F.count_if(~fresh).alias("stale"), F.count_if(fresh & (F.round(dot, 6) >= LEAST_SIMILAR)).alias("similar"))
+    c = lambda name: F.coalesce(name, F.lit(0))
+    status = F.when(F.col("query_id") % 700 == 0, "disabled").when(c("considered") == 0, "empty_corpus").when(c("considered") == c("stale"), "no_matches").when(~F.exists("q", lambda x: x != 0), "embedding_failed").when(c("similar") == 0, "no_matches").otherwise("applied")
+    return asked.join(scored, "query_id", "left").select("query_id", status.alias("status"), c("considered").alias("considered"), c("stale").alias("excluded_stale"))
+
+
+LEAST_SIMILAR = 0.05
 _LOW, _HIGH = wilson_sql("k", "n")
 
 QUERIES = {
@@ -128,6 +222,23 @@ QUERIES = {
         c AS (SELECT base, persona, ref, word, count(*) AS n FROM v WHERE word <> '' AND NOT list_contains(own, word) GROUP BY ALL), o AS (SELECT * FROM c WHERE NOT ref),
         b AS (SELECT base, p.persona, word, n AS m FROM c JOIN (SELECT DISTINCT base, persona FROM o) p USING (base) WHERE ref)
         SELECT base, persona, count(*) FILTER (coalesce(n, 0) <> coalesce(m, 0)) AS n_different, count(*) AS n_words FROM o FULL JOIN b USING (base, persona, word) GROUP BY ALL"""),
+    "flip_readings": (flip_readings, f"""WITH {_CASES}, b(base_count) AS (VALUES (50), ({FLOOR_LANG_BASES})),
+        p AS (SELECT base_count, x.lang, count(*) AS n, count(*) FILTER (x.got IS DISTINCT FROM y.got) AS k FROM b, cases x JOIN cases y ON x.lang = y.lang AND x.case_id < y.case_id WHERE x.case_id % base_count = y.case_id % base_count GROUP BY ALL),
+        i AS (SELECT *, k / n AS rate, {_LOW} AS low, {_HIGH} AS high FROM p), r AS (FROM i WHERE base_count = 50), f AS (FROM i WHERE base_count <> 50 AND lang <> 'de')
+        SELECT r.lang, round(r.rate, 6) AS rate, round(f.rate, 6) AS floor, CASE WHEN f.rate IS NULL THEN 'refused' WHEN NOT (r.high < f.low OR f.high < r.low) THEN 'overlaps' WHEN r.rate > f.rate THEN 'above' ELSE 'below' END AS reading FROM r LEFT JOIN f USING (lang)"""),
+    "arm_summary": (arm_summary, f"""WITH {_CASES}, {evidence._CLAIMS}, t AS ({integrity.QUERIES['integrity_tiers'][1]}), m AS (SELECT arm, gold, got, toxic, verdict IN ('wrong_document', 'offset_mismatch', 'unplaced') AS refused, tier <> 'clean' AS flagged FROM cases LEFT JOIN v ON claim_id = case_id LEFT JOIN t ON id = case_id)
+        SELECT arm, count(*) AS cases, round(count(*) FILTER (gold = got) / nullif(count(gold), 0), 6) AS band_accuracy, count(refused) AS n_offered, round(count(*) FILTER (refused) / nullif(count(refused), 0), 6) AS hallucination_rate,
+            round(count(*) FILTER (flagged = (toxic = 1)) / nullif(count(flagged), 0), 6) AS flag_accuracy FROM m GROUP BY arm"""),
+    "naive_answers": (naive_answers, f"""WITH {EVENTS}, b AS (SELECT event_id, '{{"band": "' || ['advance', ' HOLD ', 'decline', 'maybe'][event_id % 4 + 1] || '", "justification": "' || kind || '"}}' AS body FROM run_events),
+        w AS (SELECT trim(CASE event_id % 5 WHEN 0 THEN '```json' || chr(10) || body || chr(10) || '```' WHEN 1 THEN 'Answer: ' || body || ' as asked.' WHEN 2 THEN substring(body, 1, 20) WHEN 3 THEN '  ' || body ELSE 'no answer' END) AS t FROM b),
+        i AS (SELECT regexp_extract(CASE WHEN starts_with(t, '```') THEN regexp_replace(string_split(t, '```')[2], '^json', '') ELSE t END, '\\{{.*\\}}', 0, 's') AS j FROM w), s AS (SELECT j, CASE WHEN json_valid(j) THEN lower(trim(json_extract_string(j, '$.band'))) END AS said FROM i)
+        SELECT CASE WHEN j = '' THEN 'no_json' WHEN said IS NULL THEN 'bad_json' WHEN said NOT IN {LADDER} THEN 'unknown_band' ELSE 'read' END AS outcome, CASE WHEN said IN {LADDER} THEN said END AS band, count(*) AS n FROM s GROUP BY ALL"""),
+    "human_touches": (human_touches, f"WITH {RUNS} SELECT policy, count(*) FILTER (status IN {HUMAN}) AS k, count(*) AS n FROM runs GROUP BY policy"),
+    "evaluation_rows": (evaluation_rows, f"WITH {_CASES} SELECT case_id, substring(sha256(concat_ws('|', '{"', '".join(SETTINGS)}', arm)), 1, 16) AS configuration, gold, got, gold = got AS met FROM cases"),
+    "calibration_statuses": (calibration_statuses, f"""WITH a AS (SELECT vec_id AS query_id, label, embedding AS q FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, count(*) AS considered, count(*) FILTER (vec_id % 10 = 5) AS stale,
+            count(*) FILTER (vec_id % 10 <> 5 AND round(list_dot_product(embedding::DOUBLE[], q::DOUBLE[]), 6) >= {LEAST_SIMILAR}) AS n_similar FROM embeddings JOIN a USING (label) WHERE vec_id <> query_id GROUP BY query_id)
+        SELECT query_id, CASE WHEN query_id % 700 = 0 THEN 'disabled' WHEN considered IS NULL THEN 'empty_corpus' WHEN considered = stale THEN 'no_matches' WHEN len(list_filter(q, lambda x: x <> 0)) = 0 THEN 'embedding_failed' WHEN n_similar = 0 THEN 'no_matches' ELSE 'applied' END AS status,
+            coalesce(considered, 0) AS considered, coalesce(stale, 0) AS excluded_stale FROM a LEFT JOIN s USING (query_id)"""),
     "flip_rate": (flip_rate, f"""WITH {_CASES}, p AS (SELECT a.lang, count(*) AS n, count(*) FILTER (a.got IS DISTINCT FROM b.got) AS k, sum(abs(a.got - b.got)) AS d, max(abs(a.got - b.got))::INT AS largest FROM cases a JOIN cases b ON a.lang = b.lang AND a.case_id % 50 = b.case_id % 50 AND a.case_id < b.case_id GROUP BY a.lang)
         SELECT lang, n, k, round({_LOW}, 6) AS low, round({_HIGH}, 6) AS high, round(d / n, 6) AS mean_difference, largest FROM p"""),
 }
