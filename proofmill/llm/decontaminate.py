@@ -42,23 +42,21 @@ def masks_for(size: int) -> tuple[tuple[int, ...], ...]:
     return MASKS if size >= STRETCH else MASKS + MORE_MASKS
 
 
-def seeds(rows: DataFrame, keys: list[str], masks: tuple[tuple[int, ...], ...], exact: bool) -> DataFrame:
-    """``keys``, (at, seed): a hash for each place of ``words`` and each mask.
+def seeds(rows: DataFrame, keys: list[str], masks: tuple[tuple[int, ...], ...]) -> DataFrame:
+    """``keys``, (at, seed): a hash for each place of ``words`` and each mask that fits there.
 
-    ``exact`` leaves out places where a mask does not fit. On the other side of the join that is not worth its time: what a
-    mask finds beyond the end is null, so its hash meets one of whole places by chance only, and hits are verified.
+    Each place becomes a row with the codes of the words from it on, so hashing is compiled code and not a lambda.
     """
-    rows = rows.select(*keys, F.transform("words", lambda w: F.xxhash64(w)).alias("codes"))
-    last = F.size("codes") - 1 - min(mask[-1] for mask in masks)
-    places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    span = 1 + max(mask[-1] for mask in masks)
+    rows = rows.select(*keys, F.transform("words", lambda w: F.xxhash64(w)).alias("w0"))
+    ahead = [F.slice("w0", k + 1, F.greatest(F.size("w0") - k, F.lit(0))).alias(f"w{k}") for k in range(1, span)]
+    places = rows.select(*keys, F.posexplode(F.arrays_zip("w0", *ahead)).alias("at", "w")).select(*keys, "at", *(F.col(f"w.w{k}").alias(f"w{k}") for k in range(span)))
 
-    def hashed(i: Column, mask: tuple[int, ...]) -> Column:
-        seed = F.xxhash64(F.lit((MASKS + MORE_MASKS).index(mask) if mask in MASKS + MORE_MASKS else 100 + len(mask)), *(F.get("codes", i + k) for k in mask))
-        return F.struct(i.alias("at"), (F.when(i + mask[-1] < F.size("codes"), seed) if exact else seed).alias("seed"))
+    def hashed(mask: tuple[int, ...]) -> Column:
+        number = (MASKS + MORE_MASKS).index(mask) if mask in MASKS + MORE_MASKS else 100 + len(mask)
+        return F.when(F.col(f"w{mask[-1]}").isNotNull(), F.xxhash64(F.lit(number), *(F.col(f"w{k}") for k in mask)))
 
-    every = F.flatten(F.transform(places, lambda i: F.array(*(hashed(i, mask) for mask in masks))))
-    found = rows.select(*keys, F.explode(every).alias("s")).select(*keys, "s.at", "s.seed")
-    return found.where(F.col("seed").isNotNull()) if exact else found
+    return places.select(*keys, "at", F.explode(F.array(*map(hashed, masks))).alias("seed")).where(F.col("seed").isNotNull())
 
 
 def aligned(hits: DataFrame) -> DataFrame:
@@ -85,12 +83,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     if not kinds:
         return docs.select(F.col(id_col), *(F.lit(None).cast(t).alias(c) for c, t in (("item_id", benchmark.schema["item_id"].dataType), ("start", "long"), ("n_words", "long"), ("n_equal", "long"), ("similarity", "double")))).where("false")
     used = tuple(dict.fromkeys(mask for k in kinds for mask in masks_for(k)))
-    index = reduce(DataFrame.unionAll, (seeds(items.where(kind == k), ["item_id"], masks_for(k), exact=True) for k in kinds))
+    index = reduce(DataFrame.unionAll, (seeds(items.where(kind == k), ["item_id"], masks_for(k)) for k in kinds))
     index = index.distinct().select("item_id", F.col("at").alias("item_at"), "seed")
     few = index.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
     texts = docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
     keyed = lambda rows: rows.select("own", "hash", words_of(F.col("text")).alias("words"))
-    hits = seeds(keyed(texts), ["own", "hash"], used, exact=False).join(F.broadcast(index) if few else index, "seed")
+    hits = seeds(keyed(texts), ["own", "hash"], used).join(F.broadcast(index) if few else index, "seed")
     hits = hits.select(F.col("own").alias("hit_own"), F.col("hash").alias("hit_hash"), "item_id", (F.col("at") - F.col("item_at")).alias("start")).distinct()
     hits = scratch.materialize(hits, "hits")
     # Only texts with a hit are cut into words again and shuffled.
