@@ -63,17 +63,19 @@ def _lowered(word: Column) -> Column:
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """(key, cls, rel): for each block the words that a template of its class has, each once."""
+    """(key, cls, rel): for each block the words that any template has, each once."""
+    vocabulary = sorted({w for *_, words, _ in _sets() for w in words})
+    least = F.lit(min(t for *_, t in _sets()))
     parts = docs.select("key", F.explode(F.split(F.lower("text"), PARAGRAPH)).alias("part")).select("key", split_words(F.col("part"), GAP).alias("words"))
+    # Words of no template become null in place, so blocks are plain slices.
+    parts = parts.where(F.size("words") >= least).select("key", F.transform("words", lambda w: F.when(w.isin(vocabulary), w)).alias("words"))
 
     def windows(k: int) -> Column:
-        vocabulary = sorted({w for _, cls, _, words, _ in _sets() if cls == k for w in words})
         starts = F.sequence(F.lit(0), F.greatest(F.size("words") - REACH[k] - 1, F.lit(0)), F.lit(REACH[k]))
-        rel = lambda s: F.array_distinct(F.filter(F.slice("words", s + 1, F.lit(2 * REACH[k])), lambda w: w.isin(vocabulary)))
+        rel = lambda s: F.array_compact(F.array_distinct(F.slice("words", s + 1, F.lit(2 * REACH[k]))))
         return F.transform(starts, lambda s: F.struct(F.lit(k).alias("cls"), rel(s).alias("rel")))
 
-    least = F.lit(min(t for *_, t in _sets()))
-    every = parts.where(F.size("words") >= least).select("key", F.explode(F.concat(*(windows(k) for k in range(len(CLASSES))))).alias("b"))
+    every = parts.select("key", F.explode(F.concat(*(windows(k) for k in range(len(CLASSES))))).alias("b"))
     return every.select("key", "b.cls", "b.rel").where(F.size("rel") >= least)
 
 
