@@ -24,8 +24,8 @@ def document_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def content_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For 200 sets of documents the hash of their sorted hashes and the configuration. Sets are by id modulo a fixed number of candidates."""
-    hashed = read_table(spark, sf_dir, "documents").select((F.col("doc_id") % 200).alias("candidate"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    """For each candidate the hash of the sorted hashes of its documents and the configuration; a candidate has five documents."""
+    hashed = read_table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 5).alias("candidate"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
     parts = F.concat_ws("\x1f", F.array_join(F.array_sort(F.collect_list("sha")), "\x1f"), *map(F.lit, CONFIG))
     return hashed.groupBy("candidate").agg(F.sha2(parts, 256).alias("content_key"))
 
@@ -55,7 +55,7 @@ def intake(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def capped_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C4: of each candidate's documents, the first eight by id."""
-    docs = read_table(spark, sf_dir, "documents").select((F.col("doc_id") % 100).alias("candidate"), "doc_id")
+    docs = read_table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 20).alias("candidate"), "doc_id")
     nth = F.row_number().over(Window.partitionBy("candidate").orderBy("doc_id"))
     return docs.withColumn("nth", nth).where(F.col("nth") <= 8).select("candidate", "doc_id", F.col("nth").cast("bigint").alias("nth"))
 
@@ -188,12 +188,12 @@ def extraction_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "document_hashes": (document_hashes, "SELECT sha256(coalesce(text, '')) AS sha256, min(doc_id) AS first_id, count(*) AS n_copies, max(octet_length(encode(coalesce(text, ''))))::BIGINT AS n_bytes FROM documents GROUP BY 1"),
-    "content_keys": (content_keys, f"""SELECT doc_id % 200 AS candidate, sha256(concat_ws(chr(31), string_agg(sha, chr(31) ORDER BY sha), {", ".join(f"'{c}'" for c in CONFIG)})) AS content_key
+    "content_keys": (content_keys, f"""SELECT doc_id // 5 AS candidate, sha256(concat_ws(chr(31), string_agg(sha, chr(31) ORDER BY sha), {", ".join(f"'{c}'" for c in CONFIG)})) AS content_key
         FROM (SELECT doc_id, sha256(coalesce(text, '')) AS sha FROM documents) GROUP BY 1"""),
     "intake": (intake, f"""WITH {fixtures.sql("f", FILES_SCHEMA, FILES)}, k AS (SELECT *, CASE WHEN starts_with(head, '4D5A') OR starts_with(head, '7F454C46') THEN NULL WHEN starts_with(head, '255044462D') THEN 'pdf' WHEN starts_with(head, '504B0304') THEN 'docx' ELSE 'text' END AS kind, lower(name) AS l FROM f)
         SELECT file_id, kind, CASE WHEN l LIKE '%cover%' OR l LIKE '%letter%' THEN 'cover_letter' WHEN l LIKE '%portfolio%' OR l LIKE '%work%' THEN 'portfolio' WHEN l LIKE '%cv%' OR l LIKE '%resume%' THEN 'cv' ELSE 'other' END AS role,
         CASE WHEN n_bytes > 10000000 THEN 'too_large' WHEN kind IS NULL THEN 'unsupported_type' WHEN pages > 30 THEN 'too_many_pages' WHEN chars < 50 THEN 'too_short' END AS refused FROM k"""),
-    "capped_documents": (capped_documents, "SELECT doc_id % 100 AS candidate, doc_id, row_number() OVER (PARTITION BY doc_id % 100 ORDER BY doc_id) AS nth FROM documents QUALIFY nth <= 8"),
+    "capped_documents": (capped_documents, "SELECT doc_id // 20 AS candidate, doc_id, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id) AS nth FROM documents QUALIFY nth <= 8"),
     "normal_texts": (normal_texts, f"WITH {SOURCES} SELECT id, sha256({T.normalised_sql('text')}) AS normal, sha256({T.folded_sql('text')}) AS folded FROM src"),
     "mapped_texts": (mapped_texts, None),
     "redactions": (redactions, None),

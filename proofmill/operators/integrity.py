@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofmill import fixtures
-from proofmill.tables import read_table
+from proofmill.tables import read_table, spread
 
 #: Patterns that address a model; one is enough.
 SYSTEM = (
@@ -58,72 +58,91 @@ def near_pattern(pattern: str) -> str:
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the literal rows as (id, text)."""
-    return read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").unionAll(fixtures.texts(spark))
+    return spread(read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")).unionAll(fixtures.texts(spark))
 
 
 SOURCES = f"{fixtures.TEXTS_SQL}, src AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT fx_id, text FROM fx)"
 
 
-def finding(detector: str, severity: Column | str, confidence: Column | float) -> list[Column]:
+def finding(when: Column, detector: str, severity: Column | str, confidence: Column | float) -> Column:
+    """A finding where ``when`` holds, else null."""
     level = F.lit(severity) if isinstance(severity, str) else severity
     sure = F.lit(confidence) if isinstance(confidence, float) else confidence
-    return [F.lit(detector).alias("detector"), level.alias("severity"), sure.cast("double").alias("confidence")]
+    return F.when(when, F.struct(F.lit(detector).alias("detector"), level.alias("severity"), sure.cast("double").alias("confidence")))
 
 
-def instructions(texts: DataFrame) -> DataFrame:
-    """Text that instructs a reader. A cheap test drops nearly all texts before each pattern is counted."""
-    any_of = F.regexp_like("text", F.lit("(?im)" + "|".join(f"(?:{p})" for p in (*SYSTEM, *IMPERATIVES))))
-    flag = lambda p: F.when(F.regexp_like("text", F.lit(f"(?im){p}")), 1).otherwise(0)
-    system = sum((flag(p) for p in SYSTEM), F.lit(0))
-    near = sum((flag(near_pattern(p)) for p in IMPERATIVES), F.lit(0))
-    hit = texts.where(any_of).select("id", system.alias("s"), near.alias("n")).where((F.col("s") > 0) | (F.col("n") > 0))
-    severity = F.when((F.col("s") > 0) | (F.col("n") > 1), "high").otherwise("medium")
-    return hit.select("id", *finding("instructions", severity, F.when(F.col("s") > 0, 0.9).when(F.col("n") > 1, 0.8).otherwise(0.55)))
+def instruction_counts(text: Column) -> tuple[Column, Column]:
+    """How many system and imperative patterns a text has; a cheap test spares nearly all texts the count of each pattern."""
+    any_of = F.regexp_like(text, F.lit("(?im)" + "|".join(f"(?:{p})" for p in (*SYSTEM, *IMPERATIVES))))
+    flag = lambda p: F.when(F.regexp_like(text, F.lit(f"(?im){p}")), 1).otherwise(0)
+    every = lambda patterns: F.when(any_of, sum(map(flag, patterns), F.lit(0))).otherwise(0)
+    return every(SYSTEM), every([near_pattern(p) for p in IMPERATIVES])
 
 
-def role_tokens(texts: DataFrame) -> DataFrame:
+def instructions(system: Column, near: Column) -> Column:
+    """Text that instructs a reader, by the counts of its patterns."""
+    severity = F.when((system > 0) | (near > 1), "high").otherwise("medium")
+    return finding((system > 0) | (near > 0), "instructions", severity, F.when(system > 0, 0.9).when(near > 1, 0.8).otherwise(0.55))
+
+
+def role_tokens(text: Column) -> Column:
     """Delimiters of chats."""
-    return texts.where(F.regexp_like("text", F.lit("(?im)" + "|".join(f"(?:{p})" for p in ROLE_TOKENS)))).select("id", *finding("role_tokens", "high", 0.95))
+    return finding(F.regexp_like(text, F.lit("(?im)" + "|".join(f"(?:{p})" for p in ROLE_TOKENS))), "role_tokens", "high", 0.95)
 
 
-def hidden_characters(texts: DataFrame) -> DataFrame:
+def hidden_characters(text: Column) -> Column:
     """Characters that hide text; counted on the raw text."""
-    count = F.length("text") - F.length(F.regexp_replace("text", "[" + HIDDEN + r"\x{E0000}-\x{E007F}]", ""))
-    return texts.where(count > 0).select("id", *finding("hidden_characters", "medium", 0.7))
+    count = F.length(text) - F.length(F.regexp_replace(text, "[" + HIDDEN + r"\x{E0000}-\x{E007F}]", ""))
+    return finding(count > 0, "hidden_characters", "medium", 0.7)
 
 
-def mixed_scripts(texts: DataFrame) -> DataFrame:
+def mixed_scripts(text: Column) -> Column:
     """A word of three letters or more with Latin and Cyrillic or Greek letters."""
     word = r"(?U)\b(?=\w{3})(?=\w*\p{IsLatin})(?=\w*[\p{IsCyrillic}\p{IsGreek}])\w+"
-    return texts.where(F.regexp_like("text", F.lit(word))).select("id", *finding("mixed_scripts", "medium", 0.75))
+    return finding(F.regexp_like(text, F.lit(word)), "mixed_scripts", "medium", 0.75)
 
 
-def repetition(texts: DataFrame, most: int = 6) -> DataFrame:
-    """A three-word phrase more than six times. Words are a-z, three letters or more.
+def repetition(phrases: Column, most: int = 6) -> Column:
+    """A three-word phrase more than six times, of the phrases of a text.
 
-    Counted within the row: no phrase leaves its text, so nothing is shuffled.
+    Counted within the row: no phrase leaves its text, so nothing is shuffled. Texts with few repeated phrases are not counted.
     """
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))
-    after = lambda k: F.slice(words, k, F.greatest(F.size(words), F.lit(1)))
-    triples = F.filter(F.arrays_zip(words.alias("a"), after(2).alias("b"), after(3).alias("c")), lambda x: x["c"].isNotNull())
-    phrases = F.array_sort(F.transform(triples, lambda x: F.concat_ws(" ", x["a"], x["b"], x["c"])))
 
     def count(acc: Column, phrase: Column) -> Column:
         run = F.when(acc["last"] == phrase, acc["run"] + 1).otherwise(1)
         return F.struct(phrase.alias("last"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
 
     first = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
-    longest = F.aggregate(phrases, first, count, lambda acc: acc["best"])
-    return texts.where(longest > most).select("id", *finding("repetition", "low", 0.6))
+    longest = F.aggregate(F.array_sort(phrases), first, count, lambda acc: acc["best"])
+    repeated = F.size(phrases) - F.size(F.array_distinct(phrases)) >= most
+    return finding(F.when(repeated, longest > most).otherwise(False), "repetition", "low", 0.6)
+
+
+def three_word_phrases(words: Column) -> Column:
+    """Each three words in turn, whatever lies between them in the text."""
+    after = lambda k: F.slice(words, k, F.greatest(F.size(words), F.lit(1)))
+    zipped = F.arrays_zip(words.alias("a"), after(2).alias("b"), after(3).alias("c"))
+    phrases = F.transform(zipped, lambda x: F.concat(x["a"], F.lit(" "), x["b"], F.lit(" "), x["c"]))
+    return F.array_compact(phrases)
+
+
+def found_in(texts: DataFrame) -> DataFrame:
+    """(id, found): the findings of all text detectors as an array, in one pass over the texts.
+
+    What several expressions need is a column first, so it is computed once. Words are a-z, three letters or more.
+    """
+    system, near = instruction_counts(F.col("text"))
+    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 3)
+    counted = texts.select("id", "text", system.alias("s"), near.alias("n"), words.alias("words"))
+    phrased = counted.select("id", "text", "s", "n", three_word_phrases(F.col("words")).alias("phrases"))
+    each = [detect(F.col("text")) for detect in (role_tokens, hidden_characters, mixed_scripts)]
+    return phrased.select("id", F.array_compact(F.array(instructions(F.col("s"), F.col("n")), *each, repetition(F.col("phrases")))).alias("found"))
 
 
 def findings(texts: DataFrame) -> DataFrame:
     """All findings of the text detectors in one schema (id, detector, severity, confidence)."""
-    parts = [detect(texts) for detect in (instructions, role_tokens, hidden_characters, mixed_scripts, repetition)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    # An inner explode would have the optimiser test the array beforehand, and so find everything twice.
+    return found_in(texts).select("id", F.explode_outer("found").alias("f")).where(F.col("f").isNotNull()).select("id", "f.*")
 
 
 def text_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,9 +162,10 @@ def tiers(found: DataFrame, everything: DataFrame) -> DataFrame:
 
 
 def integrity_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tier of every text."""
-    texts = sources(spark, sf_dir)
-    return tiers(findings(texts), texts)
+    """The tier of every text, from its own findings: nothing is joined or shuffled."""
+    sure = F.exists("found", lambda f: (f["severity"] == "high") & (f["confidence"] >= QUARANTINE_AT))
+    some = F.exists("found", lambda f: f["severity"] != "low")
+    return found_in(sources(spark, sf_dir)).select("id", F.when(sure, "quarantine").when(some, "suspect").otherwise("clean").alias("tier"))
 
 
 def worst_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +218,8 @@ def render_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = lambda t: F.regexp_extract_all(F.lower(t), F.lit("[a-z0-9]+"), F.lit(0))
     sides = pages.select("page_id", raw.alias("raw"), F.array_distinct(words(shown)).alias("seen"))
     sentences = sides.select("page_id", "seen", F.explode(F.split("raw", r"[.!?\n]+")).alias("s")).select("page_id", "seen", F.trim("s").alias("s"), words(F.col("s")).alias("w"))
-    known = F.size(F.filter("w", lambda x: F.array_contains("seen", x)))
+    sentences = sentences.withColumn("new", F.array_except("w", "seen"))
+    known = F.size("w") - F.size(F.filter("w", lambda x: F.array_contains("new", x)))
     missing = sentences.where((F.size("w") >= 4) & (known < 0.6 * F.size("w"))).groupBy("page_id").agg(F.count("*").alias("n_sentences"), F.sum(F.length("s")).alias("n_chars"))
     return missing.where(F.col("n_chars") >= 60)
 

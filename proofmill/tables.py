@@ -8,3 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The table ``name`` below ``folder``; any path that Spark's readers can open."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """``frame`` over all cores: a small file of one row group is one task, and work on its texts would use one core. Larger tables stay as they are."""
+    wanted = frame.sparkSession.sparkContext.defaultParallelism
+    return frame if frame._jdf.rdd().getNumPartitions() >= wanted else frame.repartition(wanted)
