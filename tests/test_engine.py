@@ -206,3 +206,23 @@ def test_evidence_verdicts_and_sweep(spark, data):
         assert checked[i]["accepted"] == checked[i]["verdict"].startswith("fuzzy")
     swept = evidence.threshold_sweep(spark, data).orderBy("threshold").collect()
     assert len(swept) == 16 and [r["kept"] for r in swept] == sorted((r["kept"] for r in swept), reverse=True) and sum(r["chosen"] for r in swept) <= 1
+
+
+def test_scanned_numbers_and_addresses(spark, data, tmp_path):
+    """Numbers and addresses by line against plain patterns; reserved ones, and texts that declare invented ones, are left out."""
+    from proofmill.operators import extraction
+
+    texts = [
+        (1, "mail kim@corp.io or a@example.com\nring +49 30 1234 5678 9012\n(212) 123-4567"), (2, "555-0123 and (212) 123-4567\n020 7946 0958"), (3, f"# {extraction.MARKER}\nkim@corp.io"),
+        (4, None), (5, "x\n" * 45 + extraction.MARKER + "\nann@host.dev ann@host.dev b@c.test 0123 456 7890"),
+    ]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {(r["id"], r["line"], r["address"], r["n"]) for r in extraction.found_addresses(spark, str(tmp_path)).collect() if r["id"] > 0}
+    assert found == {(1, 1, "kim@corp.io", 1), (5, 47, "ann@host.dev", 2)}
+    want = set()
+    for i, text in texts:
+        for at, line in enumerate((text or "").split("\n"), 1):
+            if extraction.MARKER not in (text or "")[:200] and not any(re.search(p, line, re.A) for p in extraction.FICTIONAL):
+                want |= {(i, at, k) for k, p in enumerate(extraction.NUMBERS) if re.search(p, line, re.A)}
+    got = {(r["id"], r["line"], r["shape"]) for r in extraction.found_numbers(spark, str(tmp_path)).collect() if r["id"] > 0}
+    assert got == want and {(1, 2, 0), (1, 3, 1), (5, 47, 2)} <= want
