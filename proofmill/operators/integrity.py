@@ -49,11 +49,42 @@ HIDDEN = "​‌‍⁠﻿‪‫‬‭‮⁦⁧⁨⁩­"
 RANKS = {"low": 1, "medium": 2, "high": 3}
 QUARANTINE_AT = 0.75
 _WORDS = r"\b(?:" + "|".join(ADDRESSING) + r")\b"
+#: The names of hidden characters, in the order of HIDDEN, and of the tag block.
+HIDDEN_NAMES = (
+    "zero-width space",
+    "zero-width non-joiner",
+    "zero-width joiner",
+    "word joiner",
+    "zero-width no-break space",
+    "left-to-right embedding",
+    "right-to-left embedding",
+    "pop directional formatting",
+    "left-to-right override",
+    "right-to-left override",
+    "left-to-right isolate",
+    "right-to-left isolate",
+    "first strong isolate",
+    "pop directional isolate",
+    "soft hyphen",
+)
+TAGS = r"\x{E0000}-\x{E007F}"
+#: What an excerpt shows: characters before a hit, after the start of an instruction or a role mark, and at most.
+BEFORE, AFTER_INSTRUCTION, AFTER_ROLE, EXCERPT = 40, 200, 160, 240
+#: White space of any script; an excerpt is one line.
+SPACES = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
 def near_pattern(pattern: str) -> str:
-    """An imperative with an addressing word within reach on either side."""
-    return f"(?:{_WORDS}[\\s\\S]{{0,{NEAR}}}(?:{pattern})|(?:{pattern})[\\s\\S]{{0,{NEAR}}}{_WORDS})"
+    """An imperative with an addressing word within NEAR characters of its start, on either side, the word inside as a whole.
+
+    A word that ends or begins just where the reach does counts whatever follows or precedes it there.
+    """
+    before, after = [], []
+    for size in sorted({len(w) for w in ADDRESSING}):
+        words, room = "(?:" + "|".join(w for w in ADDRESSING if len(w) == size) + ")", NEAR - size
+        before += [rf"\b{words}\b[\s\S]{{0,{room}}}", rf"{words}\b[\s\S]{{{room}}}"]
+        after += [rf"[\s\S]{{0,{room}}}\b{words}\b", rf"[\s\S]{{{room}}}\b{words}"]
+    return f"(?={pattern})(?:(?<={'|'.join(before)})|(?={'|'.join(after)}))(?:{pattern})"
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,58 +95,89 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 SOURCES = f"{fixtures.TEXTS_SQL}, src AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT fx_id, text FROM fx)"
 
 
-def finding(when: Column, detector: str, severity: Column | str, confidence: Column | float) -> Column:
+def finding(when: Column, detector: str, severity: Column | str, confidence: Column | float, excerpt: Column) -> Column:
     """A finding where ``when`` holds, else null."""
     level = F.lit(severity) if isinstance(severity, str) else severity
     sure = F.lit(confidence) if isinstance(confidence, float) else confidence
-    return F.when(when, F.struct(F.lit(detector).alias("detector"), level.alias("severity"), sure.cast("double").alias("confidence")))
+    line = F.trim(F.regexp_replace(excerpt, SPACES, " "))
+    short = F.when(F.length(line) <= EXCERPT, line).otherwise(F.concat(F.substring(line, 1, EXCERPT - 1), F.lit("…")))
+    return F.when(when, F.struct(F.lit(detector).alias("detector"), level.alias("severity"), sure.cast("double").alias("confidence"), short.alias("excerpt")))
+
 
+def first_places(text: Column, patterns: list[str] | tuple[str, ...]) -> Column:
+    """Of the patterns that match, in their order, the place of each one's first match, from 0."""
+    place = lambda p: F.when(F.regexp_like(text, p), F.length(F.element_at(F.split(text, p, 2), 1)))
+    return F.array_compact(F.transform(F.array(*(F.lit(f"(?im){p}") for p in patterns)), place))
 
-def instruction_counts(text: Column) -> tuple[Column, Column]:
-    """How many system and imperative patterns a text has; a cheap test spares nearly all texts the count of each pattern."""
+
+def around(text: Column, place: Column, after: int) -> Column:
+    """The text about a hit."""
+    start = F.greatest(place - BEFORE, F.lit(0))
+    return F.substring(text, start + 1, place + after - start)
+
+
+def instruction_places(text: Column) -> tuple[Column, Column]:
+    """Places of the system and imperative patterns of a text; a cheap test spares nearly all texts the search for each pattern."""
     any_of = F.regexp_like(text, F.lit("(?im)" + "|".join(f"(?:{p})" for p in (*SYSTEM, *IMPERATIVES))))
-    flag = lambda p: F.when(F.regexp_like(text, F.lit(f"(?im){p}")), 1).otherwise(0)
-    every = lambda patterns: F.when(any_of, sum(map(flag, patterns), F.lit(0))).otherwise(0)
+    every = lambda patterns: F.when(any_of, first_places(text, patterns)).otherwise(F.array().cast("array<int>"))
     return every(SYSTEM), every([near_pattern(p) for p in IMPERATIVES])
 
 
-def instructions(system: Column, near: Column) -> Column:
-    """Text that instructs a reader, by the counts of its patterns."""
-    severity = F.when((system > 0) | (near > 1), "high").otherwise("medium")
-    return finding((system > 0) | (near > 0), "instructions", severity, F.when(system > 0, 0.9).when(near > 1, 0.8).otherwise(0.55))
+def instructions(text: Column, system: Column, near: Column) -> Column:
+    """Text that instructs a reader, by the places of its patterns; the excerpt is about the earliest, system patterns first."""
+    s, n = F.size(system), F.size(near)
+    severity = F.when((s > 0) | (n > 1), "high").otherwise("medium")
+    first = F.coalesce(F.array_min(system), F.array_min(near))
+    return finding((s > 0) | (n > 0), "instructions", severity, F.when(s > 0, 0.9).when(n > 1, 0.8).otherwise(0.55), around(text, first, AFTER_INSTRUCTION))
 
 
 def role_tokens(text: Column) -> Column:
-    """Delimiters of chats."""
-    return finding(F.regexp_like(text, F.lit("(?im)" + "|".join(f"(?:{p})" for p in ROLE_TOKENS))), "role_tokens", "high", 0.95)
+    """Delimiters of chats; the excerpt is about the first delimiter of the list that is there."""
+    found = F.regexp_like(text, F.lit("(?im)" + "|".join(f"(?:{p})" for p in ROLE_TOKENS)))
+    return finding(found, "role_tokens", "high", 0.95, around(text, F.get(first_places(text, ROLE_TOKENS), F.lit(0)), AFTER_ROLE))
 
 
 def hidden_characters(text: Column) -> Column:
-    """Characters that hide text; counted on the raw text."""
-    count = F.length(text) - F.length(F.regexp_replace(text, "[" + HIDDEN + r"\x{E0000}-\x{E007F}]", ""))
-    return finding(count > 0, "hidden_characters", "medium", 0.7)
+    """Characters that hide text, counted by name on the raw text; the most frequent first, then as they come."""
+    classes = [*zip(HIDDEN, HIDDEN_NAMES, strict=True), (TAGS, "tag character")]
+    named = F.array(*(F.struct(F.lit(f"[{c}]").alias("c"), F.lit(name).alias("name")) for c, name in classes))
+    counted = F.transform(
+        named,
+        lambda x: F.struct(
+            (F.length(F.regexp_replace(text, x["c"], "")) - F.length(text)).alias("less"),
+            F.length(F.element_at(F.split(text, x["c"], 2), 1)).alias("place"),
+            x["name"].alias("name"),
+        ),
+    )
+    listed = F.transform(F.array_sort(F.filter(counted, lambda x: x["less"] < 0)), lambda x: F.concat(x["name"], F.lit(" ("), -x["less"], F.lit(")")))
+    excerpt = F.concat(F.lit("invisible characters present: "), F.array_join(listed, ", "))
+    return finding(F.regexp_like(text, F.lit(f"[{HIDDEN}{TAGS}]")), "hidden_characters", "medium", 0.7, excerpt)
 
 
 def mixed_scripts(text: Column) -> Column:
-    """A word of three letters or more with Latin and Cyrillic or Greek letters."""
+    """Words of three letters or more with Latin and Cyrillic or Greek letters; the first eight by code point are named."""
     word = r"(?U)\b(?=\w{3})(?=\w*\p{IsLatin})(?=\w*[\p{IsCyrillic}\p{IsGreek}])\w+"
-    return finding(F.regexp_like(text, F.lit(word)), "mixed_scripts", "medium", 0.75)
+    words = F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(word), F.lit(0)))), 1, 8)
+    return finding(F.regexp_like(text, F.lit(word)), "mixed_scripts", "medium", 0.75, F.concat(F.lit("mixed-script words: "), F.array_join(words, ", ")))
 
 
 def repetition(phrases: Column, most: int = 6) -> Column:
-    """A three-word phrase more than six times, of the phrases of a text.
+    """A three-word phrase more than six times, of the phrases of a text; the most frequent is named, of equals the first.
 
     Counted within the row: no phrase leaves its text, so nothing is shuffled. Texts with few repeated phrases are not counted.
     """
 
     def count(acc: Column, phrase: Column) -> Column:
         run = F.when(acc["last"] == phrase, acc["run"] + 1).otherwise(1)
-        return F.struct(phrase.alias("last"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
+        sooner = (run == acc["best"]) & (run > most) & (F.array_position(phrases, phrase) < F.array_position(phrases, acc["name"]))
+        better = (run > acc["best"]) | sooner
+        return F.struct(phrase.alias("last"), run.alias("run"), F.greatest(acc["best"], run).alias("best"), F.when(better, phrase).otherwise(acc["name"]).alias("name"))
 
-    first = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
-    longest = F.aggregate(F.array_sort(phrases), first, count, lambda acc: acc["best"])
+    first = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"), F.lit("").alias("name"))
+    longest = F.aggregate(F.array_sort(phrases), first, count)
     repeated = F.size(phrases) - F.size(F.array_distinct(phrases)) >= most
-    return finding(F.when(repeated, longest > most).otherwise(False), "repetition", "low", 0.6)
+    # The longest run is named once for the test and the excerpt.
+    return F.get(F.transform(F.array(F.when(repeated, longest)), lambda x: finding(x["best"] > most, "repetition", "low", 0.6, F.concat(F.lit('"'), x["name"], F.lit('" appears '), x["best"], F.lit(" times")))), F.lit(0))
 
 
 def three_word_phrases(words: Column) -> Column:
@@ -131,16 +193,16 @@ def found_in(texts: DataFrame) -> DataFrame:
 
     What several expressions need is a column first, so it is computed once. Words are a-z, three letters or more.
     """
-    system, near = instruction_counts(F.col("text"))
+    system, near = instruction_places(F.col("text"))
     words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 3)
     counted = texts.select("id", "text", system.alias("s"), near.alias("n"), words.alias("words"))
     phrased = counted.select("id", "text", "s", "n", three_word_phrases(F.col("words")).alias("phrases"))
     each = [detect(F.col("text")) for detect in (role_tokens, hidden_characters, mixed_scripts)]
-    return phrased.select("id", F.array_compact(F.array(instructions(F.col("s"), F.col("n")), *each, repetition(F.col("phrases")))).alias("found"))
+    return phrased.select("id", F.array_compact(F.array(instructions(F.col("text"), F.col("s"), F.col("n")), *each, repetition(F.col("phrases")))).alias("found"))
 
 
 def findings(texts: DataFrame) -> DataFrame:
-    """All findings of the text detectors in one schema (id, detector, severity, confidence)."""
+    """All findings of the text detectors in one schema (id, detector, severity, confidence, excerpt)."""
     # An inner explode would have the optimiser test the array beforehand, and so find everything twice.
     return found_in(texts).select("id", F.explode_outer("found").alias("f")).where(F.col("f").isNotNull()).select("id", "f.*")
 
@@ -218,9 +280,9 @@ def render_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = lambda t: F.regexp_extract_all(F.lower(t), F.lit("[a-z0-9]+"), F.lit(0))
     sides = pages.select("page_id", raw.alias("raw"), F.array_distinct(words(shown)).alias("seen"))
     sentences = sides.select("page_id", "seen", F.explode(F.split("raw", r"[.!?\n]+")).alias("s")).select("page_id", "seen", F.trim("s").alias("s"), words(F.col("s")).alias("w"))
-    sentences = sentences.withColumn("new", F.array_except("w", "seen"))
-    known = F.size("w") - F.size(F.filter("w", lambda x: F.array_contains("new", x)))
-    missing = sentences.where((F.size("w") >= 4) & (known < 0.6 * F.size("w"))).groupBy("page_id").agg(F.count("*").alias("n_sentences"), F.sum(F.length("s")).alias("n_chars"))
+    # Bound as a lambda's variable, the new words of a sentence are found once, not again for each word.
+    unknown = F.get(F.transform(F.array(F.array_except("w", "seen")), lambda new: F.size(F.filter("w", lambda x: F.array_contains(new, x)))), F.lit(0))
+    missing = sentences.where((F.size("w") >= 4) & (F.size("w") - unknown < 0.6 * F.size("w"))).groupBy("page_id").agg(F.count("*").alias("n_sentences"), F.sum(F.length("s")).alias("n_chars"))
     return missing.where(F.col("n_chars") >= 60)
 
 
@@ -229,16 +291,32 @@ def _re2(pattern: str) -> str:
 
 
 _ANY = lambda bank: "|".join(f"(?:{p})" for p in bank)
-_SUM = lambda bank: " + ".join(f"regexp_matches(text, '{_re2(p)}', 'im')::INT" for p in bank)
-_NEAR = [near_pattern(p) for p in IMPERATIVES]
-_FOUND = f"""{SOURCES}, i AS (SELECT id, {_SUM(SYSTEM)} AS s, {_SUM(_NEAR)} AS n FROM src WHERE regexp_matches(text, '{_re2(_ANY((*SYSTEM, *IMPERATIVES)))}', 'im')),
-g AS (SELECT id, unnest(list_transform(range(1, len(w) - 1), lambda k: array_to_string(w[k : k + 2], ' '))) AS p FROM (SELECT id, regexp_extract_all(lower(text), '[a-z]{{3,}}') AS w FROM src) WHERE len(w) >= 3),
+_SPLIT = lambda p: f"string_split_regex(text, '(?im){_re2(p)}')"
+_PLACE = lambda p: f"CASE WHEN regexp_matches(text, '{_re2(p)}', 'im') THEN length({_SPLIT(p)}[1]) END"
+_PLACES = lambda bank: "list_filter([" + ", ".join(map(_PLACE, bank)) + "], lambda x: x IS NOT NULL)"
+#: All places of an imperative that have an addressing word in the text cut out about them; the least of them.
+_NEAR_PLACE = lambda p: (
+    f"list_min(list_filter(list_transform(range(1, len({_SPLIT(p)})), lambda k: list_sum(list_transform({_SPLIT(p)}[1:k], lambda x: length(x)))"
+    f" + coalesce(list_sum(list_transform(regexp_extract_all(text, '(?im){_re2(p)}')[1:k - 1], lambda x: length(x))), 0)),"
+    f" lambda spot: regexp_matches(substring(text, greatest(spot - {NEAR}, 0)::BIGINT + 1, least(spot, {NEAR})::BIGINT + {NEAR}), '{_WORDS}', 'i')))"
+)
+_NEAR_PLACES = "list_filter([" + ", ".join(map(_NEAR_PLACE, IMPERATIVES)) + "], lambda x: x IS NOT NULL)"
+_AROUND = lambda at, after: f"substring(text, greatest({at} - {BEFORE}, 0)::BIGINT + 1, (least({at}, {BEFORE}) + {after})::BIGINT)"
+_MARKS = ", ".join(f"('{c if c == TAGS else f'\\x{{{ord(c):X}}}'}', '{name}')" for c, name in [*zip(HIDDEN, HIDDEN_NAMES, strict=True), (TAGS, "tag character")])
+_FOUND = f"""{SOURCES}, i AS (SELECT id, text, {_PLACES(SYSTEM)} AS s, {_NEAR_PLACES} AS n FROM src WHERE regexp_matches(text, '{_re2(_ANY((*SYSTEM, *IMPERATIVES)))}', 'im')),
+g AS (SELECT id, unnest(list_transform(range(1, len(w) - 1), lambda k: (k, array_to_string(w[k : k + 2], ' ')))) AS p FROM (SELECT id, regexp_extract_all(lower(text), '[a-z]{{3,}}') AS w FROM src) WHERE len(w) >= 3),
+gc AS (SELECT id, p[2] AS phrase, count(*) AS c, min(p[1]) AS k FROM g GROUP BY ALL HAVING count(*) > 6),
 w AS (SELECT id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{Nd}}_]{{3,}}')) AS word FROM src),
-f AS (SELECT id, 'instructions' AS detector, CASE WHEN s > 0 OR n > 1 THEN 'high' ELSE 'medium' END AS severity, CASE WHEN s > 0 THEN 0.9 WHEN n > 1 THEN 0.8 ELSE 0.55 END::DOUBLE AS confidence FROM i WHERE s > 0 OR n > 0
-UNION ALL SELECT id, 'role_tokens', 'high', 0.95 FROM src WHERE regexp_matches(text, '{_re2(_ANY(ROLE_TOKENS))}', 'im')
-UNION ALL SELECT id, 'hidden_characters', 'medium', 0.7 FROM src WHERE regexp_matches(text, '[{"".join(f"\\x{{{ord(c):X}}}" for c in HIDDEN)}\\x{{E0000}}-\\x{{E007F}}]')
-UNION ALL SELECT DISTINCT id, 'mixed_scripts', 'medium', 0.75 FROM w WHERE regexp_matches(word, '\\p{{Latin}}') AND regexp_matches(word, '\\p{{Cyrillic}}|\\p{{Greek}}')
-UNION ALL SELECT DISTINCT id, 'repetition', 'low', 0.6 FROM (SELECT id, p FROM g GROUP BY ALL HAVING count(*) > 6))"""
+m(c, name) AS (VALUES {_MARKS}),
+h AS (SELECT id, name, len(regexp_extract_all(text, '[' || c || ']')) AS n, length(string_split_regex(text, '[' || c || ']')[1]) AS k FROM src, m WHERE regexp_matches(text, '[' || c || ']')),
+f0 AS (SELECT id, 'instructions' AS detector, CASE WHEN len(s) > 0 OR len(n) > 1 THEN 'high' ELSE 'medium' END AS severity, CASE WHEN len(s) > 0 THEN 0.9 WHEN len(n) > 1 THEN 0.8 ELSE 0.55 END::DOUBLE AS confidence,
+    {_AROUND("coalesce(list_min(s), list_min(n))", AFTER_INSTRUCTION)} AS excerpt FROM i WHERE len(s) > 0 OR len(n) > 0
+UNION ALL SELECT id, 'role_tokens', 'high', 0.95, {_AROUND(_PLACES(ROLE_TOKENS) + "[1]", AFTER_ROLE)} FROM src WHERE regexp_matches(text, '{_re2(_ANY(ROLE_TOKENS))}', 'im')
+UNION ALL SELECT id, 'hidden_characters', 'medium', 0.7, 'invisible characters present: ' || string_agg(name || ' (' || n || ')', ', ' ORDER BY n DESC, k) FROM h GROUP BY id
+UNION ALL SELECT id, 'mixed_scripts', 'medium', 0.75, 'mixed-script words: ' || array_to_string(list_sort(list(DISTINCT word))[1:8], ', ') FROM w WHERE regexp_matches(word, '\\p{{Latin}}') AND regexp_matches(word, '\\p{{Cyrillic}}|\\p{{Greek}}') GROUP BY id
+UNION ALL SELECT id, 'repetition', 'low', 0.6, '"' || arg_max(phrase, (c, -k)) || '" appears ' || max(c) || ' times' FROM gc GROUP BY id),
+f1 AS (SELECT * REPLACE (trim(regexp_replace(excerpt, '{SPACES}', ' ', 'g'), ' ') AS excerpt) FROM f0),
+f AS (SELECT * REPLACE (CASE WHEN length(excerpt) <= {EXCERPT} THEN excerpt ELSE substring(excerpt, 1, {EXCERPT - 1}) || '…' END AS excerpt) FROM f1)"""
 _TIER = f"""{_FOUND}, t AS (SELECT id, max(CASE WHEN severity = 'high' AND confidence >= {QUARANTINE_AT} THEN 2 WHEN severity <> 'low' THEN 1 ELSE 0 END) AS t FROM f GROUP BY id),
 tier AS (SELECT id, coalesce(t, 0) AS rank FROM src LEFT JOIN t USING (id))"""
 
