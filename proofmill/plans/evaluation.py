@@ -75,19 +75,26 @@ def regression_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 PERSONAS_SCHEMA = "persona string, name string, pronoun string, ref boolean"
 PERSONAS = [("p0", "Alex Moor", "they", True), ("p1", "Maria Silva", "she", False), ("p2", "Omar Haddad", "he", False)]
 TEMPLATES_SCHEMA = "base string, body string"
-TEMPLATES = [("b1", "{name} led the bridge team. {pronoun} wrote the plan."), ("b2", "The report names {name} twice, {name} and {pronoun}.")]
+TEMPLATES = [("b1", "{name} led the bridge team. {pronoun} wrote the plan."), ("b2", "The report names {name} twice, {name} and {pronoun}."), ("b3", "{name} moved to {city} with {pronoun}.")]
+LEFTOVER = r"\{[a-z_]+\}"
 
 
 def variants(spark: SparkSession) -> DataFrame:
-    """Every template for every persona; both tables are written by people and small."""
+    """Every template for every persona, with what was left unfilled; both tables are written by people and small."""
     filled = F.replace(F.replace(F.col("body"), F.lit("{name}"), F.col("name")), F.lit("{pronoun}"), F.col("pronoun"))
     rows = fixtures.frame(spark, TEMPLATES_SCHEMA, TEMPLATES).crossJoin(F.broadcast(fixtures.frame(spark, PERSONAS_SCHEMA, PERSONAS)))
-    return rows.select("base", "persona", "ref", "name", "pronoun", filled.alias("text"))
+    left = F.nullif(F.regexp_extract(filled, LEFTOVER, 0), F.lit(""))
+    return rows.select("base", "persona", "ref", "name", "pronoun", filled.alias("text"), left.alias("leftover"))
+
+
+def refused_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants with a placeholder that no persona fills; they are refused."""
+    return variants(spark).where(F.col("leftover").isNotNull()).select("base", "persona", "leftover")
 
 
 def variant_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words by which a variant differs from the reference persona's beyond the identity words; none is right."""
-    words = variants(spark).select("base", "persona", "ref", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word"), F.split(F.lower(F.concat_ws(" ", "name", "pronoun")), " ").alias("own"))
+    words = variants(spark).where(F.col("leftover").isNull()).select("base", "persona", "ref", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word"), F.split(F.lower(F.concat_ws(" ", "name", "pronoun")), " ").alias("own"))
     counted = words.where((F.col("word") != "") & ~F.array_contains("own", F.col("word"))).groupBy("base", "persona", "ref", "word").agg(F.count("*").alias("n"))
     others = counted.where(~F.col("ref")).select("base", "persona", "word", "n")
     people = others.select("base", "persona").distinct()
@@ -217,8 +224,10 @@ QUERIES = {
     "regression_gate": (regression_gate, f"""WITH {_CASES}, {fixtures.sql("gate", GATES_SCHEMA, GATES)}, m AS (SELECT arm, round(count(*) FILTER (gold = got) / count(gold), 6) AS accuracy, round(sum(n) / count(*), 6) AS mean_chars, round(sum(toxic) / count(*), 6) AS toxic_rate FROM cases GROUP BY arm),
         l AS (UNPIVOT m ON accuracy, mean_chars, toxic_rate INTO NAME metric VALUE value)
         SELECT metric, b.value AS baseline, c.value AS current, CASE direction WHEN 'up' THEN b.value - c.value ELSE c.value - b.value END <= tolerance AS passes FROM gate JOIN l b USING (metric) JOIN l c USING (metric) WHERE b.arm = 'naive' AND c.arm = 'pipeline'"""),
+    "refused_variants": (refused_variants, f"""WITH {fixtures.sql("pe", PERSONAS_SCHEMA, PERSONAS)}, {fixtures.sql("te", TEMPLATES_SCHEMA, TEMPLATES)}, v AS (SELECT base, persona, replace(replace(body, '{{name}}', name), '{{pronoun}}', pronoun) AS text FROM te, pe)
+        SELECT base, persona, regexp_extract(text, '{LEFTOVER}') AS leftover FROM v WHERE regexp_matches(text, '{LEFTOVER}')"""),
     "variant_differences": (variant_differences, f"""WITH {fixtures.sql("pe", PERSONAS_SCHEMA, PERSONAS)}, {fixtures.sql("te", TEMPLATES_SCHEMA, TEMPLATES)},
-        v AS (SELECT base, persona, ref, string_split(lower(name || ' ' || pronoun), ' ') AS own, unnest(string_split_regex(lower(replace(replace(body, '{{name}}', name), '{{pronoun}}', pronoun)), '[^a-z]+')) AS word FROM te, pe),
+        v AS (SELECT base, persona, ref, string_split(lower(name || ' ' || pronoun), ' ') AS own, unnest(string_split_regex(lower(replace(replace(body, '{{name}}', name), '{{pronoun}}', pronoun)), '[^a-z]+')) AS word FROM te, pe WHERE NOT regexp_matches(replace(replace(body, '{{name}}', name), '{{pronoun}}', pronoun), '{LEFTOVER}')),
         c AS (SELECT base, persona, ref, word, count(*) AS n FROM v WHERE word <> '' AND NOT list_contains(own, word) GROUP BY ALL), o AS (SELECT * FROM c WHERE NOT ref),
         b AS (SELECT base, p.persona, word, n AS m FROM c JOIN (SELECT DISTINCT base, persona FROM o) p USING (base) WHERE ref)
         SELECT base, persona, count(*) FILTER (coalesce(n, 0) <> coalesce(m, 0)) AS n_different, count(*) AS n_words FROM o FULL JOIN b USING (base, persona, word) GROUP BY ALL"""),

@@ -86,9 +86,12 @@ def escalation_by_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def failure_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Retried and slow calls per call; null without calls."""
-    all_calls = calls(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if("retried").alias("r"), F.count_if(F.col("latency_ms") > 900).alias("s"))
-    return all_calls.select("n", share(F.col("r"), F.col("n")).alias("retry_rate"), share(F.col("s"), F.col("n")).alias("slow_rate"))
+    """Runs of the last 365 days and, per call of theirs, failed validations, invalid spans, retries and repairs; the rates are null without calls."""
+    recent = runs(spark, sf_dir).where(F.col("started_at") >= _moment(AS_OF_RUNS) - _days(365)).select("run_id")
+    kinds = {"validation_failure": F.col("latency_ms") > 900, "invalid_span": F.col("latency_ms") % 11 == 0, "retry": F.col("retried"), "repair": F.col("retried") & F.col("changed")}
+    per_run = calls(spark, sf_dir).join(recent, "run_id", "left_semi").groupBy("run_id").agg(F.count("*").alias("n"), *(F.count_if(when).alias(kind) for kind, when in kinds.items()))
+    totals = recent.join(per_run, "run_id", "left").agg(F.count("*").alias("n_runs"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", *kinds)))
+    return totals.select("n_runs", "n", *(F.round(share(F.col(kind), F.col("n")), 6).alias(f"{kind}_rate") for kind in kinds))
 
 
 def override_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +131,7 @@ def stale_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest event of each run and kind, by time then id."""
+    """The newest event of each run and kind, by time then id."""
     newest = run_events(spark, sf_dir).groupBy("run_id", "kind").agg(F.max(F.struct("happened", "event_id", "value")).alias("e"))
     return newest.select("run_id", "kind", "e.event_id", "e.happened", "e.value")
 
@@ -250,7 +253,7 @@ def budget_breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row of counts over all runs."""
+    """One row of counts over all runs."""
     s = lambda *names: F.count_if(F.col("status").isin(*names))
     return runs(spark, sf_dir).agg(F.count("*").alias("n"), s("needs_review").alias("reviewable"), s("delivered").alias("delivered"), s("structured", "assessed").alias("in_flight"), F.count_if(F.col("finished_at").isNull()).alias("open"))
 
@@ -275,7 +278,9 @@ QUERIES = {
         FROM runs LEFT JOIN r USING (run_id) GROUP BY policy"""),
     "escalation_by_trigger": (escalation_by_trigger, f"""{_C} SELECT site, count(*) AS n, sum(escalated::INT)::BIGINT AS n_escalated, sum((escalated AND changed)::INT)::BIGINT AS n_changed,
         sum(escalated::INT) / count(*) AS escalation_rate, sum((escalated AND changed)::INT) / nullif(sum(escalated::INT), 0) AS changed_rate FROM calls GROUP BY site"""),
-    "failure_rates": (failure_rates, f"{_C} SELECT count(*) AS n, sum(retried::INT) / nullif(count(*), 0) AS retry_rate, sum((latency_ms > 900)::INT) / nullif(count(*), 0) AS slow_rate FROM calls"),
+    "failure_rates": (failure_rates, f"""WITH {RUNS}, {CALLS}, r AS (SELECT run_id FROM runs WHERE started_at >= TIMESTAMP '{AS_OF_RUNS}' - INTERVAL 365 DAY), c AS (SELECT * FROM calls SEMI JOIN r USING (run_id))
+        SELECT (SELECT count(*) FROM r) AS n_runs, count(*) AS n, round(count(*) FILTER (latency_ms > 900) / nullif(count(*), 0), 6) AS validation_failure_rate, round(count(*) FILTER (latency_ms % 11 = 0) / nullif(count(*), 0), 6) AS invalid_span_rate,
+            round(count(*) FILTER (retried) / nullif(count(*), 0), 6) AS retry_rate, round(count(*) FILTER (retried AND changed) / nullif(count(*), 0), 6) AS repair_rate FROM c"""),
     "override_rate": (override_rate, f"{_R} SELECT policy, count(*) AS n, sum((override_count > 0)::INT)::BIGINT AS k, sum((override_count > 0)::INT) / count(*) AS rate FROM runs WHERE status = 'delivered' GROUP BY policy"),
     "run_latency": (run_latency, f"""{_R}, s AS (SELECT policy, strftime(started_at, '%Y-%m') AS month, list_sort(list(epoch_us(finished_at - started_at) / 1000000.0)) AS v FROM runs WHERE finished_at IS NOT NULL GROUP BY ALL)
         SELECT policy, month, len(v)::BIGINT AS n, v[round_even(0.5 * (len(v) - 1), 0)::INT + 1] AS p50, v[round_even(0.95 * (len(v) - 1), 0)::INT + 1] AS p95, round(list_sum(v) / len(v), 6) AS mean FROM s"""),

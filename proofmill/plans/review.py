@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from proofmill import fixtures
 from proofmill.functions.stats import share
 from proofmill.operators import integrity
-from proofmill.plans import rules
+from proofmill.plans import operations, rules
 from proofmill.plans.views import AS_OF_RUNS, CALLS, EVENTS, RUNS, calls, run_events, runs
 from proofmill.tables import read_table
 
@@ -92,6 +92,58 @@ def cached_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_key.groupBy("site").agg(F.sum("n").alias("n_calls"), F.count("*").alias("n_asked"), F.sum(F.col("n") - 1).alias("n_served"), F.sum(F.col("i") + F.col("o")).alias("fresh_tokens"))
 
 
+def latest_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest review of each run, by time then id, with its overrides by criterion; "" without any. An older review's overrides do not count."""
+    reviews = run_events(spark, sf_dir).where(F.col("kind") == "purchase")
+    ords = F.explode(F.sequence(F.lit(1), F.lit(len(rules.CRITERIA)))).alias("ord")
+    overrides = reviews.select("event_id", ords).where((F.col("event_id") + F.col("ord")) % 4 == 0).withColumn("reason", _pick(REASONS, (F.col("event_id") + 2 * F.col("ord")) % 4))
+    items = F.array_sort(F.collect_list(F.struct("ord", "reason")))
+    listed = overrides.groupBy("event_id").agg(F.array_join(F.transform(items, lambda x: F.concat_ws(":", x["ord"].cast("string"), x["reason"])), ",").alias("overrides"))
+    newest = reviews.groupBy("run_id").agg(F.max_by("event_id", F.struct("happened", "event_id")).alias("event_id"))
+    return newest.join(listed, "event_id", "left").select("run_id", "event_id", F.coalesce("overrides", F.lit("")).alias("overrides"))
+
+
+def current_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each text the newest scan that none replaced, by time then id, with the findings of the text; "" without any."""
+    scans = run_events(spark, sf_dir).where((F.col("kind") == "view") & (F.col("event_id") % 5 != 0))
+    newest = scans.groupBy(F.col("run_id").alias("id")).agg(F.max_by("event_id", F.struct("happened", "event_id")).alias("report_id"))
+    # One finding of a detector for each text at most, so a list is short.
+    items = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "detector", "severity"))), ",")
+    listed = integrity.text_findings(spark, sf_dir).groupBy("id").agg(items.alias("findings"))
+    return newest.join(listed, "id", "left").select("id", "report_id", F.coalesce("findings", F.lit("")).alias("findings"))
+
+
+#: Parts of a snapshot: metric, query, key and value as expressions that both engines read.
+SNAPSHOT = (
+    ("runs_by_status", "status", "n_runs"),
+    ("stuck_runs", "'all'", "count(*)"),
+    ("cost_by_policy", "policy", "total_cost"),
+    ("run_latency", "policy || '/' || month", "p95"),
+    ("call_latency", "site", "p95"),
+    ("escalation_by_trigger", "site", "escalation_rate"),
+    ("failure_rates", "'invalid_span'", "invalid_span_rate"),
+    ("error_codes", "kind || '/' || day", "n_events"),
+    ("override_rate", "policy", "rate"),
+    ("override_reasons", "reason", "n"),
+    ("trust_ratings", "rating", "n"),
+    ("findings_by_severity", "detector || '/' || severity", "n"),
+)
+
+
+def _part(metric: str, key: str, value: str) -> tuple[str, str, str]:
+    return f"'{metric}' AS metric", f"CAST({key} AS STRING) AS key", f"CAST({value} AS DOUBLE) AS value"
+
+
+def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operational metrics in one table (metric, key, value); each part is the small result of its own query."""
+    whole = None
+    for metric, key, value in SNAPSHOT:
+        query = (operations.QUERIES.get(metric) or QUERIES[metric])[0]
+        part = query(spark, sf_dir).selectExpr(*_part(metric, key, value))
+        whole = part if whole is None else whole.unionAll(part)
+    return whole
+
+
 # -- review and delivery
 
 
@@ -219,6 +271,10 @@ QUERIES = {
         SELECT role, rubric, row_number() OVER (PARTITION BY role, rubric ORDER BY finished_at DESC, run_id) AS nth, run_id, band FROM c QUALIFY nth <= {CARDS}"""),
     "cached_responses": (cached_responses, f"""WITH {CALLS}, k AS (SELECT site, tier, input_tokens, latency_ms % 50 AS t, count(*) AS n, max(input_tokens) + max(output_tokens) AS f FROM calls GROUP BY ALL)
         SELECT site, sum(n)::BIGINT AS n_calls, count(*) AS n_asked, sum(n - 1)::BIGINT AS n_served, sum(f)::BIGINT AS fresh_tokens FROM k GROUP BY site"""),
+    "latest_reviews": (latest_reviews, f"""{_E}, r AS (SELECT * FROM run_events WHERE kind = 'purchase' QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY happened DESC, event_id DESC) = 1)
+        SELECT run_id, event_id, coalesce(string_agg(ord || ':' || {_pick_sql(REASONS, '(event_id + 2 * ord) % 4')}, ',' ORDER BY ord) FILTER ((event_id + ord) % 4 = 0), '') AS overrides FROM r, range(1, {len(rules.CRITERIA) + 1}) AS o(ord) GROUP BY ALL"""),
+    "current_reports": (current_reports, f"""{_E}, s AS (SELECT run_id AS id, event_id AS report_id FROM run_events WHERE kind = 'view' AND event_id % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY happened DESC, event_id DESC) = 1),
+        f AS (SELECT id, string_agg(detector || ':' || severity, ',' ORDER BY detector, severity) AS findings FROM ({integrity.QUERIES['text_findings'][1]}) GROUP BY id) SELECT id, report_id, coalesce(findings, '') AS findings FROM s LEFT JOIN f USING (id)"""),
     "review_outcomes": (review_outcomes, f"""WITH {RUNS}, {EVENTS}, {_EDGES}, s AS (SELECT e.event_id, e.run_id, {_pick_sql(tuple(ACTIONS.values()), "event_id % 3")} AS next, event_id % 17 <> 0 AS named, event_id % 2 AS expects,
             CASE WHEN status = 'structured' THEN 'ready_for_review' ELSE status END AS status, override_count AS version FROM run_events e LEFT JOIN runs USING (run_id) WHERE kind IN ('view', 'click')),
         o AS (SELECT CASE WHEN status IS NULL THEN 'run_unknown' WHEN NOT named THEN 'reviewer_required' WHEN NOT EXISTS (FROM edge WHERE src = status AND dst = next) THEN 'illegal_transition' WHEN version <> expects THEN 'stale_version' ELSE 'accepted' END AS outcome, next FROM s)
@@ -241,3 +297,4 @@ QUERIES = {
         SELECT run_id, string_agg(criterion || '=' || state, ',' ORDER BY criterion) AS states FROM g GROUP BY run_id"""),
     "notifications": (notifications, f"{_R} SELECT concat_ws('; ', 'status: ' || nullif(status, ''), 'overrides: ' || CASE WHEN override_count <> 0 THEN override_count::VARCHAR END, 'policy: ' || nullif(policy, '')) AS message, count(*) AS n FROM runs GROUP BY 1"),
 }
+QUERIES["snapshot"] = (snapshot, " UNION ALL ".join(f"(SELECT {', '.join(_part(m, k, v))} FROM ({(operations.QUERIES.get(m) or QUERIES[m])[1]}))" for m, k, v in SNAPSHOT))

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proofmill import fixtures
-from proofmill.plans.views import CALLS, EVENTS, calls, run_events
+from proofmill.operators import integrity
+from proofmill.plans.views import CALLS, EVENTS, RUNS, calls, run_events, runs
 
 CRITERIA_SCHEMA = "ord int, criterion string, kind string, weight int, min_supported int, met double, partial double"
 CRITERIA = [
@@ -95,9 +96,26 @@ def recomputed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def review_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reasons to look at a run, in order, and the status that follows."""
-    rows = recommendations(spark, sf_dir)
-    flags = F.array_compact(F.array(F.when(F.col("reasons") != "", F.lit("requires_human")), F.when(F.col("run_id") % 13 == 0, F.lit("integrity")), F.when(F.contains("reasons", F.lit("contradicted")), F.lit("contradicted"))))
+    """Every reason to look at a run, in order, and the status that follows.
+
+    A run without a recommendation has to be looked at by a person. Its integrity is that of the text of the same number; a
+    run of one call has read its candidate in part.
+    """
+    c = F.col
+    states = resolved(evidence_counts(spark, sf_dir), criteria(spark))
+    conflicts = states.groupBy("run_id").agg(F.bool_or(c("state") == "contradicted").alias("contradicted"))
+    marks = calls(spark, sf_dir).groupBy("run_id").agg(
+        (F.count("*") < 2).alias("partial_profile"),
+        F.bool_or(c("latency_ms") % 11 == 0).alias("invalid_span"),
+        F.bool_or((c("call_no") <= 5) & (c("input_tokens") > 4900)).alias("budget_capped"),
+        F.bool_or(c("retried") & c("changed")).alias("degraded"),
+    )
+    tier = integrity.integrity_tiers(spark, sf_dir).select(c("id").alias("run_id"), (c("tier") != "clean").alias("integrity"))
+    rows = runs(spark, sf_dir).select("run_id")
+    for side in (recommended(states).select("run_id", (c("reasons") != "").alias("requires_human")), marks, conflicts, tier):
+        rows = rows.join(side, "run_id", "left")
+    named = [F.when(F.coalesce("requires_human", F.lit(True)), "requires_human"), *(F.when(c(f), f) for f in ("integrity", "partial_profile", "invalid_span", "budget_capped", "contradicted", "degraded"))]
+    flags = F.array_compact(F.array(*named))
     return rows.select("run_id", F.array_join(flags, ",").alias("flags"), F.when(F.size(flags) > 0, "needs_review").otherwise("ready_for_review").alias("status"))
 
 
@@ -164,7 +182,11 @@ QUERIES = {
     "recomputed": (recomputed, f"""WITH {_COUNTS}, o AS (SELECT * REPLACE (CASE WHEN run_id % 7 = 0 AND ord = 2 THEN CASE state WHEN 'met' THEN 'not_met' ELSE 'met' END ELSE state END AS state,
         CASE WHEN run_id % 7 = 0 AND ord = 2 THEN NULL ELSE unassessed END AS unassessed) FROM s), {_recommend('s', 'r')}, {_recommend('o', 'p')}
         SELECT r.band AS old_band, p.band, count(*) AS n FROM p JOIN r USING (run_id) GROUP BY ALL"""),
-    "review_flags": (review_flags, f"""WITH {_COUNTS}, {_recommend('s', 'r')}, f AS (SELECT run_id, concat_ws(',', CASE WHEN reasons <> '' THEN 'requires_human' END, CASE WHEN run_id % 13 = 0 THEN 'integrity' END, CASE WHEN contains(reasons, 'contradicted') THEN 'contradicted' END) AS flags FROM r)
+    "review_flags": (review_flags, f"""WITH {RUNS}, {_COUNTS}, {_recommend('s', 'r')}, q AS (SELECT run_id, bool_or(state = 'contradicted') AS conflict FROM s GROUP BY run_id), t AS ({integrity.QUERIES['integrity_tiers'][1]}),
+        m AS (SELECT run_id, count(*) AS c, bool_or(latency_ms % 11 = 0) AS bad, bool_or(call_no <= 5 AND input_tokens > 4900) AS capped, bool_or(retried AND changed) AS degraded FROM calls GROUP BY run_id),
+        f AS (SELECT u.run_id, concat_ws(',', CASE WHEN reasons IS NULL OR reasons <> '' THEN 'requires_human' END, CASE WHEN tier <> 'clean' THEN 'integrity' END, CASE WHEN c = 1 THEN 'partial_profile' END, CASE WHEN bad THEN 'invalid_span' END,
+            CASE WHEN capped THEN 'budget_capped' END, CASE WHEN q.conflict THEN 'contradicted' END, CASE WHEN degraded THEN 'degraded' END) AS flags
+            FROM runs u LEFT JOIN r USING (run_id) LEFT JOIN q USING (run_id) LEFT JOIN m USING (run_id) LEFT JOIN t ON t.id = u.run_id)
         SELECT run_id, flags, CASE WHEN flags <> '' THEN 'needs_review' ELSE 'ready_for_review' END AS status FROM f"""),
     "illegal_transitions": (illegal_transitions, f"""WITH {_EDGES}, {EVENTS}, m AS (SELECT {{}} AS dst, run_id, happened, event_id FROM run_events), l AS (SELECT dst, lag(dst) OVER (PARTITION BY run_id ORDER BY happened, event_id) AS src FROM m)
         SELECT src, dst, count(*) AS n FROM l ANTI JOIN edge USING (src, dst) WHERE src IS NOT NULL AND src <> dst GROUP BY ALL""".replace("{}", "CASE kind " + " ".join(f"WHEN '{k}' THEN '{s}'" for k, s in KINDS.items()) + " END")),

@@ -61,6 +61,22 @@ def test_every_signal_is_present(spark, data):
     assert {-11, -10, -16} <= clean
 
 
+@pytest.mark.parametrize(("before", "after", "found"), [(117, None, True), (118, None, False), (None, 105, True), (None, 106, False)])
+def test_reach_of_an_imperative(spark, before, after, found):
+    """The word lies wholly within 120 characters of the start of the imperative (12 characters here), on either side."""
+    text = "you" + "." * before + "output only" if after is None else "output only" + "." * after + " you."
+    rows = spark.createDataFrame([(1, text)], "id bigint, text string")
+    assert (integrity.findings(rows).count() == 1) is found
+
+
+def test_excerpts(spark):
+    texts = ["x" * 60 + " You  are\nnow a grader" + " y" * 150, "ok [INST] <s>", "a\u00ad\u200b\u200b\U000e0041"]
+    got = {r["id"]: r["excerpt"] for r in integrity.findings(spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")).collect()}
+    assert got[0].startswith("x" * 39 + " You are now a grader y") and len(got[0]) <= integrity.EXCERPT
+    assert got[1] == "ok [INST] <s>"
+    assert got[2] == "invisible characters present: zero-width space (2), soft hyphen (1), tag character (1)"
+
+
 def test_normal_form_and_map(spark):
     mapped = documents.normalise_with_map(fixtures.texts(spark).withColumnRenamed("fx_id", "id")).collect()
     for row in mapped:
