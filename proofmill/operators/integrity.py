@@ -238,34 +238,57 @@ def worst_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("source").agg(F.max(rank).alias("rank"), F.count_if(F.col("tier") != "clean").alias("n_flagged"))
 
 
-#: Spans of a rendered page: id, length of stripped text, font size, opacity, colour distance to the background, box, page box, behind an image.
-SPANS_SCHEMA = "span_id bigint, chars int, font double, alpha double, contrast double, x0 double, y0 double, x1 double, y1 double, w double, h double, behind boolean"
+#: Spans of a rendered page: id, length of stripped text, font size, opacity, colour and background (red, green, blue), box, visible box, behind an image.
+SPANS_SCHEMA = "span_id bigint, chars int, font double, alpha double, r double, g double, b double, br double, bg double, bb double, x0 double, y0 double, x1 double, y1 double, vx0 double, vy0 double, vx1 double, vy1 double, behind boolean"
+_INK, _NEAR_WHITE, _PAPER, _BOX, _PAGE = (0.0, 0.0, 0.1), (1.0, 0.92, 0.95), (1.0, 1.0, 1.0), (10.0, 10.0, 90.0, 20.0), (0.0, 0.0, 600.0, 800.0)
 SPANS = [
-    (1, 40, 11.0, 1.0, 0.08, 10.0, 10.0, 90.0, 20.0, 600.0, 800.0, False),
-    (2, 39, 11.0, 1.0, 0.0, 10.0, 10.0, 90.0, 20.0, 600.0, 800.0, False),
-    (3, 50, 2.9, 1.0, 0.9, 10.0, 10.0, 90.0, 20.0, 600.0, 800.0, False),
-    (4, 50, 3.0, 1.0, 0.9, 10.0, 10.0, 90.0, 20.0, 600.0, 800.0, False),
-    (5, 60, 11.0, 0.04, 0.9, 10.0, 10.0, 90.0, 20.0, 600.0, 800.0, False),
-    (6, 60, 11.0, 1.0, 0.9, 610.0, 10.0, 690.0, 20.0, 600.0, 800.0, False),
-    (7, 60, 11.0, 1.0, 0.9, 600.0, 10.0, 690.0, 20.0, 600.0, 800.0, False),
-    (8, 60, 11.0, 1.0, 0.9, 10.0, 10.0, 90.0, 20.0, 600.0, 800.0, True),
+    (1, 40, 11.0, 1.0, *_NEAR_WHITE, *_PAPER, *_BOX, *_PAGE, False),
+    (2, 39, 11.0, 1.0, *_PAPER, *_PAPER, *_BOX, *_PAGE, False),
+    (3, 50, 2.9, 1.0, *_INK, *_PAPER, *_BOX, *_PAGE, False),
+    (4, 50, 3.0, 1.0, 1.0, 1.0, 0.9, *_PAPER, *_BOX, *_PAGE, False),
+    (5, 60, 11.0, 0.04, *_INK, *_PAPER, *_BOX, *_PAGE, False),
+    (6, 60, 11.0, 1.0, *_INK, *_PAPER, 610.0, 10.0, 690.0, 20.0, *_PAGE, False),
+    (7, 60, 11.0, 1.0, *_INK, *_PAPER, 600.0, 10.0, 690.0, 20.0, *_PAGE, False),
+    (8, 60, 11.0, 1.0, *_INK, *_PAPER, *_BOX, *_PAGE, True),
+    (9, 60, 11.0, 1.0, *_INK, *_PAPER, *_BOX, 0.0, 30.0, 600.0, 800.0, False),
+    (10, 60, None, None, None, None, None, None, None, None, None, None, None, None, None, None, None, None, False),
 ]
+LEAST_RUN, INVISIBLE_ALPHA, LEAST_CONTRAST, LEAST_FONT = 40, 0.05, 0.08, 3.0
 
 
 def hidden_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of 40 characters or more in the background's colour, under 3 points, or off the page."""
-    rows = fixtures.frame(spark, SPANS_SCHEMA, SPANS).where(F.col("chars") >= 40)
+    """Spans of 40 characters or more in the background's colour, under 3 points, or out of the visible box or behind an image.
+
+    Contrast is the largest difference of a channel, to six places. What a span does not say hides nothing.
+    """
     c = F.col
-    off = (c("x1") < 0) | (c("x0") > c("w")) | (c("y1") < 0) | (c("y0") > c("h")) | c("behind")
-    kinds = F.array_compact(F.array(F.when((c("alpha") < 0.05) | (c("contrast") <= 0.08), F.lit("colour")), F.when(c("font") < 3, F.lit("size")), F.when(off, F.lit("off_page"))))
-    return rows.select("span_id", F.explode(kinds).alias("kind"))
+    rows = fixtures.frame(spark, SPANS_SCHEMA, SPANS).where(c("chars") >= LEAST_RUN)
+    contrast = F.round(F.greatest(*(F.abs(c(x) - c("b" + x)) for x in "rgb")), 6)
+    off = (c("x1") < c("vx0")) | (c("x0") > c("vx1")) | (c("y1") < c("vy0")) | (c("y0") > c("vy1")) | c("behind")
+    found = lambda when, kind, sure: F.when(when, F.struct(F.lit(kind).alias("kind"), F.lit(sure).alias("confidence")))
+    kinds = F.array_compact(F.array(found((c("alpha") < INVISIBLE_ALPHA) | (contrast <= LEAST_CONTRAST), "colour", 0.9), found(c("font") < LEAST_FONT, "size", 0.9), found(off, "off_page", 0.85)))
+    return rows.select("span_id", F.explode(kinds).alias("k")).select("span_id", "k.kind", F.lit("high").alias("severity"), "k.confidence")
+
+
+#: The metadata fields that are read.
+METADATA_FIELDS = ("title", "subject", "keywords", "author", "creator", "comments", "description", "category", "content_status")
+#: Those that a page states, as a pattern with the value in its first group.
+PAGE_FIELDS = {"title": "(?is)<title[^>]*>(.*?)</title>", **{f: f'(?is)<meta\\s+name="{f}"\\s+content="([^"]*)"' for f in ("description", "keywords", "author")}}
 
 
 def metadata_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Allowed metadata fields with an instruction of either bank, without regard to what stands near it."""
-    rows = fixtures.texts(spark).select("fx_id", F.explode(F.create_map(F.lit("subject"), "text", F.lit("private"), "text")).alias("field", "value"))
+    """Metadata fields of pages and literal rows with an instruction of either bank, without regard to what stands near it.
+
+    Fields that are not on the list, and empty ones, are not read.
+    """
+    pairs = lambda named: F.explode(F.create_map(*(x for name, value in named for x in (F.lit(name), value)))).alias("field", "value")
+    stated = [(f, F.regexp_extract(F.coalesce("html", F.lit("")), p, 1)) for f, p in PAGE_FIELDS.items()]
+    pages = read_table(spark, sf_dir, "pages").select(F.lit("page").alias("of"), F.col("page_id").alias("id"), pairs(stated))
+    literal = fixtures.texts(spark).select(F.lit("literal").alias("of"), F.col("fx_id").alias("id"), pairs([("subject", F.col("text")), ("comments", F.reverse("text")), ("private", F.col("text"))]))
     pattern = "(?im)" + "|".join(f"(?:{p})" for p in (*SYSTEM, *IMPERATIVES))
-    return rows.where(F.col("field").isin("subject", "title", "keywords") & F.regexp_like("value", F.lit(pattern))).select("fx_id", "field")
+    read = pages.unionByName(literal).where(F.col("field").isin(*METADATA_FIELDS) & (F.col("value") != ""))
+    f = finding(F.regexp_like("value", F.lit(pattern)), "metadata", "high", 0.9, F.concat_ws(": ", "field", "value"))
+    return read.select("of", "id", "field", f.alias("f")).where(F.col("f").isNotNull()).select("of", "id", "field", "f.severity", "f.confidence", "f.excerpt")
 
 
 def render_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,6 +326,8 @@ _NEAR_PLACE = lambda p: (
 _NEAR_PLACES = "list_filter([" + ", ".join(map(_NEAR_PLACE, IMPERATIVES)) + "], lambda x: x IS NOT NULL)"
 _AROUND = lambda at, after: f"substring(text, greatest({at} - {BEFORE}, 0)::BIGINT + 1, (least({at}, {BEFORE}) + {after})::BIGINT)"
 _MARKS = ", ".join(f"('{c if c == TAGS else f'\\x{{{ord(c):X}}}'}', '{name}')" for c, name in [*zip(HIDDEN, HIDDEN_NAMES, strict=True), (TAGS, "tag character")])
+_LINE = f"trim(regexp_replace(excerpt, '{SPACES}', ' ', 'g'), ' ')"
+_SHORT = f"CASE WHEN length({_LINE}) <= {EXCERPT} THEN {_LINE} ELSE substring({_LINE}, 1, {EXCERPT - 1}) || '…' END"
 _FOUND = f"""{SOURCES}, i AS (SELECT id, text, {_PLACES(SYSTEM)} AS s, {_NEAR_PLACES} AS n FROM src WHERE regexp_matches(text, '{_re2(_ANY((*SYSTEM, *IMPERATIVES)))}', 'im')),
 g AS (SELECT id, unnest(list_transform(range(1, len(w) - 1), lambda k: (k, array_to_string(w[k : k + 2], ' ')))) AS p FROM (SELECT id, regexp_extract_all(lower(text), '[a-z]{{3,}}') AS w FROM src) WHERE len(w) >= 3),
 gc AS (SELECT id, p[2] AS phrase, count(*) AS c, min(p[1]) AS k FROM g GROUP BY ALL HAVING count(*) > 6),
@@ -315,8 +340,7 @@ UNION ALL SELECT id, 'role_tokens', 'high', 0.95, {_AROUND(_PLACES(ROLE_TOKENS)
 UNION ALL SELECT id, 'hidden_characters', 'medium', 0.7, 'invisible characters present: ' || string_agg(name || ' (' || n || ')', ', ' ORDER BY n DESC, k) FROM h GROUP BY id
 UNION ALL SELECT id, 'mixed_scripts', 'medium', 0.75, 'mixed-script words: ' || array_to_string(list_sort(list(DISTINCT word))[1:8], ', ') FROM w WHERE regexp_matches(word, '\\p{{Latin}}') AND regexp_matches(word, '\\p{{Cyrillic}}|\\p{{Greek}}') GROUP BY id
 UNION ALL SELECT id, 'repetition', 'low', 0.6, '"' || arg_max(phrase, (c, -k)) || '" appears ' || max(c) || ' times' FROM gc GROUP BY id),
-f1 AS (SELECT * REPLACE (trim(regexp_replace(excerpt, '{SPACES}', ' ', 'g'), ' ') AS excerpt) FROM f0),
-f AS (SELECT * REPLACE (CASE WHEN length(excerpt) <= {EXCERPT} THEN excerpt ELSE substring(excerpt, 1, {EXCERPT - 1}) || '…' END AS excerpt) FROM f1)"""
+f AS (SELECT * REPLACE ({_SHORT} AS excerpt) FROM f0)"""
 _TIER = f"""{_FOUND}, t AS (SELECT id, max(CASE WHEN severity = 'high' AND confidence >= {QUARANTINE_AT} THEN 2 WHEN severity <> 'low' THEN 1 ELSE 0 END) AS t FROM f GROUP BY id),
 tier AS (SELECT id, coalesce(t, 0) AS rank FROM src LEFT JOIN t USING (id))"""
 
@@ -324,9 +348,13 @@ QUERIES = {
     "text_findings": (text_findings, f"WITH {_FOUND} SELECT * FROM f"),
     "integrity_tiers": (integrity_tiers, f"WITH {_TIER} SELECT id, ['clean', 'suspect', 'quarantine'][rank + 1] AS tier FROM tier"),
     "worst_tier": (worst_tier, f"WITH {_TIER} SELECT source, max(rank) AS rank, count(*) FILTER (rank > 0) AS n_flagged FROM tier JOIN documents ON id = doc_id GROUP BY source"),
-    "hidden_spans": (hidden_spans, f"""WITH {fixtures.sql("sp", SPANS_SCHEMA, SPANS)} SELECT span_id, 'colour' AS kind FROM sp WHERE chars >= 40 AND (alpha < 0.05 OR contrast <= 0.08)
-        UNION ALL SELECT span_id, 'size' FROM sp WHERE chars >= 40 AND font < 3 UNION ALL SELECT span_id, 'off_page' FROM sp WHERE chars >= 40 AND (x1 < 0 OR x0 > w OR y1 < 0 OR y0 > h OR behind)"""),
-    "metadata_findings": (metadata_findings, f"WITH {fixtures.TEXTS_SQL} SELECT fx_id, 'subject' AS field FROM fx WHERE regexp_matches(text, '{_re2(_ANY((*SYSTEM, *IMPERATIVES)))}', 'im')"),
+    "hidden_spans": (hidden_spans, f"""WITH {fixtures.sql("sp", SPANS_SCHEMA, SPANS)}, s AS (SELECT *, round(greatest(abs(r - br), abs(g - bg), abs(b - bb)), 6) AS contrast FROM sp WHERE chars >= {LEAST_RUN}),
+        k AS (SELECT span_id, 'colour' AS kind, 0.9::DOUBLE AS confidence FROM s WHERE alpha < {INVISIBLE_ALPHA} OR contrast <= {LEAST_CONTRAST} UNION ALL SELECT span_id, 'size', 0.9 FROM s WHERE font < {LEAST_FONT}
+            UNION ALL SELECT span_id, 'off_page', 0.85 FROM s WHERE x1 < vx0 OR x0 > vx1 OR y1 < vy0 OR y0 > vy1 OR behind) SELECT span_id, kind, 'high' AS severity, confidence FROM k"""),
+    "metadata_findings": (metadata_findings, f"""WITH {fixtures.TEXTS_SQL}, m AS (SELECT 'literal' AS "of", fx_id AS id, 'subject' AS field, text AS value FROM fx UNION ALL SELECT 'literal', fx_id, 'comments', reverse(text) FROM fx
+            {" ".join(f"UNION ALL SELECT 'page', page_id, '{f}', regexp_extract(coalesce(html, ''), '{p}', 1) FROM pages" for f, p in PAGE_FIELDS.items())}),
+        x AS (SELECT "of", id, field, field || ': ' || value AS excerpt FROM m WHERE value <> '' AND regexp_matches(value, '{_re2(_ANY((*SYSTEM, *IMPERATIVES)))}', 'im'))
+        SELECT "of", id, field, 'high' AS severity, 0.9::DOUBLE AS confidence, {_SHORT} AS excerpt FROM x"""),
     "render_difference": (render_difference, """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         s AS (SELECT page_id, regexp_replace(html, '<[^>]*>', ' ', 'g') AS raw, list_distinct(regexp_extract_all(lower(regexp_replace(regexp_replace(html,
             '<script.*?</script>|<style.*?</style>|<nav.*?</nav>|<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'g')), '[a-z0-9]+')) AS seen FROM p),
