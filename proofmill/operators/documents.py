@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proofmill import fixtures
 from proofmill.functions import text as T
 from proofmill.operators.integrity import SOURCES, sources
-from proofmill.tables import read_table
+from proofmill.tables import read_table, spread
 
 CONFIG = ("profile-1", "rubric-1", "prompts-1", "policy-1")
 
@@ -30,27 +30,85 @@ def content_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashed.groupBy("candidate").agg(F.sha2(parts, 256).alias("content_key"))
 
 
-FILES_SCHEMA = "file_id bigint, name string, head string, n_bytes bigint, pages int, chars int"
+#: First bytes of programs and of zip archives, in hexadecimal; the part that makes an archive a Word file.
+PROGRAMS = ("4D5A", "7F454C46", "CAFEBABE", "FEEDFACE", "2321")
+ZIPS = ("504B0304", "504B0506", "504B0708")
+PDF, WORD_PART = "255044462D", b"word/document.xml"
+MIME = {"pdf": "application/pdf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "txt": "text/plain"}
+#: Characters that no reader sees; spaces and line breaks among them are allowed. Unassigned code points count as seen.
+UNSEEN, ALLOWED = r"[\p{Cc}\p{Cf}\p{Cs}\p{Co}\p{Zl}\p{Zp}\p{Zs}]", r"[ \r\n\t]"
+PRINTABLE_SHARE, HEAD_BYTES, SAMPLE_BYTES = 0.9, 8192, 4096
+MAX_BYTES, MAX_PAGES, MIN_CHARS = 26_214_400, 60, 200
+
+
+def kind_of(content: Column) -> Column:
+    """Pdf, docx or txt by the bytes, null for anything else, whatever the name says.
+
+    An archive is a Word file if its first or last 8 KiB name the part; nothing is unpacked. A text's first 4 KiB are UTF-8
+    and over 90 % printable. An empty file is of no kind.
+    """
+    head = F.hex(F.substring(content, 1, 8))
+    starts = lambda marks: F.coalesce(*(F.when(head.startswith(m), True) for m in marks), F.lit(False))
+    word = F.contains(F.substring(content, 1, HEAD_BYTES), F.lit(WORD_PART)) | F.contains(F.substring(content, -HEAD_BYTES, HEAD_BYTES), F.lit(WORD_PART))
+    sample = F.substring(content, 1, SAMPLE_BYTES).cast("string")
+    seen = F.length(sample) - F.regexp_count(sample, F.lit(UNSEEN)) + F.regexp_count(sample, F.lit(ALLOWED))
+    text = F.when(F.is_valid_utf8(sample), seen > PRINTABLE_SHARE * F.length(sample))
+    return F.when(F.length(content) == 0, None).when(starts(PROGRAMS), None).when(starts((PDF,)), "pdf").when(starts(ZIPS), F.when(word, "docx")).when(text, "txt")
+
+
+def classified(files: DataFrame, max_bytes: int = MAX_BYTES, max_pages: int = MAX_PAGES, min_chars: int = MIN_CHARS) -> DataFrame:
+    """Rows (file_id, name, content) with kind, MIME type, role by name, and the first reason to refuse; null accepts.
+
+    In this order: too large, no accepted kind, encrypted, corrupt, too many pages (which count as too large), too short.
+    """
+    name, content, kind = F.lower("name"), F.col("content"), F.col("kind")
+    role = F.when(name.contains("cover") | name.contains("letter"), "cover_letter").when(name.contains("portfolio") | name.contains("work"), "portfolio")
+    role = role.when(name.contains("cv") | name.contains("resume"), "cv").otherwise("other")
+    # One character a byte, for counts and for blanks at the ends.
+    latin = F.decode(content, "ISO-8859-1")
+    count = lambda mark: (F.length(latin) - F.length(F.replace(latin, F.lit(mark), F.lit("")))) / len(mark)
+    pages = F.greatest(count("/Type /Page") - count("/Type /Pages"), F.lit(1.0))
+    tail = lambda n, mark: F.contains(F.substring(content, -n, n), F.lit(mark))
+    reason = (
+        F.when(F.length(content) > max_bytes, "oversized")
+        .when(kind.isNull(), "unsupported_type")
+        .when((kind == "pdf") & F.contains(content, F.lit(b"/Encrypt")), "encrypted")
+        .when(((kind == "pdf") & ~tail(2048, b"%%EOF")) | ((kind == "docx") & ~tail(66000, b"PK\x05\x06")), "corrupt")
+        .when((kind == "pdf") & (pages > max_pages), "oversized")
+        .when((kind == "txt") & (F.length(F.btrim(latin, F.lit(" \t\n\r\x0b\f"))) < min_chars), "empty")
+    )
+    mime = F.element_at(F.create_map(*(F.lit(x) for pair in MIME.items() for x in pair)), kind)
+    return files.withColumn("kind", kind_of(content)).select("file_id", "kind", mime.alias("mime"), role.alias("role"), reason.alias("refused"))
+
+
+#: Literal files: a head in hexadecimal, a filling that is repeated, and a tail in hexadecimal.
+FILES_SCHEMA = "file_id bigint, name string, head string, fill string, times int, tail string"
 FILES = [
-    (1, "Jane_Cover_Letter.pdf", "255044462D312E37", 9000, 2, 900),
-    (2, "portfolio-2024.docx", "504B0304", 9000, 2, 900),
-    (3, "jane_cv.txt", "48656C6C6F", 900, 1, 900),
-    (4, "setup.exe", "4D5A9000", 900, 1, 900),
-    (5, "resume.pdf", "255044462D312E34", 90000000, 2, 900),
-    (6, "long.pdf", "255044462D312E34", 9000, 99, 900),
-    (7, "empty.pdf", "255044462D312E34", 9000, 1, 3),
-    (8, "notes.md", "7F454C46", 9000, 1, 900),
+    (-1, "Jane_Cover_Letter.pdf", PDF, "/Type /Pages /Type /Page words ", 3, "2525454F46"),
+    (-2, "portfolio-2024.docx", "504B0304", "word/document.xml of some length ", 9, "504B0506"),
+    (-3, "cut.docx", "504B0304", "word/document.xml of some length ", 9, ""),
+    (-4, "archive.docx", "504B0304", "xl/workbook.xml ", 9, "504B0506"),
+    (-5, "setup.exe", "4D5A9000", "words ", 99, ""),
+    (-6, "cut_resume.pdf", PDF, "/Type /Page ", 2, ""),
+    (-7, "locked.pdf", PDF, "/Type /Page /Encrypt ", 1, ""),
+    (-8, "long.pdf", PDF, "/Type /Page ", 9, "2525454F46"),
+    (-9, "cv.txt", "48656C6C6F", "  ", 400, ""),
+    (-10, "notes.md", "7F454C46", "words ", 99, ""),
+    (-11, "run.txt", "2321", "words ", 99, ""),
+    (-12, "broken.txt", "FF", "words ", 99, ""),
+    (-13, "control.txt", "010203", "ab", 9, ""),
+    (-14, "nothing.txt", "", "", 0, ""),
+    (-15, "huge.txt", "48", "words ", 20000, ""),
 ]
+LIMITS = {"max_bytes": 100_000, "max_pages": 8, "min_chars": MIN_CHARS}
 
 
 def intake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kind by first bytes, role by name, and the first reason to refuse; null accepts."""
-    head, name = F.col("head"), F.lower("name")
-    kind = F.when(head.startswith("4D5A") | head.startswith("7F454C46"), None).when(head.startswith("255044462D"), "pdf").when(head.startswith("504B0304"), "docx").otherwise("text")
-    role = F.when(name.contains("cover") | name.contains("letter"), "cover_letter").when(name.contains("portfolio") | name.contains("work"), "portfolio")
-    role = role.when(name.contains("cv") | name.contains("resume"), "cv").otherwise("other")
-    reason = F.when(F.col("n_bytes") > 10_000_000, "too_large").when(kind.isNull(), "unsupported_type").when(F.col("pages") > 30, "too_many_pages").when(F.col("chars") < 50, "too_short")
-    return fixtures.frame(spark, FILES_SCHEMA, FILES).select("file_id", kind.alias("kind"), role.alias("role"), reason.alias("refused"))
+    """C1 to C3, C5, C6 on every document's bytes and on literal files, with lower limits of size and pages than the usual ones."""
+    literal = fixtures.frame(spark, FILES_SCHEMA, FILES)
+    content = F.concat(F.unhex("head"), F.encode(F.expr("repeat(fill, times)"), "UTF-8"), F.unhex("tail"))
+    docs = spread(read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.concat(F.col("source"), F.lit(".txt")).alias("name"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content")))
+    return classified(docs.unionByName(literal.select("file_id", "name", content.alias("content"))), **LIMITS)
 
 
 def capped_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,21 +236,42 @@ def language_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("source", F.col("t.lang").alias("dominant"), share.alias("share"), F.when(share < 0.6, "mixed").otherwise(F.col("t.lang")).alias("language"))
 
 
+LEAST_PAGE_CHARS = 50
+
+
 def extraction_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each conversation as a document: pages with text, method, structure and language, weighted."""
-    pages = read_table(spark, sf_dir, "conversations").select("conv_id", F.length(F.coalesce("text", F.lit(""))).alias("n"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("blocks"))
+    """Of each conversation as a document the weighted parts of confidence: pages with text, method, structure, language.
+
+    A page read by character recognition counts with its own confidence, any other fully. Language is 1 where all pages are of
+    one script, else a half.
+    """
+    text = F.coalesce("text", F.lit(""))
+    sure = F.when(F.col("turn") % 3 == 2, (F.col("conv_id") * 7 + F.col("turn")) % 100 / 100).otherwise(1.0)
+    pages = read_table(spark, sf_dir, "conversations").select("conv_id", F.length(text).alias("n"), F.size(F.split(text, "\n")).alias("blocks"), sure.alias("sure"), F.regexp_like(text, F.lit(r"[^\x00-\x7F]")).alias("wide"))
     part = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    score = F.lit(0.4) * part(F.col("n") >= 50) + F.lit(0.3) + F.lit(0.2) * part(F.col("blocks") > 1) + F.lit(0.1)
-    return pages.groupBy("conv_id").agg(F.round(F.least(score, F.lit(1.0)), 6).alias("confidence"))
+    parts = pages.groupBy("conv_id").agg(
+        part(F.col("n") >= LEAST_PAGE_CHARS).alias("coverage"), F.avg("sure").alias("method"), part(F.col("blocks") > 1).alias("structure"), F.when(F.bool_or("wide") == F.bool_and("wide"), 1.0).otherwise(0.5).alias("language")
+    )
+    score = 0.4 * F.col("coverage") + 0.3 * F.col("method") + 0.2 * F.col("structure") + 0.1 * F.col("language")
+    names = ("coverage", "method", "structure", "language")
+    return parts.select("conv_id", *(F.round(c, 6).alias(c) for c in names), F.round(F.least(score, F.lit(1.0)), 6).alias("confidence"))
 
 
 QUERIES = {
     "document_hashes": (document_hashes, "SELECT sha256(coalesce(text, '')) AS sha256, min(doc_id) AS first_id, count(*) AS n_copies, max(octet_length(encode(coalesce(text, ''))))::BIGINT AS n_bytes FROM documents GROUP BY 1"),
     "content_keys": (content_keys, f"""SELECT doc_id // 5 AS candidate, sha256(concat_ws(chr(31), string_agg(sha, chr(31) ORDER BY sha), {", ".join(f"'{c}'" for c in CONFIG)})) AS content_key
         FROM (SELECT doc_id, sha256(coalesce(text, '')) AS sha FROM documents) GROUP BY 1"""),
-    "intake": (intake, f"""WITH {fixtures.sql("f", FILES_SCHEMA, FILES)}, k AS (SELECT *, CASE WHEN starts_with(head, '4D5A') OR starts_with(head, '7F454C46') THEN NULL WHEN starts_with(head, '255044462D') THEN 'pdf' WHEN starts_with(head, '504B0304') THEN 'docx' ELSE 'text' END AS kind, lower(name) AS l FROM f)
-        SELECT file_id, kind, CASE WHEN l LIKE '%cover%' OR l LIKE '%letter%' THEN 'cover_letter' WHEN l LIKE '%portfolio%' OR l LIKE '%work%' THEN 'portfolio' WHEN l LIKE '%cv%' OR l LIKE '%resume%' THEN 'cv' ELSE 'other' END AS role,
-        CASE WHEN n_bytes > 10000000 THEN 'too_large' WHEN kind IS NULL THEN 'unsupported_type' WHEN pages > 30 THEN 'too_many_pages' WHEN chars < 50 THEN 'too_short' END AS refused FROM k"""),
+    "intake": (intake, f"""WITH {fixtures.sql("fx", FILES_SCHEMA, FILES)}, f AS (SELECT doc_id AS file_id, source || '.txt' AS name, hex(encode(coalesce(text, ''))) AS h FROM documents UNION ALL SELECT file_id, name, head || hex(encode(repeat(fill, times))) || tail FROM fx),
+        s AS (SELECT *, length(h) // 2 AS n, lower(name) AS l, TRY(decode(unhex(substring(h, 1, {2 * SAMPLE_BYTES})))) AS t FROM f),
+        k AS (SELECT *, CASE WHEN n = 0 OR {" OR ".join(f"starts_with(h, '{m}')" for m in PROGRAMS)} THEN NULL WHEN starts_with(h, '{PDF}') THEN 'pdf'
+            WHEN {" OR ".join(f"starts_with(h, '{m}')" for m in ZIPS)} THEN CASE WHEN contains(left(h, {2 * HEAD_BYTES}), '{WORD_PART.hex().upper()}') OR contains(right(h, {2 * HEAD_BYTES}), '{WORD_PART.hex().upper()}') THEN 'docx' END
+            WHEN length(t) - len(regexp_extract_all(t, '{UNSEEN}')) + len(regexp_extract_all(t, '{ALLOWED}')) > {PRINTABLE_SHARE} * length(t) THEN 'txt' END AS kind FROM s),
+        m(kind, mime) AS (VALUES {", ".join(f"('{k}', '{m}')" for k, m in MIME.items())})
+        SELECT file_id, kind, mime, CASE WHEN l LIKE '%cover%' OR l LIKE '%letter%' THEN 'cover_letter' WHEN l LIKE '%portfolio%' OR l LIKE '%work%' THEN 'portfolio' WHEN l LIKE '%cv%' OR l LIKE '%resume%' THEN 'cv' ELSE 'other' END AS role,
+            CASE WHEN n > {LIMITS["max_bytes"]} THEN 'oversized' WHEN kind IS NULL THEN 'unsupported_type' WHEN kind = 'pdf' AND contains(h, '{b"/Encrypt".hex().upper()}') THEN 'encrypted'
+            WHEN (kind = 'pdf' AND NOT contains(right(h, 4096), '2525454F46')) OR (kind = 'docx' AND NOT contains(right(h, 132000), '504B0506')) THEN 'corrupt'
+            WHEN kind = 'pdf' AND (length(h) - length(replace(h, '{b"/Type /Page".hex().upper()}', ''))) / 22 - (length(h) - length(replace(h, '{b"/Type /Pages".hex().upper()}', ''))) / 24 > {LIMITS["max_pages"]} THEN 'oversized'
+            WHEN kind = 'txt' AND length(regexp_replace(h, '^(20|09|0A|0B|0C|0D)+|(20|09|0A|0B|0C|0D)+$', '', 'g')) < {2 * LIMITS["min_chars"]} THEN 'empty' END AS refused FROM k LEFT JOIN m USING (kind)"""),
     "capped_documents": (capped_documents, "SELECT doc_id // 20 AS candidate, doc_id, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id) AS nth FROM documents QUALIFY nth <= 8"),
     "normal_texts": (normal_texts, f"WITH {SOURCES} SELECT id, sha256({T.normalised_sql('text')}) AS normal, sha256({T.folded_sql('text')}) AS folded FROM src"),
     "mapped_texts": (mapped_texts, None),
@@ -211,5 +290,7 @@ QUERIES = {
     "language_vote": (language_vote, """WITH c AS (SELECT source, lang, count(*) AS n FROM documents WHERE length(trim(substring(text, 1, 1500))) >= 40 AND lang IS NOT NULL GROUP BY ALL),
         t AS (SELECT source, lang, n, sum(n) OVER (PARTITION BY source) AS a FROM c QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, lang DESC) = 1)
         SELECT source, lang AS dominant, n / a AS share, CASE WHEN n / a < 0.6 THEN 'mixed' ELSE lang END AS language FROM t"""),
-    "extraction_confidence": (extraction_confidence, """SELECT conv_id, round(least(0.4::DOUBLE * avg((length(coalesce(text, '')) >= 50)::INT) + 0.3::DOUBLE + 0.2::DOUBLE * avg((len(string_split(coalesce(text, ''), chr(10))) > 1)::INT) + 0.1::DOUBLE, 1.0), 6) AS confidence FROM conversations GROUP BY conv_id"""),
+    "extraction_confidence": (extraction_confidence, f"""WITH p AS (SELECT conv_id, coalesce(text, '') AS text, CASE WHEN turn % 3 = 2 THEN (conv_id * 7 + turn) % 100 / 100 ELSE 1.0 END AS sure FROM conversations),
+        a AS (SELECT conv_id, avg((length(text) >= {LEAST_PAGE_CHARS})::INT) AS c, avg(sure::DOUBLE) AS m, avg((len(string_split(text, chr(10))) > 1)::INT) AS s, CASE WHEN count(DISTINCT regexp_matches(text, '[^\\x00-\\x7F]')) = 1 THEN 1.0 ELSE 0.5 END::DOUBLE AS l FROM p GROUP BY conv_id)
+        SELECT conv_id, round(c, 6) AS coverage, round(m, 6) AS method, round(s, 6) AS structure, l AS language, round(least(0.4::DOUBLE * c + 0.3::DOUBLE * m + 0.2::DOUBLE * s + 0.1::DOUBLE * l, 1.0), 6) AS confidence FROM a"""),
 }
