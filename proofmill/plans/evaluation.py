@@ -72,6 +72,19 @@ def regression_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("metric", "baseline", "current", (worse <= F.col("tolerance")).alias("passes"))
 
 
+def changed_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cases whose band is another than in the baseline, by name; "none" stands for no band, and a case that the baseline lacks is not named.
+
+    The baseline here asserts the next band at 1100 characters instead of 1200, none for every 17th case, and lacks every 13th.
+    """
+    now = cases(spark, sf_dir).select("case_id", F.col("got").cast("string").alias("after"), "n")
+    before = F.when(F.col("case_id") % 17 != 0, F.least(F.floor(F.col("n") / 1100), F.lit(2)).cast("string"))
+    baseline = cases(spark, sf_dir).where(F.col("case_id") % 13 != 0).select("case_id", before.alias("before"))
+    both = now.join(baseline, "case_id").where(~F.col("before").eqNullSafe(F.col("after")))
+    named = F.format_string("%s (%s to %s)", F.col("case_id"), F.coalesce("before", F.lit("none")), F.coalesce("after", F.lit("none")))
+    return both.select("case_id", named.alias("change"))
+
+
 PERSONAS_SCHEMA = "persona string, name string, pronoun string, ref boolean"
 PERSONAS = [("p0", "Alex Moor", "they", True), ("p1", "Maria Silva", "she", False), ("p2", "Omar Haddad", "he", False)]
 TEMPLATES_SCHEMA = "base string, body string"
@@ -224,6 +237,8 @@ QUERIES = {
     "regression_gate": (regression_gate, f"""WITH {_CASES}, {fixtures.sql("gate", GATES_SCHEMA, GATES)}, m AS (SELECT arm, round(count(*) FILTER (gold = got) / count(gold), 6) AS accuracy, round(sum(n) / count(*), 6) AS mean_chars, round(sum(toxic) / count(*), 6) AS toxic_rate FROM cases GROUP BY arm),
         l AS (UNPIVOT m ON accuracy, mean_chars, toxic_rate INTO NAME metric VALUE value)
         SELECT metric, b.value AS baseline, c.value AS current, CASE direction WHEN 'up' THEN b.value - c.value ELSE c.value - b.value END <= tolerance AS passes FROM gate JOIN l b USING (metric) JOIN l c USING (metric) WHERE b.arm = 'naive' AND c.arm = 'pipeline'"""),
+    "changed_cases": (changed_cases, f"""WITH {_CASES}, b AS (SELECT case_id, got AS after, CASE WHEN case_id % 17 <> 0 THEN least(floor(n / 1100), 2)::INT END AS before FROM cases WHERE case_id % 13 <> 0)
+        SELECT case_id, case_id || ' (' || coalesce(before::VARCHAR, 'none') || ' to ' || coalesce(after::VARCHAR, 'none') || ')' AS change FROM b WHERE before IS DISTINCT FROM after"""),
     "refused_variants": (refused_variants, f"""WITH {fixtures.sql("pe", PERSONAS_SCHEMA, PERSONAS)}, {fixtures.sql("te", TEMPLATES_SCHEMA, TEMPLATES)}, v AS (SELECT base, persona, replace(replace(body, '{{name}}', name), '{{pronoun}}', pronoun) AS text FROM te, pe)
         SELECT base, persona, regexp_extract(text, '{LEFTOVER}') AS leftover FROM v WHERE regexp_matches(text, '{LEFTOVER}')"""),
     "variant_differences": (variant_differences, f"""WITH {fixtures.sql("pe", PERSONAS_SCHEMA, PERSONAS)}, {fixtures.sql("te", TEMPLATES_SCHEMA, TEMPLATES)},

@@ -72,7 +72,7 @@ def recommended(states: DataFrame) -> DataFrame:
     score = F.when(~gate & ~band.isin("insufficient_information", "manual_review_required"), c("earned"))
     return by_run.select(
         "run_id", band.alias("band"), F.round(score, 6).alias("score"), F.round("coverage", 6).alias("coverage"),
-        F.when(gate, "").otherwise(c("blockers")).alias("blockers"), F.when(gate, "low_coverage").otherwise(F.array_join(reasons, ",")).alias("reasons"),
+        F.round("earned", 6).alias("earned"), F.when(gate, "").otherwise(c("blockers")).alias("blockers"), F.when(gate, "low_coverage").otherwise(F.array_join(reasons, ",")).alias("reasons"),
     )
 
 
@@ -95,15 +95,12 @@ def recomputed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after.join(before, "run_id").groupBy("old_band", "band").agg(F.count("*").alias("n"))
 
 
-def review_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every reason to look at a run, in order, and the status that follows.
+def overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run_id, integrity, partial_profile, invalid_span, budget_capped, degraded) of every run; null where nothing is known of it.
 
-    A run without a recommendation has to be looked at by a person. Its integrity is that of the text of the same number; a
-    run of one call has read its candidate in part.
+    A run's integrity is that of the text of the same number; a run of one call has read its candidate in part.
     """
     c = F.col
-    states = resolved(evidence_counts(spark, sf_dir), criteria(spark))
-    conflicts = states.groupBy("run_id").agg(F.bool_or(c("state") == "contradicted").alias("contradicted"))
     marks = calls(spark, sf_dir).groupBy("run_id").agg(
         (F.count("*") < 2).alias("partial_profile"),
         F.bool_or(c("latency_ms") % 11 == 0).alias("invalid_span"),
@@ -111,9 +108,39 @@ def review_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.bool_or(c("retried") & c("changed")).alias("degraded"),
     )
     tier = integrity.integrity_tiers(spark, sf_dir).select(c("id").alias("run_id"), (c("tier") != "clean").alias("integrity"))
-    rows = runs(spark, sf_dir).select("run_id")
-    for side in (recommended(states).select("run_id", (c("reasons") != "").alias("requires_human")), marks, conflicts, tier):
-        rows = rows.join(side, "run_id", "left")
+    return runs(spark, sf_dir).select("run_id").join(marks, "run_id", "left").join(tier, "run_id", "left")
+
+
+def human_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why a person has to look at a recommended run, in order, each reason once; under the coverage gate that is the only reason."""
+    c = F.col
+    own = F.split("reasons", ",")
+    kept = lambda name: F.when(F.array_contains(own, name), F.lit(name))
+    named = [kept("low_coverage"), kept("blocker_unknown"), kept("contradicted_evidence"), *(F.when(c(f) & (c("reasons") != "low_coverage"), F.lit(f)) for f in ("integrity", "invalid_span", "partial_profile", "budget_capped")), kept("unassessed_criterion")]
+    rows = recommendations(spark, sf_dir).join(overlays(spark, sf_dir), "run_id", "left")
+    return rows.select("run_id", F.array_join(F.array_compact(F.array(*named)), ",").alias("reasons"))
+
+
+def derivations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The steps that led to each run's band, numbered: coverage, score, then the gate alone, or blockers, else the band, and why a person is asked."""
+    c = F.col
+    step = lambda rule, value=None, outcome=None: F.struct(F.lit(rule).alias("rule"), (value if value is not None else F.lit(None)).cast("double").alias("value"), (outcome if outcome is not None else F.lit(None)).cast("string").alias("outcome"))
+    gate, blocked = c("band") == "insufficient_information", c("blockers") != ""
+    rows = recommendations(spark, sf_dir).drop("reasons").join(human_reasons(spark, sf_dir), "run_id")
+    first = F.array(step("coverage", c("coverage")), F.when(c("earned").isNotNull(), step("score", c("earned"))), F.when(gate, step("coverage_gate", outcome=c("band"))))
+    blockers = F.when(blocked, F.transform(F.split("blockers", ","), lambda b: step("blocker", outcome=b))).otherwise(F.array())
+    last = F.array(F.when(~gate & ~blocked, step("band", outcome=c("band"))), F.when(~gate & (c("reasons") != ""), step("human_required", outcome=c("reasons"))))
+    steps = F.array_compact(F.concat(first, blockers, last))
+    return rows.select("run_id", F.posexplode(steps).alias("nth", "s")).select("run_id", (c("nth") + 1).cast("bigint").alias("nth"), "s.rule", "s.value", "s.outcome")
+
+
+def review_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reason to look at a run, in order, and the status that follows. A run without a recommendation has to be looked at by a person."""
+    c = F.col
+    states = resolved(evidence_counts(spark, sf_dir), criteria(spark))
+    conflicts = states.groupBy("run_id").agg(F.bool_or(c("state") == "contradicted").alias("contradicted"))
+    asked = recommended(states).select("run_id", (c("reasons") != "").alias("requires_human"))
+    rows = overlays(spark, sf_dir).join(asked, "run_id", "left").join(conflicts, "run_id", "left")
     named = [F.when(F.coalesce("requires_human", F.lit(True)), "requires_human"), *(F.when(c(f), f) for f in ("integrity", "partial_profile", "invalid_span", "budget_capped", "contradicted", "degraded"))]
     flags = F.array_compact(F.array(*named))
     return rows.select("run_id", F.array_join(flags, ",").alias("flags"), F.when(F.size(flags) > 0, "needs_review").otherwise("ready_for_review").alias("status"))
@@ -171,10 +198,17 @@ def _recommend(states: str, name: str) -> str:
     coalesce(string_agg(criterion, ',' ORDER BY ord) FILTER (kind = 'blocker' AND state IN ('not_met', 'contradicted', '{UNKNOWN}')), '') AS blockers,
     bool_or(state = 'contradicted') AS conflict, bool_or(unassessed IS NOT NULL) AS unassessed FROM {states} GROUP BY run_id),
 {name}_g AS (SELECT *, earned IS NULL OR coverage < {MIN_COVERAGE} AS gate, CASE WHEN earned IS NULL OR coverage < {MIN_COVERAGE} THEN 'insufficient_information' WHEN failed IS NOT NULL THEN 'decline' WHEN asked IS NOT NULL THEN 'manual_review_required' {bands} END AS band FROM {name}_a),
-{name} AS (SELECT run_id, band, round(CASE WHEN band NOT IN ('insufficient_information', 'manual_review_required') THEN earned END, 6) AS score, round(coverage, 6) AS coverage, CASE WHEN gate THEN '' ELSE blockers END AS blockers,
+{name} AS (SELECT run_id, band, round(CASE WHEN band NOT IN ('insufficient_information', 'manual_review_required') THEN earned END, 6) AS score, round(coverage, 6) AS coverage, round(earned, 6) AS earned, CASE WHEN gate THEN '' ELSE blockers END AS blockers,
     CASE WHEN gate THEN 'low_coverage' ELSE concat_ws(',', CASE WHEN asked IS NOT NULL AND (failed IS NULL OR asked < failed) THEN 'blocker_unknown' END, CASE WHEN conflict THEN 'contradicted_evidence' END, CASE WHEN unassessed THEN 'unassessed_criterion' END) END AS reasons FROM {name}_g)"""
 
 
+_OVERLAYS = f"""t AS ({integrity.QUERIES['integrity_tiers'][1]}),
+m AS (SELECT run_id, count(*) AS c, bool_or(latency_ms % 11 = 0) AS bad, bool_or(call_no <= 5 AND input_tokens > 4900) AS capped, bool_or(retried AND changed) AS degraded FROM calls GROUP BY run_id)"""
+_HUMAN = f"""{RUNS}, {_COUNTS}, {_recommend('s', 'r')}, {_OVERLAYS},
+h AS (SELECT r.run_id, CASE WHEN reasons = 'low_coverage' THEN reasons ELSE concat_ws(',', CASE WHEN contains(reasons, 'blocker_unknown') THEN 'blocker_unknown' END, CASE WHEN contains(reasons, 'contradicted_evidence') THEN 'contradicted_evidence' END,
+    CASE WHEN runs.run_id IS NOT NULL AND tier <> 'clean' THEN 'integrity' END, CASE WHEN runs.run_id IS NOT NULL AND bad THEN 'invalid_span' END, CASE WHEN runs.run_id IS NOT NULL AND c = 1 THEN 'partial_profile' END,
+    CASE WHEN runs.run_id IS NOT NULL AND capped THEN 'budget_capped' END, CASE WHEN contains(reasons, 'unassessed_criterion') THEN 'unassessed_criterion' END) END AS reasons
+    FROM r LEFT JOIN runs USING (run_id) LEFT JOIN m USING (run_id) LEFT JOIN t ON t.id = r.run_id)"""
 _EDGES = fixtures.sql("edge", "src string, dst string", EDGE_ROWS)
 
 QUERIES = {
@@ -182,12 +216,18 @@ QUERIES = {
     "recomputed": (recomputed, f"""WITH {_COUNTS}, o AS (SELECT * REPLACE (CASE WHEN run_id % 7 = 0 AND ord = 2 THEN CASE state WHEN 'met' THEN 'not_met' ELSE 'met' END ELSE state END AS state,
         CASE WHEN run_id % 7 = 0 AND ord = 2 THEN NULL ELSE unassessed END AS unassessed) FROM s), {_recommend('s', 'r')}, {_recommend('o', 'p')}
         SELECT r.band AS old_band, p.band, count(*) AS n FROM p JOIN r USING (run_id) GROUP BY ALL"""),
-    "review_flags": (review_flags, f"""WITH {RUNS}, {_COUNTS}, {_recommend('s', 'r')}, q AS (SELECT run_id, bool_or(state = 'contradicted') AS conflict FROM s GROUP BY run_id), t AS ({integrity.QUERIES['integrity_tiers'][1]}),
-        m AS (SELECT run_id, count(*) AS c, bool_or(latency_ms % 11 = 0) AS bad, bool_or(call_no <= 5 AND input_tokens > 4900) AS capped, bool_or(retried AND changed) AS degraded FROM calls GROUP BY run_id),
+    "review_flags": (review_flags, f"""WITH {RUNS}, {_COUNTS}, {_recommend('s', 'r')}, q AS (SELECT run_id, bool_or(state = 'contradicted') AS conflict FROM s GROUP BY run_id), {_OVERLAYS},
         f AS (SELECT u.run_id, concat_ws(',', CASE WHEN reasons IS NULL OR reasons <> '' THEN 'requires_human' END, CASE WHEN tier <> 'clean' THEN 'integrity' END, CASE WHEN c = 1 THEN 'partial_profile' END, CASE WHEN bad THEN 'invalid_span' END,
             CASE WHEN capped THEN 'budget_capped' END, CASE WHEN q.conflict THEN 'contradicted' END, CASE WHEN degraded THEN 'degraded' END) AS flags
             FROM runs u LEFT JOIN r USING (run_id) LEFT JOIN q USING (run_id) LEFT JOIN m USING (run_id) LEFT JOIN t ON t.id = u.run_id)
         SELECT run_id, flags, CASE WHEN flags <> '' THEN 'needs_review' ELSE 'ready_for_review' END AS status FROM f"""),
+    "human_reasons": (human_reasons, f"WITH {_HUMAN} SELECT * FROM h"),
+    "derivations": (derivations, f"""WITH {_HUMAN}, a AS (SELECT r.*, h.reasons AS why, band = 'insufficient_information' AS gate FROM r JOIN h USING (run_id)),
+        l AS (SELECT run_id, list_filter(list_concat([{{'rule': 'coverage', 'value': coverage::DOUBLE, 'outcome': NULL::VARCHAR}}, CASE WHEN earned IS NOT NULL THEN {{'rule': 'score', 'value': earned::DOUBLE, 'outcome': NULL::VARCHAR}} END,
+                CASE WHEN gate THEN {{'rule': 'coverage_gate', 'value': NULL::DOUBLE, 'outcome': band}} END],
+            list_transform(list_filter(string_split(blockers, ','), lambda b: b <> ''), lambda b: {{'rule': 'blocker', 'value': NULL::DOUBLE, 'outcome': b}}),
+            [CASE WHEN NOT gate AND blockers = '' THEN {{'rule': 'band', 'value': NULL::DOUBLE, 'outcome': band}} END, CASE WHEN NOT gate AND why <> '' THEN {{'rule': 'human_required', 'value': NULL::DOUBLE, 'outcome': why}} END]), lambda x: x IS NOT NULL) AS steps FROM a)
+        SELECT run_id, k::BIGINT AS nth, steps[k].rule AS rule, steps[k].value AS value, steps[k].outcome AS outcome FROM l, range(1, len(steps) + 1) AS n(k)"""),
     "illegal_transitions": (illegal_transitions, f"""WITH {_EDGES}, {EVENTS}, m AS (SELECT {{}} AS dst, run_id, happened, event_id FROM run_events), l AS (SELECT dst, lag(dst) OVER (PARTITION BY run_id ORDER BY happened, event_id) AS src FROM m)
         SELECT src, dst, count(*) AS n FROM l ANTI JOIN edge USING (src, dst) WHERE src IS NOT NULL AND src <> dst GROUP BY ALL""".replace("{}", "CASE kind " + " ".join(f"WHEN '{k}' THEN '{s}'" for k, s in KINDS.items()) + " END")),
     "reachable": (reachable, f"""WITH RECURSIVE {_EDGES}, p(src, dst) AS (SELECT src, dst FROM edge UNION SELECT p.src, e.dst FROM p JOIN edge e ON p.dst = e.src),
