@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from proofmill.llm.chat import OPEN, TRAINED
+from proofmill.llm.importance import BUCKETS, LEAST_WORDS, PERCENT, SEED
 from proofmill.llm.licenses import CLASSES, CONTAINED, PARAGRAPH, PHRASES, REACH
 from proofmill.llm.vectors import LEAST_COSINE
 
@@ -112,5 +113,27 @@ FROM g QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_equal
 """
 
 
+def importance_draw() -> str:
+    ids = "rid, doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0)))::BIGINT AS score"
+    return f"""
+WITH k AS (SELECT list(c ORDER BY i) AS crc FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda c, step: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) AS r(i))),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{LICENSE_WORD}') AS ws FROM documents),
+e AS (SELECT regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{LICENSE_WORD}') AS ws FROM benchmark),
+dw AS (SELECT rid, unnest(ws) AS word FROM d), ew AS (SELECT unnest(ws) AS word FROM e),
+v AS (SELECT word, list_transform(range(octet_length(encode(word))), lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT) AS bytes
+      FROM (SELECT word FROM dw UNION SELECT word FROM ew)),
+b AS (SELECT word, xor(list_reduce(list_concat([4294967295], bytes), lambda c, x: xor(crc[xor(c % 256, x) + 1], c // 256)), 4294967295) % {BUCKETS} AS bucket FROM v, k),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN b USING (word) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM ew JOIN b USING (word) GROUP BY bucket),
+a AS (SELECT (SELECT count(*) FROM dw)::DOUBLE AS s, (SELECT count(*) FROM ew)::DOUBLE AS t),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t.t, 0)::DOUBLE + 1) * (a.s + {BUCKETS}) / ((coalesce(s.s, 0)::DOUBLE + 1) * (a.t + {BUCKETS}))))::BIGINT AS gain
+      FROM (SELECT DISTINCT bucket FROM b) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket), a),
+w AS (SELECT rid, sum(gain)::BIGINT AS weight FROM dw JOIN b USING (word) JOIN g USING (bucket) GROUP BY rid),
+n AS (SELECT rid, doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, ('0x' || substr(sha256('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN w USING (rid)),
+c AS (SELECT {ids} FROM n),
+r AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER () AS every FROM c WHERE n_features >= {LEAST_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= every * {PERCENT} // 100 THEN place END::BIGINT AS rank FROM c LEFT JOIN r USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_preference_format": preference_format(), "op2_benchmark_leaks": benchmark_leaks(), "op6_license_scan": license_scan(), "op8_embedding_near_dedup": embedding_near_dedup(), "op9_substring_dedup": substring_dedup(), "op10_ngram_jaccard": ngram_jaccard()}
+    return {"op1_preference_format": preference_format(), "op2_benchmark_leaks": benchmark_leaks(), "op6_license_scan": license_scan(), "op8_embedding_near_dedup": embedding_near_dedup(), "op9_substring_dedup": substring_dedup(), "op10_ngram_jaccard": ngram_jaccard(), "op11_importance_draw": importance_draw()}

@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofmill.llm import oracles
+from proofmill.llm.alignment import align_tokens
 from proofmill.llm.chat import preference_pairs, swapped_answers
 from proofmill.llm.decontaminate import find_leaks
+from proofmill.llm.importance import importance_draw
 from proofmill.llm.jaccard import jaccard_components
 from proofmill.llm.licenses import scan_licenses
 from proofmill.llm.mixing import mix_sources
+from proofmill.llm.perplexity import judge
 from proofmill.llm.quality import score_quality
 from proofmill.llm.secrets import find_secrets
 from proofmill.llm.substrings import remove_repeats
@@ -21,7 +24,7 @@ from proofmill.llm.tokens import count_tokens
 from proofmill.llm.vectors import near_vectors
 from proofmill.tables import read_table
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +80,23 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def op11_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document in a draw towards the benchmark's words."""
+    return importance_draw(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, perplexity and verdict of every document."""
+    return judge(read_table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens in every document."""
+    import public_tokenizers
+
+    return align_tokens(read_table(spark, sf_dir, "documents"), *(Path(public_tokenizers.path(name)).read_bytes() for name in (TOKENIZER, PIECES)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_preference_format": op1_preference_format,
@@ -89,6 +109,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embedding_near_dedup": op8_embedding_near_dedup,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_ngram_jaccard": op10_ngram_jaccard,
+        "op11_importance_draw": op11_importance_draw,
+        "op12_quality_rules": op12_quality_rules,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 
