@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -205,7 +206,7 @@ def packs_of(docs: DataFrame, a_data: bytes, b_data: bytes) -> DataFrame:
         tools = load(*shared.value)
         lengths = tuple(np.array([len(x) for x in tokens], dtype=np.int64) for tokens in tools[2:])
         for batch in batches:
-            sizes = np.array(pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0))
+            sizes = np.array(pc.fill_null(pc.binary_length(batch.column("text")), 0))
             cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // PACK_BYTES)) + 1).tolist(), batch.num_rows]
             for lo, hi in zip(cuts, cuts[1:]):
                 if hi > lo:
