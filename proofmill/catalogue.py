@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from proofmill.operators import documents, evidence, extraction, integrity
+from proofmill.operators import documents, evidence, extraction, integrity, offsets, spans
 from proofmill.plans import evaluation, operations, review, rules
 
-QUERIES = {**operations.QUERIES, **documents.QUERIES, **evidence.QUERIES, **integrity.QUERIES, **rules.QUERIES, **evaluation.QUERIES, **review.QUERIES, **extraction.QUERIES}
+QUERIES = {**operations.QUERIES, **documents.QUERIES, **offsets.QUERIES, **spans.QUERIES, **evidence.QUERIES, **integrity.QUERIES, **rules.QUERIES, **evaluation.QUERIES, **review.QUERIES, **extraction.QUERIES}

@@ -38,8 +38,8 @@ def visible(text: Column) -> Column:
 
 
 def dehyphenated(text: Column) -> Column:
-    """A hyphen at the end of a line joins what follows if that is lower case and not the last character."""
-    return F.regexp_replace(text, r"-[ \t]*\n[ \t]*(?=\p{Ll}[\s\S])", "")
+    """A hyphen at the end of a line joins what follows if that is a lower-case letter."""
+    return F.regexp_replace(text, r"-[ \t]*\n[ \t]*(?=\p{Ll})", "")
 
 
 def collapsed(text: Column) -> Column:
@@ -48,7 +48,7 @@ def collapsed(text: Column) -> Column:
 
 
 def normalised(text: Column) -> Column:
-    """D13 to D17 without the map; D12 (NFKC) is ``normalise_with_map``'s, which runs only where a map is wanted."""
+    """D13 to D17 without the map; D12 (NFKC) is that of ``offsets``, which runs only where a map is wanted."""
     return collapsed(dehyphenated(visible(substituted(text))))
 
 
@@ -58,7 +58,7 @@ def normalised_sql(text: str) -> str:
     quotes = "''" * len(SINGLE_QUOTES) + '"' * len(DOUBLE_QUOTES)
     text = f"translate({text}, '{DASHES}{SINGLE_QUOTES}{DOUBLE_QUOTES}', '{'-' * len(DASHES)}{quotes}')"
     text = f"regexp_replace({text}, '{_hex_class(INVISIBLE)}', '', 'g')"
-    text = f"regexp_replace({text}, '-[ \\t]*\\n[ \\t]*(\\p{{Ll}}[\\s\\S])', '\\1', 'g')"
+    text = f"regexp_replace({text}, '-[ \\t]*\\n[ \\t]*(\\p{{Ll}})', '\\1', 'g')"
     return f"trim(regexp_replace({text}, '{_WHITE}+', ' ', 'g'))"
 
 

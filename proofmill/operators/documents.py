@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -123,60 +120,6 @@ def normal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources(spark, sf_dir).select("id", F.sha2(T.normalised(F.col("text")), 256).alias("normal"), F.sha2(T.folded(F.col("text")), 256).alias("folded"))
 
 
-def normalise_with_map(texts: DataFrame) -> DataFrame:
-    """(id, text, runs) with the per-character compatibility form and, for each stretch of the result, where it came from.
-
-    Spark has no Unicode normal forms, so this one runs in Arrow batches; each helper call is one text. ``runs`` are
-    (norm_start, raw_start, length) and tile the result exactly. Later rules work on the mapped characters.
-    """
-
-    def one(text: str) -> tuple[str, list[dict]]:
-        import re
-        import unicodedata
-
-        mapped: list[tuple[str, int]] = []
-        for i, c in enumerate(text):
-            c = T.LIGATURES.get(c, c)
-            for d in unicodedata.normalize("NFKC", c):
-                d = "-" if d in T.DASHES else "'" if d in T.SINGLE_QUOTES else '"' if d in T.DOUBLE_QUOTES else d
-                if d not in T.INVISIBLE:
-                    mapped.append((d, i))
-        # A hyphen at the end of a line goes, with the break, if a lower-case letter and more follow.
-        joined = "".join(c for c, _ in mapped)
-        gone = {k for m in re.finditer(r"-[ \t]*\n[ \t]*", joined) if m.end() + 1 < len(joined) and unicodedata.category(joined[m.end()]) == "Ll" for k in range(*m.span())}
-        kept: list[tuple[str, int]] = []
-        for c, i in (x for k, x in enumerate(mapped) if k not in gone):
-            if not c.isspace():
-                kept.append((c, i))
-            elif kept and kept[-1][0] != " ":
-                kept.append((" ", i))
-        if kept and kept[-1][0] == " ":
-            kept.pop()
-        runs: list[dict] = []
-        for at, (_, i) in enumerate(kept):
-            if runs and runs[-1]["raw_start"] + at - runs[-1]["norm_start"] == i:
-                runs[-1]["length"] += 1
-            else:
-                runs.append({"norm_start": at, "raw_start": i, "length": 1})
-        return "".join(c for c, _ in kept), runs
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [one(t or "") for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "text": [t for t, _ in out], "runs": [r for _, r in out]})
-
-    return texts.select("id", "text").mapInPandas(run, "id bigint, text string, runs array<struct<norm_start:int,raw_start:int,length:int>>")
-
-
-def mapped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The normal form of each text with its map, and the raw place of its middle character."""
-    mapped = normalise_with_map(sources(spark, sf_dir))
-    middle = F.floor(F.length("text") / 2).cast("int")
-    here = F.filter("runs", lambda r: (r["norm_start"] <= middle) & (middle < r["norm_start"] + r["length"]))
-    raw = F.get(F.transform(here, lambda r: r["raw_start"] + middle - r["norm_start"]), F.lit(0))
-    return mapped.select("id", F.length("text").alias("n_chars"), F.size("runs").alias("n_runs"), raw.alias("raw_middle"))
-
-
 def redactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """texts that redaction changes, with how many addresses and phone numbers went."""
     out = T.redacted(F.col("text"))
@@ -274,7 +217,6 @@ QUERIES = {
             WHEN kind = 'txt' AND length(regexp_replace(h, '^(20|09|0A|0B|0C|0D)+|(20|09|0A|0B|0C|0D)+$', '', 'g')) < {2 * LIMITS["min_chars"]} THEN 'empty' END AS refused FROM k LEFT JOIN m USING (kind)"""),
     "capped_documents": (capped_documents, "SELECT doc_id // 20 AS candidate, doc_id, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id) AS nth FROM documents QUALIFY nth <= 8"),
     "normal_texts": (normal_texts, f"WITH {SOURCES} SELECT id, sha256({T.normalised_sql('text')}) AS normal, sha256({T.folded_sql('text')}) AS folded FROM src"),
-    "mapped_texts": (mapped_texts, None),
     "redactions": (redactions, None),
     "masked_values": (masked_values, None),
     "protected_mentions": (protected_mentions, f"""WITH {SOURCES}, c AS (SELECT id, regexp_replace(text, '{T.alternation([*T.TECHNICAL])}', ' ', 'gi') AS t FROM src),

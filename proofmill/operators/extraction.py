@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from proofmill import fixtures
 from proofmill.functions import text as T
-from proofmill.operators import evidence, integrity
+from proofmill.operators import integrity
 from proofmill.plans import rules
 from proofmill.tables import read_table
 
-THIN_CHARS, OCR_PAGES, RETRY_BELOW, CONTEXT_CHARS = 100, 20, 0.6, 240
+THIN_CHARS, OCR_PAGES, RETRY_BELOW = 100, 20, 0.6
 PROFILE = "profile-1"
 #: Domains that standards reserve for examples, and the header that declares invented identifiers.
 RESERVED_DOMAINS = ("example.com", "example.net", "example.org")
@@ -97,25 +97,6 @@ def extraction_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(known, "sha256", "left_anti").groupBy("sha256").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_documents"))
 
 
-def page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each claim's quotation stands first in the document that it cites, with the pages that it touches and how the first was read."""
-    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("cited"), "text")
-    joined = evidence.claims(spark, sf_dir).join(docs, "cited")
-    start = F.position(F.col("span"), F.col("text")).cast("bigint") - 1
-    found = joined.select("claim_id", "cited", start.alias("start"), (start + F.length("span")).alias("stop")).where(F.col("start") >= 0)
-    page = lambda at: F.floor(at / evidence.PAGE_CHARS) + 1
-    return found.select("claim_id", "start", page(F.col("start")).alias("page_start"), page(F.col("stop") - 1).alias("page_end"), evidence.page_method(F.col("cited"), F.col("start")).alias("method"))
-
-
-def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each placed quotation with the text around it: the validated place first, else the first place of its words, cut at the text's ends."""
-    placed = evidence.placed_spans(evidence.claims(spark, sf_dir), read_table(spark, sf_dir, "documents")).where(F.col("text").isNotNull())
-    at = F.coalesce("place", F.when(F.contains("text", F.col("span")), F.position(F.col("span"), F.col("text")) - 1), F.least(F.col("claimed"), F.length("text"))).cast("int")
-    rows = placed.select("claim_id", "text", "span", at.alias("at"), F.length("span").alias("n"))
-    before = F.substring("text", F.greatest(F.col("at") - CONTEXT_CHARS, F.lit(0)) + 1, F.least(F.col("at"), F.lit(CONTEXT_CHARS)))
-    return rows.select("claim_id", F.sha2(before, 256).alias("before"), F.substring("text", F.col("at") + 1, F.col("n")).alias("quoted"), F.length(F.substring("text", F.col("at") + F.col("n") + 1, F.lit(CONTEXT_CHARS))).cast("bigint").alias("n_after"))
-
-
 # -- scans
 
 
@@ -220,10 +201,6 @@ QUERIES = {
             CASE WHEN ocr THEN CASE WHEN {_SURE(0)} >= {RETRY_BELOW} THEN {_SURE(0)} ELSE greatest({_SURE(0)}, {_SURE(43)}) END END AS confidence FROM d"""),
     "extraction_misses": (extraction_misses, f"""WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents), k AS (SELECT DISTINCT sha256 FROM d WHERE doc_id % 3 = 0 AND doc_id % 6 <> 0)
         SELECT sha256, min(doc_id) AS first_id, count(*) AS n_documents FROM d ANTI JOIN k USING (sha256) GROUP BY sha256"""),
-    "page_ranges": (page_ranges, f"""WITH {evidence._CLAIMS}, s AS (SELECT claim_id, cited, strpos(text, span) - 1 AS start, strpos(text, span) - 1 + length(span) AS stop FROM j WHERE text IS NOT NULL AND contains(text, span))
-        SELECT claim_id, start::BIGINT AS start, (start // {evidence.PAGE_CHARS} + 1)::BIGINT AS page_start, ((stop - 1) // {evidence.PAGE_CHARS} + 1)::BIGINT AS page_end, CASE WHEN cited % 3 = 0 AND (start // {evidence.PAGE_CHARS}) % 2 = 0 THEN 'ocr' ELSE 'digital' END AS method FROM s"""),
-    "passages": (passages, f"""WITH {evidence._CLAIMS}, a AS (SELECT v.claim_id, v.text, v.span, coalesce(place, CASE WHEN contains(v.text, v.span) THEN strpos(v.text, v.span) - 1 END, least(claimed, length(v.text))) AS spot FROM v JOIN j USING (claim_id) WHERE v.text IS NOT NULL)
-        SELECT claim_id, sha256(substring(text, greatest(spot - {CONTEXT_CHARS}, 0) + 1, least(spot, {CONTEXT_CHARS}))) AS before, substring(text, spot + 1, length(span)) AS quoted, length(substring(text, spot + length(span) + 1, {CONTEXT_CHARS}))::BIGINT AS n_after FROM a"""),
     "found_addresses": (found_addresses, f"""WITH {integrity.SOURCES}, {_LINES}, a AS (SELECT id, line, unnest(regexp_extract_all(text, '{ADDRESS}')) AS address FROM l), d AS (SELECT *, rtrim(lower(string_split(address, '@')[-1]), '.') AS domain FROM a)
         SELECT id, line, address, count(*) AS n FROM d WHERE domain NOT IN {RESERVED_DOMAINS} AND NOT ({" OR ".join(f"ends_with(domain, '{e}')" for e in RESERVED_ENDINGS)}) GROUP BY ALL"""),
     "found_numbers": (found_numbers, None),
