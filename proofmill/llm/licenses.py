@@ -1,7 +1,7 @@
 """License scans: phrases by place, and an exact set-similarity join of text blocks with notice templates.
 
-A block is a window of a paragraph's words: twice as many as the longest template of its class has, beginning at
-every multiple of that number, so a notice stands whole in some block however its lines are wrapped. A template is
+A block is a window of a text's words: twice as many as the longest template of its class has, beginning at every multiple
+of that number, so a notice stands whole in some block however its lines are wrapped and whatever blank lines it has inside. A template is
 found in a block if the block holds at least ``CONTAINED`` of the template's distinct words. Words are ordered by how
 many blocks of the corpus have them, rare ones first; a block can only qualify if one of its first |B| - t + 1 words is
 one of the template's first |T| - t + 1, where t is the overlap asked for. Length, prefix and position filters drop
@@ -19,8 +19,6 @@ from proofmill.llm.words import split_words
 
 #: What lies between words: runs of letters, digits and characters beyond ASCII.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: What lies between paragraphs: lines without a word.
-PARAGRAPH = r"\n[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\n"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Phrases and their labels.
 PHRASES = (("mit", ("mit", "license")), ("apache", ("apache", "license")), ("gpl", ("general", "public", "license")))
@@ -37,7 +35,7 @@ TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("mpl", "subject to the terms of the mozilla public license v 2 0"),
 )
-#: Widely used notices in full, by label.
+#: Widely used notices up to their disclaimers, by label.
 NOTICES = (
     ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
@@ -66,7 +64,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
     """(key, cls, rel): for each block the words that any template has, each once."""
     vocabulary = sorted({w for *_, words, _ in _sets() for w in words})
     least = F.lit(min(t for *_, t in _sets()))
-    parts = docs.select("key", F.explode(F.split(F.lower("text"), PARAGRAPH)).alias("part")).select("key", split_words(F.col("part"), GAP).alias("words"))
+    parts = docs.select("key", split_words(F.lower("text"), GAP).alias("words"))
     # Words of no template become null in place, so blocks are plain slices.
     parts = parts.where(F.size("words") >= least).select("key", F.transform("words", lambda w: F.when(w.isin(vocabulary), w)).alias("words"))
 

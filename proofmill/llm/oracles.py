@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from proofmill.llm.chat import OPEN, TRAINED
 from proofmill.llm.importance import BUCKETS, LEAST_WORDS, PERCENT, SEED
-from proofmill.llm.licenses import CLASSES, CONTAINED, PARAGRAPH, PHRASES, REACH
+from proofmill.llm.licenses import CLASSES, CONTAINED, PHRASES, REACH
 from proofmill.llm.vectors import LEAST_COSINE
 
 #: Runs of letters, digits and characters beyond ASCII.
@@ -23,7 +23,7 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS tex
 w AS (SELECT rid, doc_id, list_transform(regexp_extract_all(text, '{LICENSE_WORD}'), lambda x: translate(x, '{_UPPER}', '{_LOWER}')) AS ws FROM d),
 p AS ({places}),
 t(cls, label, words) AS (VALUES {templates}),
-g AS (SELECT rid, regexp_extract_all(part, '{LICENSE_WORD}') AS ws FROM (SELECT rid, unnest(string_split_regex(lower(text), '{PARAGRAPH}')) AS part FROM d)),
+g AS (SELECT rid, regexp_extract_all(lower(text), '{LICENSE_WORD}') AS ws FROM d),
 b AS ({blocks}),
 m AS (SELECT rid, label, max(len(list_intersect(rel, words)) / len(words)) AS share FROM b JOIN t USING (cls)
       WHERE len(list_intersect(rel, words)) >= ceil({CONTAINED} * len(words)) GROUP BY rid, label),

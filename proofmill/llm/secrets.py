@@ -76,26 +76,63 @@ def _score(p: Column) -> Column:
     return (F.pow(p, F.lit(0.1349)) - F.pow(1 - p, F.lit(0.1349))) / 0.1975
 
 
+def let(value: Column, make: Callable[[Column], Column]) -> Column:
+    """``make`` of a value that is worked out once: inside a lambda an expression would be evaluated again at each use."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
+def chunked(values: Column) -> Column:
+    """A non-empty array as an array of about as many parts as a part has elements."""
+    width = F.ceil(F.sqrt(F.size(values))).cast("int")
+    return let(width, lambda w: F.transform(F.sequence(F.lit(0), F.size(values) - 1, w), lambda at: F.slice(values, at + 1, w)))
+
+
+def running(values: Column, zero: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each element of a non-empty array what ``combine`` makes of ``zero`` and all elements before it; ``combine`` is associative.
+
+    Appending to an array copies it, so parts are gone through apart, each from what the parts before it give: the work grows with
+    the size to the power of 1.5.
+    """
+
+    def scan(part: Column, start: Column) -> Column:
+        step = lambda acc, x: F.struct(combine(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(part, F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("out")), step, lambda acc: acc["out"])
+
+    def of(parts: Column) -> Column:
+        totals = F.transform(parts, lambda part: F.aggregate(part, zero, combine))
+        return let(scan(totals, zero), lambda starts: F.flatten(F.zip_with(parts, starts, scan)))
+
+    return let(chunked(values), of)
+
+
+#: Stands about matches while a text is cut. No pattern matches it; one in a text is taken for its neighbour.
+_CUT, _ALIKE = "\ue000", "\ue001"
+
+
 def placed(text: Column, pattern: str, least_of: tuple[int, int] | None = None) -> Column:
     """array<struct<start, stop, value>> of the leftmost non-overlapping matches: code points, end exclusive.
 
-    What lies between the matches comes from splitting by the same pattern, so its lengths and theirs add up to
-    the places. ``least_of`` (group, n): matches whose group is shorter are left out after they were consumed.
+    Matches are marked by one replacement and the text is split at the marks, so it is read three times whatever their number;
+    the lengths of what lies before a match add up to its place. ``least_of`` (group, n): matches whose group is shorter are left
+    out after they were consumed.
     """
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    group = F.regexp_extract_all(text, F.lit(pattern), F.lit(least_of[0] if least_of else 0))
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("value"), group.alias("part"))
+    step = 3 if least_of else 2
+    marks = f"{_CUT}$0{_CUT}" + (f"${least_of[0]}{_CUT}" if least_of else "")
+    own = F.when(F.contains(text, F.lit(_CUT)), F.translate(text, _CUT, _ALIKE)).otherwise(text)
+    pieces = F.split(F.regexp_replace(own, pattern, marks), _CUT, -1)
+    size = lambda x: F.length(x).cast("bigint")
+
+    def match(p: Column, i: Column) -> Column:
+        return F.struct(size(F.get(p, i - 1)).alias("gap"), size(F.get(p, i)).alias("size"), F.get(p, i).alias("value"), (F.length(F.get(p, i + 1)) if least_of else F.lit(0)).alias("part"))
+
+    def spans(m: Column) -> Column:
+        before = running(F.transform(m, lambda x: x["gap"] + x["size"]), F.lit(0).cast("bigint"), lambda x, y: x + y)
+        kept = F.zip_with(m, before, lambda x, at: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["size"]).alias("stop"), x["value"].alias("value"), x["part"].alias("part")))
+        kept = F.filter(kept, lambda x: x["part"] >= least_of[1]) if least_of else kept
+        return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["value"].alias("value")))
+
+    found = let(pieces, lambda p: let(F.transform(F.sequence(F.lit(1), F.size(p) - step, F.lit(step)), lambda i: match(p, i)), spans))
     empty = F.array().cast("array<struct<start:bigint,stop:bigint,value:string>>")
-
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        stop = start + F.length(x["value"])
-        one = F.struct(start.alias("start"), stop.alias("stop"), x["value"].alias("value"))
-        kept = (F.length(x["part"]) >= least_of[1]) if least_of else F.lit(True)
-        return F.struct(stop.alias("at"), F.when(kept, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
-
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out"))
-    found = F.aggregate(F.filter(pairs, lambda x: x["value"].isNotNull()), first, add)["out"]
     return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(empty)
 
 
@@ -212,11 +249,22 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "
     def found(t: Column) -> Column:
         return (t["step"] >= F.coalesce(F.element_at(from_step, t["length_class"]), F.lit(MOST_STEPS + 1))) if least else F.lit(False)
 
-    free = lambda t: ~F.exists(F.col("base"), lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"]))
-    extra = _as_spans(F.filter(F.col("tokens"), lambda t: found(t) & free(t)), "random")
+    extra = _as_spans(clear_of(F.filter("tokens", found), F.col("base")), "random")
     return scanned.select(*keep, "base", F.array_sort(F.concat("base", extra)).alias("spans"))
 
 
+def clear_of(tokens: Column, base: Column) -> Column:
+    """The tokens, which are in order and apart, that meet no base span; a part of them is held against the spans about it only."""
+    meets = lambda t, b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])
+
+    def part(c: Column) -> Column:
+        reach = F.struct(F.get(c, F.lit(0))["start"].alias("start"), F.element_at(c, -1)["stop"].alias("stop"))
+        about = let(reach, lambda r: F.filter(base, lambda b: meets(r, b)))
+        return let(about, lambda near: F.filter(c, lambda t: ~F.exists(near, lambda b: meets(t, b))))
+
+    return F.when(F.size(tokens) > 0, let(chunked(tokens), lambda parts: F.flatten(F.transform(parts, part)))).otherwise(tokens)
+
+
 def joined(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
@@ -229,12 +277,21 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
-    """``text`` with each span, or run of overlapping spans, replaced by ``mark``."""
+    """``text`` with each span, or run of overlapping spans, replaced by ``mark``.
 
-    def add(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
-
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, first, add, rest)).otherwise(text)
+    What stays before a span begins where all spans before it have ended. Parts of the text are cut out first and the pieces from
+    them, so no piece is looked for from the start of a long text.
+    """
+    ends = running(F.transform(spans, lambda s: s["stop"]), F.lit(0).cast("bigint"), lambda x, y: F.greatest(x, y))
+    pieces = F.zip_with(spans, ends, lambda s, at: F.struct(at.alias("start"), s["start"].alias("stop")))
+    fresh = F.filter(pieces, lambda p: p["stop"] >= p["start"])
+    cut = lambda whole, start, stop: F.substring(whole, (start + 1).cast("int"), (stop - start).cast("int"))
+
+    def part(c: Column) -> Column:
+        first = F.get(c, F.lit(0))["start"]
+        return let(cut(text, first, F.element_at(c, -1)["stop"]), lambda whole: F.transform(c, lambda p: cut(whole, p["start"] - first, p["stop"] - first)))
+
+    last = F.aggregate(spans, F.lit(0).cast("bigint"), lambda x, s: F.greatest(x, s["stop"]))
+    rest = F.substring(text, last.cast("int") + 1, F.length(text))
+    kept = let(fresh, lambda f: F.array_join(F.flatten(F.transform(chunked(f), part)), mark))
+    return F.when(F.size(spans) > 0, F.concat(kept, F.lit(mark), rest)).otherwise(text)
