@@ -8,26 +8,17 @@ from pyspark.sql import functions as F
 Z95 = 1.959963984540054
 
 
-def nearest_rank(values: Column, fraction: float) -> Column:
-    """The sorted value at index round-half-even(fraction x (n - 1)); null values are left out, none gives null.
-
-    The values of a group are collected, so it is for groups of bounded size; others take counts of each value.
-    """
-    kept = F.array_sort(F.collect_list(values))
-    index = F.bround(F.lit(fraction) * (F.size(kept) - 1), 0).cast("int")
-    return F.when(F.size(kept) > 0, F.get(kept, F.least(index, F.size(kept) - 1)))
-
-
 def share(part: Column, whole: Column) -> Column:
     return F.when(whole != 0, part / whole)
 
 
 def wilson(k: Column, n: Column) -> tuple[Column, Column]:
     """The 95 % interval of k of n, within [0, 1]; null where n is 0."""
-    p, z2 = k / F.nullif(n, F.lit(0)), Z95 * Z95
+    n = F.nullif(n, F.lit(0))
+    p, z2 = k / n, Z95 * Z95
     middle = (p + z2 / (2 * n)) / (1 + z2 / n)
     half = Z95 / (1 + z2 / n) * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))
-    return F.greatest(middle - half, F.lit(0.0)), F.least(middle + half, F.lit(1.0))
+    return F.when(n.isNotNull(), F.greatest(middle - half, F.lit(0.0))), F.when(n.isNotNull(), F.least(middle + half, F.lit(1.0)))
 
 
 def wilson_sql(k: str, n: str) -> tuple[str, str]:

@@ -101,10 +101,11 @@ def redacted(text: Column, names: tuple[str, ...] = ()) -> Column:
 
 #: Words and phrases about protected attributes, and structural phrases that are blanked first.
 PROTECTED_WORDS = (
-    "age aged ages gender genders gendered male males female females nationality nationalities ethnicity ethnicities ethnic racial "
-    "religion religions religious married marriage marital divorced widowed pregnant pregnancy disability disabilities personality "
-    "appearance attractive unattractive handsome childcare children child"
-).split()
+    "age", "aged", "ages", "gender", "genders", "gendered", "male", "males", "female", "females", "nationality", "nationalities",
+    "ethnicity", "ethnicities", "ethnic", "racial", "religion", "religions", "religious", "married", "marriage", "marital", "divorced",
+    "widowed", "pregnant", "pregnancy", "disability", "disabilities", "personality", "appearance", "attractive", "unattractive",
+    "handsome", "childcare", "children", "child",
+)
 PROTECTED_PHRASES = (
     "years old", "year old", "date of birth", "place of birth", "culture fit", "cultural fit", "culture add", "single parent", "single mother",
     "single father", "marital status", "family status", "maternity leave", "paternity leave", "native speaker", "mother tongue",

@@ -10,7 +10,8 @@ from proofmill.functions import text as T
 from proofmill.operators.integrity import SOURCES, sources
 from proofmill.tables import read_table, spread
 
-CONFIG = ("profile-1", "rubric-1", "prompts-1", "policy-1")
+#: What a run is configured by: hashes of rubric, prompts and model bindings, the policy, blind mode, calibration, and the pipeline's version.
+CONFIG = ("rubric-1", "prompts-1", "bindings-1", "policy-1", "False", "True", "1.0.0")
 
 
 def document_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +22,7 @@ def document_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def content_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each candidate the hash of the sorted hashes of its documents and the configuration; a candidate has five documents."""
+    """For each candidate the hash of the sorted hashes of its documents and the seven parts of the configuration, apart by a unit separator; a candidate has five documents."""
     hashed = read_table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 5).alias("candidate"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
     parts = F.concat_ws("\x1f", F.array_join(F.array_sort(F.collect_list("sha")), "\x1f"), *map(F.lit, CONFIG))
     return hashed.groupBy("candidate").agg(F.sha2(parts, 256).alias("content_key"))

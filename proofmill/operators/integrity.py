@@ -292,20 +292,22 @@ def metadata_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def render_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a page's raw text says and its rendering does not.
+    """What a page's raw text says and its rendering does not; a page of which nothing was rendered has no finding.
 
-    Sentences of four words or more of which under 60 % are among the rendered words; pages where those have 60
-    characters or more together. The raw text keeps scripts, comments and styles; the rendering drops them.
+    Sentences end at a line break or at a full stop, question or exclamation mark that a blank follows. Those of four words or more
+    of which under 60 % are among the rendered words count, on pages where they have 60 characters or more, joined by blanks.
+    The raw text keeps scripts, comments and styles; the rendering drops them.
     """
     pages = read_table(spark, sf_dir, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("html"))
     shown = F.regexp_replace(F.regexp_replace(F.col("html"), r"(?s)<script.*?</script>|<style.*?</style>|<nav.*?</nav>|<!--.*?-->", " "), "<[^>]*>", " ")
     raw = F.regexp_replace(F.col("html"), "<[^>]*>", " ")
     words = lambda t: F.regexp_extract_all(F.lower(t), F.lit("[a-z0-9]+"), F.lit(0))
-    sides = pages.select("page_id", raw.alias("raw"), F.array_distinct(words(shown)).alias("seen"))
-    sentences = sides.select("page_id", "seen", F.explode(F.split("raw", r"[.!?\n]+")).alias("s")).select("page_id", "seen", F.trim("s").alias("s"), words(F.col("s")).alias("w"))
+    sides = pages.select("page_id", raw.alias("raw"), F.array_distinct(words(shown)).alias("seen")).where(F.size("seen") > 0)
+    trimmed = F.regexp_replace("s", r"^\s+|\s+$", "")
+    sentences = sides.select("page_id", "seen", F.explode(F.split("raw", r"(?<=[.!?])\s+|\n+")).alias("s")).select("page_id", "seen", trimmed.alias("s"), words(F.col("s")).alias("w"))
     # Bound as a lambda's variable, the new words of a sentence are found once, not again for each word.
     unknown = F.get(F.transform(F.array(F.array_except("w", "seen")), lambda new: F.size(F.filter("w", lambda x: F.array_contains(new, x)))), F.lit(0))
-    missing = sentences.where((F.size("w") >= 4) & (F.size("w") - unknown < 0.6 * F.size("w"))).groupBy("page_id").agg(F.count("*").alias("n_sentences"), F.sum(F.length("s")).alias("n_chars"))
+    missing = sentences.where((F.size("w") >= 4) & (F.size("w") - unknown < 0.6 * F.size("w"))).groupBy("page_id").agg(F.count("*").alias("n_sentences"), (F.sum(F.length("s") + 1) - 1).alias("n_chars"))
     return missing.where(F.col("n_chars") >= 60)
 
 
@@ -355,9 +357,9 @@ QUERIES = {
             {" ".join(f"UNION ALL SELECT 'page', page_id, '{f}', regexp_extract(coalesce(html, ''), '{p}', 1) FROM pages" for f, p in PAGE_FIELDS.items())}),
         x AS (SELECT "of", id, field, field || ': ' || value AS excerpt FROM m WHERE value <> '' AND regexp_matches(value, '{_re2(_ANY((*SYSTEM, *IMPERATIVES)))}', 'im'))
         SELECT "of", id, field, 'high' AS severity, 0.9::DOUBLE AS confidence, {_SHORT} AS excerpt FROM x"""),
-    "render_difference": (render_difference, """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    "render_difference": (render_difference, r"""WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         s AS (SELECT page_id, regexp_replace(html, '<[^>]*>', ' ', 'g') AS raw, list_distinct(regexp_extract_all(lower(regexp_replace(regexp_replace(html,
             '<script.*?</script>|<style.*?</style>|<nav.*?</nav>|<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'g')), '[a-z0-9]+')) AS seen FROM p),
-        x AS (SELECT page_id, seen, trim(unnest(string_split_regex(raw, '[.!?\\n]+'))) AS s FROM s), w AS (SELECT *, regexp_extract_all(lower(s), '[a-z0-9]+') AS w FROM x)
-        SELECT page_id, count(*) AS n_sentences, sum(length(s))::BIGINT AS n_chars FROM w WHERE len(w) >= 4 AND len(list_filter(w, lambda x: list_contains(seen, x))) < 0.6 * len(w) GROUP BY page_id HAVING sum(length(s)) >= 60"""),
+        x AS (SELECT page_id, seen, regexp_replace(unnest(string_split_regex(regexp_replace(raw, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+')), '^\s+|\s+$', '', 'g') AS s FROM s WHERE len(seen) > 0), w AS (SELECT *, regexp_extract_all(lower(s), '[a-z0-9]+') AS w FROM x)
+        SELECT page_id, count(*) AS n_sentences, (sum(length(s) + 1) - 1)::BIGINT AS n_chars FROM w WHERE len(w) >= 4 AND len(list_filter(w, lambda x: list_contains(seen, x))) < 0.6 * len(w) GROUP BY page_id HAVING sum(length(s) + 1) - 1 >= 60"""),
 }

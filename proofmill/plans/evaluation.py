@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from proofmill import fixtures
 from proofmill.functions.stats import share, wilson, wilson_sql
-from proofmill.operators import integrity, spans
 from proofmill.plans.views import EVENTS, RUNS, run_events, runs
 from proofmill.tables import read_table
 
@@ -154,20 +153,6 @@ def flip_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.join(floor, "lang", "left").select("lang", F.round("rate", 6).alias("rate"), F.round("floor", 6).alias("floor"), reading.alias("reading"))
 
 
-def arm_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each arm: cases, met bands, quotations refused of those offered, and flags that agree with the label."""
-    mine = cases(spark, sf_dir).select("case_id", "arm", "gold", "got", "toxic")
-    placed = spans.span_places(spark, sf_dir).select(F.col("claim_id").alias("case_id"), F.col("verdict").isin("wrong_document", "offset_mismatch", "unplaced").alias("refused"))
-    flagged = integrity.integrity_tiers(spark, sf_dir).select(F.col("id").alias("case_id"), (F.col("tier") != "clean").alias("flagged"))
-    joined = mine.join(placed, "case_id", "left").join(flagged, "case_id", "left")
-    by_arm = joined.groupBy("arm").agg(
-        F.count("*").alias("cases"), F.count("gold").alias("n_bands"), F.count_if(F.col("gold") == F.col("got")).alias("k_bands"), F.count("refused").alias("n_offered"), F.count_if("refused").alias("n_refused"),
-        F.count("flagged").alias("n_flags"), F.count_if(F.col("flagged") == (F.col("toxic") == 1)).alias("k_flags"),
-    )
-    rate = lambda k, n, name: F.round(share(F.col(k), F.col(n)), 6).alias(name)
-    return by_arm.select("arm", "cases", rate("k_bands", "n_bands", "band_accuracy"), "n_offered", rate("n_refused", "n_offered", "hallucination_rate"), rate("k_flags", "n_flags", "flag_accuracy"))
-
-
 def naive_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers of the single-call arm read from raw text: fences stripped, outermost braces, JSON, and a known band.
 
@@ -250,9 +235,6 @@ QUERIES = {
         p AS (SELECT base_count, x.lang, count(*) AS n, count(*) FILTER (x.got IS DISTINCT FROM y.got) AS k FROM b, cases x JOIN cases y ON x.lang = y.lang AND x.case_id < y.case_id WHERE x.case_id % base_count = y.case_id % base_count GROUP BY ALL),
         i AS (SELECT *, k / n AS rate, {_LOW} AS low, {_HIGH} AS high FROM p), r AS (FROM i WHERE base_count = 50), f AS (FROM i WHERE base_count <> 50 AND lang <> 'de')
         SELECT r.lang, round(r.rate, 6) AS rate, round(f.rate, 6) AS floor, CASE WHEN f.rate IS NULL THEN 'refused' WHEN NOT (r.high < f.low OR f.high < r.low) THEN 'overlaps' WHEN r.rate > f.rate THEN 'above' ELSE 'below' END AS reading FROM r LEFT JOIN f USING (lang)"""),
-    "arm_summary": (arm_summary, f"""WITH {_CASES}, {spans._CLAIMS}, {spans._PLACES}, t AS ({integrity.QUERIES['integrity_tiers'][1]}), m AS (SELECT arm, gold, got, toxic, verdict IN ('wrong_document', 'offset_mismatch', 'unplaced') AS refused, tier <> 'clean' AS flagged FROM cases LEFT JOIN v ON claim_id = case_id LEFT JOIN t ON id = case_id)
-        SELECT arm, count(*) AS cases, round(count(*) FILTER (gold = got) / nullif(count(gold), 0), 6) AS band_accuracy, count(refused) AS n_offered, round(count(*) FILTER (refused) / nullif(count(refused), 0), 6) AS hallucination_rate,
-            round(count(*) FILTER (flagged = (toxic = 1)) / nullif(count(flagged), 0), 6) AS flag_accuracy FROM m GROUP BY arm"""),
     "naive_answers": (naive_answers, f"""WITH {EVENTS}, b AS (SELECT event_id, '{{"band": "' || ['advance', ' HOLD ', 'decline', 'maybe'][event_id % 4 + 1] || '", "justification": "' || kind || '"}}' AS body FROM run_events),
         w AS (SELECT trim(CASE event_id % 5 WHEN 0 THEN '```json' || chr(10) || body || chr(10) || '```' WHEN 1 THEN 'Answer: ' || body || ' as asked.' WHEN 2 THEN substring(body, 1, 20) WHEN 3 THEN '  ' || body ELSE 'no answer' END) AS t FROM b),
         i AS (SELECT regexp_extract(CASE WHEN starts_with(t, '```') THEN regexp_replace(string_split(t, '```')[2], '^json', '') ELSE t END, '\\{{.*\\}}', 0, 's') AS j FROM w), s AS (SELECT j, CASE WHEN json_valid(j) THEN lower(trim(json_extract_string(j, '$.band'))) END AS said FROM i)

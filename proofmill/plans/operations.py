@@ -9,6 +9,8 @@ from proofmill.functions.stats import money, share
 from proofmill.plans.views import AS_OF_EVENTS, AS_OF_RUNS, CALLS, EVENTS, PRICES_SQL, RUNS, calls, prices, run_events, runs
 
 IDLE = ("delivered", "needs_review")
+#: Days that metrics of runs look back.
+WINDOW_DAYS = 365
 
 
 def _moment(at: str) -> Column:
@@ -64,23 +66,22 @@ def cost_of_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cost_by_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs, tokens, calls and cost by policy. One unpriced call leaves its run's cost unknown; the mean is of the runs with a price, null without any."""
-    per_run = priced_calls(spark, sf_dir).groupBy("run_id").agg(
-        F.count("*").alias("c"), F.sum("input_tokens").alias("t"), F.when(F.count("cost") == F.count("*"), F.sum("cost")).alias("cost")
-    )
-    joined = runs(spark, sf_dir).join(per_run, "run_id", "left")
-    return joined.groupBy("policy").agg(
-        F.count("*").alias("n_runs"),
-        F.coalesce(F.sum("c"), F.lit(0)).alias("n_calls"),
-        F.coalesce(F.sum("t"), F.lit(0)).alias("input_tokens"),
-        F.count("cost").alias("n_priced"),
-        F.sum("cost").cast("double").alias("total_cost"),
-        F.round(share(F.sum("cost").cast("double"), F.count("cost")), 6).alias("mean_cost"),
-    )
+    """Of the runs of the last 365 days by policy their number, calls, tokens and cost, and the cost of one and of a hundred.
+
+    A run costs what its priced calls do, and nothing is known of one without any; the mean is the known total over all runs.
+    """
+    per_run = priced_calls(spark, sf_dir).groupBy("run_id").agg(F.count("*").alias("c"), F.sum("input_tokens").alias("t"), F.sum("output_tokens").alias("o"), F.sum("cost").alias("cost"))
+    recent = runs(spark, sf_dir).where(F.col("started_at") >= _moment(AS_OF_RUNS) - _days(WINDOW_DAYS))
+    total = F.sum("cost").cast("double")
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return recent.join(per_run, "run_id", "left").groupBy("policy").agg(
+        F.count("*").alias("n_runs"), zero("c").alias("n_calls"), zero("t").alias("input_tokens"), zero("o").alias("output_tokens"),
+        total.alias("total_cost"), F.round(total / F.count("*"), 6).alias("mean_cost"), F.round(total / F.count("*") * 100, 4).alias("per_hundred"),
+    )
 
 
-def escalation_by_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Escalated calls by site, how many changed the outcome, and the rates."""
+def escalation_by_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Escalated calls by site, how many changed the outcome, and the rates."""
     by_site = calls(spark, sf_dir).groupBy("site").agg(F.count("*").alias("n"), F.count_if("escalated").alias("n_escalated"), F.count_if(F.col("escalated") & F.col("changed")).alias("n_changed"))
     return by_site.select("site", "n", "n_escalated", "n_changed", share(F.col("n_escalated"), F.col("n")).alias("escalation_rate"), share(F.col("n_changed"), F.col("n_escalated")).alias("changed_rate"))
 
@@ -101,7 +102,7 @@ def override_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest-rank seconds and the mean of finished runs by policy and month, from counts of each duration, so no group is collected."""
+    """Nearest-rank seconds and the mean of finished runs by policy and month, from counts of each duration, so no group is collected."""
     seconds = (F.unix_micros(F.col("finished_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / 1_000_000
     done = runs(spark, sf_dir).where(F.col("finished_at").isNotNull()).select("policy", F.date_format("started_at", "yyyy-MM").alias("month"), seconds.alias("s"))
     group = Window.partitionBy("policy", "month")
@@ -209,39 +210,48 @@ MOST_ESCALATIONS, LEAST_HEADROOM, LEAST_CONFIDENCE, TOKEN_CEILING = 3, 0.15, 0.6
 START_STRONG = ("high_stakes", "blocker")
 
 
-def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(run_id, call_no, kind, attempt, escalations, headroom, invalid_spans, confidence, repair_failed) of each call, before it is made."""
-    before = Window.partitionBy("run_id").orderBy("call_no", "latency_ms", "input_tokens", "cached_tokens", "escalated").rowsBetween(Window.unboundedPreceding, -1)
-    spent = F.coalesce(F.sum(F.col("input_tokens") + F.col("output_tokens")).over(before), F.lit(0))
-    used = F.coalesce(F.sum(F.col("escalated").cast("bigint")).over(before), F.lit(0))
-    kind = F.element_at(F.array(*map(F.lit, ("standard", "high_stakes", "blocker", "standard", "standard", "standard", "standard"))), F.col("call_no").cast("int"))
-    return calls(spark, sf_dir).select(
-        "run_id", "call_no", kind.alias("kind"), (F.col("latency_ms") % 3).alias("attempt"), used.alias("escalations"), (1 - spent / TOKEN_CEILING).alias("headroom"),
-        F.when(F.col("latency_ms") % 11 == 0, 2).otherwise(0).alias("invalid_spans"), F.when(F.col("cached_tokens") > 0, F.col("latency_ms") % 100 / 100).alias("confidence"), F.col("retried").alias("repair_failed"),
-    )
+#: Triggers that send a call to the strong tier.
+ESCALATING = ("high_stakes", "invalid_span", "low_confidence", "repair_failed")
 
 
-def routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Under each policy how many calls go to which tier, by the first trigger that applies."""
+def triggered(frame: DataFrame) -> DataFrame:
+    """Calls with ``again`` (it is another attempt) and ``trigger``: the first rule of the routed policy that applies, before the call is made."""
     c = F.col
-    again = c("attempt") > 0
-    routed = (
-        F.when(again & (c("headroom") < LEAST_HEADROOM), "budget_blocked")
-        .when(again & (c("escalations") >= MOST_ESCALATIONS), "capped")
-        .when(~again & c("kind").isin(*START_STRONG), "high_stakes")
-        .when(again & (c("invalid_spans") > 0), "invalid_span")
-        .when(again & (c("confidence") < LEAST_CONFIDENCE), "low_confidence")
-        .when(again & c("repair_failed"), "repair_failed")
+    before = Window.partitionBy("run_id").orderBy("call_no", "latency_ms", "input_tokens", "cached_tokens", "escalated").rowsBetween(Window.unboundedPreceding, -1)
+    spent = F.coalesce(F.sum(c("input_tokens") + c("output_tokens")).over(before), F.lit(0))
+    used = F.coalesce(F.sum(c("escalated").cast("bigint")).over(before), F.lit(0))
+    kind = F.element_at(F.array(*map(F.lit, ("standard", "high_stakes", "blocker", "standard", "standard", "standard", "standard"))), c("call_no").cast("int"))
+    confidence = F.when(c("cached_tokens") > 0, c("latency_ms") % 100 / 100)
+    again = c("again")
+    first = (
+        F.when(again & (1 - c("_spent") / TOKEN_CEILING < LEAST_HEADROOM), "budget_blocked")
+        .when(again & (c("_used") >= MOST_ESCALATIONS), "capped")
+        .when(~again & kind.isin(*START_STRONG), "high_stakes")
+        .when(again & (c("latency_ms") % 11 == 0), "invalid_span")
+        .when(again & (confidence < LEAST_CONFIDENCE), "low_confidence")
+        .when(again & c("retried"), "repair_failed")
         .otherwise("initial")
     )
-    strong = routed.isin("high_stakes", "invalid_span", "low_confidence", "repair_failed")
+    return frame.withColumns({"again": c("latency_ms") % 3 > 0, "_spent": spent, "_used": used}).withColumn("trigger", first).drop("_spent", "_used")
+
+
+def routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Under each policy how many calls go to which tier, by the first trigger that applies."""
+    strong, again = F.col("trigger").isin(*ESCALATING), F.col("again")
     pick = lambda policy, tier, trigger: F.struct(F.lit(policy).alias("policy"), tier.alias("tier"), trigger.alias("trigger"))
     picks = F.array(
         pick("all_cheap", F.lit("cheap"), F.when(again, "capped").otherwise("initial")),
         pick("all_strong", F.lit("strong"), F.lit("initial")),
-        pick("routed", F.when(strong, "strong").otherwise("cheap"), routed),
+        pick("routed", F.when(strong, "strong").otherwise("cheap"), F.col("trigger")),
     )
-    return attempts(spark, sf_dir).select(F.explode(picks).alias("p")).groupBy("p.policy", "p.tier", "p.trigger").agg(F.count("*").alias("n"))
+    return triggered(calls(spark, sf_dir)).select(F.explode(picks).alias("p")).groupBy("p.policy", "p.tier", "p.trigger").agg(F.count("*").alias("n"))
+
+
+def escalation_by_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the calls that a trigger sent to the strong tier, how many each one sent and how many of those changed the outcome."""
+    sent = triggered(calls(spark, sf_dir)).where(F.col("trigger").isin(*ESCALATING))
+    counted = sent.groupBy("trigger").agg(F.count("*").alias("n_escalated"), F.count_if("changed").alias("n_changed"))
+    return counted.select("trigger", "n_escalated", "n_changed", share(F.col("n_changed"), F.col("n_escalated")).alias("changed_rate"))
 
 
 def budget_breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,6 +274,11 @@ _E = "WITH " + EVENTS
 #: Exact in integers: prices have six places, so a cost is a number of 10^-12 that is rounded half up to 10^-6.
 _UNITS = """floor(((greatest(input_tokens - cached_tokens, 0)::HUGEINT * (p_in * 1000000)::HUGEINT + output_tokens::HUGEINT * (p_out * 1000000)::HUGEINT + cached_tokens::HUGEINT * (p_cached * 1000000)::HUGEINT) + 500000) // 1000000)"""
 
+_TRIGGERS = f"""{_C}, a AS (SELECT call_no, latency_ms % 3 > 0 AS again, coalesce(sum(escalated::INT) OVER w, 0) AS used, 1 - coalesce(sum(input_tokens + output_tokens) OVER w, 0) / {TOKEN_CEILING} AS room,
+        latency_ms % 11 = 0 AS bad, CASE WHEN cached_tokens > 0 THEN (latency_ms % 100) / 100 END AS sure, retried, changed FROM calls WINDOW w AS (PARTITION BY run_id ORDER BY call_no, latency_ms, input_tokens, cached_tokens, escalated ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    t AS (SELECT again, changed, CASE WHEN again AND room < {LEAST_HEADROOM} THEN 'budget_blocked' WHEN again AND used >= {MOST_ESCALATIONS} THEN 'capped' WHEN NOT again AND call_no IN (2, 3) THEN 'high_stakes' WHEN again AND bad THEN 'invalid_span'
+        WHEN again AND sure < {LEAST_CONFIDENCE} THEN 'low_confidence' WHEN again AND retried THEN 'repair_failed' ELSE 'initial' END AS trigger FROM a)"""
+
 QUERIES = {
     "runs_by_status": (runs_by_status, f"{_R} SELECT status, count(*) AS n_runs FROM runs WHERE started_at >= TIMESTAMP '{AS_OF_RUNS}' - INTERVAL 365 DAY GROUP BY 1"),
     "stuck_runs": (stuck_runs, f"{_R} SELECT run_id, status, started_at FROM runs WHERE finished_at IS NULL AND status NOT IN {IDLE} AND started_at < TIMESTAMP '{AS_OF_RUNS}' - INTERVAL 365 DAY"),
@@ -273,10 +288,11 @@ QUERIES = {
         coalesce(sum(escalated::INT), 0)::BIGINT AS n_escalated FROM runs LEFT JOIN calls USING (run_id) GROUP BY run_id"""),
     "cost_of_calls": (cost_of_calls, f"WITH {CALLS}, {PRICES_SQL} SELECT run_id, call_no, tier, ({_UNITS})::DOUBLE / 1000000 AS cost FROM calls LEFT JOIN prices USING (tier)"),
     "cost_by_policy": (cost_by_policy, f"""WITH {RUNS}, {CALLS}, {PRICES_SQL}, p AS (SELECT *, {_UNITS} AS cost FROM calls LEFT JOIN prices USING (tier)),
-        r AS (SELECT run_id, count(*) AS c, sum(input_tokens) AS t, CASE WHEN count(cost) = count(*) THEN sum(cost) END AS cost FROM p GROUP BY run_id)
-        SELECT policy, count(*) AS n_runs, coalesce(sum(c), 0)::BIGINT AS n_calls, coalesce(sum(t), 0)::BIGINT AS input_tokens, count(cost) AS n_priced, sum(cost)::DOUBLE / 1000000 AS total_cost, round(sum(cost)::DOUBLE / 1000000 / nullif(count(cost), 0), 6) AS mean_cost
-        FROM runs LEFT JOIN r USING (run_id) GROUP BY policy"""),
-    "escalation_by_trigger": (escalation_by_trigger, f"""{_C} SELECT site, count(*) AS n, sum(escalated::INT)::BIGINT AS n_escalated, sum((escalated AND changed)::INT)::BIGINT AS n_changed,
+        r AS (SELECT run_id, count(*) AS c, sum(input_tokens) AS t, sum(output_tokens) AS o, sum(cost) AS cost FROM p GROUP BY run_id)
+        SELECT policy, count(*) AS n_runs, coalesce(sum(c), 0)::BIGINT AS n_calls, coalesce(sum(t), 0)::BIGINT AS input_tokens, coalesce(sum(o), 0)::BIGINT AS output_tokens, sum(cost)::DOUBLE / 1000000 AS total_cost,
+            round(sum(cost)::DOUBLE / 1000000 / count(*), 6) AS mean_cost, round(sum(cost)::DOUBLE / 1000000 / count(*) * 100, 4) AS per_hundred
+        FROM runs LEFT JOIN r USING (run_id) WHERE started_at >= TIMESTAMP '{AS_OF_RUNS}' - INTERVAL {WINDOW_DAYS} DAY GROUP BY policy"""),
+    "escalation_by_site": (escalation_by_site, f"""{_C} SELECT site, count(*) AS n, sum(escalated::INT)::BIGINT AS n_escalated, sum((escalated AND changed)::INT)::BIGINT AS n_changed,
         sum(escalated::INT) / count(*) AS escalation_rate, sum((escalated AND changed)::INT) / nullif(sum(escalated::INT), 0) AS changed_rate FROM calls GROUP BY site"""),
     "failure_rates": (failure_rates, f"""WITH {RUNS}, {CALLS}, r AS (SELECT run_id FROM runs WHERE started_at >= TIMESTAMP '{AS_OF_RUNS}' - INTERVAL 365 DAY), c AS (SELECT * FROM calls SEMI JOIN r USING (run_id))
         SELECT (SELECT count(*) FROM r) AS n_runs, count(*) AS n, round(count(*) FILTER (latency_ms > 900) / nullif(count(*), 0), 6) AS validation_failure_rate, round(count(*) FILTER (latency_ms % 11 = 0) / nullif(count(*), 0), 6) AS invalid_span_rate,
@@ -304,12 +320,9 @@ QUERIES = {
     "deliveries_outstanding": (deliveries_outstanding, f"""WITH {RUNS}, {CALLS}, d AS (SELECT run_id, sink FROM runs, (VALUES ('csv'), ('sheet')) AS s(sink) WHERE status = 'delivered'),
         t AS (SELECT run_id, CASE call_no WHEN 1 THEN 'csv' ELSE 'sheet' END AS sink FROM calls WHERE call_no IN (1, 2) AND run_id % 2 = 0)
         SELECT sink, count(*) AS n_outstanding FROM d ANTI JOIN t USING (run_id, sink) GROUP BY sink"""),
-    "routing": (routing, f"""{_C}, a AS (SELECT call_no, latency_ms % 3 > 0 AS again, coalesce(sum(escalated::INT) OVER w, 0) AS used, 1 - coalesce(sum(input_tokens + output_tokens) OVER w, 0) / {TOKEN_CEILING} AS room,
-            latency_ms % 11 = 0 AS bad, CASE WHEN cached_tokens > 0 THEN (latency_ms % 100) / 100 END AS sure, retried FROM calls WINDOW w AS (PARTITION BY run_id ORDER BY call_no, latency_ms, input_tokens, cached_tokens, escalated ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-        t AS (SELECT again, CASE WHEN again AND room < {LEAST_HEADROOM} THEN 'budget_blocked' WHEN again AND used >= {MOST_ESCALATIONS} THEN 'capped' WHEN NOT again AND call_no IN (2, 3) THEN 'high_stakes' WHEN again AND bad THEN 'invalid_span'
-            WHEN again AND sure < {LEAST_CONFIDENCE} THEN 'low_confidence' WHEN again AND retried THEN 'repair_failed' ELSE 'initial' END AS trigger FROM a)
-        SELECT 'routed' AS policy, CASE WHEN trigger IN ('high_stakes', 'invalid_span', 'low_confidence', 'repair_failed') THEN 'strong' ELSE 'cheap' END AS tier, trigger, count(*) AS n FROM t GROUP BY ALL
+    "routing": (routing, f"""{_TRIGGERS} SELECT 'routed' AS policy, CASE WHEN trigger IN {ESCALATING} THEN 'strong' ELSE 'cheap' END AS tier, trigger, count(*) AS n FROM t GROUP BY ALL
         UNION ALL SELECT 'all_cheap', 'cheap', CASE WHEN again THEN 'capped' ELSE 'initial' END, count(*) FROM t GROUP BY ALL UNION ALL SELECT 'all_strong', 'strong', 'initial', count(*) FROM t"""),
+    "escalation_by_trigger": (escalation_by_trigger, f"{_TRIGGERS} SELECT trigger, count(*) AS n_escalated, count(*) FILTER (changed) AS n_changed, count(*) FILTER (changed) / count(*) AS changed_rate FROM t WHERE trigger IN {ESCALATING} GROUP BY trigger"),
     "budget_breaches": (budget_breaches, f"""{_C}, r AS (SELECT run_id, call_no, sum(input_tokens + output_tokens) OVER w AS tokens, sum(escalated::INT) OVER w AS escalations FROM calls WINDOW w AS (PARTITION BY run_id ORDER BY call_no, latency_ms, input_tokens, cached_tokens, escalated ROWS UNBOUNDED PRECEDING))
         SELECT run_id, call_no, tokens::BIGINT AS tokens, escalations::BIGINT AS escalations FROM r WHERE tokens >= 15000 OR escalations >= 3 QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY call_no, tokens, escalations) = 1"""),
     "batch_summary": (batch_summary, f"""{_R} SELECT count(*) AS n, count(*) FILTER (status = 'needs_review') AS reviewable, count(*) FILTER (status = 'delivered') AS delivered,

@@ -113,37 +113,6 @@ def current_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest.join(listed, "id", "left").select("id", "report_id", F.coalesce("findings", F.lit("")).alias("findings"))
 
 
-#: Parts of a snapshot: metric, query, key and value as expressions that both engines read.
-SNAPSHOT = (
-    ("runs_by_status", "status", "n_runs"),
-    ("stuck_runs", "'all'", "count(*)"),
-    ("cost_by_policy", "policy", "total_cost"),
-    ("run_latency", "policy || '/' || month", "p95"),
-    ("call_latency", "site", "p95"),
-    ("escalation_by_trigger", "site", "escalation_rate"),
-    ("failure_rates", "'invalid_span'", "invalid_span_rate"),
-    ("error_codes", "kind || '/' || day", "n_events"),
-    ("override_rate", "policy", "rate"),
-    ("override_reasons", "reason", "n"),
-    ("trust_ratings", "rating", "n"),
-    ("findings_by_severity", "detector || '/' || severity", "n"),
-)
-
-
-def _part(metric: str, key: str, value: str) -> tuple[str, str, str]:
-    return f"'{metric}' AS metric", f"CAST({key} AS STRING) AS key", f"CAST({value} AS DOUBLE) AS value"
-
-
-def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The operational metrics in one table (metric, key, value); each part is the small result of its own query."""
-    whole = None
-    for metric, key, value in SNAPSHOT:
-        query = (operations.QUERIES.get(metric) or QUERIES[metric])[0]
-        part = query(spark, sf_dir).selectExpr(*_part(metric, key, value))
-        whole = part if whole is None else whole.unionAll(part)
-    return whole
-
-
 # -- review and delivery
 
 
@@ -245,12 +214,60 @@ def draft_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.groupBy("run_id").agg(F.array_join(pairs, ",").alias("states"))
 
 
+#: The fields that may leave in a notification, and the texts by kind.
+ALLOWED_FIELDS = ("kind", "count", "ready_count", "flagged_count", "failed_count", "role_id", "link", "sink_id", "error_code", "occurred_at")
+NOTICES = {
+    "batch_ready": "{ready_count} candidate(s) ready to review for {role_id}{flagged}.",
+    "delivery_failed": "{failed_count} result(s) could not be sent to {sink_id} ({error_code}). They are saved and will retry.",
+    "quarantine_detected": "{count} document(s) were flagged as containing content aimed at an automated reader. Nothing was assessed and nothing was spent.",
+}
+LINK_LABEL = "Open the queue"
+#: What stands for a field that is not there.
+MISSING = {"ready_count": "0", "failed_count": "0", "count": "0", "role_id": "this role", "sink_id": "the destination", "error_code": "unknown"}
+
+
+def notified(rows: DataFrame) -> DataFrame:
+    """(kind, payload, text) of rows with a kind and any other columns.
+
+    The payload has the allowed fields that say something, in their order; a blank or 0 says nothing, and a column that is not
+    allowed stays behind whatever it holds. The text is filled from the payload alone.
+    """
+    c = F.col
+    have = {f: F.nullif(F.nullif(c(f).cast("string"), F.lit("")), F.lit("0")) if f in rows.columns else F.lit(None).cast("string") for f in ALLOWED_FIELDS}
+    payload = F.concat_ws("; ", *(F.concat(F.lit(f"{f}="), have[f]) for f in ALLOWED_FIELDS))
+    flagged = F.when(have["flagged_count"].isNotNull(), F.concat(F.lit(", "), have["flagged_count"], F.lit(" needing a closer look"))).otherwise("")
+    text = F.lit(None).cast("string")
+    for kind, template in NOTICES.items():
+        filled = F.lit(template)
+        for field, instead in MISSING.items():
+            filled = F.replace(filled, F.lit(f"{{{field}}}"), F.coalesce(have[field], F.lit(instead)))
+        text = F.when(c("kind") == kind, F.replace(filled, F.lit("{flagged}"), flagged)).otherwise(text)
+    linked = F.when(have["link"].isNotNull(), F.concat(text, F.lit(" <"), have["link"], F.lit(f"|{LINK_LABEL}>"))).otherwise(text)
+    return rows.select("kind", payload.alias("payload"), linked.alias("text"))
+
+
 def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What may leave in a notification: the allowed fields that say something, in their order, by status."""
-    fields = ("status", "overrides", "policy")
-    row = {"status": F.col("status"), "overrides": F.when(F.col("override_count") != 0, F.col("override_count").cast("string")), "policy": F.col("policy")}
-    text = F.concat_ws("; ", *(F.concat(F.lit(f"{f}: "), F.nullif(row[f], F.lit(""))) for f in fields))
-    return runs(spark, sf_dir).groupBy(text.alias("message")).agg(F.count("*").alias("n"))
+    """What is sent about each policy's runs: those ready and flagged, those not delivered, those held back. The candidate and overrides stay behind."""
+    c = F.col
+    waiting = c("status") == "structured"
+    counted = runs(spark, sf_dir).groupBy("policy").agg(
+        F.max("candidate").alias("candidate"), F.sum("override_count").alias("overrides"), F.count_if(waiting).alias("ready"), F.count_if(waiting & (c("override_count") > 1)).alias("flagged"),
+        F.count_if(c("status") == "needs_review").alias("failed"), F.count_if(c("override_count") > 2).alias("held"),
+    )
+    n = lambda of: F.lit(None).cast("bigint") if of is None else c(of)
+    said = lambda x: F.lit(None).cast("string") if x is None else x
+
+    def one(kind: str, ready: str | None = None, flagged: str | None = None, failed: str | None = None, count: str | None = None, role: Column | None = None, link: Column | None = None, code: Column | None = None) -> Column:
+        return F.struct(
+            F.lit(kind).alias("kind"), n(ready).alias("ready_count"), n(flagged).alias("flagged_count"), n(failed).alias("failed_count"), n(count).alias("count"), said(role).alias("role_id"), said(link).alias("link"), said(code).alias("error_code"), c("candidate"), c("overrides")
+        )
+
+    kinds = F.array(
+        one("batch_ready", ready="ready", flagged="flagged", role=c("policy"), link=F.lit("https://queue.test/")),
+        one("delivery_failed", failed="failed", code=F.when(c("failed") % 2 == 0, "transient").otherwise("")),
+        one("quarantine_detected", count="held"),
+    )
+    return notified(counted.select(F.explode(kinds).alias("m")).select("m.*"))
 
 
 _E, _R = "WITH " + EVENTS, "WITH " + RUNS
@@ -295,6 +312,10 @@ QUERIES = {
     "draft_cases": (draft_cases, f"""{_E}, g AS (SELECT run_id, 'c' || (event_id % 3 + 1) AS criterion, {_pick_sql(("met", "partial", "not_met"), "floor(value) % 3")} AS state FROM run_events WHERE kind = 'purchase'
             QUALIFY row_number() OVER (PARTITION BY run_id, event_id % 3 ORDER BY happened DESC, event_id DESC) = 1)
         SELECT run_id, string_agg(criterion || '=' || state, ',' ORDER BY criterion) AS states FROM g GROUP BY run_id"""),
-    "notifications": (notifications, f"{_R} SELECT concat_ws('; ', 'status: ' || nullif(status, ''), 'overrides: ' || CASE WHEN override_count <> 0 THEN override_count::VARCHAR END, 'policy: ' || nullif(policy, '')) AS message, count(*) AS n FROM runs GROUP BY 1"),
+    "notifications": (notifications, f"""{_R}, g AS (SELECT policy, count(*) FILTER (status = 'structured') AS ready, count(*) FILTER (status = 'structured' AND override_count > 1) AS flagged, count(*) FILTER (status = 'needs_review') AS failed, count(*) FILTER (override_count > 2) AS held FROM runs GROUP BY policy)
+        SELECT 'batch_ready' AS kind, concat_ws('; ', 'kind=batch_ready', 'ready_count=' || nullif(ready, 0), 'flagged_count=' || nullif(flagged, 0), 'role_id=' || policy, 'link=https://queue.test/') AS payload,
+            ready || ' candidate(s) ready to review for ' || policy || CASE WHEN flagged > 0 THEN ', ' || flagged || ' needing a closer look' ELSE '' END || '. <https://queue.test/|{LINK_LABEL}>' AS text FROM g
+        UNION ALL SELECT 'delivery_failed', concat_ws('; ', 'kind=delivery_failed', 'failed_count=' || nullif(failed, 0), CASE WHEN failed % 2 = 0 THEN 'error_code=transient' END),
+            failed || ' result(s) could not be sent to the destination (' || CASE WHEN failed % 2 = 0 THEN 'transient' ELSE 'unknown' END || '). They are saved and will retry.' FROM g
+        UNION ALL SELECT 'quarantine_detected', concat_ws('; ', 'kind=quarantine_detected', 'count=' || nullif(held, 0)), held || ' document(s) were flagged as containing content aimed at an automated reader. Nothing was assessed and nothing was spent.' FROM g"""),
 }
-QUERIES["snapshot"] = (snapshot, " UNION ALL ".join(f"(SELECT {', '.join(_part(m, k, v))} FROM ({(operations.QUERIES.get(m) or QUERIES[m])[1]}))" for m, k, v in SNAPSHOT))

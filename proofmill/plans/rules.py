@@ -147,14 +147,26 @@ def review_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Statuses and what may follow each.
-EDGES = {
-    "created": "intake_ok failed_terminal", "intake_ok": "extracted failed_terminal", "extracted": "sanitized failed_terminal", "sanitized": "structured quarantined",
-    "structured": "calibrated", "calibrated": "assessed", "assessed": "aggregated manual_review_required", "aggregated": "composed",
-    "composed": "ready_for_review needs_review", "ready_for_review": "approved rejected needs_info", "needs_review": "approved rejected needs_info",
-    "quarantined": "needs_review rejected", "manual_review_required": "needs_review", "needs_info": "created",
-    "approved": "delivered delivery_pending_retry", "delivery_pending_retry": "delivered", "interrupted": "created",
-}
-EDGE_ROWS = [(a, b) for a, targets in EDGES.items() for b in targets.split()]
+EDGES = (
+    ("created", ("intake_ok", "failed_terminal",)),
+    ("intake_ok", ("extracted", "failed_terminal",)),
+    ("extracted", ("sanitized", "failed_terminal",)),
+    ("sanitized", ("structured", "quarantined",)),
+    ("structured", ("calibrated",)),
+    ("calibrated", ("assessed",)),
+    ("assessed", ("aggregated", "manual_review_required",)),
+    ("aggregated", ("composed",)),
+    ("composed", ("ready_for_review", "needs_review",)),
+    ("ready_for_review", ("approved", "rejected", "needs_info",)),
+    ("needs_review", ("approved", "rejected", "needs_info",)),
+    ("quarantined", ("needs_review", "rejected",)),
+    ("manual_review_required", ("needs_review",)),
+    ("needs_info", ("created",)),
+    ("approved", ("delivered", "delivery_pending_retry",)),
+    ("delivery_pending_retry", ("delivered",)),
+    ("interrupted", ("created",)),
+)
+EDGE_ROWS = [(a, b) for a, targets in EDGES for b in targets]
 KINDS = {"view": "created", "click": "intake_ok", "purchase": "extracted", "signup": "sanitized", "error": "failed_terminal"}
 
 
@@ -184,6 +196,22 @@ def reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def simple_paths(spark: SparkSession, sf_dir: str, start: str = "created") -> DataFrame:
+    """Every simple path of statuses from ``start``, and how many moves of runs were made over its last step.
+
+    A path is extended by statuses that it has not visited, so cycles end by themselves; each path is one to its last status. The
+    table of statuses is fixed and small; the moves are those of all runs.
+    """
+    values = ", ".join(f"('{a}', '{b}')" for a, b in EDGE_ROWS)
+    paths = spark.sql(f"""WITH RECURSIVE edge(src, dst) AS (VALUES {values}), p(node, path) AS (
+        SELECT CAST('{start}' AS STRING), array(CAST('{start}' AS STRING)) UNION ALL SELECT dst, array_append(path, dst) FROM p JOIN edge ON node = src WHERE NOT array_contains(path, dst)) SELECT node, path FROM p WHERE size(path) > 1""")
+    status = F.element_at(F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair)), F.col("kind"))
+    in_run = Window.partitionBy("run_id").orderBy("happened", "event_id")
+    moves = run_events(spark, sf_dir).select(F.lag(status).over(in_run).alias("src"), status.alias("dst")).where(F.col("src") != F.col("dst")).groupBy("src", "dst").agg(F.count("*").alias("n_moves"))
+    steps = paths.select(F.array_join("path", ">").alias("path"), F.col("node").alias("status"), (F.size("path") - 1).cast("bigint").alias("n_steps"), F.element_at("path", -2).alias("src"), F.col("node").alias("dst"))
+    return steps.join(F.broadcast(moves), ["src", "dst"], "left").select("path", "status", "n_steps", F.coalesce("n_moves", F.lit(0)).alias("n_moves"))
+
+
 _COUNTS = f"""{CALLS}, n AS (SELECT run_id, call_no AS ord, sum((latency_ms % 4 <> 0)::INT) AS supported, sum((latency_ms % 7 = 0)::INT) AS contradicted, max(CASE WHEN input_tokens > 4900 THEN 'budget' END) AS unassessed
     FROM calls WHERE call_no <= 5 GROUP BY ALL), {fixtures.sql("k", CRITERIA_SCHEMA, CRITERIA)},
 s AS (SELECT r.run_id, k.*, n.unassessed, coalesce(supported, 0) AS sp, coalesce(contradicted, 0) AS ct, CASE WHEN n.unassessed IS NOT NULL OR (sp = 0 AND ct = 0) THEN '{UNKNOWN}' WHEN sp > 0 AND ct > 0 THEN 'contradicted'
@@ -211,6 +239,8 @@ h AS (SELECT r.run_id, CASE WHEN reasons = 'low_coverage' THEN reasons ELSE conc
     FROM r LEFT JOIN runs USING (run_id) LEFT JOIN m USING (run_id) LEFT JOIN t ON t.id = r.run_id)"""
 _EDGES = fixtures.sql("edge", "src string, dst string", EDGE_ROWS)
 
+_STATUS = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{s}'" for k, s in KINDS.items()) + " END"
+
 QUERIES = {
     "recommendations": (recommendations, f"WITH {_COUNTS}, {_recommend('s', 'r')} SELECT * FROM r"),
     "recomputed": (recomputed, f"""WITH {_COUNTS}, o AS (SELECT * REPLACE (CASE WHEN run_id % 7 = 0 AND ord = 2 THEN CASE state WHEN 'met' THEN 'not_met' ELSE 'met' END ELSE state END AS state,
@@ -229,7 +259,10 @@ QUERIES = {
             [CASE WHEN NOT gate AND blockers = '' THEN {{'rule': 'band', 'value': NULL::DOUBLE, 'outcome': band}} END, CASE WHEN NOT gate AND why <> '' THEN {{'rule': 'human_required', 'value': NULL::DOUBLE, 'outcome': why}} END]), lambda x: x IS NOT NULL) AS steps FROM a)
         SELECT run_id, k::BIGINT AS nth, steps[k].rule AS rule, steps[k].value AS value, steps[k].outcome AS outcome FROM l, range(1, len(steps) + 1) AS n(k)"""),
     "illegal_transitions": (illegal_transitions, f"""WITH {_EDGES}, {EVENTS}, m AS (SELECT {{}} AS dst, run_id, happened, event_id FROM run_events), l AS (SELECT dst, lag(dst) OVER (PARTITION BY run_id ORDER BY happened, event_id) AS src FROM m)
-        SELECT src, dst, count(*) AS n FROM l ANTI JOIN edge USING (src, dst) WHERE src IS NOT NULL AND src <> dst GROUP BY ALL""".replace("{}", "CASE kind " + " ".join(f"WHEN '{k}' THEN '{s}'" for k, s in KINDS.items()) + " END")),
+        SELECT src, dst, count(*) AS n FROM l ANTI JOIN edge USING (src, dst) WHERE src IS NOT NULL AND src <> dst GROUP BY ALL""".replace("{}", _STATUS)),
     "reachable": (reachable, f"""WITH RECURSIVE {_EDGES}, p(src, dst) AS (SELECT src, dst FROM edge UNION SELECT p.src, e.dst FROM p JOIN edge e ON p.dst = e.src),
         w(src, dst, steps) AS (SELECT src, dst, 1 FROM edge UNION SELECT w.src, e.dst, steps + 1 FROM w JOIN edge e ON w.dst = e.src WHERE steps < (SELECT count(DISTINCT src) + 1 FROM edge)) SELECT src, dst, min(steps) AS steps FROM p JOIN w USING (src, dst) GROUP BY ALL"""),
+    "simple_paths": (simple_paths, f"""WITH RECURSIVE {_EDGES}, {EVENTS}, p(node, path) AS (SELECT 'created'::VARCHAR, ['created'::VARCHAR] UNION ALL SELECT dst, list_append(path, dst) FROM p JOIN edge ON node = src WHERE NOT list_contains(path, dst)),
+        m AS (SELECT {_STATUS} AS dst, lag({_STATUS}) OVER (PARTITION BY run_id ORDER BY happened, event_id) AS src FROM run_events), n AS (SELECT src, dst, count(*) AS n_moves FROM m WHERE src <> dst GROUP BY ALL)
+        SELECT array_to_string(path, '>') AS path, node AS status, len(path) - 1 AS n_steps, coalesce(n_moves, 0) AS n_moves FROM p LEFT JOIN n ON n.dst = node AND n.src = path[len(path) - 1] WHERE len(path) > 1"""),
 }

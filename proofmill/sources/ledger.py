@@ -13,21 +13,35 @@ SINK_COLUMNS = (
 )
 
 
-def candidate_of(name: Column) -> Column:
-    """A3: the part of a file's name before the first "_", "-" or space, lower-cased."""
-    return F.lower(F.regexp_extract(name, r"^([^_\- ]+)", 1))
+def candidate_of(name: Column, separators: tuple[str, ...] = ("_", "-", " ")) -> Column:
+    """A3: the stem of a file's name in lower case before its first "_"; without one before "-"; without one before a blank. An empty part leaves the stem."""
+    stem = F.lower(F.trim(F.regexp_replace(name, r"\.[^.]*$", "")))
+    part = stem
+    for separator in reversed(separators):
+        part = F.when(F.contains(stem, F.lit(separator)), F.split_part(stem, F.lit(separator), F.lit(1))).otherwise(part)
+    return F.coalesce(F.nullif(part, F.lit("")), F.nullif(stem, F.lit("")), F.lit("candidate"))
+
+
+def prefix_of(name: Column) -> Column:
+    """A1: for files beside the subfolders, the stem before its first "_" or "-", as it is written; an empty part leaves the stem."""
+    stem = F.regexp_replace(name, r"\.[^.]*$", "")
+    return F.coalesce(F.nullif(F.regexp_extract(stem, "^[^_-]*", 0), F.lit("")), stem)
 
 
 def documents_in(spark: SparkSession, folder: str) -> DataFrame:
     """A1, A2: (candidate, name, sha256, n_bytes, content) of allowed files below ``folder``.
 
-    A subfolder is a candidate; loose files are grouped by name. Spark lists the folder, so no path leaves it.
+    A subfolder is a candidate with all that is below it; loose files are grouped by name. Spark lists the folder, so no path leaves it.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    parts = F.split(F.regexp_replace("path", r"/+$", ""), "/")
+    parts, top = F.split(F.regexp_replace("path", r"/+$", ""), "/"), F.lit(folder.rstrip("/").split("/")[-1])
     name, parent = F.element_at(parts, -1), F.element_at(parts, -2)
-    top = F.lit(folder.rstrip("/").split("/")[-1])
-    named = files.select(F.when(parent == top, candidate_of(name)).otherwise(parent).alias("candidate"), name.alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("n_bytes"), "content")
+    # The candidate's folder is the part after the last that is called like the top folder's place in the path.
+    depth = F.lit(len([p for p in folder.split("://")[-1].split("/") if p]))
+    places = F.filter(F.split(F.regexp_replace("path", "^[a-z0-9]+:/*", ""), "/"), lambda p: p != "")
+    below = F.get(places, depth)
+    loose = (parent == top) & (F.size(places) == depth + 1)
+    named = files.select(F.when(loose, prefix_of(name)).otherwise(below).alias("candidate"), name.alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("n_bytes"), "content")
     return named.where(F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1)).isin(*ALLOWED))
 
 
@@ -103,11 +117,14 @@ def violations(criteria: DataFrame) -> DataFrame:
     return criteria.select("criterion", F.explode(problems).alias("problem"))
 
 
-def retry_schedule(spark: SparkSession, attempts: int = 3) -> DataFrame:
-    """Seconds before each further attempt, doubling from half a second up to eight; jitter is the caller's."""
-    return spark.range(1, attempts).select(F.col("id").alias("attempt"), F.least(F.lit(8.0), 0.5 * F.pow(F.lit(2.0), F.col("id") - 1)).alias("delay"))
+def retry_schedule(spark: SparkSession, attempts: int = 3, seed: int = 0, jitter: float = 0.3) -> DataFrame:
+    """(attempt, delay): seconds after each failed attempt but the last, doubling from half a second; a part drawn by ``seed`` is added or taken off, and the cap of eight comes last."""
+    drawn = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_000)) / 1_000_000
+    raw = 0.5 * F.pow(F.lit(2.0), F.col("id") - 1) * (1 - jitter + 2 * jitter * drawn)
+    return spark.range(1, attempts).select(F.col("id").alias("attempt"), F.least(F.lit(8.0), raw).alias("delay"))
 
 
 def failure_class(status: Column) -> Column:
-    """What an HTTP status means for a retry."""
-    return F.when(status == 429, "rate_limited").when(status.isin(401, 403), "auth").when((status >= 500) | (status == 408), "transient").when(status >= 400, "permanent").otherwise("ok")
+    """What an HTTP status means for a retry; what is neither known nor a success is permanent, no status is a service that was not reached."""
+    named = F.when(status.isNull(), "transient").when(status == 429, "rate_limited").when(status.isin(401, 403), "auth").when(status == 404, "config")
+    return named.when(status.between(500, 599), "transient").when(status < 400, "ok").otherwise("permanent")

@@ -77,20 +77,6 @@ def test_excerpts(spark):
     assert got[2] == "invisible characters present: zero-width space (2), soft hyphen (1), tag character (1)"
 
 
-def test_normal_form_and_map(spark):
-    mapped = documents.normalise_with_map(fixtures.texts(spark).withColumnRenamed("fx_id", "id")).collect()
-    for row in mapped:
-        raw = dict(fixtures.TEXTS)[row["id"]]
-        assert sum(r["length"] for r in row["runs"]) == len(row["text"])
-        for r in row["runs"]:
-            assert r["raw_start"] + r["length"] <= len(raw)
-        formed = "".join(c for c in unicodedata.normalize("NFKC", raw.translate({ord(k): v for k, v in T.LIGATURES.items()})).translate(
-            {**{ord(d): "-" for d in T.DASHES}, **{ord(q): "'" for q in T.SINGLE_QUOTES}, **{ord(q): '"' for q in T.DOUBLE_QUOTES}}) if c not in T.INVISIBLE)
-        assert row["text"] == " ".join(re.sub(r"-[ \t]*\n[ \t]*(?=[a-z][\s\S])", "", formed).split())
-    plain = {r["fx_id"]: r["t"] for r in fixtures.texts(spark).select("fx_id", T.normalised(F.col("text")).alias("t")).collect()}
-    assert plain == {row["id"]: row["text"] for row in mapped}
-
-
 def test_redaction(spark):
     out = {r["fx_id"]: r["t"] for r in fixtures.texts(spark).select("fx_id", T.redacted(F.col("text"), ("Jo Doe",)).alias("t")).collect()}
     # A number followed by a full stop and nothing else is not taken for one: the stop may belong to it.
@@ -105,17 +91,6 @@ def test_fold(spark):
     assert got == spark.range(1).select(T.folded(F.lit("0wned closed worn")).alias("f")).first()["f"]
 
 
-def test_fuzzy_verdicts(spark, data):
-    kinds = {r["claim_id"] % 5: set() for r in []} or {k: set() for k in range(5)}
-    for r in evidence.span_checks(spark, data).collect():
-        kinds[r["claim_id"] % 5].add(r["verdict"])
-    assert kinds[0] == {"exact"} and kinds[4] == {"wrong_document"}
-    assert "not_found" in kinds[3] and "exact" not in kinds[3]
-    assert kinds[2] & {"fuzzy", "fuzzy_ocr"}
-    sweep = evidence.threshold_sweep(spark, data).orderBy("threshold").collect()
-    assert len(sweep) == 16 and [r["kept"] for r in sweep] == sorted((r["kept"] for r in sweep), reverse=True)
-
-
 def test_packing_keeps_turns_whole(spark, data):
     sizes = {(r["conv_id"], r["turn"]): len(r["text"] or "") for r in read_table(spark, data, "conversations").collect()}
     chunks: dict = {}
@@ -179,51 +154,6 @@ def test_streams_agree_with_batch(spark, data, tmp_path):
     assert sorted(map(tuple, spark.table("windows").select("start", "kind", "n").collect())) == sorted(map(tuple, want.select("start", "kind", "n").collect()))
 
 
-def test_spans_that_overlap_or_hold_marks_of_patterns(spark):
-    """All occurrences count, overlapping ones too, and a quotation is no pattern."""
-    docs = spark.createDataFrame([(1, "ababab" + "x" * 900), (2, "a \\E b \\Q c (d) " + "y" * 50), (3, "one\ntwo three")], "doc_id bigint, text string")
-    asked = [(1, 1, "abab", 800), (2, 1, "abab", 3), (3, 2, "\\E b", 30), (4, 2, "(d)", 0), (5, 3, "one\ntwo", 0), (6, 9, "x", 0), (7, 3, "two", 9), (8, 1, "abc", 0)]
-    claims = spark.createDataFrame(asked, "claim_id bigint, cited bigint, span string, claimed int")
-    got = {r["claim_id"]: (r["verdict"], r["place"], r["crosses"]) for r in evidence.placed_spans(claims, docs).collect()}
-    assert got == {1: ("offset_mismatch", None, False), 2: ("relocated", 2, False), 3: ("relocated", 2, False), 4: ("relocated", 12, False),
-                   5: ("exact", 0, True), 6: ("wrong_document", None, False), 7: ("relocated", 4, False), 8: ("unplaced", None, False)}
-
-
-@given(st.text("abcd", min_size=1, max_size=12), st.text("abcd ", max_size=80), st.sampled_from([0.0, 0.5, 0.9]))
-def test_best_ratio_is_that_of_all_windows(needle, text, least):
-    from difflib import SequenceMatcher
-
-    step, n = max(1, len(needle) // 4), len(needle)
-    windows = [text] if n >= len(text) else [text[i : i + n] for i in range(0, len(text) - n + 1, step)]
-    best = max((SequenceMatcher(None, needle, w).ratio() for w in windows if w), default=0.0)
-    assert evidence.best_ratio(needle, text, least) == (best if best >= least else 0.0)
-
-
-def test_evidence_verdicts_and_sweep(spark, data):
-    """Each kind of claim gets the verdict it was made for; ratios agree with plain comparison where a verdict depends on them."""
-    from difflib import SequenceMatcher
-
-    def best(needle, text):
-        windows = [text[i : i + len(needle)] for i in range(0, len(text) - len(needle) + 1, max(1, len(needle) // 4))] if len(needle) < len(text) else [text]
-        return max((SequenceMatcher(None, needle, w).ratio() for w in windows if w), default=0.0)
-
-    placed = evidence.placed_spans(evidence.claims(spark, data), read_table(spark, data, "documents"))
-    folds = ["text", "span"]
-    left = {r["claim_id"]: r for r in placed.where("verdict = 'unplaced'").select("claim_id", "method", "text", "span", "claimed", *(T.folded(F.col(c)).alias(f"folded_{c}") for c in folds)).collect()}
-    checked = {r["claim_id"]: r for r in evidence.span_checks(spark, data).collect()}
-    assert {checked[i]["verdict"] for i in checked if i not in left} <= {"exact", "relocated", "offset_mismatch", "wrong_document"} and len(left) > 30
-    for i, r in left.items():
-        if r["method"] == "ocr":
-            want = "fuzzy_ocr" if best(r["folded_span"], r["folded_text"]) >= 0.9 else None
-        else:
-            reach = max(2 * len(r["span"]), evidence.RADIUS)
-            want = "fuzzy" if max(best(r["span"], r["text"][max(0, r["claimed"] - reach) : r["claimed"] + reach]), best(r["span"], r["text"])) >= 0.92 else "not_found"
-        assert want is None or checked[i]["verdict"] == want
-        assert checked[i]["accepted"] == checked[i]["verdict"].startswith("fuzzy")
-    swept = evidence.threshold_sweep(spark, data).orderBy("threshold").collect()
-    assert len(swept) == 16 and [r["kept"] for r in swept] == sorted((r["kept"] for r in swept), reverse=True) and sum(r["chosen"] for r in swept) <= 1
-
-
 def test_scanned_numbers_and_addresses(spark, data, tmp_path):
     """Numbers and addresses by line against plain patterns; reserved ones, and texts that declare invented ones, are left out."""
     from proofmill.operators import extraction
