@@ -229,6 +229,35 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "spans").mapInArrow(lambda batches: by_slices(batches, make), "doc_id bigint, n_removed bigint, kept binary, kept_text string")
 
 
+def own_repeats(words: list[bytes], codes: np.ndarray) -> np.ndarray:
+    """Which words of one text a window covers that stands in the text before; windows of equal code are compared word by word."""
+    change = np.zeros(len(words) + 1, dtype=np.int64)
+    windows = grams(codes, WINDOW)
+    _, first, number = np.unique(windows, return_index=True, return_inverse=True)
+    for at in np.flatnonzero(first[number] != np.arange(len(windows))).tolist():
+        of = int(first[number[at]])
+        if words[at : at + WINDOW] == words[of : of + WINDOW]:
+            change[at] += 1
+            change[at + WINDOW] -= 1
+    return np.cumsum(change[:-1]) > 0
+
+
+def without_own_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, n_removed, kept) of rows (doc_id, text), each judged by its own text alone; ``digest`` is that of all its words."""
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, out = batch.column("text").to_pylist(), []
+        for text, codes in zip(texts, _each(texts)):
+            words = _bytes(text).split()
+            gone = own_repeats(words, codes)
+            rest = b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
+            out.append((hashlib.sha256(b" ".join(words)).digest(), int(gone.sum()), hashlib.sha256(rest).digest()))
+        columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.binary()))]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "digest", "n_removed", "kept"])
+
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: by_slices(batches, make), "doc_id bigint, digest binary, n_removed bigint, kept binary")
+
+
 def find_repeats(docs: DataFrame, digests: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(doc, start, of_doc, of_start, length): maximal repeats in the documents of ``digests`` (doc_id, ...), all texts different."""
     some = within(F.col("doc_id"), digests.select(F.col("doc_id").alias("id")).distinct())(docs)
@@ -244,8 +273,8 @@ def remove_repeats(docs: DataFrame, group_rows: int = GROUP_ROWS, id_col: str =
 
     Of documents with equal words all but the one with the smallest id lose every word if they have a window at
     all, so only that one enters the trees. Null text has no words. Rows equal in id and words are one document. A
-    row with a null id, or with an id that has rows of other words too, keeps its words and takes none from others.
-    An empty table gives no rows; other columns are not read.
+    row with a null id, or with an id that has rows of other words too, has no place among the documents: it loses the
+    repeats inside its own text and takes no words from others. An empty table gives no rows; other columns are not read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     digests = scratch.materialize(word_digests(docs), "words")
@@ -259,12 +288,17 @@ def remove_repeats(docs: DataFrame, group_rows: int = GROUP_ROWS, id_col: str =
     spans = scratch.materialize(spans, "removed")
     some = within(F.col("doc_id"), spans.select(F.col("doc_id").alias("id")))(docs).join(spans, "doc_id")
     cut = without_repeats(some).select(F.col("doc_id").alias("cut_id"), "n_removed", "kept").dropDuplicates(["cut_id"])
+    apart = docs.join(unclear, F.col("doc_id") == F.col("unclear"), "left").where(F.col("doc_id").isNull() | F.col("unclear").isNotNull())
+    # What a text loses by itself hangs on its words alone.
+    own = without_own_repeats(apart).groupBy("digest").agg(F.max("n_removed").alias("own_removed"), F.max("kept").alias("own_kept"))
     placed = digests.join(firsts, "digest", "left").join(cut, F.col("doc_id") == F.col("cut_id"), "left").join(unclear, F.col("doc_id") == F.col("unclear"), "left")
+    placed = placed.join(own, "digest", "left")
+    alone = F.col("doc_id").isNull() | F.col("unclear").isNotNull()
     copy = F.col("rep").isNotNull() & F.col("doc_id").isNotNull() & F.col("unclear").isNull() & (F.col("doc_id") != F.col("rep"))
     nothing = F.unhex(F.sha2(F.lit(""), 256))
     return placed.select(
         F.col("doc_id").alias(id_col),
         "n_words",
-        F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.lower(F.hex(F.when(copy, nothing).otherwise(F.coalesce("kept", "digest")))).alias("kept_sha256"),
+        F.when(copy, F.col("n_words")).when(alone, F.col("own_removed")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
+        F.lower(F.hex(F.when(copy, nothing).when(alone, F.col("own_kept")).otherwise(F.coalesce("kept", "digest")))).alias("kept_sha256"),
     )

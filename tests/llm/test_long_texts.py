@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 import time
 
 from pyspark.sql import functions as F
 
-from proofmill.llm import licenses, secrets
+from proofmill.llm import licenses, secrets, substrings
 
 
 def plain_spans(text):
@@ -91,3 +92,23 @@ def test_notices_with_blank_lines_inside(spark):
     texts = [(1, changed), (2, changed.replace("\n\n", "\n")), (3, "words " * 400 + changed + "words " * 400), (4, "\n\n".join(changed.split("\n"))), (5, "\n\n".join(changed.split()[::3]))]
     got = {x["doc_id"]: (x["labels"], x["score"]) for x in licenses.scan_licenses(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
     assert all(got[i][0] == "mit" and 0.9 <= got[i][1] < 1 for i in (1, 2, 3, 4)) and got[5] == ("", 0.0)
+
+
+def test_repeats_in_texts_without_a_place_among_documents(spark):
+    """A null id, and an id with two texts: each row loses the repeats inside its own text, and nothing else."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefg") for _ in range(5))
+    passage = [word() for _ in range(30)]
+    inside = [word() for _ in range(9)] + passage + ["x"] + passage + [word()]
+    texts = [(None, inside), (None, passage), (1, inside), (1, ["spin"] * 60), (2, passage), (3, passage + ["end"]), (None, inside), (None, [])]
+    got = sorted(((x["doc_id"], x["n_words"], x["n_removed"], x["kept_sha256"]) for x in substrings.remove_repeats(spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id bigint, text string")).collect()), key=repr)
+    want = []
+    for i, w in texts:
+        seen, gone = set(), set()
+        for at in range(len(w) - 19):
+            window = tuple(w[at : at + 20])
+            gone |= set(range(at, at + 20)) if window in seen else set()
+            seen.add(window)
+        gone = set(range(30)) if i == 3 else gone
+        want.append((i, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()))
+    assert got == sorted(want, key=repr) and [g for g in got if g[2] == 30]
