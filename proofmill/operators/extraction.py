@@ -1,4 +1,4 @@
-"""Extraction: files that cannot be read, pages and readings, passages around quotations, and scans line by line."""
+"""Extraction: paragraphs, pages and readings, and scans line by line."""
 
 from __future__ import annotations
 
@@ -32,35 +32,7 @@ FICTIONAL = (
 )
 
 
-# -- files
-
-
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file_id, kind, content): pages as files; some lack their end, some say that they are encrypted."""
-    c = F.col("page_id")
-    kind = F.when(c % 3 == 0, "pdf").when(c % 3 == 1, "docx").otherwise("text")
-    marks = F.concat(F.repeat(F.lit("/Type /Page "), (c % 4).cast("int")), F.when(c % 2 == 0, F.lit("/Type /Pages ")).otherwise(""))
-    end = F.when((kind == "pdf") & (c % 5 != 0), "%%EOF").when((kind == "docx") & (c % 4 != 0), "PK\x05\x06").otherwise("")
-    content = F.concat(F.when(kind == "pdf", "%PDF-1.7 ").otherwise(""), marks, F.when(c % 7 == 0, "/Encrypt ").otherwise(""), F.coalesce("html", F.lit("")), end)
-    return read_table(spark, sf_dir, "pages").select(c.alias("file_id"), kind.alias("kind"), content.alias("content"))
-
-
-def occurrences(text: Column, mark: str) -> Column:
-    """How often ``mark`` stands in ``text``, without overlap."""
-    return ((F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))) / len(mark)).cast("bigint")
-
-
-def unreadable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each file whether it is encrypted or corrupt, its pages by their marks, and the first reason to refuse it.
-
-    A PDF ends within its last 2048 characters, a zip within its last 66000. The page count only gates a limit: one at least.
-    """
-    tail = lambda n: F.substring("content", -n, n)
-    encrypted = (F.col("kind") == "pdf") & F.contains("content", F.lit("/Encrypt"))
-    corrupt = F.when(F.col("kind") == "pdf", ~F.contains(tail(2048), F.lit("%%EOF"))).when(F.col("kind") == "docx", ~F.contains(tail(66000), F.lit("PK\x05\x06"))).otherwise(False)
-    n_pages = F.when(F.col("kind") == "pdf", F.greatest(occurrences(F.col("content"), "/Type /Page") - occurrences(F.col("content"), "/Type /Pages"), F.lit(1)))
-    reason = F.when(F.length("content") == 0, "empty").when(encrypted, "encrypted").when(corrupt, "corrupt").when(n_pages > 2, "too_many_pages")
-    return files(spark, sf_dir).select("file_id", encrypted.alias("encrypted"), corrupt.alias("corrupt"), n_pages.cast("bigint").alias("n_pages"), reason.alias("refused"))
+# -- paragraphs
 
 
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,16 +156,10 @@ def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LINES = f"""l AS (SELECT id, unnest(range(1, len(p) + 1)) AS line, unnest(p) AS text FROM (SELECT id, string_split(coalesce(text, ''), chr(10)) AS p FROM src WHERE NOT contains(array_to_string(string_split(coalesce(text, ''), chr(10))[1:{MARKER_LINES}], chr(10)), '{MARKER}')))"""
-_FILES = """files AS (SELECT page_id AS file_id, ['pdf', 'docx', 'text'][page_id % 3 + 1] AS kind, CASE WHEN page_id % 3 = 0 THEN '%PDF-1.7 ' ELSE '' END || repeat('/Type /Page ', (page_id % 4)::BIGINT) || CASE WHEN page_id % 2 = 0 THEN '/Type /Pages ' ELSE '' END
-    || CASE WHEN page_id % 7 = 0 THEN '/Encrypt ' ELSE '' END || coalesce(html, '') || CASE WHEN page_id % 3 = 0 AND page_id % 5 <> 0 THEN '%%EOF' WHEN page_id % 3 = 1 AND page_id % 4 <> 0 THEN 'PK' || chr(5) || chr(6) ELSE '' END AS content FROM pages)"""
 _SURE = lambda k: f"((conv_id * 31 + turn * 17 + {k}) % 100 / 100)"
 _COUNT = lambda mark: f"(length(content) - length(replace(content, '{mark}', ''))) // {len(mark)}"
 
 QUERIES = {
-    "unreadable_files": (unreadable_files, f"""WITH {_FILES}, f AS (SELECT file_id, length(content) AS n, kind = 'pdf' AND contains(content, '/Encrypt') AS encrypted,
-            CASE kind WHEN 'pdf' THEN NOT contains(right(content, 2048), '%%EOF') WHEN 'docx' THEN NOT contains(right(content, 66000), 'PK' || chr(5) || chr(6)) ELSE false END AS corrupt,
-            CASE WHEN kind = 'pdf' THEN greatest({_COUNT('/Type /Page')} - {_COUNT('/Type /Pages')}, 1) END::BIGINT AS n_pages FROM files)
-        SELECT file_id, encrypted, corrupt, n_pages, CASE WHEN n = 0 THEN 'empty' WHEN encrypted THEN 'encrypted' WHEN corrupt THEN 'corrupt' WHEN n_pages > 2 THEN 'too_many_pages' END AS refused FROM f"""),
     "paragraphs": (paragraphs, r"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '\n[ \t]*\n'), lambda p: regexp_replace(p, '^[ \t\n]+|[ \t\n]+$', '', 'g')), lambda p: p <> '') AS p FROM documents)
         SELECT doc_id, len(p)::BIGINT AS n_paragraphs, sha256(coalesce(array_to_string(p, chr(10)), '')) AS sha256 FROM p"""),
     "ocr_decisions": (ocr_decisions, f"""WITH t AS (SELECT conv_id, turn, length(trim(coalesce(text, ''), ' ')) < {THIN_CHARS} AS thin FROM conversations), d AS (SELECT conv_id, turn, thin AND count(*) FILTER (thin) OVER (PARTITION BY conv_id ORDER BY turn) <= {OCR_PAGES} AS ocr FROM t)

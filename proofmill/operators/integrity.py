@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofmill import fixtures
+from proofmill.functions import text as T
 from proofmill.tables import read_table, spread
 
 #: Patterns that address a model; one is enough.
@@ -191,13 +192,15 @@ def three_word_phrases(words: Column) -> Column:
 def found_in(texts: DataFrame) -> DataFrame:
     """(id, found): the findings of all text detectors as an array, in one pass over the texts.
 
-    What several expressions need is a column first, so it is computed once. Words are a-z, three letters or more.
+    What several expressions need is a column first, so it is computed once. Words are a-z, three letters or more. If ``texts`` has
+    a column ``raw``, hidden characters are looked for there: a normal form has none left.
     """
+    raw = "raw" if "raw" in texts.columns else "text"
     system, near = instruction_places(F.col("text"))
     words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 3)
-    counted = texts.select("id", "text", system.alias("s"), near.alias("n"), words.alias("words"))
-    phrased = counted.select("id", "text", "s", "n", three_word_phrases(F.col("words")).alias("phrases"))
-    each = [detect(F.col("text")) for detect in (role_tokens, hidden_characters, mixed_scripts)]
+    counted = texts.select("id", "text", F.col(raw).alias("raw"), system.alias("s"), near.alias("n"), words.alias("words"))
+    phrased = counted.select("id", "text", "raw", "s", "n", three_word_phrases(F.col("words")).alias("phrases"))
+    each = [role_tokens(F.col("text")), hidden_characters(F.col("raw")), mixed_scripts(F.col("text"))]
     return phrased.select("id", F.array_compact(F.array(instructions(F.col("text"), F.col("s"), F.col("n")), *each, repetition(F.col("phrases")))).alias("found"))
 
 
@@ -298,19 +301,48 @@ def render_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     of which under 60 % are among the rendered words count, on pages where they have 60 characters or more, joined by blanks.
     The raw text keeps scripts, comments and styles; the rendering drops them.
     """
-    pages = read_table(spark, sf_dir, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("html"))
+    return missing_sentences(read_table(spark, sf_dir, "pages")).select("page_id", "n_sentences", "n_chars")
+
+
+def missing_sentences(pages: DataFrame) -> DataFrame:
+    """(page_id, n_sentences, n_chars, missing) of rows (page_id, html): pages with enough unseen text, and the text, its sentences joined by blanks."""
+    pages = pages.select("page_id", F.coalesce("html", F.lit("")).alias("html"))
     shown = F.regexp_replace(F.regexp_replace(F.col("html"), r"(?s)<script.*?</script>|<style.*?</style>|<nav.*?</nav>|<!--.*?-->", " "), "<[^>]*>", " ")
     raw = F.regexp_replace(F.col("html"), "<[^>]*>", " ")
     words = lambda t: F.regexp_extract_all(F.lower(t), F.lit("[a-z0-9]+"), F.lit(0))
     sides = pages.select("page_id", raw.alias("raw"), F.array_distinct(words(shown)).alias("seen")).where(F.size("seen") > 0)
     trimmed = F.regexp_replace("s", r"^\s+|\s+$", "")
-    sentences = sides.select("page_id", "seen", F.explode(F.split("raw", r"(?<=[.!?])\s+|\n+")).alias("s")).select("page_id", "seen", trimmed.alias("s"), words(F.col("s")).alias("w"))
+    sentences = sides.select("page_id", "seen", F.posexplode(F.split("raw", r"(?<=[.!?])\s+|\n+")).alias("at", "s")).select("page_id", "seen", "at", trimmed.alias("s"), words(F.col("s")).alias("w"))
     # Bound as a lambda's variable, the new words of a sentence are found once, not again for each word.
     unknown = F.get(F.transform(F.array(F.array_except("w", "seen")), lambda new: F.size(F.filter("w", lambda x: F.array_contains(new, x)))), F.lit(0))
-    missing = sentences.where((F.size("w") >= 4) & (F.size("w") - unknown < 0.6 * F.size("w"))).groupBy("page_id").agg(F.count("*").alias("n_sentences"), (F.sum(F.length("s") + 1) - 1).alias("n_chars"))
+    missing = sentences.where((F.size("w") >= 4) & (F.size("w") - unknown < 0.6 * F.size("w"))).groupBy("page_id").agg(
+        F.count("*").alias("n_sentences"), (F.sum(F.length("s") + 1) - 1).alias("n_chars"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "s"))), lambda x: x["s"]), " ").alias("missing")
+    )
     return missing.where(F.col("n_chars") >= 60)
 
 
+NO_PAGES = "this document has no pages to compare"
+
+
+def document_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every finding of every detector in one table (of, id, detector, severity, confidence, excerpt), and why a check did not run (``skipped``).
+
+    Instructions, role marks, scripts and repetition are looked for in the normal form, which is what a reader is shown, hidden characters
+    in the raw text. Pages are also held against their rendering and have metadata; texts have no pages, which is recorded.
+    """
+    c = F.col
+    texts = sources(spark, sf_dir).select("id", T.normalised(F.coalesce("text", F.lit(""))).alias("text"), F.coalesce("text", F.lit("")).alias("raw"))
+    none = F.lit(None).cast("string")
+    names = ("detector", "severity", "confidence", "excerpt")
+    in_texts = findings(texts).select(F.lit("text").alias("of"), "id", *names, none.alias("skipped"))
+    not_run = texts.select(F.lit("text").alias("of"), "id", F.lit("render_difference").alias("detector"), none.alias("severity"), F.lit(None).cast("double").alias("confidence"), none.alias("excerpt"), F.lit(NO_PAGES).alias("skipped"))
+    unseen = missing_sentences(read_table(spark, sf_dir, "pages"))
+    f = finding(F.lit(True), "render_difference", "high", 0.82, F.concat(F.lit("page 1: "), c("missing")))
+    in_pages = unseen.select(F.lit("page").alias("of"), c("page_id").alias("id"), f.alias("f")).select("of", "id", *(f"f.{n}" for n in names), none.alias("skipped"))
+    metadata = metadata_findings(spark, sf_dir).select("of", "id", F.lit("metadata").alias("detector"), "severity", "confidence", "excerpt", none.alias("skipped"))
+    return in_texts.unionAll(not_run).unionAll(in_pages).unionAll(metadata)
+
+
 def _re2(pattern: str) -> str:
     return pattern.replace("'", "''")
 
@@ -343,6 +375,8 @@ UNION ALL SELECT id, 'hidden_characters', 'medium', 0.7, 'invisible characters p
 UNION ALL SELECT id, 'mixed_scripts', 'medium', 0.75, 'mixed-script words: ' || array_to_string(list_sort(list(DISTINCT word))[1:8], ', ') FROM w WHERE regexp_matches(word, '\\p{{Latin}}') AND regexp_matches(word, '\\p{{Cyrillic}}|\\p{{Greek}}') GROUP BY id
 UNION ALL SELECT id, 'repetition', 'low', 0.6, '"' || arg_max(phrase, (c, -k)) || '" appears ' || max(c) || ' times' FROM gc GROUP BY id),
 f AS (SELECT * REPLACE ({_SHORT} AS excerpt) FROM f0)"""
+#: The same on normal forms, with hidden characters from the raw texts.
+_SCANNED = _FOUND.replace("src AS (SELECT doc_id AS id", "raw_src AS (SELECT doc_id AS id", 1).replace("FROM src, m WHERE", "FROM raw_src, m WHERE", 1).replace(", i AS (SELECT", f", src AS (SELECT id, {T.normalised_sql("coalesce(text, '')")} AS text FROM raw_src), i AS (SELECT", 1)
 _TIER = f"""{_FOUND}, t AS (SELECT id, max(CASE WHEN severity = 'high' AND confidence >= {QUARANTINE_AT} THEN 2 WHEN severity <> 'low' THEN 1 ELSE 0 END) AS t FROM f GROUP BY id),
 tier AS (SELECT id, coalesce(t, 0) AS rank FROM src LEFT JOIN t USING (id))"""
 
@@ -360,6 +394,11 @@ QUERIES = {
     "render_difference": (render_difference, r"""WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         s AS (SELECT page_id, regexp_replace(html, '<[^>]*>', ' ', 'g') AS raw, list_distinct(regexp_extract_all(lower(regexp_replace(regexp_replace(html,
             '<script.*?</script>|<style.*?</style>|<nav.*?</nav>|<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'g')), '[a-z0-9]+')) AS seen FROM p),
-        x AS (SELECT page_id, seen, regexp_replace(unnest(string_split_regex(regexp_replace(raw, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+')), '^\s+|\s+$', '', 'g') AS s FROM s WHERE len(seen) > 0), w AS (SELECT *, regexp_extract_all(lower(s), '[a-z0-9]+') AS w FROM x)
-        SELECT page_id, count(*) AS n_sentences, (sum(length(s) + 1) - 1)::BIGINT AS n_chars FROM w WHERE len(w) >= 4 AND len(list_filter(w, lambda x: list_contains(seen, x))) < 0.6 * len(w) GROUP BY page_id HAVING sum(length(s) + 1) - 1 >= 60"""),
+        p2 AS (SELECT page_id, seen, string_split_regex(regexp_replace(raw, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+') AS parts FROM s WHERE len(seen) > 0),
+        x AS (SELECT page_id, seen, unnest(range(len(parts))) AS place, regexp_replace(unnest(parts), '^\s+|\s+$', '', 'g') AS s FROM p2), w AS (SELECT *, regexp_extract_all(lower(s), '[a-z0-9]+') AS w FROM x)
+        SELECT page_id, count(*) AS n_sentences, (sum(length(s) + 1) - 1)::BIGINT AS n_chars/*more*/ FROM w WHERE len(w) >= 4 AND len(list_filter(w, lambda x: list_contains(seen, x))) < 0.6 * len(w) GROUP BY page_id HAVING sum(length(s) + 1) - 1 >= 60"""),
+    "document_scans": (document_scans, f"""WITH md AS ({{metadata}}), rd AS ({{render}}), ft AS (WITH {_SCANNED} SELECT id, detector, severity, confidence, excerpt FROM f), so AS (WITH {SOURCES} SELECT id FROM src)
+        SELECT 'text' AS "of", id, detector, severity, confidence, excerpt, NULL::VARCHAR AS skipped FROM ft UNION ALL SELECT 'text', id, 'render_difference', NULL, NULL, NULL, '{NO_PAGES}' FROM so
+        UNION ALL SELECT "of", id, 'metadata', severity, confidence, excerpt, NULL FROM md UNION ALL SELECT 'page', page_id, 'render_difference', 'high', 0.82, {_SHORT}, NULL FROM (SELECT page_id, 'page 1: ' || missing AS excerpt FROM rd)"""),
 }
+QUERIES["document_scans"] = (document_scans, QUERIES["document_scans"][1].replace("{metadata}", QUERIES["metadata_findings"][1]).replace("{render}", QUERIES["render_difference"][1].replace("/*more*/", ", string_agg(s, ' ' ORDER BY place) AS missing")))
