@@ -163,7 +163,7 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as pages: where each starts and ends when joined by a blank line that belongs to the page before."""
+    """Turns as pages: where each starts and ends when joined by a blank line that belongs to the page before."""
     by_page = Window.partitionBy("conv_id").orderBy("turn")
     pages = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length(F.coalesce("text", F.lit(""))).alias("n"), F.lead("turn").over(by_page).isNull().alias("last"))
     length = F.col("n") + F.when(F.col("last"), 0).otherwise(2)
@@ -171,13 +171,30 @@ def page_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("conv_id", "turn", (end - length).cast("bigint").alias("start"), end.cast("bigint").alias("stop"))
 
 
+LEAST_SAMPLE, SAMPLE_CHARS, DOMINANCE = 40, 1500, 0.6
+#: Languages that a policy allows, and those whose quality is measured.
+ALLOWED_LANGUAGES, MEASURED_LANGUAGES = ("en",), ("en", "ko")
+
+
 def language_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The share of each source's dominant language over documents of 40 characters or more; mixed under 0.6."""
-    long = read_table(spark, sf_dir, "documents").where((F.length(F.trim(F.substring("text", 1, 1500))) >= 40) & F.col("lang").isNotNull())
-    counts = long.groupBy("source", "lang").agg(F.count("*").alias("n"))
-    top = counts.groupBy("source").agg(F.max_by(F.struct("lang", "n"), F.struct(F.col("n"), F.col("lang"))).alias("t"), F.sum("n").alias("all"))
-    share = F.col("t.n") / F.col("all")
-    return top.select("source", F.col("t.lang").alias("dominant"), share.alias("share"), F.when(share < 0.6, "mixed").otherwise(F.col("t.lang")).alias("language"))
+    """The language that most samples of a source have, of equals the first seen, with its share; mixed under 0.6.
+
+    A document is a page of its source, its first 1500 characters the sample; samples of under 40 characters, and those of no
+    language, have no vote. The score is 1 for a source of one language, a half for a mixed one, 0 where nothing had a vote.
+    """
+    c = F.col
+    voting = (F.length(F.trim(F.substring("text", 1, SAMPLE_CHARS))) >= LEAST_SAMPLE) & c("lang").isNotNull()
+    rows = read_table(spark, sf_dir, "documents").select("source", "doc_id", F.when(F.coalesce(voting, F.lit(False)), c("lang")).alias("lang"))
+    counts = rows.groupBy("source", "lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("seen"))
+    real = c("lang").isNotNull()
+    top = counts.groupBy("source").agg(F.max_by(F.struct("lang", "n"), F.when(real, F.struct(c("n"), -c("seen")))).alias("t"), F.coalesce(F.sum(F.when(real, c("n"))), F.lit(0)).alias("all"))
+    none, share = c("all") == 0, c("t.n") / F.nullif("all", F.lit(0))
+    mixed = share < DOMINANCE
+    dominant = F.when(~none, c("t.lang"))
+    return top.select(
+        "source", dominant.alias("dominant"), F.when(~none, share).alias("share"), F.when(mixed, "mixed").otherwise(dominant).alias("language"), F.when(none, 0.0).when(mixed, 0.5).otherwise(1.0).alias("score"),
+        F.coalesce(dominant.isin(*ALLOWED_LANGUAGES), F.lit(False)).alias("allowed"), F.coalesce(dominant.isin(*MEASURED_LANGUAGES), F.lit(False)).alias("measured"),
+    )
 
 
 LEAST_PAGE_CHARS = 50
@@ -230,9 +247,10 @@ QUERIES = {
         FROM k WINDOW w AS (PARTITION BY page ORDER BY col, round_even(y0, 1), x0, block)"""),
     "page_tiling": (page_tiling, """WITH p AS (SELECT conv_id, turn, length(coalesce(text, '')) + CASE WHEN lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) IS NULL THEN 0 ELSE 2 END AS n FROM conversations)
         SELECT conv_id, turn, (sum(n) OVER w - n)::BIGINT AS start, (sum(n) OVER w)::BIGINT AS stop FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)"""),
-    "language_vote": (language_vote, """WITH c AS (SELECT source, lang, count(*) AS n FROM documents WHERE length(trim(substring(text, 1, 1500))) >= 40 AND lang IS NOT NULL GROUP BY ALL),
-        t AS (SELECT source, lang, n, sum(n) OVER (PARTITION BY source) AS a FROM c QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, lang DESC) = 1)
-        SELECT source, lang AS dominant, n / a AS share, CASE WHEN n / a < 0.6 THEN 'mixed' ELSE lang END AS language FROM t"""),
+    "language_vote": (language_vote, f"""WITH d AS (SELECT source, doc_id, CASE WHEN length(trim(substring(text, 1, {SAMPLE_CHARS}))) >= {LEAST_SAMPLE} THEN lang END AS lang FROM documents), c AS (SELECT source, lang, count(*) AS n, min(doc_id) AS seen FROM d WHERE lang IS NOT NULL GROUP BY ALL),
+        t AS (SELECT source, lang, n, sum(n) OVER (PARTITION BY source) AS a FROM c QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, seen) = 1), o AS (SELECT DISTINCT source FROM documents)
+        SELECT o.source, lang AS dominant, n / a AS share, CASE WHEN n / a < {DOMINANCE} THEN 'mixed' ELSE lang END AS language, CASE WHEN a IS NULL THEN 0.0 WHEN n / a < {DOMINANCE} THEN 0.5 ELSE 1.0 END::DOUBLE AS score,
+            coalesce(lang IN ('{"', '".join(ALLOWED_LANGUAGES)}'), false) AS allowed, coalesce(lang IN ('{"', '".join(MEASURED_LANGUAGES)}'), false) AS measured FROM o LEFT JOIN t ON t.source IS NOT DISTINCT FROM o.source"""),
     "extraction_confidence": (extraction_confidence, f"""WITH p AS (SELECT conv_id, coalesce(text, '') AS text, CASE WHEN turn % 3 = 2 THEN (conv_id * 7 + turn) % 100 / 100 ELSE 1.0 END AS sure FROM conversations),
         a AS (SELECT conv_id, avg((length(text) >= {LEAST_PAGE_CHARS})::INT) AS c, avg(sure::DOUBLE) AS m, avg((len(string_split(text, chr(10))) > 1)::INT) AS s, CASE WHEN count(DISTINCT regexp_matches(text, '[^\\x00-\\x7F]')) = 1 THEN 1.0 ELSE 0.5 END::DOUBLE AS l FROM p GROUP BY conv_id)
         SELECT conv_id, round(c, 6) AS coverage, round(m, 6) AS method, round(s, 6) AS structure, l AS language, round(least(0.4::DOUBLE * c + 0.3::DOUBLE * m + 0.2::DOUBLE * s + 0.1::DOUBLE * l, 1.0), 6) AS confidence FROM a"""),

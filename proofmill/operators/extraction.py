@@ -96,6 +96,11 @@ def found_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned_lines(spark, sf_dir).where(F.regexp_like("text", F.lit(r"\d")) & ~fiction).select("id", "line", F.explode(shapes).alias("shape"))
 
 
+#: What is asked about a point of which nothing is said, and about one of which little is.
+ASK_ABSENT = "Your application does not mention {label}. Could you tell us about your experience with this?"
+ASK_MORE = "Your application touches on {label} but does not say much. Could you give us more detail?"
+
+
 def composed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """questions for a run's open points: what was written for an open point and names nothing protected, else the template's.
 
@@ -106,8 +111,8 @@ def composed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = F.when(F.col("ord") % 4 == 0, "Are you married?").otherwise(F.concat(F.lit("Could you say more about point "), F.col("ord").cast("string"), F.lit("?")))
     items = states.where((F.col("run_id") + F.col("ord")) % 3 == 0).select("run_id", "ord", written.alias("question"))
     fit = items.where(F.size(T.protected_terms(F.col("question"))) == 0).join(gaps.select("run_id", "ord"), ["run_id", "ord"], "left_semi")
-    absent = F.concat(F.lit("Your application does not mention "), F.col("criterion"), F.lit("."))
-    little = F.concat(F.lit("Your application touches on "), F.col("criterion"), F.lit(" but does not say much."))
+    filled_in = lambda template: F.replace(F.lit(template), F.lit("{label}"), F.lower("criterion"))
+    absent, little = filled_in(ASK_ABSENT), filled_in(ASK_MORE)
     filled = gaps.join(fit.select("run_id", "ord"), ["run_id", "ord"], "left_anti").select("run_id", "ord", F.when(F.col("state") == rules.UNKNOWN, absent).otherwise(little).alias("question"), F.lit("template").alias("made_by"))
     return fit.withColumn("made_by", F.lit("model")).unionByName(filled).groupBy("made_by", "question").agg(F.count("*").alias("n"))
 
@@ -172,7 +177,7 @@ QUERIES = {
     "found_numbers": (found_numbers, None),
     "composed_questions": (composed_questions, f"""WITH {rules._COUNTS}, g AS (SELECT run_id, ord, criterion, state FROM s WHERE state IN ('{rules.UNKNOWN}', 'partial', 'contradicted')),
         q AS (SELECT CASE WHEN (run_id + ord) % 3 = 0 AND ord % 4 <> 0 THEN 'model' ELSE 'template' END AS made_by, CASE WHEN (run_id + ord) % 3 = 0 AND ord % 4 <> 0 THEN 'Could you say more about point ' || ord || '?'
-            WHEN state = '{rules.UNKNOWN}' THEN 'Your application does not mention ' || criterion || '.' ELSE 'Your application touches on ' || criterion || ' but does not say much.' END AS question FROM g)
+            WHEN state = '{rules.UNKNOWN}' THEN replace('{ASK_ABSENT}', '{{label}}', lower(criterion)) ELSE replace('{ASK_MORE}', '{{label}}', lower(criterion)) END AS question FROM g)
         SELECT made_by, question, count(*) AS n FROM q GROUP BY ALL"""),
     "raised_findings": (raised_findings, f"""WITH f AS ({integrity.QUERIES['text_findings'][1]}), t AS ({integrity.QUERIES['integrity_tiers'][1]}), r(severity, rank) AS (VALUES ('low', 1), ('medium', 2), ('high', 3))
         SELECT id, detector, f.severity, CASE WHEN (id % 3 + 3) % 3 + 1 > r.rank THEN ['low', 'medium', 'high'][(id % 3 + 3) % 3 + 1] ELSE f.severity END AS raised FROM f JOIN t USING (id) JOIN r USING (severity) WHERE tier = 'suspect'"""),

@@ -114,11 +114,11 @@ dc AS (SELECT fd.run_id, event_id, action, next AS status, reviewer, happened AS
 _SINKS = ", ".join(f"('{s}')" for s in review.SINKS)
 QUERIES = {
     "review_decisions": (review_decisions, f"WITH {_DECIDED} SELECT * FROM dc"),
-    "delivery_outcomes": (delivery_outcomes, f"""WITH {_DECIDED}, {review._TRIED}, k AS (SELECT r.run_id, action, string_agg(x.sink, ',' ORDER BY x.sink) FILTER (NOT coalesce(ok, false)) AS missing, count(*) FILTER (ok) AS n_ok
+    "delivery_outcomes": (delivery_outcomes, f"""WITH {_DECIDED}, {review._TRIED}, dk AS (SELECT r.run_id, action, string_agg(x.sink, ',' ORDER BY x.sink) FILTER (NOT coalesce(ok, false)) AS missing, count(*) FILTER (ok) AS n_ok
             FROM runs r CROSS JOIN (VALUES {_SINKS}) AS x(sink) LEFT JOIN dc USING (run_id) LEFT JOIN t ON t.run_id = r.run_id AND t.sink = x.sink GROUP BY ALL)
         SELECT run_id, CASE WHEN coalesce(action <> 'approve', true) THEN 'refused' WHEN n_ok = {len(review.SINKS)} THEN 'delivered' WHEN n_ok = 0 THEN 'failed' ELSE 'degraded' END AS outcome,
             CASE WHEN coalesce(action <> 'approve', true) THEN 'needs_review' WHEN n_ok = {len(review.SINKS)} THEN 'delivered' ELSE 'delivery_pending_retry' END AS status,
-            CASE WHEN coalesce(action <> 'approve', true) THEN '{NOT_APPROVED}' END AS error, CASE WHEN coalesce(action <> 'approve', true) THEN '' ELSE coalesce(missing, '') END AS missing FROM k"""),
+            CASE WHEN coalesce(action <> 'approve', true) THEN '{NOT_APPROVED}' END AS error, CASE WHEN coalesce(action <> 'approve', true) THEN '' ELSE coalesce(missing, '') END AS missing FROM dk"""),
     "delivery_payloads": (delivery_payloads, f"""WITH {_DECIDED}, tr AS ({integrity.QUERIES['integrity_tiers'][1]}), cs AS (SELECT run_id, string_agg(criterion || '=' || state, ' | ' ORDER BY ord) AS criterion_states FROM s GROUP BY run_id)
         SELECT dc.run_id, candidate AS candidate_id, policy AS role_id, coalesce(dc.band, 'unknown') AS band, rec.score, coalesce(rec.coverage, 0.0) AS coverage, reviewer AS reviewer_id, action AS reviewer_action, decided_at,
             coalesce(criterion_states, '') AS criterion_states, n_overrides AS override_count, coalesce(tier, 'clean') AS integrity_tier

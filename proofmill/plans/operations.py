@@ -174,12 +174,30 @@ def overrides_by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calls_reassembled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accepted and rejected call numbers of each run and site, in order."""
+    """Accepted and rejected call numbers of each run and site, in order."""
     by = calls(spark, sf_dir).groupBy("run_id", "site")
     listed = lambda want: F.array_join(F.array_sort(F.collect_list(F.when(F.col("escalated") == want, F.col("call_no")))).cast("array<string>"), ",")
     return by.agg(listed(False).alias("accepted"), listed(True).alias("rejected"))
 
 
+def escalation_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the attempts at each run and site the one that counts: the last escalated one, else the first.
+
+    The state before the escalation stays known, and what any attempt had rejected is kept, in the order of the attempts. A call's
+    latency stands for its state and for what it rejected.
+    """
+    c = F.col
+    state = F.element_at(F.array(*map(F.lit, ("met", "partial", "not_met"))), (c("latency_ms") % 3 + 1).cast("int"))
+    place = F.struct("call_no", "latency_ms", "input_tokens", "cached_tokens")
+    tried = calls(spark, sf_dir).select("run_id", "site", "escalated", state.alias("state"), "call_no", place.alias("place"), F.when(c("latency_ms") % 11 == 0, F.concat_ws(":", "call_no", "latency_ms")).alias("bad"))
+    strong = F.max_by(F.struct("call_no", "state"), F.when(c("escalated"), c("place")))
+    first = F.min_by(F.struct("call_no", "state"), c("place"))
+    kept = F.transform(F.array_sort(F.collect_list(F.when(c("bad").isNotNull(), F.struct("place", "bad")))), lambda x: x["bad"])
+    by = tried.groupBy("run_id", "site").agg(first.alias("f"), strong.alias("s"), F.bool_or("escalated").alias("escalated"), F.array_join(kept, ",").alias("rejected"))
+    pick = F.when(c("escalated"), c("s")).otherwise(c("f"))
+    return by.select("run_id", "site", pick["call_no"].alias("call_no"), pick["state"].alias("state"), "escalated", F.when(c("escalated"), c("f.state")).alias("state_before"), "rejected")
+
+
 # -- deletion and retention
 
 
@@ -314,6 +332,10 @@ QUERIES = {
     "overrides_by_segment": (overrides_by_segment, f"{_R} SELECT c_mktsegment AS segment, count(*) AS n_runs, sum(override_count)::BIGINT AS n_overrides FROM runs JOIN customer ON candidate = c_custkey WHERE override_count > 0 GROUP BY 1"),
     "calls_reassembled": (calls_reassembled, f"""{_C} SELECT run_id, site, coalesce(string_agg(call_no, ',' ORDER BY call_no) FILTER (NOT escalated), '') AS accepted,
         coalesce(string_agg(call_no, ',' ORDER BY call_no) FILTER (escalated), '') AS rejected FROM calls GROUP BY ALL"""),
+    "escalation_picks": (escalation_picks, f"""{_C}, a AS (SELECT run_id, site, escalated, call_no, ['met', 'partial', 'not_met'][latency_ms % 3 + 1] AS state, row_number() OVER (PARTITION BY run_id, site ORDER BY call_no, latency_ms, input_tokens, cached_tokens) AS nth,
+            CASE WHEN latency_ms % 11 = 0 THEN call_no || ':' || latency_ms END AS bad FROM calls)
+        SELECT run_id, site, coalesce(arg_max(call_no, nth) FILTER (escalated), arg_min(call_no, nth)) AS call_no, coalesce(arg_max(state, nth) FILTER (escalated), arg_min(state, nth)) AS state, bool_or(escalated) AS escalated,
+            CASE WHEN bool_or(escalated) THEN arg_min(state, nth) END AS state_before, coalesce(string_agg(bad, ',' ORDER BY nth), '') AS rejected FROM a GROUP BY ALL"""),
     "purge": (purge, f"""WITH {RUNS}, {CALLS}, g AS (SELECT * FROM runs WHERE finished_at < TIMESTAMP '{AS_OF_RUNS}' - INTERVAL 1825 DAY), k AS (SELECT * FROM runs ANTI JOIN g USING (run_id))
         SELECT 'runs' AS what, count(*) AS n FROM g UNION ALL SELECT 'calls', count(*) FROM calls SEMI JOIN g USING (run_id)
         UNION ALL SELECT 'candidates', count(*) FROM (SELECT DISTINCT candidate FROM g ANTI JOIN k USING (candidate))"""),

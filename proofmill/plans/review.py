@@ -69,7 +69,7 @@ def evidence_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cards_of_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest 20 cards of each role and exact rubric version.
+    """The newest 20 cards of each role and exact rubric version.
 
     A card is made of an approved run: its band is the reviewer's where an override was made, else "hold". Only approvals
     make cards. The top of each role is taken per partition first, so no task ranks all runs of a role.
@@ -85,7 +85,7 @@ def cards_of_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cached_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls by the fingerprint of prompt, tier and settings: the first of a key asks, later ones are served and use no fresh tokens."""
+    """Calls by the fingerprint of prompt, tier and settings: the first of a key asks, later ones are served and use no fresh tokens."""
     key = F.sha2(F.concat_ws("|", "site", "tier", F.col("input_tokens").cast("string"), (F.col("latency_ms") % 50).cast("string"), F.lit("prompts-1")), 256)
     keyed = calls(spark, sf_dir).select("site", key.alias("cache_key"), "input_tokens", "output_tokens")
     by_key = keyed.groupBy("site", "cache_key").agg(F.count("*").alias("n"), F.max("input_tokens").alias("i"), F.max("output_tokens").alias("o"))
@@ -146,7 +146,7 @@ def attempts_to_deliver(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def delivery_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each run's delivery: refused unless approved, delivered if every sink took it, pending if some did not or were not tried."""
+    """I12 by status alone (the whole rule is ``decisions.delivery_outcomes``): each run's delivery: refused unless approved, delivered if every sink took it, pending if some did not or were not tried."""
     tried = attempts_to_deliver(spark, sf_dir).groupBy("run_id").agg(F.count_if("ok").alias("n_ok"))
     joined = runs(spark, sf_dir).join(tried, "run_id", "left")
     status = F.when(F.col("status") != "delivered", "refused").when(F.coalesce("n_ok", F.lit(0)) == len(SINKS), "delivered").otherwise("delivery_pending_retry")
