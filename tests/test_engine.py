@@ -127,7 +127,7 @@ def test_sinks_and_sources(spark, tmp_path):
     (tmp_path / "in" / "Lee_cover.md").write_text("hello")
     (tmp_path / "in" / "lee-x.exe").write_text("no")
     found = ledger.documents_in(spark, str(tmp_path / "in"))
-    assert sorted((r["candidate"], r["name"]) for r in found.collect()) == [("kim", "cv.txt"), ("lee", "Lee_cover.md")]
+    assert sorted((r["candidate"], r["name"]) for r in found.collect()) == [("Lee", "Lee_cover.md"), ("kim", "cv.txt")]
     assert ledger.new_blobs(found, spark.createDataFrame([], "sha256 string")).count() == 1
     rows = ledger.sink_rows(spark.createDataFrame([(1, 0.5, ["a", "b"], None), (2, None, [], "x"), (2, None, [], "x")], "run_id bigint, score double, information_requests array<string>, band string"))
     path = str(tmp_path / "sink")
