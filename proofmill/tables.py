@@ -11,6 +11,6 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(frame: DataFrame) -> DataFrame:
-    """``frame`` over all cores: a small file of one row group is one task, and work on its texts would use one core. Larger tables stay as they are."""
+    """``frame`` over all cores if it is read from fewer files than there are: a small file of one row group is one task, and work on its texts would use one core."""
     wanted = frame.sparkSession.sparkContext.defaultParallelism
-    return frame if frame._jdf.rdd().getNumPartitions() >= wanted else frame.repartition(wanted)
+    return frame if len(frame.inputFiles()) >= wanted else frame.repartition(wanted)
