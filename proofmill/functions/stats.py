@@ -13,8 +13,8 @@ def share(part: Column, whole: Column) -> Column:
 
 
 def wilson(k: Column, n: Column) -> tuple[Column, Column]:
-    """The 95 % interval of k of n, within [0, 1]; null where n is 0."""
-    n = F.nullif(n, F.lit(0))
+    """The 95 % interval of k of n, within [0, 1]; null where n is 0. In doubles: the square of a number of pairs is beyond a bigint."""
+    n = F.nullif(n, F.lit(0)).cast("double")
     p, z2 = k / n, Z95 * Z95
     middle = (p + z2 / (2 * n)) / (1 + z2 / n)
     half = Z95 / (1 + z2 / n) * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))
