@@ -66,15 +66,14 @@ def cost_of_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cost_by_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the runs of the last 365 days by policy their number, calls, tokens and cost, and the cost of one and of a hundred.
+    """Of all runs by policy their number, calls, tokens and cost, and the cost of one and of a hundred.
 
     A run costs what its priced calls do, and nothing is known of one without any; the mean is the known total over all runs.
     """
     per_run = priced_calls(spark, sf_dir).groupBy("run_id").agg(F.count("*").alias("c"), F.sum("input_tokens").alias("t"), F.sum("output_tokens").alias("o"), F.sum("cost").alias("cost"))
-    recent = runs(spark, sf_dir).where(F.col("started_at") >= _moment(AS_OF_RUNS) - _days(WINDOW_DAYS))
     total = F.sum("cost").cast("double")
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    return recent.join(per_run, "run_id", "left").groupBy("policy").agg(
+    return runs(spark, sf_dir).join(per_run, "run_id", "left").groupBy("policy").agg(
         F.count("*").alias("n_runs"), zero("c").alias("n_calls"), zero("t").alias("input_tokens"), zero("o").alias("output_tokens"),
         total.alias("total_cost"), F.round(total / F.count("*"), 6).alias("mean_cost"), F.round(total / F.count("*") * 100, 4).alias("per_hundred"),
     )
@@ -297,6 +296,15 @@ _TRIGGERS = f"""{_C}, a AS (SELECT call_no, latency_ms % 3 > 0 AS again, coalesc
     t AS (SELECT again, changed, CASE WHEN again AND room < {LEAST_HEADROOM} THEN 'budget_blocked' WHEN again AND used >= {MOST_ESCALATIONS} THEN 'capped' WHEN NOT again AND call_no IN (2, 3) THEN 'high_stakes' WHEN again AND bad THEN 'invalid_span'
         WHEN again AND sure < {LEAST_CONFIDENCE} THEN 'low_confidence' WHEN again AND retried THEN 'repair_failed' ELSE 'initial' END AS trigger FROM a)"""
 
+def cost_sql(where: str = "") -> str:
+    """Cost by policy of all runs, or of those that a condition leaves."""
+    return f"""WITH {RUNS}, {CALLS}, {PRICES_SQL}, p AS (SELECT *, {_UNITS} AS cost FROM calls LEFT JOIN prices USING (tier)),
+        r AS (SELECT run_id, count(*) AS c, sum(input_tokens) AS t, sum(output_tokens) AS o, sum(cost) AS cost FROM p GROUP BY run_id)
+        SELECT policy, count(*) AS n_runs, coalesce(sum(c), 0)::BIGINT AS n_calls, coalesce(sum(t), 0)::BIGINT AS input_tokens, coalesce(sum(o), 0)::BIGINT AS output_tokens, sum(cost)::DOUBLE / 1000000 AS total_cost,
+            round(sum(cost)::DOUBLE / 1000000 / count(*), 6) AS mean_cost, round(sum(cost)::DOUBLE / 1000000 / count(*) * 100, 4) AS per_hundred
+        FROM runs LEFT JOIN r USING (run_id){where} GROUP BY policy"""
+
+
 QUERIES = {
     "runs_by_status": (runs_by_status, f"{_R} SELECT status, count(*) AS n_runs FROM runs WHERE started_at >= TIMESTAMP '{AS_OF_RUNS}' - INTERVAL 365 DAY GROUP BY 1"),
     "stuck_runs": (stuck_runs, f"{_R} SELECT run_id, status, started_at FROM runs WHERE finished_at IS NULL AND status NOT IN {IDLE} AND started_at < TIMESTAMP '{AS_OF_RUNS}' - INTERVAL 365 DAY"),
@@ -305,11 +313,7 @@ QUERIES = {
     "token_totals": (token_totals, f"""WITH {RUNS}, {CALLS} SELECT run_id, coalesce(sum(input_tokens + output_tokens), 0)::BIGINT AS tokens, count(call_no) AS n_calls,
         coalesce(sum(escalated::INT), 0)::BIGINT AS n_escalated FROM runs LEFT JOIN calls USING (run_id) GROUP BY run_id"""),
     "cost_of_calls": (cost_of_calls, f"WITH {CALLS}, {PRICES_SQL} SELECT run_id, call_no, tier, ({_UNITS})::DOUBLE / 1000000 AS cost FROM calls LEFT JOIN prices USING (tier)"),
-    "cost_by_policy": (cost_by_policy, f"""WITH {RUNS}, {CALLS}, {PRICES_SQL}, p AS (SELECT *, {_UNITS} AS cost FROM calls LEFT JOIN prices USING (tier)),
-        r AS (SELECT run_id, count(*) AS c, sum(input_tokens) AS t, sum(output_tokens) AS o, sum(cost) AS cost FROM p GROUP BY run_id)
-        SELECT policy, count(*) AS n_runs, coalesce(sum(c), 0)::BIGINT AS n_calls, coalesce(sum(t), 0)::BIGINT AS input_tokens, coalesce(sum(o), 0)::BIGINT AS output_tokens, sum(cost)::DOUBLE / 1000000 AS total_cost,
-            round(sum(cost)::DOUBLE / 1000000 / count(*), 6) AS mean_cost, round(sum(cost)::DOUBLE / 1000000 / count(*) * 100, 4) AS per_hundred
-        FROM runs LEFT JOIN r USING (run_id) WHERE started_at >= TIMESTAMP '{AS_OF_RUNS}' - INTERVAL {WINDOW_DAYS} DAY GROUP BY policy"""),
+    "cost_by_policy": (cost_by_policy, cost_sql()),
     "escalation_by_site": (escalation_by_site, f"""{_C} SELECT site, count(*) AS n, sum(escalated::INT)::BIGINT AS n_escalated, sum((escalated AND changed)::INT)::BIGINT AS n_changed,
         sum(escalated::INT) / count(*) AS escalation_rate, sum((escalated AND changed)::INT) / nullif(sum(escalated::INT), 0) AS changed_rate FROM calls GROUP BY site"""),
     "failure_rates": (failure_rates, f"""WITH {RUNS}, {CALLS}, r AS (SELECT run_id FROM runs WHERE started_at >= TIMESTAMP '{AS_OF_RUNS}' - INTERVAL 365 DAY), c AS (SELECT * FROM calls SEMI JOIN r USING (run_id))

@@ -139,7 +139,9 @@ _EFFORT = f"""WITH {EVENTS}, s AS (SELECT list_sort(list(value)) AS v FROM run_e
 
 
 def _parts() -> str:
-    known = {**operations.QUERIES, **review.QUERIES}
+    # A snapshot looks back as far for costs as for its other metrics of runs.
+    recent = operations.cost_sql(f" WHERE started_at >= TIMESTAMP '{AS_OF_RUNS}' - INTERVAL {operations.WINDOW_DAYS} DAY")
+    known = {**operations.QUERIES, **review.QUERIES, "cost_by_policy": (operations.cost_by_policy, recent)}
     parts = [f"(SELECT '{name}' AS metric, CAST({key} AS STRING) AS key, CAST({value} AS DOUBLE) AS value FROM ({known[name][1]}))" for name, key, value in PARTS]
     parts += [f"(SELECT 'review_effort', '{name}', {name}::DOUBLE FROM ({_EFFORT}))" for name in ("reviews", "mean_minutes", "median_minutes", "p95_minutes")]
     return " UNION ALL ".join(parts)
