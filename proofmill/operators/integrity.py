@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,6 +108,30 @@ def finding(when: Column, detector: str, severity: Column | str, confidence: Col
     return F.when(when, F.struct(F.lit(detector).alias("detector"), level.alias("severity"), sure.cast("double").alias("confidence"), short.alias("excerpt")))
 
 
+#: Of each pattern, in its bank's order, words of which a match has to hold one (in lower case); every one of a tuple within is needed.
+SYSTEM_WORDS = (
+    (("you", "now"),), (("as", "ai"),), ("language",), ("system",), ("assistant",), ("ignore", "disregard", "forget", "override", "discard"),
+    (("follow", "instead"),), (("your", "instruction"),), ("automated",), ("screener", "reviewer", "reader"), (("note", "the"),), (("system", "should"),),
+)
+IMPERATIVE_WORDS = (
+    ("ignore",), ("disregard",), ("forget",), (("output", "only"),), (("respond", "with"),), (("rate", "candidate"),), (("recommend", "hiring"),), (("assign", "highest"),), (("set", "score"),),
+    (("give", "highest"), ("give", "top"), ("give", "maximum")), (("mark", "qualified"), ("mark", "suitable"), ("mark", "approved")), (("not", "mention"), ("not", "report"), ("not", "flag")),
+    (("must", "advance"), ("must", "approve"), ("must", "hire")),
+)
+ROLE_WORDS = ("<", "|>", "inst]", "###", ("assistant", ":"), ("system", ":"))
+
+
+def holds(lower: Column, words: tuple) -> Column:
+    """Whether a lower-case text holds one of the words; plain searches cost a tenth of a pattern's."""
+    every = lambda w: reduce(and_, (F.contains(lower, F.lit(x)) for x in ((w,) if isinstance(w, str) else w)))
+    return reduce(or_, map(every, words))
+
+
+def has_odd(text: Column) -> Column:
+    """Whether a text has a soft hyphen or a character beyond U+00FF, as all hidden ones, Greek and Cyrillic are; most texts are of one byte a character."""
+    return (F.octet_length(text) != F.char_length(text)) & F.regexp_like(text, F.lit(r"[^\x00-\xAC\xAE-\xFF]"))
+
+
 def first_places(text: Column, patterns: list[str] | tuple[str, ...]) -> Column:
     """Of the patterns that match, in their order, the place of each one's first match, from 0."""
     place = lambda p: F.when(F.regexp_like(text, p), F.length(F.element_at(F.split(text, p, 2), 1)))
@@ -117,9 +144,10 @@ def around(text: Column, place: Column, after: int) -> Column:
     return F.substring(text, start + 1, place + after - start)
 
 
-def instruction_places(text: Column) -> tuple[Column, Column]:
-    """Places of the system and imperative patterns of a text; a cheap test spares nearly all texts the search for each pattern."""
-    any_of = F.regexp_like(text, F.lit("(?im)" + "|".join(f"(?:{p})" for p in (*SYSTEM, *IMPERATIVES))))
+def instruction_places(text: Column, lower: Column) -> tuple[Column, Column]:
+    """Places of the system and imperative patterns of a text; a pattern is tried only where its words are, and nearly no text is searched for each pattern."""
+    tried = lambda p, words: holds(lower, words) & F.regexp_like(text, F.lit(f"(?im){p}"))
+    any_of = reduce(or_, (tried(p, words) for p, words in zip((*SYSTEM, *IMPERATIVES), (*SYSTEM_WORDS, *IMPERATIVE_WORDS), strict=True)))
     every = lambda patterns: F.when(any_of, first_places(text, patterns)).otherwise(F.array().cast("array<int>"))
     return every(SYSTEM), every([near_pattern(p) for p in IMPERATIVES])
 
@@ -132,9 +160,9 @@ def instructions(text: Column, system: Column, near: Column) -> Column:
     return finding((s > 0) | (n > 0), "instructions", severity, F.when(s > 0, 0.9).when(n > 1, 0.8).otherwise(0.55), around(text, first, AFTER_INSTRUCTION))
 
 
-def role_tokens(text: Column) -> Column:
+def role_tokens(text: Column, lower: Column) -> Column:
     """Delimiters of chats; the excerpt is about the first delimiter of the list that is there."""
-    found = F.regexp_like(text, F.lit("(?im)" + "|".join(f"(?:{p})" for p in ROLE_TOKENS)))
+    found = holds(lower, ROLE_WORDS) & F.regexp_like(text, F.lit("(?im)" + "|".join(f"(?:{p})" for p in ROLE_TOKENS)))
     return finding(found, "role_tokens", "high", 0.95, around(text, F.get(first_places(text, ROLE_TOKENS), F.lit(0)), AFTER_ROLE))
 
 
@@ -152,14 +180,14 @@ def hidden_characters(text: Column) -> Column:
     )
     listed = F.transform(F.array_sort(F.filter(counted, lambda x: x["less"] < 0)), lambda x: F.concat(x["name"], F.lit(" ("), -x["less"], F.lit(")")))
     excerpt = F.concat(F.lit("invisible characters present: "), F.array_join(listed, ", "))
-    return finding(F.regexp_like(text, F.lit(f"[{HIDDEN}{TAGS}]")), "hidden_characters", "medium", 0.7, excerpt)
+    return finding(has_odd(text) & F.regexp_like(text, F.lit(f"[{HIDDEN}{TAGS}]")), "hidden_characters", "medium", 0.7, excerpt)
 
 
 def mixed_scripts(text: Column) -> Column:
     """Words of three letters or more with Latin and Cyrillic or Greek letters; the first eight by code point are named."""
     word = r"(?U)\b(?=\w{3})(?=\w*\p{IsLatin})(?=\w*[\p{IsCyrillic}\p{IsGreek}])\w+"
     words = F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(word), F.lit(0)))), 1, 8)
-    return finding(F.regexp_like(text, F.lit(word)), "mixed_scripts", "medium", 0.75, F.concat(F.lit("mixed-script words: "), F.array_join(words, ", ")))
+    return finding(has_odd(text) & F.regexp_like(text, F.lit(word)), "mixed_scripts", "medium", 0.75, F.concat(F.lit("mixed-script words: "), F.array_join(words, ", ")))
 
 
 def repetition(phrases: Column, most: int = 6) -> Column:
@@ -196,11 +224,12 @@ def found_in(texts: DataFrame) -> DataFrame:
     a column ``raw``, hidden characters are looked for there: a normal form has none left.
     """
     raw = "raw" if "raw" in texts.columns else "text"
-    system, near = instruction_places(F.col("text"))
-    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 3)
-    counted = texts.select("id", "text", F.col(raw).alias("raw"), system.alias("s"), near.alias("n"), words.alias("words"))
-    phrased = counted.select("id", "text", "raw", "s", "n", three_word_phrases(F.col("words")).alias("phrases"))
-    each = [role_tokens(F.col("text")), hidden_characters(F.col("raw")), mixed_scripts(F.col("text"))]
+    texts = texts.select("id", "text", F.col(raw).alias("raw"), F.lower("text").alias("lower"))
+    system, near = instruction_places(F.col("text"), F.col("lower"))
+    words = F.filter(F.split("lower", "[^a-z]+"), lambda w: F.length(w) >= 3)
+    counted = texts.select("id", "text", "raw", "lower", system.alias("s"), near.alias("n"), words.alias("words"))
+    phrased = counted.select("id", "text", "raw", "lower", "s", "n", three_word_phrases(F.col("words")).alias("phrases"))
+    each = [role_tokens(F.col("text"), F.col("lower")), hidden_characters(F.col("raw")), mixed_scripts(F.col("text"))]
     return phrased.select("id", F.array_compact(F.array(instructions(F.col("text"), F.col("s"), F.col("n")), *each, repetition(F.col("phrases")))).alias("found"))
 
 
