@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -24,6 +25,8 @@ from proofmill.operators.integrity import SOURCES, sources
 
 #: Characters of a bin, and of a page: pages of a fixed size stand for printed ones.
 BIN, PAGE_CHARS = 1024, 3000
+#: Bytes of texts that a task holds with their maps at a time.
+SLICE_BYTES = 1 << 20
 OUT_OF_RANGE = "OFFSET_OUT_OF_RANGE"
 #: Stretches of characters that no rule before the last two changes, and single other characters.
 _STRETCHES = re.compile("[\\x00-\\x7FÀ-ÅÇ-åç-ÿ]+|[\\s\\S]")
@@ -69,6 +72,16 @@ def normal_text(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else normal_form(t)[0])
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Parts of batches whose texts have about ``SLICE_BYTES`` bytes, unless one text is longer; memory then grows with neither rows nor their length."""
+    for batch in batches:
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)) if batch.num_rows else np.empty(0, np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // SLICE_BYTES)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if hi > lo:
+                yield batch.slice(lo, hi - lo)
+
+
 def normalise_with_map(texts: DataFrame) -> DataFrame:
     """(id, raw, text, runs) of rows (id, text): the normal form and its map; a null text is empty.
 
@@ -76,15 +89,15 @@ def normalise_with_map(texts: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             raw = [t or "" for t in batch.column("text").to_pylist()]
             texts, rows, ends = [], [], [0]
             for text, places in map(normal_form, raw):
                 starts = np.concatenate(([0], np.flatnonzero(np.diff(places) != 1) + 1)) if len(places) else np.empty(0, np.int64)
-                rows.append(np.stack([starts, places[starts], np.diff(np.concatenate((starts, [len(places)])))]) if len(places) else np.empty((3, 0)))
+                rows.append(np.stack([starts, places[starts], np.diff(np.concatenate((starts, [len(places)])))]).astype(np.int32) if len(places) else np.empty((3, 0), np.int32))
                 texts.append(text)
                 ends.append(ends[-1] + len(starts))
-            every = np.concatenate(rows, axis=1).astype(np.int32) if rows else np.empty((3, 0), np.int32)
+            every = np.concatenate(rows, axis=1) if rows else np.empty((3, 0), np.int32)
             runs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(r) for r in every], ["norm_start", "raw_start", "length"]))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(raw, pa.string()), pa.array(texts, pa.string()), runs], ["id", "raw", "text", "runs"])
 
