@@ -23,6 +23,8 @@ SHORTEST, LONGEST = 8, 600
 #: Verdicts that accept a quotation; absence of evidence has nothing to place and is accepted too.
 VALID, ABSENT = ("exact", "relocated", "fuzzy", "fuzzy_ocr"), "not_applicable"
 CONTEXT_CHARS = 240
+#: Tasks for each core by which quotations are dealt for the fuzzy step.
+TASKS_A_CORE = 8
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +33,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     Right; displaced; with a wrong character; reversed; of another document; in another typography (curly quotes, long dashes, doubled
     blanks, something invisible); raw text over the first line break; and none at all. Places are of the normal form.
     """
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     kind, normal = F.pmod("doc_id", F.lit(8)), T.normalised(F.col("text"))
     rows = docs.select("doc_id", kind.alias("kind"), "text", F.substring(normal, QUOTED_FROM + 1, SPAN_CHARS).alias("quote"))
     c = F.col
@@ -124,24 +126,58 @@ def window_bounds(needle: str, text: str) -> tuple[range, list[float]]:
     return starts, (common / len(needle)).tolist()
 
 
-def best_ratio(needle: str, text: str, least: float = 0.0) -> float:
-    """The best Ratcliff-Obershelp ratio of the needle with a window of the text; 0 where none reaches ``least``.
+def matched_characters(a: str, b: str) -> int:
+    """The characters in the matching blocks of Ratcliff and Obershelp: the longest common part, of equals the first in ``a``, then in ``b``, and so on to its left and right.
 
-    Windows are tried in the order of their bounds, so the first one whose bound is no better ends the search.
+    Parts are sought by the searches of strings, which on short ones take a fraction of the time of difflib's tables.
     """
-    from difflib import SequenceMatcher
+    total, rest = 0, [(a, b)]
+    while rest:
+        a, b = rest.pop()
+        at = size = k = 0
+        while k + size < len(a):
+            if a[k : k + size + 1] in b:
+                at, size = k, size + 1
+                while k + size < len(a) and a[k : k + size + 1] in b:
+                    size += 1
+            k += 1
+        if size:
+            j = b.find(a[at : at + size])
+            total += size
+            rest += [(x, y) for x, y in ((a[:at], b[:j]), (a[at + size :], b[j + size :])) if x and y]
+    return total
+
+
+def ratio_of(a: str, b: str) -> float:
+    """difflib's ratio; from 200 characters on difflib leaves frequent ones out, so there it counts itself."""
+    if len(b) >= 200:
+        from difflib import SequenceMatcher
+
+        return SequenceMatcher(None, a, b).ratio()
+    return 2.0 * matched_characters(a, b) / (len(a) + len(b))
+
+
+def best_ratio(needle: str, text: str, least: float = 0.0, known: dict[str, float] | None = None) -> float:
+    """The best Ratcliff-Obershelp ratio of the needle with a window of the text; 0 where none reaches ``least``.
 
+    Windows are tried in the order of their bounds, so the first one whose bound is no better ends the search. ``known`` has ratios of
+    windows that another search of the same needle found, and gets those of this one.
+    """
     if not needle or not text:
         return 0.0
     if len(needle) >= len(text):
-        whole = SequenceMatcher(None, needle, text).ratio()
+        whole = ratio_of(needle, text)
         return whole if whole >= least else 0.0
+    known = {} if known is None else known
     starts, bounds = window_bounds(needle, text)
     best = 0.0
     for bound, at in sorted(zip(bounds, starts), key=lambda x: (-x[0], x[1])):
         if bound < least or bound <= best:
             break
-        best = max(best, SequenceMatcher(None, needle, text[at : at + len(needle)]).ratio())
+        window = text[at : at + len(needle)]
+        if window not in known:
+            known[window] = ratio_of(needle, window)
+        best = max(best, known[window])
     return best if best >= least else 0.0
 
 
@@ -166,13 +202,16 @@ def with_ratios(placed: DataFrame, least: float = 0.0) -> DataFrame:
             for verdict, needle, near, text, enough in zip(*(batch[c] for c in ("verdict", "_needle", "_near", "_text", "_enough"))):
                 ratio = known.get(verdict)
                 if verdict == "unplaced":
-                    ratio = best_ratio(needle, near, least)
-                    ratio = ratio if ratio >= enough else max(ratio, best_ratio(needle, text, least))
+                    found: dict[str, float] = {}
+                    ratio = best_ratio(needle, near, least, found)
+                    ratio = ratio if ratio >= enough or near == text else max(ratio, best_ratio(needle, text, least, found))
                 out.append(ratio)
             yield batch[keys].assign(ratio=pd.Series(out, index=batch.index, dtype="float64"))
 
     schema = placed.select(*keys).schema.add("ratio", "double")
-    return rows.mapInPandas(run, schema)
+    # Comparing costs far more than its bytes suggest: without a stated number of tasks small shuffled parts are put together, and few cores work.
+    dealt = rows.repartition(TASKS_A_CORE * placed.sparkSession.sparkContext.defaultParallelism, "claim_id")
+    return dealt.mapInPandas(run, schema)
 
 
 def verified(claims: DataFrame, docs: DataFrame, least: float = 0.0) -> DataFrame:
