@@ -5,10 +5,12 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_, or_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofmill import fixtures
+from proofmill.functions import search
 from proofmill.functions import text as T
 from proofmill.tables import read_table, spread
 
@@ -110,7 +112,7 @@ def finding(when: Column, detector: str, severity: Column | str, confidence: Col
 
 #: Of each pattern, in its bank's order, words of which a match has to hold one (in lower case); every one of a tuple within is needed.
 SYSTEM_WORDS = (
-    (("you", "now"),), (("as", "ai"),), ("language",), ("system",), ("assistant",), ("ignore", "disregard", "forget", "override", "discard"),
+    (("you", "now"),), tuple(("as", f"{blank}ai") for blank in " \t\n\x0b\f\r"), (("language", "model"),), (("system", ":"),), (("assistant", ":"),), ("ignore", "disregard", "forget", "override", "discard"),
     (("follow", "instead"),), (("your", "instruction"),), ("automated",), ("screener", "reviewer", "reader"), (("note", "the"),), (("system", "should"),),
 )
 IMPERATIVE_WORDS = (
@@ -119,6 +121,10 @@ IMPERATIVE_WORDS = (
     (("must", "advance"), ("must", "approve"), ("must", "hire")),
 )
 ROLE_WORDS = ("<", "|>", "inst]", "###", ("assistant", ":"), ("system", ":"))
+#: The words by which a text is looked through once, as a group for each pattern of the banks and one for all role marks.
+WORD_GROUPS = (*SYSTEM_WORDS, *IMPERATIVE_WORDS, ROLE_WORDS)
+#: A phrase more often than this is a repetition.
+MOST = 6
 
 
 def holds(lower: Column, words: tuple) -> Column:
@@ -144,10 +150,27 @@ def around(text: Column, place: Column, after: int) -> Column:
     return F.substring(text, start + 1, place + after - start)
 
 
-def instruction_places(text: Column, lower: Column) -> tuple[Column, Column]:
+def looked_up(lower: Column) -> Column:
+    """What a lower-case text holds, as (groups, phrase, times): which of WORD_GROUPS, and its most frequent phrase if that is a repetition.
+
+    Texts pass through Arrow batches once, many at a time; nothing leaves its row, so nothing is shuffled.
+    """
+
+    def run(texts: pa.Array) -> pa.Array:
+        return search.looked_up(texts, WORD_GROUPS, MOST)
+
+    return F.arrow_udf(run, "groups bigint, phrase string, times int")(lower)
+
+
+def has_group(groups: Column, number: int) -> Column:
+    """Whether a text was found to hold words of a group."""
+    return groups.bitwiseAND(F.lit(1 << number).cast("bigint")) != 0
+
+
+def instruction_places(text: Column, groups: Column) -> tuple[Column, Column]:
     """Places of the system and imperative patterns of a text; a pattern is tried only where its words are, and nearly no text is searched for each pattern."""
-    tried = lambda p, words: holds(lower, words) & F.regexp_like(text, F.lit(f"(?im){p}"))
-    any_of = reduce(or_, (tried(p, words) for p, words in zip((*SYSTEM, *IMPERATIVES), (*SYSTEM_WORDS, *IMPERATIVE_WORDS), strict=True)))
+    tried = lambda p, n, words: has_group(groups, n) & holds(F.lower(text), words) & F.regexp_like(text, F.lit(f"(?im){p}"))
+    any_of = reduce(or_, (tried(p, n, words) for n, (p, words) in enumerate(zip((*SYSTEM, *IMPERATIVES), (*SYSTEM_WORDS, *IMPERATIVE_WORDS), strict=True))))
     every = lambda patterns: F.when(any_of, first_places(text, patterns)).otherwise(F.array().cast("array<int>"))
     return every(SYSTEM), every([near_pattern(p) for p in IMPERATIVES])
 
@@ -160,13 +183,13 @@ def instructions(text: Column, system: Column, near: Column) -> Column:
     return finding((s > 0) | (n > 0), "instructions", severity, F.when(s > 0, 0.9).when(n > 1, 0.8).otherwise(0.55), around(text, first, AFTER_INSTRUCTION))
 
 
-def role_tokens(text: Column, lower: Column) -> Column:
+def role_tokens(text: Column, groups: Column) -> Column:
     """Delimiters of chats; the excerpt is about the first delimiter of the list that is there."""
-    found = holds(lower, ROLE_WORDS) & F.regexp_like(text, F.lit("(?im)" + "|".join(f"(?:{p})" for p in ROLE_TOKENS)))
+    found = has_group(groups, len(WORD_GROUPS) - 1) & F.regexp_like(text, F.lit("(?im)" + "|".join(f"(?:{p})" for p in ROLE_TOKENS)))
     return finding(found, "role_tokens", "high", 0.95, around(text, F.get(first_places(text, ROLE_TOKENS), F.lit(0)), AFTER_ROLE))
 
 
-def hidden_characters(text: Column) -> Column:
+def hidden_characters(text: Column, odd: Column) -> Column:
     """Characters that hide text, counted by name on the raw text; the most frequent first, then as they come."""
     classes = [*zip(HIDDEN, HIDDEN_NAMES, strict=True), (TAGS, "tag character")]
     named = F.array(*(F.struct(F.lit(f"[{c}]").alias("c"), F.lit(name).alias("name")) for c, name in classes))
@@ -180,41 +203,19 @@ def hidden_characters(text: Column) -> Column:
     )
     listed = F.transform(F.array_sort(F.filter(counted, lambda x: x["less"] < 0)), lambda x: F.concat(x["name"], F.lit(" ("), -x["less"], F.lit(")")))
     excerpt = F.concat(F.lit("invisible characters present: "), F.array_join(listed, ", "))
-    return finding(has_odd(text) & F.regexp_like(text, F.lit(f"[{HIDDEN}{TAGS}]")), "hidden_characters", "medium", 0.7, excerpt)
+    return finding(odd & F.regexp_like(text, F.lit(f"[{HIDDEN}{TAGS}]")), "hidden_characters", "medium", 0.7, excerpt)
 
 
-def mixed_scripts(text: Column) -> Column:
+def mixed_scripts(text: Column, odd: Column) -> Column:
     """Words of three letters or more with Latin and Cyrillic or Greek letters; the first eight by code point are named."""
     word = r"(?U)\b(?=\w{3})(?=\w*\p{IsLatin})(?=\w*[\p{IsCyrillic}\p{IsGreek}])\w+"
     words = F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(word), F.lit(0)))), 1, 8)
-    return finding(has_odd(text) & F.regexp_like(text, F.lit(word)), "mixed_scripts", "medium", 0.75, F.concat(F.lit("mixed-script words: "), F.array_join(words, ", ")))
+    return finding(odd & F.regexp_like(text, F.lit(word)), "mixed_scripts", "medium", 0.75, F.concat(F.lit("mixed-script words: "), F.array_join(words, ", ")))
 
 
-def repetition(phrases: Column, most: int = 6) -> Column:
-    """A three-word phrase more than six times, of the phrases of a text; the most frequent is named, of equals the first.
-
-    Counted within the row: no phrase leaves its text, so nothing is shuffled. Texts with few repeated phrases are not counted.
-    """
-
-    def count(acc: Column, phrase: Column) -> Column:
-        run = F.when(acc["last"] == phrase, acc["run"] + 1).otherwise(1)
-        sooner = (run == acc["best"]) & (run > most) & (F.array_position(phrases, phrase) < F.array_position(phrases, acc["name"]))
-        better = (run > acc["best"]) | sooner
-        return F.struct(phrase.alias("last"), run.alias("run"), F.greatest(acc["best"], run).alias("best"), F.when(better, phrase).otherwise(acc["name"]).alias("name"))
-
-    first = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"), F.lit("").alias("name"))
-    longest = F.aggregate(F.array_sort(phrases), first, count)
-    repeated = F.size(phrases) - F.size(F.array_distinct(phrases)) >= most
-    # The longest run is named once for the test and the excerpt.
-    return F.get(F.transform(F.array(F.when(repeated, longest)), lambda x: finding(x["best"] > most, "repetition", "low", 0.6, F.concat(F.lit('"'), x["name"], F.lit('" appears '), x["best"], F.lit(" times")))), F.lit(0))
-
-
-def three_word_phrases(words: Column) -> Column:
-    """Each three words in turn, whatever lies between them in the text."""
-    after = lambda k: F.slice(words, k, F.greatest(F.size(words), F.lit(1)))
-    zipped = F.arrays_zip(words.alias("a"), after(2).alias("b"), after(3).alias("c"))
-    phrases = F.transform(zipped, lambda x: F.concat(x["a"], F.lit(" "), x["b"], F.lit(" "), x["c"]))
-    return F.array_compact(phrases)
+def repetition(phrase: Column, times: Column) -> Column:
+    """A three-word phrase more than six times, whatever lies between its words; the most frequent is named, of equals the first."""
+    return finding(times > MOST, "repetition", "low", 0.6, F.concat(F.lit('"'), phrase, F.lit('" appears '), times, F.lit(" times")))
 
 
 def found_in(texts: DataFrame) -> DataFrame:
@@ -223,14 +224,14 @@ def found_in(texts: DataFrame) -> DataFrame:
     What several expressions need is a column first, so it is computed once. Words are a-z, three letters or more. If ``texts`` has
     a column ``raw``, hidden characters are looked for there: a normal form has none left.
     """
-    raw = "raw" if "raw" in texts.columns else "text"
-    texts = texts.select("id", "text", F.col(raw).alias("raw"), F.lower("text").alias("lower"))
-    system, near = instruction_places(F.col("text"), F.col("lower"))
-    words = F.filter(F.split("lower", "[^a-z]+"), lambda w: F.length(w) >= 3)
-    counted = texts.select("id", "text", "raw", "lower", system.alias("s"), near.alias("n"), words.alias("words"))
-    phrased = counted.select("id", "text", "raw", "lower", "s", "n", three_word_phrases(F.col("words")).alias("phrases"))
-    each = [role_tokens(F.col("text"), F.col("lower")), hidden_characters(F.col("raw")), mixed_scripts(F.col("text"))]
-    return phrased.select("id", F.array_compact(F.array(instructions(F.col("text"), F.col("s"), F.col("n")), *each, repetition(F.col("phrases")))).alias("found"))
+    c = F.col
+    own = ["id", "text", *(["raw"] if "raw" in texts.columns else [])]
+    raw, odd = own[-1], [has_odd(c(x)).alias(f"odd_{x}") for x in own[1:]]
+    looked = texts.select(*own, looked_up(F.lower("text")).alias("u"))
+    system, near = instruction_places(c("text"), c("u.groups"))
+    placed = looked.select(*own, *odd, "u", system.alias("s"), near.alias("n"))
+    each = [instructions(c("text"), c("s"), c("n")), role_tokens(c("text"), c("u.groups")), hidden_characters(c(raw), c(f"odd_{raw}")), mixed_scripts(c("text"), c("odd_text")), repetition(c("u.phrase"), c("u.times"))]
+    return placed.select("id", F.array_compact(F.array(*each)).alias("found"))
 
 
 def findings(texts: DataFrame) -> DataFrame:
