@@ -68,6 +68,13 @@ class Texts:
             found |= both
         return found
 
+    def odd(self) -> np.ndarray:
+        """Which texts hold a soft hyphen or a character beyond U+00FF."""
+        at = np.flatnonzero(self.bytes >= 0xC2)
+        lead = self.bytes[at]
+        at = at[(lead >= 0xC4) | ((lead == 0xC2) & (self.bytes[at + 1] == 0xAD))]
+        return np.bincount(self.rows(at), minlength=len(self.texts)) > 0
+
     def phrased(self, most: int) -> np.ndarray:
         """Numbers of the texts with a three-word phrase more than ``most`` times; a few more where numbers of phrases are equal by chance."""
         letters = (self.bytes - np.uint8(97)) < 26
@@ -86,7 +93,7 @@ class Texts:
         phrases = (words[:-2] * _FACTORS[0] + words[1:-1] * _FACTORS[1] + words[2:] * _FACTORS[2])[inside] + row.astype(np.uint64) * _FACTORS[3]
         ordered = np.sort(phrases)
         often = np.unique(ordered[most:][ordered[most:] == ordered[: len(ordered) - most]]) if len(ordered) > most else ordered[:0]
-        return np.unique(row[np.isin(phrases, often)]) if len(often) else row[:0]
+        return np.unique(row[often[np.minimum(np.searchsorted(often, phrases), len(often) - 1)] == phrases]) if len(often) else row[:0]
 
 
 def most_frequent(text: bytes) -> tuple[str, int]:
@@ -96,17 +103,27 @@ def most_frequent(text: bytes) -> tuple[str, int]:
     return b" ".join(phrase).decode(), n
 
 
-def looked_up(texts: pa.Array, groups: tuple[tuple, ...], most: int) -> pa.Array:
-    """Of each text ``groups``, a number whose bit of a group is set where the text may hold one of its words, and ``phrase`` and ``times`` of a phrase more than ``most`` times, else null."""
+def looked_up(texts: pa.Array, groups: tuple[tuple, ...], most: int, needed: dict[int, bytes] | None = None) -> pa.Array:
+    """Of each text ``groups``, a number whose bit of a group is set where the text may hold one of its words, and ``phrase`` and ``times`` of a phrase more than ``most`` times, else null.
+
+    A group in ``needed`` has its bit only where that pattern is found as well; it is tried on texts with the words. The bit after
+    those of all groups is set where a text has a soft hyphen or a character beyond U+00FF.
+    """
     flags, phrases, times = np.zeros(len(texts), np.int64), [None] * len(texts), [None] * len(texts)
     sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
     cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE_BYTES)) + 1).tolist(), len(texts)]
     passed = sieve({w for words in groups for every in words for w in ((every,) if isinstance(every, str) else every)})
+    patterns = {bit: re.compile(p) for bit, p in (needed or {}).items()}
     for lo, hi in zip(cuts, cuts[1:]):
         if hi > lo:
             part = Texts([t or b"" for t in texts.slice(lo, hi - lo).cast(pa.binary()).to_pylist()], passed)
             for bit, words in enumerate(groups):
-                flags[lo:hi] |= part.holding_some(words).astype(np.int64) << bit
+                held = part.holding_some(words)
+                if bit in patterns:
+                    for row in np.flatnonzero(held).tolist():
+                        held[row] = patterns[bit].search(part.texts[row]) is not None
+                flags[lo:hi] |= held.astype(np.int64) << bit
+            flags[lo:hi] |= part.odd().astype(np.int64) << len(groups)
             for row in part.phrased(most).tolist():
                 phrase, n = most_frequent(part.texts[row])
                 if n > most:

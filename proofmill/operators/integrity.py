@@ -123,6 +123,8 @@ IMPERATIVE_WORDS = (
 ROLE_WORDS = ("<", "|>", "inst]", "###", ("assistant", ":"), ("system", ":"))
 #: The words by which a text is looked through once, as a group for each pattern of the banks and one for all role marks.
 WORD_GROUPS = (*SYSTEM_WORDS, *IMPERATIVE_WORDS, ROLE_WORDS)
+#: What a lower-case text has to hold besides, where a group's words are common by themselves: "as" and " ai" are in one text of eight.
+NEEDED = {1: rb"as\s+an?\s+ai"}
 #: A phrase more often than this is a repetition.
 MOST = 6
 
@@ -151,13 +153,13 @@ def around(text: Column, place: Column, after: int) -> Column:
 
 
 def looked_up(lower: Column) -> Column:
-    """What a lower-case text holds, as (groups, phrase, times): which of WORD_GROUPS, and its most frequent phrase if that is a repetition.
+    """What a lower-case text holds, as (groups, phrase, times): which of WORD_GROUPS and, as one group more, odd characters, and its most frequent phrase if that is a repetition.
 
     Texts pass through Arrow batches once, many at a time; nothing leaves its row, so nothing is shuffled.
     """
 
     def run(texts: pa.Array) -> pa.Array:
-        return search.looked_up(texts, WORD_GROUPS, MOST)
+        return search.looked_up(texts, WORD_GROUPS, MOST, NEEDED)
 
     return F.arrow_udf(run, "groups bigint, phrase string, times int")(lower)
 
@@ -226,7 +228,8 @@ def found_in(texts: DataFrame) -> DataFrame:
     """
     c = F.col
     own = ["id", "text", *(["raw"] if "raw" in texts.columns else [])]
-    raw, odd = own[-1], [has_odd(c(x)).alias(f"odd_{x}") for x in own[1:]]
+    # Lower case keeps hidden characters, and Greek and Cyrillic letters beyond U+00FF.
+    raw, odd = own[-1], [has_group(c("u.groups"), len(WORD_GROUPS)).alias("odd_text"), *(has_odd(c(x)).alias(f"odd_{x}") for x in own[2:])]
     looked = texts.select(*own, looked_up(F.lower("text")).alias("u"))
     system, near = instruction_places(c("text"), c("u.groups"))
     placed = looked.select(*own, *odd, "u", system.alias("s"), near.alias("n"))
